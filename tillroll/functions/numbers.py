@@ -22,6 +22,11 @@ def davg(c: Column | str) -> Column:
     return F.try_divide(F.sum(col(c)).cast("double"), F.count(col(c)))
 
 
+def money_avg(c: Column | str) -> Column:
+    """Mean of a decimal column rounded half-up to cents; divided as decimal, so ties round exactly."""
+    return F.round(F.try_divide(F.sum(col(c)), F.count(col(c)).cast("decimal(20,0)")), 2).cast("double")
+
+
 def ratio(top: Column, bottom: Column, default: float | None = None) -> Column:
     """``top / bottom`` as double; null or ``default`` when the divisor is zero or null."""
     out = F.try_divide(top.cast("double"), bottom.cast("double"))

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.functions.numbers import davg, dsum, pct, ratio
+from tillroll.functions.numbers import davg, dsum, money_avg, pct, ratio
 from tillroll.operators.ordering import quantiles
 
 DAY = F.to_date("order_date")
@@ -37,7 +37,7 @@ def daily_sales(orders: DataFrame, finished: str = "F") -> DataFrame:
     """A-03: orders, revenue, AOV, customers and finished / open orders per day."""
     return orders.groupBy(DAY.alias("day")).agg(
         F.count("*").alias("orders"), dsum("total_amount").alias("revenue"),
-        F.round(davg("total_amount"), 2).alias("avg_order_value"),
+        money_avg("total_amount").alias("avg_order_value"),
         F.countDistinct("customer_id").alias("customers"),
         F.count_if(F.col("order_status") == finished).alias("finished_orders"),
         F.count_if(F.col("order_status") != finished).alias("unfinished_orders"))

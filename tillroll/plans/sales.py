@@ -24,7 +24,7 @@ def _(t):
 
 
 @plan("a03_daily_sales", """SELECT order_date::DATE AS day, count(*) AS orders, sum(total_amount)::DOUBLE AS revenue,
-  round((sum(total_amount)::DOUBLE / count(*))::DECIMAL(28,10), 2)::DOUBLE AS avg_order_value, count(DISTINCT customer_id) AS customers,
+  ((sum(total_amount) * 200)::HUGEINT + count(*)) // (2 * count(*)) / 100.0::DOUBLE AS avg_order_value, count(DISTINCT customer_id) AS customers,
   count(*) FILTER (order_status = 'F') AS finished_orders, count(*) FILTER (order_status <> 'F') AS unfinished_orders
   FROM ord GROUP BY 1""")
 def _(t):
