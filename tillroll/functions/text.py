@@ -38,10 +38,15 @@ def first_word(c: Column | str) -> Column:
     return F.try_element_at(words(c), F.lit(1))
 
 
+def _title(letter: Column) -> Column:
+    up = F.upper(letter)  # one letter may grow: the sharp s becomes "Ss"
+    return F.concat(F.substring(up, 1, 1), F.lower(F.substring(up, 2, 2)))
+
+
 def title_case(c: Column | str) -> Column:
     """Capitalise after every non-letter, unlike ``initcap`` (G-12): ``o'neil`` -> ``O'Neil``."""
     runs = F.regexp_extract_all(col(c), F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
-    fixed = F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substring(r, 2, 1 << 30))))
+    fixed = F.transform(runs, lambda r: F.concat(_title(F.substring(r, 1, 1)), F.lower(F.substring(r, 2, 1 << 30))))
     return F.array_join(fixed, "")
 
 
@@ -128,9 +133,9 @@ def human_bytes(c: Column | str) -> Column:
     size, out = col(c).cast("double"), None
     for i, unit in enumerate(("B", "KB", "MB", "GB", "TB")):
         scaled = size / F.lit(float(1024 ** i))
-        label = F.concat(F.format_number(scaled, "0.00"), F.lit(f" {unit}"))
+        label = F.concat(F.call_function("format_number", scaled, F.lit("0.00")), F.lit(f" {unit}"))
         out = F.when(scaled < 1024, label) if out is None else out.when(scaled < 1024, label)
-    return out.otherwise(F.concat(F.format_number(size / F.lit(float(1024 ** 5)), "0.00"), F.lit(" PB")))
+    return out.otherwise(F.concat(F.call_function("format_number", size / F.lit(float(1024 ** 5)), F.lit("0.00")), F.lit(" PB")))
 
 
 def parse_iso(c: Column | str, fallback: Column) -> Column:

@@ -15,7 +15,7 @@ _WORDS = r"list_filter(string_split(regexp_replace({c}, '[\s\p{{Z}}]+', ' ', 'g'
 
 def sql_title(c: str) -> str:
     return (f"coalesce(list_aggregate(list_transform(regexp_extract_all({c}, '\\p{{L}}+|[^\\p{{L}}]+'), "
-            f"lambda r: upper(r[1]) || lower(r[2:])), 'string_agg', ''), '')")
+            f"lambda r: CASE WHEN r[1] = 'ß' THEN 'Ss' ELSE upper(r[1]) END || lower(r[2:])), 'string_agg', ''), '')")
 
 
 def sql_fold(c: str) -> str:

@@ -60,6 +60,34 @@ SQL_VIEWS = {
 }
 
 
+PLATFORMS = ["Lazada", "Shopee", "Tiki", "Sendo", "FPTShop", "CellphoneS", "Other"]
+PAYMENTS = ["COD", "MoMo", "ZaloPay", "VNPay", "Banking", "Card"]
+SHIPPING = ["Standard", "Express", "Same_Day", "Drone"]
+STATUSES = ["Pending", "Confirmed", "Shipped", "Delivered", "Cancelled", "Lost"]
+
+
+def _sql_pick(values, number):
+    return "[" + ", ".join(f"'{v}'" for v in values) + f"][1 + ({number}) % {len(values)}]"
+
+
+SQL_VIEWS["sev"] = f"""SELECT order_id * 10 + line_number AS event_id, order_id, customer_id, product_id,
+    {_sql_pick(PLATFORMS, 'seller_id')} AS platform, quantity::INTEGER AS quantity,
+    floor(item_total::DOUBLE / quantity::DOUBLE)::BIGINT AS unit_price_vnd,
+    floor(item_total::DOUBLE / quantity::DOUBLE) / 24000 AS unit_price_usd, floor(item_total)::BIGINT AS total_amount_vnd,
+    floor(item_total)::BIGINT / 24000.0::DOUBLE AS total_amount_usd, floor(item_total * discount)::BIGINT AS discount_amount_vnd,
+    floor(item_total * tax)::BIGINT AS tax_amount_vnd, (CASE WHEN line_number % 3 = 0 THEN 0 ELSE 30000 END)::BIGINT AS shipping_fee_vnd,
+    {_sql_pick(PAYMENTS, 'order_id')} AS payment_method, {_sql_pick(SHIPPING, 'line_number')} AS shipping_method,
+    {_sql_pick(STATUSES, 'order_id // 6')} AS order_status, order_id % 6 = 0 AS is_cod,
+    (month(order_date) * 100 + day(order_date)) BETWEEN 120 AND 220 AS is_tet_order,
+    (month(order_date) * 100 + day(order_date)) IN (909, 1010, 1111, 1212) AS is_festival_order, city AS shipping_province,
+    region AS shipping_region, ship_date AS event_timestamp, order_date AS order_timestamp
+    FROM itm JOIN ord USING (order_id) JOIN cst USING (customer_id)"""
+
+
+def pick(values, number) -> F.Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (number % len(values) + 1).cast("int"))
+
+
 def money(column) -> F.Column:
     return (F.col(column) if isinstance(column, str) else column).cast("decimal(18,2)")
 
@@ -158,3 +186,24 @@ class Tables:
     def sales(self) -> DataFrame:
         """Order lines with their order's customer, date and status."""
         return self.itm.join(self.ord, "order_id")
+
+    @cached_property
+    def sev(self) -> DataFrame:
+        """Sales events, one per order line."""
+        md = F.month("order_date") * 100 + F.dayofmonth("order_date")
+        unit = F.floor(F.col("item_total").cast("double") / F.col("quantity").cast("double"))
+        total = F.floor("item_total").cast("bigint")
+        rows = self.sales.join(self.cst.select("customer_id", "city", "region"), "customer_id")
+        return rows.select(
+            (F.col("order_id") * 10 + F.col("line_number")).alias("event_id"), "order_id", "customer_id", "product_id",
+            pick(PLATFORMS, F.col("seller_id")).alias("platform"), F.col("quantity").cast("int").alias("quantity"),
+            unit.alias("unit_price_vnd"), (unit.cast("double") / 24000).alias("unit_price_usd"), total.alias("total_amount_vnd"),
+            (total.cast("double") / 24000).alias("total_amount_usd"),
+            F.floor(F.col("item_total") * F.col("discount")).cast("bigint").alias("discount_amount_vnd"),
+            F.floor(F.col("item_total") * F.col("tax")).cast("bigint").alias("tax_amount_vnd"),
+            F.when(F.col("line_number") % 3 == 0, 0).otherwise(30000).cast("bigint").alias("shipping_fee_vnd"),
+            pick(PAYMENTS, F.col("order_id")).alias("payment_method"), pick(SHIPPING, F.col("line_number")).alias("shipping_method"),
+            pick(STATUSES, F.floor(F.col("order_id") / 6)).alias("order_status"), (F.col("order_id") % 6 == 0).alias("is_cod"),
+            md.between(120, 220).alias("is_tet_order"), md.isin(909, 1010, 1111, 1212).alias("is_festival_order"),
+            F.col("city").alias("shipping_province"), F.col("region").alias("shipping_region"),
+            F.col("ship_date").alias("event_timestamp"), F.col("order_date").alias("order_timestamp"))
