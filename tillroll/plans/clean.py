@@ -204,7 +204,7 @@ def _(t):
 @plan("p15_product_measures", f"""WITH {_RAWP}, z AS (SELECT *, coalesce(product_weight_g, 0) AS w FROM rawp) SELECT product_id,
   coalesce(product_length_cm, 0) * coalesce(product_height_cm, 0) * coalesce(product_width_cm, 0) AS product_volume_cm3,
   CASE WHEN w <= 0 THEN NULL WHEN w <= 100 THEN 'Very Light' WHEN w <= 500 THEN 'Light' WHEN w <= 1000 THEN 'Medium' WHEN w <= 5000 THEN 'Heavy' ELSE 'Very Heavy' END AS weight_category,
-  round((product_photos_qty * 30 * 1000 + product_description_length * 40 + product_name_length * 300)::DECIMAL(18,0) / 100000, 2)::DOUBLE AS product_quality_score FROM z""")
+  (product_photos_qty * 30000 + product_description_length * 40 + product_name_length * 300 + 500) // 1000 / 100.0::DOUBLE AS product_quality_score FROM z""")
 def _(t):
     return C.product_measures(_raw_products(t)).select("product_id", "product_volume_cm3", "weight_category", "product_quality_score")
 
