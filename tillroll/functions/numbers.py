@@ -37,9 +37,11 @@ def pct(top: Column, bottom: Column, default: float | None = None) -> Column:
     return ratio(top.cast("double") * 100, bottom, default)
 
 
-def scalar_of(df, column: str) -> Column:
-    """The single value of a one-row frame as a scalar subquery: no cross join in the plan."""
-    return df.select(column).scalar()
+def pct2(top: Column, bottom: Column) -> Column:
+    """Percentage of two counts rounded half-up to two decimals on the exact quotient; 0 without rows."""
+    exact = F.try_divide(top.cast("decimal(20,0)") * 100, bottom.cast("decimal(20,0)"))
+    return F.coalesce(F.round(exact, 2).cast("double"), F.lit(0.0))
+
 
 
 def ladder(value: Column, steps: list[tuple[object, str]], default: str | None) -> Column:
