@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from tillroll.functions.numbers import davg, dsum, money_avg, pct, ratio
 from tillroll.operators.ordering import quantiles
 
-DAY = F.to_date("order_date")
+def order_day() -> Column:
+    return F.to_date("order_date")
 
 
 def sales_kpis(orders: DataFrame) -> DataFrame:
@@ -35,7 +36,7 @@ def mean_order_value(items: DataFrame) -> DataFrame:
 
 def daily_sales(orders: DataFrame, finished: str = "F") -> DataFrame:
     """A-03: orders, revenue, AOV, customers and finished / open orders per day."""
-    return orders.groupBy(DAY.alias("day")).agg(
+    return orders.groupBy(order_day().alias("day")).agg(
         F.count("*").alias("orders"), dsum("total_amount").alias("revenue"),
         money_avg("total_amount").alias("avg_order_value"),
         F.countDistinct("customer_id").alias("customers"),
@@ -210,7 +211,7 @@ def daily_summary(orders: DataFrame, products: DataFrame, customers: DataFrame,
         return df.agg(F.count("*").alias("total_count"), value.alias("total_value"), mean.alias("average_value"),
                       F.countDistinct(distinct).alias("distinct_n")).withColumn("metric", F.lit(name))
     zero = F.lit(0.0)
-    out = block(orders.where(DAY == F.lit(day).cast("date")), "orders",
+    out = block(orders.where(order_day() == F.lit(day).cast("date")), "orders",
                 F.coalesce(dsum("total_amount"), zero), F.coalesce(davg("total_amount"), zero), "customer_id")
     out = out.unionByName(block(products, "products", davg("price"), davg("stock_quantity"), "category"))
     out = out.unionByName(block(customers, "customers", zero, zero, "region"))
@@ -260,7 +261,7 @@ def product_performance(products: DataFrame, items: DataFrame, by: Sequence[str]
 def sales_trend(orders: DataFrame, items: DataFrame) -> DataFrame:
     """A-24: by date, hour and weekday (Sunday = 0); counts are per item, as in the source report."""
     rows = orders.join(items.select("order_id", "product_id"), "order_id")
-    return rows.groupBy(DAY.alias("day"), F.hour("order_date").alias("hour_of_day"),
+    return rows.groupBy(order_day().alias("day"), F.hour("order_date").alias("hour_of_day"),
                         (F.dayofweek("order_date") - 1).alias("day_of_week")).agg(
         F.count("*").alias("order_count"), dsum("total_amount").alias("revenue"),
         davg("total_amount").alias("avg_order_value"), F.countDistinct("customer_id").alias("customers"),
@@ -366,8 +367,8 @@ def daily_aggregate(orders: DataFrame, items: DataFrame, customers: DataFrame, p
         F.sum(F.col("item_total") * F.col("tax")).alias("tax"), F.count("*").alias("lines"))
     rows = orders.join(per_order, "order_id", "left").join(first, "customer_id").join(
         customers.select("customer_id", place), "customer_id")
-    new = F.col("first_day") == DAY
-    out = rows.groupBy(DAY.alias("day"), platform, place).agg(
+    new = F.col("first_day") == order_day()
+    out = rows.groupBy(order_day().alias("day"), platform, place).agg(
         F.count("*").alias("orders"), F.countDistinct("customer_id").alias("customers"),
         F.countDistinct(F.when(new, F.col("customer_id"))).alias("new_customers"),
         dsum("total_amount").alias("gross"), F.coalesce(dsum("disc"), F.lit(0.0)).alias("discount"),

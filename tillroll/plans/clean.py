@@ -10,8 +10,12 @@ from tillroll.plans.functions import sql_fold, sql_title
 from tillroll.plans.registry import plan
 from tillroll.plans.tables import AS_OF, pick
 
-NOW = F.lit(AS_OF).cast("timestamp_ntz")
-TODAY = F.lit(AS_OF[:10]).cast("date")
+def now():
+    return F.lit(AS_OF).cast("timestamp_ntz")
+
+
+def today():
+    return F.lit(AS_OF[:10]).cast("date")
 
 
 def _case(value, table, default):
@@ -27,7 +31,7 @@ def _case(value, table, default):
   order_status AS order_status_english, {_case('order_status', C.STATUS_VI, "'Đang xử lý'")} AS order_status_vietnamese, is_tet_order, is_festival_order,
   FALSE AS applied_vietnam_promotion, shipping_province, shipping_region, order_timestamp, event_timestamp AS created_at, TIMESTAMP '{AS_OF}' AS updated_at FROM sev""")
 def _(t):
-    return C.sales_fact(t.sev, NOW)
+    return C.sales_fact(t.sev, now())
 
 
 def _customer_events(t):
@@ -51,7 +55,7 @@ def _customer_events(t):
   ['web', 'ios'][1 + customer_id % 2] AS preferred_device, DATE '{AS_OF[:10]}' AS effective_date, NULL::DATE AS expiry_date, TRUE AS is_current,
   TIMESTAMP '1999-05-01 10:00:00' AS created_at, TIMESTAMP '{AS_OF}' AS updated_at FROM cst""")
 def _(t):
-    return C.customer_row(_customer_events(t), TODAY, NOW)
+    return C.customer_row(_customer_events(t), today(), now())
 
 
 def _product_events(t):
@@ -70,7 +74,7 @@ def _product_events(t):
   NULL::DATE AS expiry_date, TRUE AS is_current, 'kafka_streaming' AS data_source, TIMESTAMP '1999-05-01 10:00:00' AS created_at,
   TIMESTAMP '{AS_OF}' AS updated_at FROM prd""")
 def _(t):
-    return C.product_row(_product_events(t), TODAY, NOW).withColumn("platform_availability", F.array_join("platform_availability", ","))
+    return C.product_row(_product_events(t), today(), now()).withColumn("platform_availability", F.array_join("platform_availability", ","))
 
 
 @plan("p04_sale_pricing", """SELECT event_id, (CASE WHEN q > 0 THEN unit_price_vnd - floor(discount_amount_vnd / q)::BIGINT ELSE unit_price_vnd END) AS final_price_vnd,
@@ -401,7 +405,7 @@ def _(t):
   CASE WHEN event_id % 9 = 0 THEN TIMESTAMP '{AS_OF}' ELSE event_timestamp END AS timestamp FROM sev""")
 def _(t):
     ev = t.sev.withColumn("event_timestamp", F.when(F.col("event_id") % 9 != 0, F.col("event_timestamp")))
-    return C.shape_message(ev, "sales", NOW).withColumn("device_type", F.col("device_type").cast("string"))
+    return C.shape_message(ev, "sales", now()).withColumn("device_type", F.col("device_type").cast("string"))
 
 
 @plan("p34_message_filter", """SELECT event_id, platform, payment_method FROM sev WHERE platform IN ('Tiki', 'Shopee') AND is_cod""")
