@@ -151,9 +151,12 @@ def hashtags(c: Column | str) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    """Word n-grams of an array."""
-    idx = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1)))
-    return F.coalesce(F.transform(idx, lambda i: F.array_join(F.slice(tokens, i, n), " ")), F.array().cast("array<string>"))
+    """Word n-grams of an array column: the tokens zipped with themselves shifted by one, n - 1 times."""
+    out = tokens
+    for shift in range(1, n):
+        rest = F.slice(tokens, shift + 1, F.greatest(F.size(tokens) - shift, F.lit(0)))
+        out = F.zip_with(F.slice(out, 1, F.size(rest)), rest, lambda a, b: F.concat(a, F.lit(" "), b))
+    return out
 
 
 def keyword_hits(text: Column, keywords: Sequence[str]) -> Column:

@@ -15,6 +15,7 @@ from tillroll.functions.numbers import pct
 from tillroll.operators.load import newest_per_key
 from tillroll.operators.ordering import mode_value, quantiles
 from tillroll.operators.windows import fixed_bins
+from tillroll.session import pin
 
 # Code tables of the source system.
 PAYMENT_VI = {"COD": "Thanh toán khi nhận hàng", "MoMo": "Ví MoMo", "ZaloPay": "Ví ZaloPay", "VNPay": "Ví VNPay",
@@ -311,7 +312,7 @@ def fill_missing(df: DataFrame) -> DataFrame:
             when = F.timestamp_micros(F.try_element_at("_median", F.lit(c)).cast("bigint"))
             fills[c] = F.coalesce(F.col(c), when.cast(df.schema[c].dataType))
     for c in strings:
-        mode = mode_value(df, c).select("mode").scalar()
+        mode = mode_value(df.select(c), c).select("mode").scalar()
         fills[c] = F.coalesce(F.col(c), mode, F.lit("Unknown"))
     return out.withColumns(fills).select(*df.columns)
 
@@ -379,9 +380,11 @@ def repair_rules(df: DataFrame) -> DataFrame:
 
 def cleaning_steps(df: DataFrame, key: str = "product_id", date: str = "scraped_date") -> dict[str, DataFrame]:
     """P-28: the chain, step by step: duplicates, types, text, missing values, outliers, rules."""
-    unique = df.dropDuplicates()
-    if key in df.columns and date in df.columns:
-        unique = newest_per_key(unique, [key], [date, *[c for c in df.columns if c not in (key, date)]])
+    if key in df.columns and date in df.columns:  # the newest row per key also drops exact copies
+        unique = newest_per_key(df, [key], [date, *[c for c in df.columns if c not in (key, date)]])
+    else:
+        unique = df.dropDuplicates()
+    unique = pin(unique)  # four later steps read it; without this each would repeat the scan and the dedupe
     typed = repair_types(unique)
     texted = clean_strings(typed)
     filled = fill_missing(texted)

@@ -85,8 +85,8 @@ def explode_phrases(df: DataFrame, text: str, keep: Sequence[str], sizes: Sequen
     """
     rows = df.select(*keep, X.words(text).alias("_tokens"))
     grams = F.concat(*[X.ngrams(F.col("_tokens"), n) for n in sizes])
-    phrases = F.array_distinct(F.filter(grams, lambda g: F.length(g) <= longest))
-    return rows.select(*keep, F.explode_outer(phrases).alias("phrase")).where("phrase IS NOT NULL")
+    phrases = rows.select(*keep, F.explode_outer(F.array_distinct(grams)).alias("phrase"))
+    return phrases.where(F.length("phrase") <= longest)
 
 
 def analyse(feedback: DataFrame, clv: DataFrame, lexicon: Mapping[str, float] = LEXICON) -> DataFrame:

@@ -147,16 +147,20 @@ def enrich_stream(stream: DataFrame, dims: Mapping[str, DataFrame]) -> DataFrame
     return out
 
 
-def group_stats_back(df: DataFrame, by: str, value: str, how: str = "left") -> DataFrame:
+def group_stats_back(df: DataFrame, by: str, value: str, how: str = "left", extra: Mapping[str, float] | None = None,
+                     source: DataFrame | None = None) -> DataFrame:
     """J-18, W-08: group mean, median, std and count on every row, and the row's ratio to them.
 
     Statistics are computed per group and joined back, not by a window, so a hot group is never sorted
-    in one task. ``how="inner"`` drops rows with a null group as a pandas merge would.
+    in one task. ``extra`` names further quantiles; ``source`` holds the same
+    values in a frame that is cheaper to read. ``how="inner"`` drops rows with a null group as a pandas merge would.
     """
-    rows = df.where(F.col(by).isNotNull())
+    rows = (df if source is None else source).where(F.col(by).isNotNull())
     g = rows.groupBy(by).agg(davg(value).alias(f"{value}_mean"), F.count(value).alias(f"{value}_count"),
                              F.round(F.stddev_samp(F.col(value).cast("double")), 4).alias(f"{value}_std"))
-    q = quantiles(rows, [value], [0.5], [by]).select(by, F.col("q0").alias(f"{value}_median"))
+    extra = extra or {}
+    q = quantiles(rows, [value], [0.5, *extra.values()], [by]).select(
+        by, F.col("q0").alias(f"{value}_median"), *[F.col(f"q{i + 1}").alias(n) for i, n in enumerate(extra)])
     out = df.join(g.join(q, by, "left"), by, how)
     return out.withColumn(f"{value}_vs_mean", ratio(F.col(value), F.col(f"{value}_mean"))).withColumn(
         f"{value}_vs_median", ratio(F.col(value), F.col(f"{value}_median"))).withColumn(

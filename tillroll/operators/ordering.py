@@ -109,9 +109,13 @@ def value_positions(df: DataFrame, value: str, keys: Sequence[str] = ()) -> Data
     return out.withColumn("before", F.col("_upto") - F.col("cnt")).drop("_upto")
 
 
-def rank_by_value(df: DataFrame, value: str, keys: Sequence[str] = (), descending: bool = False) -> DataFrame:
-    """Adds ``rank`` (ties share the lowest), ``percent_rank_avg`` (average ties, 0..1]) per ``keys``."""
-    places = value_positions(df, value, keys)
+def rank_by_value(df: DataFrame, value: str, keys: Sequence[str] = (), descending: bool = False,
+                  source: DataFrame | None = None) -> DataFrame:
+    """Adds ``rank`` (ties share the lowest), ``percent_rank_avg`` (average ties, 0..1]) per ``keys``.
+
+    ``source`` holds the same values in a frame that is cheaper to read again than ``df``.
+    """
+    places = value_positions(df if source is None else source, value, keys)
     first = (F.col("total") - F.col("before") - F.col("cnt")) if descending else F.col("before")
     places = places.select(
         *keys, value, (first + 1).alias("rank"),

@@ -17,7 +17,7 @@ from tillroll.functions.numbers import davg, dsum, money_avg, pct
 from tillroll.operators.joins import group_stats_back, previous_day
 from tillroll.operators.ordering import number_rows
 from tillroll.operators.sales import sales_kpis
-from tillroll.operators.windows import above_quantile, fixed_bins, percent_rank, rank_by_value, value_bins, width_bins
+from tillroll.operators.windows import fixed_bins, percent_rank, rank_by_value, value_bins, width_bins
 
 # Look-back of each timeframe.
 TIMEFRAMES = {"hour": "1 HOUR", "day": "1 DAY", "week": "7 DAY", "month": "1 MONTH", "quarter": "3 MONTH", "year": "1 YEAR"}
@@ -326,18 +326,18 @@ def product_features(products: DataFrame) -> DataFrame:
     Rows with a null category stay (left join); quantiles and ranks are exact and run as range-partitioned
     jobs, so a category holding a third of the products is no hot task.
     """
-    out = percent_rank(products, "price", name="price_percentile")
-    out = percent_rank(out, "price", ["category"], "price_rank_in_category")
-    out = value_bins(out, "price", "price_category", ["Very Low", "Low", "Medium", "High", "Very High"])
-    out = group_stats_back(out, "category", "price")
-    rating = out.groupBy("category").agg(davg("rating").alias("category_rating_mean"))
-    out = out.join(rating, "category", "left")
-    whole = products.agg(F.count("*").alias("n")).scalar()
-    share = products.where("category IS NOT NULL").groupBy("category").agg((F.count("*") / whole).alias("category_market_share"))
-    brands = products.groupBy("brand").agg(F.count("*").alias("brand_product_count"))
-    out = out.join(share, "category", "left").join(brands, "brand", "left")
-    out = value_bins(out, "brand_product_count", "brand_size_category", ["Small", "Medium", "Large"])
-    out = above_quantile(out, "price", "category", 0.75, "is_premium_in_category")
+    base = products.select("category", "brand", "price", "rating")  # every statistic reads this, not the growing frame
+    out = percent_rank(products, "price", name="price_percentile", source=base)
+    out = percent_rank(out, "price", ["category"], "price_rank_in_category", source=base)
+    out = value_bins(out, "price", "price_category", ["Very Low", "Low", "Medium", "High", "Very High"], source=base)
+    out = group_stats_back(out, "category", "price", extra={"price_q75": 0.75}, source=base)
+    whole = base.agg(F.count("*").alias("n")).scalar()
+    per_category = base.where("category IS NOT NULL").groupBy("category").agg(
+        davg("rating").alias("category_rating_mean"), (F.count("*") / whole).alias("category_market_share"))
+    brands = base.groupBy("brand").agg(F.count("*").alias("brand_product_count"))
+    out = out.join(per_category, "category", "left").join(brands, "brand", "left")
+    out = value_bins(out, "brand_product_count", "brand_size_category", ["Small", "Medium", "Large"], source=base.join(brands, "brand"))
+    out = out.withColumn("is_premium_in_category", (F.col("price").cast("double") > F.col("price_q75")).cast("int")).drop("price_q75")
     log_price, r = F.log1p(F.col("price").cast("double")), F.col("rating")
     return out.withColumns({
         "log_price": F.round(log_price, 6), "rating_tier": fixed_bins(r, [0.0, 2.0, 3.0, 4.0, 4.5, 5.0], ["Poor", "Fair", "Good", "Very Good", "Excellent"]),

@@ -208,27 +208,32 @@ CONTRACTS = {
         "phone": Field(nullable=True, max_length=20), "country": Field(max_length=100), "state": Field(nullable=True, max_length=100),
         "city": Field(nullable=True, max_length=100), "marketing_consent": Field("boolean")}),
 }
-_TYPES = {"string": '^"', "integer": r"^-?[0-9]+(\.0+)?$", "number": r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$", "boolean": "^(true|false)$"}
+def _type_ok(kind: str, schema: Column, text: Column) -> Column:
+    number = schema.rlike("^(BIGINT|DECIMAL|DOUBLE)")
+    return {"string": schema == "STRING", "boolean": schema == "BOOLEAN", "number": number,
+            "integer": number & (text.try_cast("double") == F.floor(text.try_cast("double")))}[kind]
 
 
-def contract_errors(json_text: str, contract: Contract) -> Column:
-    """Q-09: errors ``kind:field`` of a JSON text column under a contract.
+def check_contract(df: DataFrame, json_text: str, contract: Contract) -> DataFrame:
+    """Q-09: adds ``errors`` (``kind:field``), ``warnings`` and ``is_valid`` for a JSON text column.
 
-    Values keep their JSON form through a variant, so ``"5"`` and ``5`` differ as the contract demands.
+    The text is parsed once to a variant, which keeps the JSON types: ``"5"`` and ``5`` differ as the
+    contract demands. strict: everything is an error; moderate: only malformed, required, type and range;
+    lenient: only malformed and range (required and type become warnings, the rest is ignored).
     """
-    doc = F.col("_doc")
-    keys = F.json_object_keys(F.col(json_text))
-    tests = [F.when(doc.isNull() | keys.isNull(), "malformed")]
-    for name in contract.required:
-        tests.append(F.when(~F.array_contains(keys, name), f"required:{name}"))
-    for name, f in contract.fields.items():
-        raw = F.to_json(F.try_variant_get(doc, f"$.{name}", "variant"))
-        text = F.get_json_object(json_text, f"$.{name}")
-        there = F.array_contains(keys, name)
-        is_null = raw.isNull() | (raw == "null")
-        typed = raw.rlike(_TYPES[f.type]) & ~is_null
-        tests.append(F.when(there & ~(F.lit(f.nullable) & is_null) & ~F.coalesce(typed, F.lit(False)), f"type:{name}"))
-        ok = there & F.coalesce(typed, F.lit(False))
+    rows = df.withColumns({"_doc": F.try_parse_json(json_text), "_keys": F.json_object_keys(json_text)})
+    wanted = [*contract.fields, *[n for n in contract.ranges if n not in contract.fields]]
+    value = lambda n, kind: F.try_variant_get("_doc", f"$.{n}", kind)
+    rows = rows.withColumns({f"_f{i}": F.struct(F.array_contains("_keys", n).alias("there"), F.schema_of_variant(value(n, "variant")).alias("kind"), value(n, "string").alias("text"))
+                             for i, n in enumerate(wanted)})
+    tests = [F.when(F.col("_doc").isNull() | F.col("_keys").isNull(), "malformed")]
+    tests += [F.when(~F.array_contains("_keys", n), f"required:{n}") for n in contract.required]
+    for i, (name, f) in enumerate(contract.fields.items()):
+        there, kind, text = (F.col(f"_f{i}")[p] for p in ("there", "kind", "text"))
+        fits = F.coalesce(_type_ok(f.type, kind, text), F.lit(False))
+        blank = F.coalesce(kind == "VOID", F.lit(True))
+        tests.append(F.when(there & ~fits & ~(F.lit(f.nullable) & blank), f"type:{name}"))
+        ok = there & fits
         if f.pattern:
             tests.append(F.when(ok & ~text.rlike(f.pattern), f"pattern:{name}"))
         if f.minimum is not None:
@@ -239,34 +244,28 @@ def contract_errors(json_text: str, contract: Contract) -> Column:
             tests.append(F.when(ok & (F.length(text) < f.min_length), f"minLength:{name}"))
         if f.max_length is not None:
             tests.append(F.when(ok & (F.length(text) > f.max_length), f"maxLength:{name}"))
+    for name, (low, high) in contract.ranges.items():
+        v = F.col(f"_f{wanted.index(name)}")["text"].try_cast("double")
+        out = F.lit(False)
+        if low is not None:
+            out = out | F.coalesce(v < low, F.lit(False))
+        if high is not None:
+            out = out | F.coalesce(v > high, F.lit(False))
+        tests.append(F.when(out, f"range:{name}"))
     found = F.array_compact(F.array(*tests))
     if not contract.additional:
-        extra = F.transform(F.array_except(keys, F.array(*[F.lit(n) for n in contract.fields])), lambda n: F.concat(F.lit("additional:"), n))
+        extra = F.transform(F.array_except("_keys", F.array(*[F.lit(n) for n in contract.fields])), lambda n: F.concat(F.lit("additional:"), n))
         found = F.concat(found, F.coalesce(extra, F.array().cast("array<string>")))
-    for name, (low, high) in contract.ranges.items():
-        v = F.get_json_object(json_text, f"$.{name}").try_cast("double")
-        out = F.coalesce((v < low) if low is not None else F.lit(False), F.lit(False)) | F.coalesce((v > high) if high is not None else F.lit(False), F.lit(False))
-        found = F.concat(found, F.when(out, F.array(F.lit(f"range:{name}"))).otherwise(F.array().cast("array<string>")))
-    return found
-
-
-def check_contract(df: DataFrame, json_text: str, contract: Contract) -> DataFrame:
-    """Q-09: adds ``errors``, ``warnings`` and ``is_valid``.
-
-    strict: everything is an error; moderate: only malformed, required, type and range; lenient: only
-    malformed and range (required and type become warnings, the rest is ignored).
-    """
-    found = df.withColumn("_doc", F.try_parse_json(json_text)).withColumn("_found", contract_errors(json_text, contract))
-    kind = lambda e: F.split(e, ":")[0]
+    rows = rows.withColumn("_found", found)
+    kind_of = lambda e: F.split(e, ":")[0]
     hard = {"strict": None, "moderate": ["malformed", "required", "type", "range"], "lenient": ["malformed", "range"]}[contract.level]
     if hard is None:
         errors, warnings = F.col("_found"), F.array().cast("array<string>")
     else:
-        errors = F.filter("_found", lambda e: kind(e).isin(hard))
-        soft = F.filter("_found", lambda e: ~kind(e).isin(hard))
-        warnings = soft if contract.level == "moderate" else F.filter("_found", lambda e: kind(e).isin("required", "type"))
-    out = df.columns
-    return found.select(*out, errors.alias("errors"), warnings.alias("warnings")).withColumn("is_valid", F.size("errors") == 0)
+        errors = F.filter("_found", lambda e: kind_of(e).isin(hard))
+        soft = F.filter("_found", lambda e: ~kind_of(e).isin(hard))
+        warnings = soft if contract.level == "moderate" else F.filter("_found", lambda e: kind_of(e).isin("required", "type"))
+    return rows.select(*df.columns, errors.alias("errors"), warnings.alias("warnings")).withColumn("is_valid", F.size("errors") == 0)
 
 
 def z_anomalies(df: DataFrame, columns: Sequence[str], z: float = 3.0) -> DataFrame:

@@ -74,10 +74,15 @@ def distribution(df: DataFrame, by: str, value: str | None = None) -> DataFrame:
 
 
 def group_performance(items: DataFrame, orders: DataFrame, side: DataFrame, on: str, by: str) -> DataFrame:
-    """A-07: revenue, orders, AOV, unique customers, revenue per customer for a category or a place."""
+    """A-07: revenue, orders, AOV, unique customers, revenue per customer for a category or a place.
+
+    Folded per order, then per customer, then per group: the distinct counts become row counts, and no
+    row is expanded once per distinct aggregate.
+    """
     rows = items.join(orders.select("order_id", "customer_id"), "order_id").join(side.select(on, by), on)
-    out = rows.groupBy(by).agg(F.countDistinct("order_id").alias("orders"), dsum("item_total").alias("revenue"),
-                               F.countDistinct("customer_id").alias("unique_customers"))
+    per_order = rows.groupBy(by, "order_id", "customer_id").agg(F.sum("item_total").alias("v"))
+    per_customer = per_order.groupBy(by, "customer_id").agg(F.count("*").alias("n"), F.sum("v").alias("v"))
+    out = per_customer.groupBy(by).agg(F.sum("n").alias("orders"), dsum("v").alias("revenue"), F.count("*").alias("unique_customers"))
     return out.select("*", ratio(F.col("revenue"), F.col("orders")).alias("avg_order_value"),
                       ratio(F.col("revenue"), F.col("unique_customers")).alias("revenue_per_customer"))
 
@@ -226,10 +231,10 @@ def customer_insights(customers: DataFrame, orders: DataFrame, items: DataFrame,
     """
     who = customers.select("customer_id", place, "customer_segment")
     keys = [place, "customer_segment"]
-    o = who.join(orders, "customer_id", "left").groupBy(*keys).agg(
-        F.countDistinct("customer_id").alias("customer_count"), F.count("order_id").alias("total_orders"),
-        F.coalesce(dsum("total_amount"), F.lit(0.0)).alias("total_revenue"),
-        F.coalesce(davg("total_amount"), F.lit(0.0)).alias("avg_order_value"))
+    per = orders.groupBy("customer_id").agg(F.count("*").alias("n"), F.sum("total_amount").alias("v"))
+    o = who.join(per, "customer_id", "left").groupBy(*keys).agg(
+        F.count("*").alias("customer_count"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_orders"),
+        F.coalesce(dsum("v"), F.lit(0.0)).alias("total_revenue"), ratio(F.sum("v"), F.sum("n"), 0).alias("avg_order_value"))
     i = (items.select("order_id", "product_id").join(orders.select("order_id", "customer_id"), "order_id")
          .join(who, "customer_id").groupBy(*keys).agg(F.countDistinct("product_id").alias("unique_products")))
     out = o.join(i, keys, "left")
@@ -367,10 +372,11 @@ def daily_aggregate(orders: DataFrame, items: DataFrame, customers: DataFrame, p
         F.sum(F.col("item_total") * F.col("tax")).alias("tax"), F.count("*").alias("lines"))
     rows = orders.join(per_order, "order_id", "left").join(first, "customer_id").join(
         customers.select("customer_id", place), "customer_id")
-    new = F.col("first_day") == order_day()
-    out = rows.groupBy(order_day().alias("day"), platform, place).agg(
-        F.count("*").alias("orders"), F.countDistinct("customer_id").alias("customers"),
-        F.countDistinct(F.when(new, F.col("customer_id"))).alias("new_customers"),
+    per = rows.groupBy(order_day().alias("day"), platform, place, "customer_id").agg(
+        F.count("*").alias("n"), F.max(F.col("first_day") == order_day()).alias("new"),
+        *[F.sum(c).alias(c) for c in ("total_amount", "units", "disc", "tax", "lines")])
+    out = per.groupBy("day", platform, place).agg(
+        F.sum("n").alias("orders"), F.count("*").alias("customers"), F.count_if("new").alias("new_customers"),
         dsum("total_amount").alias("gross"), F.coalesce(dsum("disc"), F.lit(0.0)).alias("discount"),
         F.coalesce(dsum("tax"), F.lit(0.0)).alias("tax"), F.coalesce(dsum("units"), F.lit(0.0)).alias("units"),
         F.coalesce(F.sum("lines"), F.lit(0)).alias("lines"))

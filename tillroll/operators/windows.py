@@ -34,10 +34,13 @@ def rank_quintile(df: DataFrame, value: str, key: str, name: str, bins: int = 5,
     return rows.withColumn(name, (F.lit(bins + 1) - bin_no) if reverse else bin_no).drop("_rn", "_n")
 
 
-def value_bins(df: DataFrame, value: str, name: str, labels: Sequence[object]) -> DataFrame:
-    """W-16: equal-count bins of the value: exact interpolated edges, right-closed, equal edges merged."""
+def value_bins(df: DataFrame, value: str, name: str, labels: Sequence[object], source: DataFrame | None = None) -> DataFrame:
+    """W-16: equal-count bins of the value: exact interpolated edges, right-closed, equal edges merged.
+
+    The edges come from ``source`` if given: the same values in a frame that is cheaper to read.
+    """
     probs = [i / len(labels) for i in range(1, len(labels))]
-    edges = quantiles(df, [value], probs).select(
+    edges = quantiles(df if source is None else source, [value], probs).select(
         F.array(*[F.col(f"q{i}") for i in range(len(probs))])).scalar()
     # Counting distinct edges below the value merges equal edges.
     below = F.size(F.array_distinct(F.filter(F.col("_edges"), lambda e: F.col(value).cast("double") > e)))
@@ -85,9 +88,9 @@ def mean_gap(orders: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
         F.count("*").alias("orders"), ratio(F.sum("_gap"), F.count("_gap")).alias("avg_days_to_next"))
 
 
-def percent_rank(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "pct_rank") -> DataFrame:
+def percent_rank(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "pct_rank", source: DataFrame | None = None) -> DataFrame:
     """W-07: rank as a share of the rows, ties averaged."""
-    return rank_by_value(df, value, by).withColumnRenamed("percent_rank_avg", name).drop("rank")
+    return rank_by_value(df, value, by, source=source).withColumnRenamed("percent_rank_avg", name).drop("rank")
 
 
 def above_quantile(df: DataFrame, value: str, by: str, p: float, name: str) -> DataFrame:

@@ -11,6 +11,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillroll.session import spread_small
+
 AS_OF = "2001-08-01 00:00:00"          # newest order date
 EVENTS_AS_OF = "2024-01-31 00:00:00"   # just after the newest event
 FEEDBACK_FROM = "2024-01-01 00:00:00"
@@ -145,7 +147,7 @@ class Tables:
 
     @cached_property
     def fbk(self) -> DataFrame:
-        return self.raw("documents").select(
+        return spread_small(self.raw("documents"), "doc_id").select(
             F.col("doc_id").alias("feedback_id"), "text", "lang", "source",
             (F.col("doc_id") % 97).alias("product_id"), (F.col("doc_id") % 53).alias("customer_id"),
             F.expr(f"TIMESTAMP_NTZ '{FEEDBACK_FROM}' + make_dt_interval(0, cast(doc_id * 7 % 720 as int))")
