@@ -39,11 +39,12 @@ def value_bins(df: DataFrame, value: str, name: str, labels: Sequence[object], s
 
     The edges come from ``source`` if given: the same values in a frame that is cheaper to read.
     """
-    probs = [i / len(labels) for i in range(1, len(labels))]
+    probs = [i / len(labels) for i in range(len(labels))]
     edges = quantiles(df if source is None else source, [value], probs).select(
         F.array(*[F.col(f"q{i}") for i in range(len(probs))])).scalar()
-    # Counting distinct edges below the value merges equal edges.
-    below = F.size(F.array_distinct(F.filter(F.col("_edges"), lambda e: F.col(value).cast("double") > e)))
+    # Counting distinct edges between the minimum and the value merges equal edges.
+    lowest = F.col("_edges")[0]
+    below = F.size(F.array_distinct(F.filter(F.col("_edges"), lambda e: (F.col(value).cast("double") > e) & (e > lowest))))
     out = df.withColumn("_edges", edges)
     label = F.element_at(F.array(*[F.lit(x) for x in labels]), below + 1)
     return out.withColumn(name, F.when(F.col(value).isNotNull(), label)).drop("_edges")

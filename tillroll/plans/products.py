@@ -243,14 +243,14 @@ _PR = """((rank() OVER ({w} ORDER BY price) + (count(*) OVER (PARTITION BY {p}pr
 _FEAT = f"""b AS (SELECT *, (stock_quantity % 11) / 2.0::DOUBLE AS rating FROM prd), e AS (SELECT quantile_cont(price::DOUBLE, [0.2, 0.4, 0.6, 0.8]) AS q FROM b),
   cs AS (SELECT category, sum(price)::DOUBLE / count(*) AS m, count(*) AS n, round(stddev_samp(price::DOUBLE), 4) AS s, quantile_cont(price::DOUBLE, 0.5) AS d, quantile_cont(price::DOUBLE, 0.75) AS q75,
     sum(rating::DECIMAL(18,2))::DOUBLE / count(*) AS rm FROM b GROUP BY 1),
-  bs AS (SELECT brand, count(*) AS bn FROM b GROUP BY 1), be AS (SELECT list_distinct(quantile_cont(bn::DOUBLE, [1/3.0::DOUBLE, 2/3.0::DOUBLE])) AS q3 FROM b JOIN bs USING (brand))"""
+  bs AS (SELECT brand, count(*) AS bn FROM b GROUP BY 1), be AS (SELECT list_distinct(quantile_cont(bn::DOUBLE, [1/3.0::DOUBLE, 2/3.0::DOUBLE])) AS q3, min(bn) AS lo3 FROM b JOIN bs USING (brand))"""
 
 
 @plan("d48_product_features", f"""WITH {_FEAT} SELECT product_id, brand, category, product_name, rating, price::DOUBLE AS price, {_PR.format(w='', p='')} AS price_percentile,
   {_PR.format(w='PARTITION BY category', p='category, ')} AS price_rank_in_category, CASE WHEN price::DOUBLE <= q[1] THEN 'Very Low' WHEN price::DOUBLE <= q[2] THEN 'Low' WHEN price::DOUBLE <= q[3] THEN 'Medium'
   WHEN price::DOUBLE <= q[4] THEN 'High' ELSE 'Very High' END AS price_category, m AS price_mean, n AS price_count, s AS price_std, round(d, 6) AS price_median, price::DOUBLE / m AS price_vs_mean,
   round(price::DOUBLE / d, 6) AS price_vs_median, price::DOUBLE - m AS price_minus_mean, rm AS category_rating_mean, n / (SELECT count(*) FROM b) AS category_market_share, bn AS brand_product_count,
-  ['Small', 'Medium', 'Large'][1 + len(list_filter(q3, lambda x: bn > x))::INTEGER] AS brand_size_category, (price::DOUBLE > q75)::INTEGER AS is_premium_in_category, round(ln(1 + price::DOUBLE), 6) AS log_price,
+  ['Small', 'Medium', 'Large'][1 + len(list_filter(q3, lambda x: bn > x AND x > lo3))::INTEGER] AS brand_size_category, (price::DOUBLE > q75)::INTEGER AS is_premium_in_category, round(ln(1 + price::DOUBLE), 6) AS log_price,
   CASE WHEN rating <= 0 THEN NULL WHEN rating <= 2 THEN 'Poor' WHEN rating <= 3 THEN 'Fair' WHEN rating <= 4 THEN 'Good' WHEN rating <= 4.5 THEN 'Very Good' ELSE 'Excellent' END AS rating_tier,
   rating - rm AS rating_vs_category_avg, price::DOUBLE / (rating + 1) AS price_rating_ratio, round(rating / (ln(1 + price::DOUBLE) + 1), 6) AS value_score, length(product_name)::INTEGER AS name_length,
   len({sql_words('product_name')})::INTEGER AS name_word_count, length(replace(product_name, ' ', ''))::DOUBLE / len({sql_words('product_name')}) AS avg_word_length,

@@ -160,8 +160,8 @@ def _(t):
 
 
 @plan("w16_value_bins_ties", """WITH c AS (SELECT brand, count(*) AS n FROM prd GROUP BY 1), r AS (SELECT product_id, n FROM prd JOIN c USING (brand)),
-  e AS (SELECT list_distinct(quantile_cont(n::DOUBLE, [1/3.0::DOUBLE, 2/3.0::DOUBLE])) AS q FROM r)
-  SELECT product_id, n, ['Small', 'Medium', 'Large'][1 + len(list_filter(q, lambda x: n > x))::INTEGER] AS brand_size FROM r, e""")
+  e AS (SELECT list_distinct(quantile_cont(n::DOUBLE, [1/3.0::DOUBLE, 2/3.0::DOUBLE])) AS q, min(n) AS lo FROM r)
+  SELECT product_id, n, ['Small', 'Medium', 'Large'][1 + len(list_filter(q, lambda x: n > x AND x > lo))::INTEGER] AS brand_size FROM r, e""")
 def _(t):
     n = t.prd.groupBy("brand").agg(F.count("*").alias("n"))
     rows = t.prd.select("product_id", "brand").join(n, "brand").drop("brand")
