@@ -80,8 +80,8 @@ def fit_best(train: DataFrame, test: DataFrame, label: str, candidates: Mapping[
 def balanced_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
     """M-06: weight n / (classes * rows of the class)."""
     g = df.groupBy(label).agg(F.count("*").alias("_n"))
-    totals = g.agg(F.struct(F.sum("_n").alias("n"), F.count("*").alias("k")).alias("t")).scalar()
-    w = g.withColumn("_t", totals).select(label, (F.col("_t.n") / (F.col("_t.k") * F.col("_n"))).alias(name))
+    every = Window.partitionBy(F.lit(1))  # one row per class
+    w = g.select(label, (F.sum("_n").over(every) / (F.count("*").over(every) * F.col("_n"))).alias(name))
     return df.join(w, label)
 
 

@@ -19,7 +19,7 @@ def kafka_raw(spark: SparkSession, servers: str, topic: str, streaming: bool = T
     return reader.options(**{**chosen, **options}).load()
 
 
-def parse_topic(records: DataFrame, schema: StructType, keep_bad: bool = False) -> DataFrame:
+def parse_topic(records: DataFrame, schema: str, keep_bad: bool = False) -> DataFrame:
     """SRC-01: typed rows with the envelope (topic, partition, offset, timestamp).
 
     ``records`` has ``value`` and the envelope columns, from the topic or from any other source. A record
@@ -28,7 +28,7 @@ def parse_topic(records: DataFrame, schema: StructType, keep_bad: bool = False)
     target = schema
     options = {"mode": "PERMISSIVE"}
     if keep_bad:
-        target = StructType([*schema.fields]).add("_corrupt_record", "string")
+        target = f"{schema}, _corrupt_record STRING"
         options["columnNameOfCorruptRecord"] = "_corrupt_record"
     data = F.from_json(F.col("value").cast("string"), target, options)
     envelope = [F.col(c).alias(f"kafka_{c}") for c in ("topic", "partition", "offset", "timestamp") if c in records.columns]

@@ -11,7 +11,6 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
 
 from tillroll.functions.dates import TET_JAN21_FEB20, in_season
 from tillroll.functions.numbers import dsum, ratio
@@ -116,7 +115,7 @@ def split_bad(parsed: DataFrame, required: Sequence[str]) -> tuple[DataFrame, Da
     return rows.where("processing_error IS NULL").drop("processing_error", "_corrupt_record"), rows.where("processing_error IS NOT NULL")
 
 
-def route(records: DataFrame, schemas: Mapping[str, StructType]) -> dict[str, DataFrame]:
+def route(records: DataFrame, schemas: Mapping[str, str]) -> dict[str, DataFrame]:
     """ST-15: one frame per topic, parsed with that topic's schema."""
     from tillroll.sources.readers import parse_topic
     return {topic: parse_topic(records.where(F.col("topic") == topic), schema) for topic, schema in schemas.items()}
