@@ -118,3 +118,12 @@ def test_sessions_of_a_hot_user(spark):
     gap = pdf.groupby("u")["ts"].diff()
     want = (gap.isna() | (gap >= pd.Timedelta(minutes=5))).astype(int).groupby(pdf["u"]).cumsum()
     assert got.tolist() == want.tolist()
+
+
+def test_top_k_beyond_the_group_limit(skewed, monkeypatch):
+    _, df = skewed
+    small = {tuple(r) for r in W.top_k_per_group(df, "g", "id", F.col("v"), 3).select("g", "id", "position").collect()}
+    newest = {tuple(r) for r in W.recent_per_topic(df, "g", "v", "id", 2).select("g", "id").collect()}
+    monkeypatch.setattr(W, "GROUP_LIMIT", 1)
+    assert {tuple(r) for r in W.top_k_per_group(df, "g", "id", F.col("v"), 3).select("g", "id", "position").collect()} == small
+    assert {tuple(r) for r in W.recent_per_topic(df, "g", "v", "id", 2).select("g", "id").collect()} == newest
