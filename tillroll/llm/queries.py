@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import decontaminate, gam_quality, line_rules, nearest_toxic, piece_codec, sql
+from tillroll.llm import chat_events, decontaminate, gam_quality, line_rules, nearest_toxic, page_text, piece_codec, repeats, sql, url_rules
 from tillroll.llm.common import crc_remainder, read, ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,21 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(gam_quality.scored(docs, model), 4, 2, 0.7).select("doc_id", "held_out", "score", "predicted")
 
 
+@query("op3_chat_events", sql.CHAT)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
+    events = rows.unionByName(own).select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.col("turn").alias("target"), "role", "text")
+    return chat_events.digests(chat_events.formatted(chat_events.fold(events)))
+
+
+@query("op4_page_text")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return page_text.extracted(pages, page_text.fit(pages)).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 @query("op5_nearest_toxic")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
@@ -51,6 +66,20 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(nearest_toxic.scored(docs, index), 5, 0, 0.5).select("doc_id", "held_out", "score", "predicted", F.slice("neighbours", 1, 3).alias("evidence"))
 
 
+@query("op6_repeats", sql.REPEATS)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+@query("op7_url_rules")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    return url_rules.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 @query("op8_pieces")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(read(spark, sf_dir, "documents"), piece_model())

@@ -34,3 +34,23 @@ items AS (SELECT r, id AS item_id, count(*) AS n FROM shingles JOIN w USING (r)
 found AS (SELECT d.r, i.r AS ir, count(*) AS n_found FROM shingles i JOIN items ON items.r = i.r JOIN shingles d ON d.s = i.s JOIN w ON w.r = d.r AND w.kind = 'd' GROUP BY d.r, i.r)
 SELECT w.id AS doc_id, item_id, CAST(n AS BIGINT) AS n_item_shingles, CAST(n_found AS BIGINT) AS n_found
 FROM found JOIN items ON items.r = found.ir JOIN w ON w.r = found.r WHERE n_found * 100 >= n * 80"""
+
+CHAT = r"""
+WITH rows_ AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+esc AS (SELECT *, replace(replace(replace(replace(replace(replace(replace(t, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]'), '<<SYS>>', '<\<SYS>>'), '<</SYS>>', '<\</SYS>>') AS et,
+  replace(replace(replace(replace(replace(replace(replace(replace(r, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]'), '<<SYS>>', '<\<SYS>>'), '<</SYS>>', '<\</SYS>>'), chr(10), '\' || chr(10)) AS er FROM rows_)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, r, t)) AS turns_sha256,
+  CAST(coalesce(sum(length(t)) FILTER (WHERE r = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, r, t) FILTER (WHERE r = 'assistant'), '')) AS loss_sha256,
+  CAST(3 + sum(CASE r WHEN 'user' THEN length(et) + 15 WHEN 'assistant' THEN length(et) + 6 ELSE length(er) + 1 + length(et) + 15 END) AS BIGINT) AS formatted_chars
+FROM esc GROUP BY conv_id"""
+
+REPEATS = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT r, doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+stretches AS (SELECT r, doc_id, i, string_agg(x, ' ') OVER o AS s, count(*) OVER o AS n FROM words WINDOW o AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+firsts AS (SELECT s, min(doc_id) AS m FROM stretches WHERE n = 13 GROUP BY s),
+covered AS (SELECT DISTINCT r, unnest(range(i, i + 13)) AS i FROM stretches JOIN firsts USING (s) WHERE n = 13 AND m < doc_id),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS k, count(*) AS n FROM words ANTI JOIN covered USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)"""
