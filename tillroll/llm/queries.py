@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import chat_events, decontaminate, gam_quality, line_rules, nearest_toxic, page_text, piece_codec, repeats, sql, url_rules
+import corpus_pipeline
+from tillroll.llm import chat_events, decontaminate, gam_quality, jaccard_join, line_rules, nearest_toxic, page_text, piece_codec, repeats, sql, url_rules
 from tillroll.llm.common import crc_remainder, read, ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +45,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(gam_quality.scored(docs, model), 4, 2, 0.7).select("doc_id", "held_out", "score", "predicted")
 
 
+@query("op2_jaccard_join", sql.JACCARD)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.joined(read(spark, sf_dir, "documents"), n=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
 @query("op3_chat_events", sql.CHAT)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -94,3 +100,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_decontaminate", sql.DECONTAMINATE)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("row").distinct()
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)

@@ -125,7 +125,8 @@ def _texts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 def _keys(batch: pa.RecordBatch) -> dict:
     key, doc, lo, n = window_keys(*_texts(batch))
-    return {"key": pa.array(key.view(np.int64)), "doc_id": pa.array(batch.column("doc_id").to_numpy(zero_copy_only=False)[doc].astype(np.int64)), "lo": pa.array(lo.astype(np.int32)), "n": pa.array(n.astype(np.int32))}
+    at = pa.array(doc)
+    return {"key": pa.array(key.view(np.int64)), "doc_id": batch.column("doc_id").take(at), "variant": batch.column("variant").take(at), "lo": pa.array(lo.astype(np.int32)), "n": pa.array(n.astype(np.int32))}
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +145,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = np.repeat(shared, last - edge + 1)
         held = None if shared[-1] else t.slice(int(edge[-1]))
         if keep.any():
-            yield from t.filter(pa.array(keep)).select(["doc_id", "lo", "n"]).combine_chunks().to_batches()
+            yield from t.filter(pa.array(keep)).select(["doc_id", "variant", "lo", "n"]).combine_chunks().to_batches()
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,14 +161,13 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, owner = key[-1], first[-1]
         later = doc > np.repeat(first, np.diff(np.append(edge, len(key))))
         if later.any():
-            yield from pa.Table.from_batches([batch]).filter(pa.array(later)).select(["doc_id", "at"]).combine_chunks().to_batches()
+            yield from pa.Table.from_batches([batch]).filter(pa.array(later)).select(["doc_id", "variant", "at"]).combine_chunks().to_batches()
 
 
 def _windows(batch: pa.RecordBatch) -> dict:
     names, sizes = _texts(batch)
     begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     at, doc = [], []
-    ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
     for i, spans in enumerate(batch.column("spans").to_pylist()):
         marked = np.zeros(int(sizes[i]) + 1, np.int64)
         for s in spans:
@@ -178,7 +178,7 @@ def _windows(batch: pa.RecordBatch) -> dict:
         at.append(found)
         doc.append(np.full(len(found), i))
     at, doc = np.concatenate(at), np.concatenate(doc)
-    return {"key": pa.array(named(names, at + begin[doc], WINDOW).view(np.int64) if len(at) else np.empty(0, np.int64)), "doc_id": pa.array(ids[doc].astype(np.int64)), "at": pa.array(at.astype(np.int32))}
+    return {"key": pa.array(named(names, at + begin[doc], WINDOW).view(np.int64) if len(at) else np.empty(0, np.int64)), "doc_id": batch.column("doc_id").take(pa.array(doc)), "variant": batch.column("variant").take(pa.array(doc)), "at": pa.array(at.astype(np.int32))}
 
 
 def _release(df: DataFrame) -> None:
@@ -191,21 +191,31 @@ def _digest() -> Column:
     return F.md5(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), SPACE, " ")))
 
 
-def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(digest, first): words held by several rows and their smallest id; (doc_id, places): starts of repeated windows, whole copies left out. Both written."""
+def _variant(rows: DataFrame, mixed: DataFrame | None) -> DataFrame:
+    """``rows`` (doc_id, digest, ...) with variant: 0, or for an id that bears several texts a number of the text."""
+    if mixed is None:
+        return rows.withColumn("variant", F.lit(0).cast("bigint"))
+    return rows.join(small_enough(mixed), "doc_id", "left").withColumn("variant", F.when(F.col("several"), F.xxhash64("digest")).otherwise(F.lit(0).cast("bigint"))).drop("several")
+
+
+def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(digest, first): words held by several rows and their smallest id; (doc_id, variant, places): starts of repeated windows, whole copies left out; (doc_id, several): ids with several texts, None without such. All written."""
     rows = docs.select("doc_id", "text", _digest().alias("digest")).where(F.col("doc_id").isNotNull())
-    copies = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("_last")).where("first < _last").select("digest", "first")
-    copies = pin(copies)
-    own = rows.join(small_enough(copies), "digest", "left").where("first IS NULL OR doc_id = first").select("doc_id", "text")
-    keys = arrow_rows(own, _keys, "key bigint, doc_id bigint, lo int, n int")
-    marked = keys.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_shared, "doc_id bigint, lo int, n int")
-    marked = pin(marked.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n")).alias("spans")))  # as many as a document has windows
+    facts = pin(rows.select("doc_id", "digest"))
+    copies = pin(facts.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("_last")).where("first < _last").select("digest", "first"))
+    mixed = pin(facts.groupBy("doc_id").agg(F.min("digest").alias("_a"), F.max("digest").alias("_b")).where("_a < _b").select("doc_id", F.lit(True).alias("several")))
+    mixed = None if mixed.isEmpty() else mixed
+    own = rows.join(small_enough(copies), "digest", "left").where("first IS NULL OR doc_id = first")
+    own = _variant(own, mixed).select("doc_id", "variant", "text")
+    keys = arrow_rows(own, _keys, "key bigint, doc_id bigint, variant bigint, lo int, n int")
+    marked = keys.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_shared, "doc_id bigint, variant bigint, lo int, n int")
+    marked = pin(marked.groupBy("doc_id", "variant").agg(F.collect_list(F.struct("lo", "n")).alias("spans")))  # as many as a document has windows
     _release(docs)
-    windows = arrow_rows(own.join(small_enough(marked.select("doc_id")), "doc_id", "left_semi").join(marked, "doc_id"), _windows, "key bigint, doc_id bigint, at int")
-    later = windows.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_later, "doc_id bigint, at int")
-    later = pin(later.groupBy("doc_id").agg(F.collect_list("at").alias("places")))
+    windows = arrow_rows(own.join(small_enough(marked.select("doc_id").distinct()), "doc_id", "left_semi").join(marked, ["doc_id", "variant"]), _windows, "key bigint, doc_id bigint, variant bigint, at int")
+    later = windows.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_later, "doc_id bigint, variant bigint, at int")
+    later = pin(later.groupBy("doc_id", "variant").agg(F.collect_list("at").alias("places")))
     _release(docs)
-    return copies, later
+    return copies, later, mixed
 
 
 def _covered(n: int, places: list[int] | None, whole: bool) -> np.ndarray:
@@ -222,10 +232,10 @@ def _covered(n: int, places: list[int] | None, whole: bool) -> np.ndarray:
 
 def _judged(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns of ``keep``, _text, _places and _whole (a copy of a row with a smaller id)."""
-    copies, later = repeats(docs)
-    rows = docs.select(*keep, F.col("text").alias("_text"), F.col("doc_id").alias("_id"), _digest().alias("_digest"))
-    rows = rows.join(small_enough(copies.select(F.col("digest").alias("_digest"), F.col("first").alias("_first"))), "_digest", "left").join(later.select(F.col("doc_id").alias("_id"), F.col("places").alias("_places")), "_id", "left")
-    return rows.select(*keep, "_text", "_places", F.coalesce(F.col("_id") > F.col("_first"), F.lit(False)).alias("_whole"))
+    copies, later, mixed = repeats(docs)
+    rows = docs.select(*(F.col(c).alias(f"_kept_{c}") for c in keep), F.col("text").alias("_text"), "doc_id", _digest().alias("digest"))
+    rows = _variant(rows, mixed).join(small_enough(copies), "digest", "left").join(later, ["doc_id", "variant"], "left")
+    return rows.select(*(F.col(f"_kept_{c}").alias(c) for c in keep), "_text", F.col("places").alias("_places"), F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("_whole"))
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -54,3 +54,16 @@ firsts AS (SELECT s, min(doc_id) AS m FROM stretches WHERE n = 13 GROUP BY s),
 covered AS (SELECT DISTINCT r, unnest(range(i, i + 13)) AS i FROM stretches JOIN firsts USING (s) WHERE n = 13 AND m < doc_id),
 kept AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS k, count(*) AS n FROM words ANTI JOIN covered USING (r, i) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)"""
+
+JACCARD = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d WHERE len(w) >= 3),
+triples AS (SELECT r, x || ' ' || lead(x, 1) OVER o || ' ' || lead(x, 2) OVER o AS s FROM words WINDOW o AS (PARTITION BY r ORDER BY i)),
+shingles AS (SELECT DISTINCT r, s FROM triples WHERE s IS NOT NULL UNION ALL SELECT r, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 2),
+sizes AS (SELECT r, count(*) AS n FROM shingles GROUP BY r),
+common AS (SELECT a.r AS p, b.r AS q, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.r < b.r GROUP BY a.r, b.r),
+half AS (SELECT p, q FROM common JOIN sizes x ON x.r = p JOIN sizes y ON y.r = q WHERE 100 * c >= 90 * (x.n + y.n - c)),
+links AS (SELECT p, q FROM half UNION ALL SELECT q, p FROM half),
+reached AS (SELECT r AS p, r AS q FROM d UNION SELECT reached.p, links.q FROM reached JOIN links ON links.p = reached.q),
+least_ AS (SELECT p, min(doc_id) AS component_id FROM reached JOIN d ON d.r = q GROUP BY p)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM d JOIN least_ ON least_.p = d.r LEFT JOIN sizes USING (r)"""
