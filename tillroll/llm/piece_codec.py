@@ -16,16 +16,17 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
-from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, BooleanType, DataType, IntegerType, LongType, StringType
 
 from tillroll.llm.common import arrow_rows
 
 BLANK = "▁"
-REMEMBER = 250_000
+REMEMBER = 600_000
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -85,13 +86,17 @@ class PieceModel:
         self.id_bytes = {i: bytes([b]) for b, i in self.byte_ids.items()}
         self.longest = max(map(len, self.ids))
         self.automaton = ahocorasick.Automaton()
-        for p in self.ids:
-            self.automaton.add_word(p, len(p))
+        for p, i in self.ids.items():
+            self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
-        self.agree = lru_cache(1 << 19)(self._agree)
-        self.whole = lru_cache(1 << 17)(lambda piece: self.merged(piece) == [piece])
-        self.words: dict[str, tuple[int, str, str | None]] = {}
-        self.older: dict[str, tuple[int, str, str | None]] = {}
+        self.line_breaks_alone = not any("\n" in p for p in self.ids)
+        self.agreed: dict[tuple[int | str, int | str], bool] = {}
+        self.names = list(map(str, range(len(self.pieces))))
+        #: ids of words, joined by commas. A plain word stands for itself with a blank in front; see _key for the others.
+        self.words: dict[str, str] = {}
+        self.older: dict[str, str] = {}
+        #: Set when a word does not come back from its ids; from then on texts are decoded from theirs.
+        self.odd = False
 
     def merged(self, text: str) -> list[str]:
         """Merging from single characters: the neighbours whose joint piece has the best score first, the leftmost of equals."""
@@ -104,47 +109,76 @@ class PieceModel:
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def _agree(self, left: str, right: str) -> bool:
-        return self.merged(left + right) == [left, right]
-
-    def split(self, text: str) -> list[str]:
-        """The pieces of ``text``; a character without a piece stands for itself."""
+    def _agree(self, left: int | str, right: int | str) -> bool:
+        a, b = self._piece(left), self._piece(right)
+        return self.merged(a + b) == [a, b]
+
+    def _piece(self, i: int | str) -> str:
+        return i if isinstance(i, str) else self.pieces[i]
+
+    def fits(self, left: int | str, right: int | str) -> bool:
+        """Whether two pieces (ids; a character without a piece stands for itself) agree."""
+        known = self.agreed.get((left, right))
+        if known is None:
+            if len(self.agreed) > 1 << 20:
+                self.agreed.clear()
+            known = self.agreed[left, right] = self._agree(left, right)
+        return known
+
+    def whole(self, i: int | str) -> bool:
+        p = self._piece(i)
+        return len(p) == 1 or self.merged(p) == [p]
+
+    def greedy(self, word: str) -> list[int] | None:
+        """The longest pieces one after the other, if they fill the word and all agree: then there is nothing to go back for."""
+        out, at, last, known = [], 0, -1, self.agreed
+        for end, (i, size) in self.automaton.iter_long(word):
+            if end - size + 1 != at or last >= 0 and not (known[last, i] if (last, i) in known else self.fits(last, i)):
+                return None
+            out.append(i)
+            last, at = i, end + 1
+        return out if at == len(word) and (len(out) > 1 or out and self.whole(last)) else None
+
+    def split(self, text: str) -> list[int | str]:
+        """The pieces of ``text`` by backtracking."""
         n = len(text)
-        starts: list[list[int]] = [[1] for _ in range(n)]
-        for end, size in self.automaton.iter(text):  # by growing end, so the sizes of a start grow too
-            if size > 1:
-                starts[end - size + 1].append(size)
-        failed, out, at = bytearray(n // 8 + 1), [], 0
-        sizes = starts[0][::-1] if n else []
+        found: list[list] = [[] for _ in range(n)]
+        for end, match in self.automaton.iter(text):  # by growing end, so the sizes of a start grow too
+            found[end - match[1] + 1].append(match)
+        failed, out, ends, at, known = 0, [], [0], 0, self.agreed
+        options = found[0] if n else []
+        limit = n + 1
         while at < n:
-            found = 0
-            for size in sizes:
-                end = at + size
-                if failed[end >> 3] >> (end & 7) & 1:
+            if not options or options[0][1] > 1:
+                options = [(text[at], 1), *options]
+            for i, size in reversed(options):
+                if size >= limit or failed >> (at + size) & 1:
                     continue
-                piece = text[at:end]
-                if self.agree(out[-1], piece) if out else self.whole(piece):
-                    found = size
+                if (known[out[-1], i] if (out[-1], i) in known else self.fits(out[-1], i)) if out else self.whole(i):
+                    out.append(i)
+                    at += size
+                    ends.append(at)
                     break
-            if found:
-                out.append(text[at:at + found])
-                at += found
-                sizes = starts[at][::-1] if at < n else []
-            else:
-                failed[at >> 3] |= 1 << (at & 7)
-                last = out.pop()
-                at -= len(last)
-                sizes = [s for s in starts[at][::-1] if s < len(last)]
+            else:  # the bitfield of positions that no sequence can pass
+                failed |= 1 << at
+                out.pop()
+                limit = ends.pop()
+                at = ends[-1]
+                limit -= at
+                options = found[at]
+                continue
+            options, limit = found[at] if at < n else [], n + 1
         return out
 
     def encode_word(self, word: str) -> list[int]:
-        out: list[int] = []
-        for p in self.split(word):
-            i = self.ids.get(p)
-            if i is not None:
-                out.append(i)
-            else:
-                out.extend(self.byte_ids[b] for b in p.encode())
+        out = self.greedy(word)
+        if out is None:
+            out = []
+            for i in self.split(word):
+                if isinstance(i, str):
+                    out.extend(self.byte_ids[b] for b in i.encode())
+                else:
+                    out.append(i)
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -157,31 +191,54 @@ class PieceModel:
 
     cut = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+").findall
 
-    def coded(self, text: str) -> tuple[list[str], list[tuple[int, str, str | None]]]:
-        """The words of ``text`` and for each: number of ids, ids as text, decoded text (None: the word itself)."""
+    def learn(self, word: str, full: str) -> str:
+        """Codes ``full``, remembered as ``word``; line breaks have no piece with other characters, so lines are coded by themselves."""
+        ids = self.older.get(word)
+        if ids is None:
+            if "\n" in full[1:-1] and self.line_breaks_alone:
+                ids = ",".join([self.words.get(k) or self.learn(k, x) for x in _lines.findall(full) for k in (_key(x),)])
+            else:
+                codes = self.encode_word(full)
+                ids = ",".join([self.names[i] for i in codes])
+                back = self._text(codes)
+                if back != full.replace(BLANK, " "):
+                    self.odd = True
+        if len(word) <= 64:
+            self.words[word] = ids
+        return ids
+
+    def coded(self, text: str) -> tuple[str, str]:
+        """The ids of ``text`` joined by commas, and the text that they decode to."""
         if not text:
-            return [], []
-        known, older, out = self.words, self.older, []
-        words = self.cut(BLANK + text.replace(" ", BLANK))
-        for w in words:
-            c = known.get(w)
-            if c is None:
-                c = older.get(w)
+            return "", ""
+        if BLANK in text or "  " in text or text[0] == " " or text[-1] == " ":
+            full = self.cut(BLANK + text.replace(" ", BLANK))
+            words = list(map(_key, full))
+        else:
+            words, full = text.split(" "), None
+        out = list(map(self.words.get, words))
+        if None in out:
+            for k, c in enumerate(out):
                 if c is None:
-                    ids = self.encode_word(w)
-                    back = self._text(ids)
-                    c = (len(ids), ",".join(map(str, ids)), None if back == w.replace(BLANK, " ") else back)
-                if len(w) <= 64:
-                    known[w] = c
-            out.append(c)
-        if len(known) > REMEMBER:
-            self.words, self.older = {}, known
-        return words, out
+                    out[k] = self.words.get(words[k]) or self.learn(words[k], full[k] if full else BLANK + words[k])
+            if len(self.words) > REMEMBER:
+                self.words, self.older = {}, self.words
+        ids = ",".join(out)
+        return ids, self.decode([int(i) for i in ids.split(",")]) if self.odd else text.replace(BLANK, " ")
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for c in self.coded(text)[1] for i in c[1].split(",")]
+        ids = self.coded(text)[0]
+        return [int(i) for i in ids.split(",")] if ids else []
 
 
+_lines = re.compile("\n|[^\n]+")
+
+
+def _key(full: str) -> str:
+    """What a word with its blanks is remembered as: without its blank if it has one, as it is if it has more (or is one), with a blank if it has none."""
+    if full[0] != BLANK:
+        return BLANK + full
+    return full if full[1:2] in ("", BLANK) else full[1:]
 _MODELS: dict[str, PieceModel] = {}
 
 
@@ -191,16 +248,12 @@ def model_at(path: str) -> PieceModel:
     return _MODELS[path]
 
 
-def _others(docs: DataFrame, text: str, added: list[str]) -> list[str]:
-    return [c for c in docs.columns if c != text and c not in added]
-
-
 def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """``docs`` with ``ids`` (array<int>) for ``text``; a column of that name is replaced."""
     def one(texts: pa.Array) -> pa.Array:
         model = model_at(path)
-        return pa.array([model.encode(t or "") for t in texts.to_pylist()], pa.list_(pa.int32()))
-    return _with(docs, text, "ids array<int>", one)
+        return _lists([model.coded(t or "")[0] for t in texts.to_pylist()])
+    return _with(docs, text, "ids", ArrayType(IntegerType()), one)
 
 
 def decoded(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -208,11 +261,10 @@ def decoded(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     def one(lists: pa.Array) -> pa.Array:
         model = model_at(path)
         return pa.array([model.decode(x or []) for x in lists.to_pylist()], pa.string())
-    return _with(docs, ids, "decoded string", one)
+    return _with(docs, ids, "decoded", StringType(), one)
 
 
-def _with(docs: DataFrame, column: str, added: str, one) -> DataFrame:
-    name, kind = added.split(" ", 1)
+def _with(docs: DataFrame, column: str, name: str, kind: DataType, one) -> DataFrame:
     keep = [c for c in docs.columns if c != name]
     schema = docs.select(*keep).schema.add(name, kind)
     at = keep.index(column)
@@ -224,15 +276,35 @@ def _with(docs: DataFrame, column: str, added: str, one) -> DataFrame:
     return docs.select(*keep).mapInArrow(run, schema)
 
 
+def _lists(joined: list[str]) -> pa.Array:
+    """Lists of ids from their texts."""
+    flat = ",".join([x for x in joined if x])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([x.count(",") + 1 if x else 0 for x in joined])]).astype(np.int32)), pa.array(np.fromstring(flat, np.int32, sep=",") if flat else np.empty(0, np.int32)))
+
+
+def token_rows(docs: DataFrame, path: str, keep: list[str], text: str = "text") -> DataFrame:
+    """The columns of ``keep``, n_tokens, ids and round_trip (whether decoding the ids gives the text) of every row."""
+    schema = docs.select(*keep).schema.add("n_tokens", LongType()).add("ids", ArrayType(IntegerType())).add("round_trip", BooleanType())
+
+    def run(batches):
+        model = model_at(path)
+        for b in batches:
+            texts = [t or "" for t in b.column(len(keep)).to_pylist()]
+            coded = [model.coded(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([c[0].count(",") + 1 if c[0] else 0 for c in coded], pa.int64()), _lists([c[0] for c in coded]),
+                                              pa.array([c[1] == t for c, t in zip(coded, texts)], pa.bool_())], names=[*keep, "n_tokens", "ids", "round_trip"])
+
+    return docs.select(*keep, text).mapInArrow(run, schema)
+
+
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: the codes of every text without building the lists of ids."""
     def one(batch: pa.RecordBatch) -> dict:
         model, n, a, b = model_at(path), [], [], []
         for t in batch.column("text").to_pylist():
-            words, c = model.coded(t or "")
-            n.append(sum(x[0] for x in c))
-            a.append(hashlib.sha256(",".join([x[1] for x in c]).encode()).hexdigest())
-            text = "".join([w if x[2] is None else x[2] for w, x in zip(words, c)]).replace(BLANK, " ")
-            b.append(hashlib.sha256(text.removeprefix(" ").encode()).hexdigest())
+            ids, text = model.coded(t or "")
+            n.append(ids.count(",") + 1 if ids else 0)
+            a.append(hashlib.sha256(ids.encode()).hexdigest())
+            b.append(hashlib.sha256(text.encode()).hexdigest())
         return {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())}
     return arrow_rows(docs.select("doc_id", "text"), one, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
