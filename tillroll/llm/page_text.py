@@ -128,6 +128,9 @@ def blocks(page: str) -> list[Block]:
         elif tag == "br":
             text.append(" ")
         if tag not in VOID:
+            if tag in ("html", "body"):  # around everything, so they tell nothing
+                stack.append((tag, ()))
+                continue
             names = tuple(f"n:{n}" for _, v in _attribute.findall(rest) for n in _name.findall(v.lower())) if rest else ()
             stack.append((tag, (f"t:{tag}", *names) if tag in BLOCKS or names else ()))
             in_link += tag == "a"
@@ -242,7 +245,7 @@ def disguise(page_blocks: list[Block], y: list[int], rng: random.Random, said: l
     for at in sorted(places, reverse=True):
         if rng.random() < 0.6:
             part = rng.choice(list(SIDE))
-            around = ("t:html", "t:body", *(main if inside and inside[0] < at <= inside[-1] + 1 and rng.random() < 0.7 else ()), *side(part))
+            around = (*(main if inside and inside[0] < at <= inside[-1] + 1 and rng.random() < 0.7 else ()), *side(part))
             if part == "comments" or rng.random() < 0.3:
                 texts = [rng.choice(said) for _ in range(rng.randint(1, 4))]
             else:
