@@ -120,10 +120,10 @@ def test_sessions_of_a_hot_user(spark):
     assert got.tolist() == want.tolist()
 
 
-def test_top_k_beyond_the_group_limit(skewed, monkeypatch):
+def test_top_k_is_limited_before_the_shuffle_for_any_k(skewed):
     _, df = skewed
-    small = {tuple(r) for r in W.top_k_per_group(df, "g", "id", F.col("v"), 3).select("g", "id", "position").collect()}
-    newest = {tuple(r) for r in W.recent_per_topic(df, "g", "v", "id", 2).select("g", "id").collect()}
-    monkeypatch.setattr(W, "GROUP_LIMIT", 1)
-    assert {tuple(r) for r in W.top_k_per_group(df, "g", "id", F.col("v"), 3).select("g", "id", "position").collect()} == small
-    assert {tuple(r) for r in W.recent_per_topic(df, "g", "v", "id", 2).select("g", "id").collect()} == newest
+    for k in (3, 1500):
+        plan = W.top_k_per_group(df, "g", "id", F.col("v"), k)._jdf.queryExecution().executedPlan().toString()
+        assert "WindowGroupLimit" in plan and "Partial" in plan
+    rows = W.top_k_per_group(df, "g", "id", F.col("v"), 1500).count()
+    assert rows == sum(min(1500, r["count"]) for r in df.groupBy("g").count().collect())

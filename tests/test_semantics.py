@@ -181,3 +181,50 @@ def test_validity_join_matches_brute_force(spark):
     got = {(r["i"], r["j"]) for r in J.validity_join(left, "t", right, "a", "b").collect()}
     ls, rs = left.collect(), right.collect()
     assert got == {(x["i"], y["j"]) for x in ls for y in rs if y["a"] <= x["t"] <= y["b"]}
+
+
+def test_validity_join_keeps_open_intervals_and_survives_long_ones(spark):
+    day = lambda s: F.lit(s).cast("timestamp_ntz")
+    left = spark.createDataFrame([(1, "2024-01-10"), (2, "2024-05-01")], "i int, t string").select("i", F.col("t").cast("timestamp_ntz").alias("t"))
+    right = spark.createDataFrame([(1, "2024-02-01", None), (2, None, "2024-02-01"), (3, "0001-01-01", "9999-12-31"), (4, None, None)], "j int, a string, b string").select(
+        "j", F.col("a").cast("timestamp_ntz").alias("a"), F.col("b").cast("timestamp_ntz").alias("b"))
+    got = {(r["i"], r["j"]) for r in J.validity_join(left, "t", right, "a", "b").collect()}
+    assert got == {(2, 1), (1, 2), (1, 3), (2, 3), (1, 4), (2, 4)}
+    assert J.validity_join(left.where(F.col("t") < day("1900-01-01")), "t", right, "a", "b").count() == 0
+
+
+def test_second_change_of_a_day_replaces_the_version(spark):
+    dim = spark.createDataFrame([(1, "a", "2024-01-01", None, True)], "k int, v string, e string, x string, is_current boolean").select("k", "v", F.to_date("e").alias("effective_date"), F.to_date("x").alias("expiry_date"), "is_current")
+    once = L.scd2_merge(dim, spark.createDataFrame([(1, "b")], "k int, v string"), "k", ["v"], "2024-05-05")
+    twice = L.scd2_merge(once, spark.createDataFrame([(1, "c")], "k int, v string"), "k", ["v"], "2024-05-05")
+    got = sorted((r["v"], str(r["effective_date"]), str(r["expiry_date"]), r["is_current"]) for r in twice.collect())
+    assert got == [("a", "2024-01-01", "2024-05-04", False), ("c", "2024-05-05", "None", True)]
+
+
+def test_late_rows_do_not_overwrite_newer_state(spark):
+    target = spark.createDataFrame([(1, "new", 10, 3)], "k int, v string, t int, n bigint")
+    rows = spark.createDataFrame([(1, "late", 5), (2, "first", 1)], "k int, v string, t int")
+    assert sorted(tuple(r) for r in L.upsert(target, rows, ["k"], ["t"], "n").collect()) == [(1, "new", 10, 3), (2, "first", 1, 0)]
+
+
+def test_trends_see_products_below_the_shown_ranking(spark):
+    from tillroll.operators import products as P
+    products = spark.range(1, 131).select(F.col("id").alias("product_id"), F.concat(F.lit("p"), "id").alias("product_name"), F.lit("c").alias("category"), F.lit(10).alias("stock_quantity"))
+    day = lambda n, sold: products.select("product_id", F.expr(f"TIMESTAMP_NTZ '2024-01-0{n} 10:00:00'").alias("order_date"), sold.cast("decimal(18,2)").alias("quantity"), F.lit(1).cast("decimal(18,2)").alias("item_total"))
+    sales = day(1, 200 - F.col("product_id")).unionByName(day(2, F.when(F.col("product_id") == 120, 500).otherwise(200 - F.col("product_id"))))
+    board = {r["product_id"]: r for r in P.dashboard(products, P.rankings(products, sales)).where("date = DATE '2024-01-02'").collect()}
+    assert len(board) == 100 and (board[120]["rank_position"], board[120]["previous_rank"], board[120]["growth_percentage"]) == (1, 120, 525.0)
+
+
+def test_long_phrases_count(spark):
+    from tillroll.operators.feedback import explode_phrases
+    df = spark.createDataFrame([(1, f"{'a' * 40} {'b' * 40} c")], "id int, text string")
+    assert {r["phrase"] for r in explode_phrases(df, "text", ["id"]).collect()} == {f"{'a' * 40} {'b' * 40}", f"{'b' * 40} c", f"{'a' * 40} {'b' * 40} c"}
+    assert {r["phrase"] for r in explode_phrases(df, "text", ["id"], longest=50).collect()} == {f"{'b' * 40} c"}
+
+
+def test_risk_follows_the_probability_of_the_class(spark):
+    from tillroll.ml import models as M
+    df = spark.createDataFrame([(i, float(i % 10), float(i % 10 > 7)) for i in range(200)], "customer_id int, x double, label double")
+    out = M.score(M.fit_classifier(df, "label", M.preparation(["x"], scale=False), trees=5), df, "customer_id", ["x"]).withColumn("risk", M.risk_level(F.col("probability")))
+    assert {(r["prediction"], r["risk"]) for r in out.collect()} == {(0.0, "low"), (1.0, "high")}

@@ -169,10 +169,13 @@ def best_kmeans(df: DataFrame, features: Sequence[str], ks: Sequence[int] = rang
 
 
 def cluster_profiles(df: DataFrame) -> DataFrame:
-    """M-03: size, means and a name per cluster from the 0.8 / 0.7 / 0.3 quantiles of all customers."""
+    """M-03: size, means and medians of the measures, spread of the spend, and a name per cluster from the 0.8 / 0.7 / 0.3 quantiles of all customers. Names and limits are fixed values."""
+    measures = [c for c in ("monetary", "frequency", "recency", "avg_order_value", "total_items", "lifetime_days") if c in df.columns]
     q = quantiles(df, ["monetary", "frequency", "recency"], [0.3, 0.7, 0.8]).agg(
         F.map_from_entries(F.collect_list(F.struct("column_name", F.struct("q0", "q1", "q2")))).alias("m")).scalar()
-    g = df.groupBy("cluster").agg(F.count("*").alias("segment_size"), *[F.round(F.avg(c), 2).alias(f"{c}_mean") for c in ("monetary", "frequency", "recency")])
+    g = df.groupBy("cluster").agg(F.count("*").alias("segment_size"), *[F.round(F.avg(c), 2).alias(f"{c}_mean") for c in measures], F.round(F.stddev_samp("monetary"), 2).alias("monetary_std"))
+    medians = quantiles(df, measures, [0.5], ["cluster"]).groupBy("cluster").pivot("column_name", measures).agg(F.first("q0"))
+    g = g.join(medians.select("cluster", *[F.round(c, 2).alias(f"{c}_median") for c in measures]), "cluster")
     at = lambda c, e: F.col("_q")[c][e]
     name = (F.when((F.col("monetary_mean") > at("monetary", "q2")) & (F.col("recency_mean") < at("recency", "q0")), "VIP_Active")
             .when(F.col("monetary_mean") > at("monetary", "q2"), "VIP_At_Risk").when(F.col("frequency_mean") > at("frequency", "q1"), "Loyal_Regular")
@@ -200,14 +203,21 @@ def two_components(df: DataFrame, features: str = "features") -> DataFrame:
 
 # ---- forecast ---------------------------------------------------------------------------------------
 
-FORECAST_FEATURES = ["y_lag_1", "y_lag_7", "y_lag_30", "y_ma_7", "y_ma_30", "month", "weekday", "day_of_year"]
+PAST = ["y_lag_1", "y_lag_7", "y_lag_30", "y_ma_7", "y_ma_30"]
+PRODUCT = ["price", "rating", "review_count"]
+FORECAST_FEATURES = [*PAST, "year", "month", "weekday", "weekend", "day_of_year", *PRODUCT]
+
+
+def _calendar(df: DataFrame) -> DataFrame:
+    return df.withColumns({"year": F.year("day"), "month": F.month("day"), "weekday": F.weekday("day"), "weekend": (F.weekday("day") >= 5).cast("int"), "day_of_year": F.dayofyear("day")})
 
 
 def forecast_features(series: DataFrame) -> DataFrame:
-    """M-09: lags, rolling means of the rows before, calendar. The series has one row per category and day."""
+    """M-09: lags, rolling means of the rows before, calendar, product figures. The series has one row per category and day; without price, rating or review_count these are 0."""
+    series = series.withColumns({c: F.col(c).cast("double") if c in series.columns else F.lit(0.0) for c in PRODUCT})
     past = lag_features(series, "category")
     means = rolling_means(past.withColumn("_y", F.col("y")).withColumn("y", F.col("y_lag_1")), "category", full=False).withColumn("y", F.col("_y")).drop("_y")
-    return means.withColumns({"month": F.month("day"), "weekday": F.weekday("day"), "day_of_year": F.dayofyear("day")})
+    return _calendar(means)
 
 
 def fit_forecast(series: DataFrame, share: float = 0.8, trees: int = 20) -> tuple[str, PipelineModel, dict[str, float], DataFrame]:
@@ -220,11 +230,13 @@ def fit_forecast(series: DataFrame, share: float = 0.8, trees: int = 20) -> tupl
 
 
 def project(series: DataFrame, model: PipelineModel, days: int = 30) -> DataFrame:
-    """M-09: the next days per category from its last features; never negative."""
+    """M-09: the next days per category; never negative. Lags and rolling means, unknown for these days, are the mean of the last 30 days, product figures the last ones."""
     rows = forecast_features(series)
-    last = rows.groupBy("category").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "category"]), "day").alias("r")).select("category", "r.*")
+    ends = rows.groupBy("category").agg(F.max("day").alias("_end"))
+    recent = rows.join(ends, "category").where(F.col("day") > F.date_sub("_end", 30)).groupBy("category").agg(F.avg(F.col("y").cast("double")).alias("_mean"))
+    last = rows.groupBy("category").agg(F.max_by(F.struct("day", *PRODUCT), "day").alias("r")).select("category", "r.*").join(recent, "category").select("*", *[F.col("_mean").alias(c) for c in PAST]).drop("_mean")
     future = last.withColumn("day", F.explode(F.sequence(F.date_add("day", 1), F.date_add("day", days))))
-    future = future.withColumns({"month": F.month("day"), "weekday": F.weekday("day"), "day_of_year": F.dayofyear("day")}).withColumns({c: F.col(c).cast("double") for c in FORECAST_FEATURES})
+    future = _calendar(future).withColumns({c: F.col(c).cast("double") for c in FORECAST_FEATURES})
     return model.transform(future).select("category", "day", F.greatest(F.lit(0.0), F.col("prediction")).alias("predicted_sales"))
 
 
@@ -278,17 +290,18 @@ def importance_rows(spark, model: PipelineModel, top: int = 20) -> DataFrame:
 
 
 def score(model: PipelineModel, df: DataFrame, key: str, inputs: Sequence[str]) -> DataFrame:
-    """M-20: prediction, confidence, stable id and the inputs as a map."""
+    """M-20: prediction, confidence (of the class predicted), probability of class 1, stable id and the inputs as a map."""
     out = model.transform(df)
+    one = vector_to_array("probability")[1] if "probability" in out.columns else F.lit(None).cast("double")
     sure = F.array_max(vector_to_array("probability")) if "probability" in out.columns else F.lit(None).cast("double")
     pairs = [x for c in inputs for x in (F.lit(c), F.col(c).cast("string"))]
     ident = F.concat(F.lit("PRED_"), F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 16))
-    return out.select(key, ident.alias("prediction_id"), "prediction", sure.alias("confidence"), F.create_map(*pairs).alias("inputs"))
+    return out.select(key, ident.alias("prediction_id"), "prediction", sure.alias("confidence"), one.alias("probability"), F.create_map(*pairs).alias("inputs"))
 
 
 def risk_level(p: Column) -> Column:
-    """M-20."""
-    return F.when(p > 0.7, "high").when(p > 0.4, "medium").otherwise("low")
+    """M-20: of the probability of class 1."""
+    return F.when(p >= 0.7, "high").when(p >= 0.4, "medium").otherwise("low")
 
 
 def clv_level(v: Column) -> Column:

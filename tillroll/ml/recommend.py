@@ -105,18 +105,17 @@ def fit_factors(ratings: DataFrame, rank: int = 10, rounds: int = 5) -> ALSModel
     return als.fit(ratings.select(F.col("customer_id").cast("int"), F.col("product_id").cast("int"), "rating"))
 
 
-def unseen_recommendations(model: ALSModel, ratings: DataFrame, k: int = 10, light: int = 50) -> DataFrame:
+def unseen_recommendations(model: ALSModel, ratings: DataFrame, k: int = 10) -> DataFrame:
     """M-11: the k best items a user has not rated.
 
-    Users with up to ``light`` rated items are asked for k + light items; the few others for k plus the
-    largest number any of them has rated. So the anti-join always leaves k, if that many exist.
+    Users are taken by the power of two above the number of items they rated, and asked for k more than that, so the anti-join always
+    leaves k, if that many exist, and a user who rated a million items costs the others nothing.
     """
     seen = ratings.select(F.col("customer_id").cast("int").alias("customer_id"), F.col("product_id").cast("int").alias("product_id"))
     n = seen.groupBy("customer_id").agg(F.count("*").alias("n"))
-    most = n.agg(F.max("n").alias("m")).first()["m"] or 0
-    parts = [model.recommendForUserSubset(n.where(F.col("n") <= light).select("customer_id"), k + light)]
-    if most > light:
-        parts.append(model.recommendForUserSubset(n.where(F.col("n") > light).select("customer_id"), k + most))
+    n = n.withColumn("power", F.ceil(F.log2("n")).cast("int"))
+    powers = sorted(r["power"] for r in n.select("power").distinct().collect())  # at most 32
+    parts = [model.recommendForUserSubset(n.where(F.col("power") == p).select("customer_id"), k + (1 << p)) for p in powers]
     out = None
     for p in parts:
         rows = p.select("customer_id", F.explode("recommendations").alias("r")).select("customer_id", "r.product_id", F.col("r.rating").cast("double").alias("predicted_rating"))
@@ -126,13 +125,13 @@ def unseen_recommendations(model: ALSModel, ratings: DataFrame, k: int = 10, lig
     return fresh.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
 
 
-def hybrid(recent: DataFrame, similar: DataFrame, collaborative: DataFrame, popular: DataFrame, users: DataFrame, k: int = 10, content_weight: float = 0.3) -> DataFrame:
-    """M-12: content neighbours of the last items x 0.3 plus collaborative x 0.7, summed per product.
+def hybrid(recent: DataFrame, similar: DataFrame, collaborative: DataFrame, popular: DataFrame, users: DataFrame, k: int = 10, content_weight: float = 0.3, neighbours: int = 5) -> DataFrame:
+    """M-12: the first ``neighbours`` content neighbours of the last items x 0.3 plus collaborative x 0.7, summed per product.
 
     Users without any score get the popular list (product_id, score), whose length the caller fixes; it
     is attached as one array literal.
     """
-    content = recent.join(similar.where("position <= 5").select("product_id", "other", "similarity"), "product_id").select(
+    content = recent.join(similar.where(F.col("position") <= neighbours).select("product_id", "other", "similarity"), "product_id").select(
         "customer_id", F.col("other").alias("product_id"), (F.col("similarity") * content_weight).alias("s"))
     collab = collaborative.select(F.col("customer_id").cast("bigint").alias("customer_id"), F.col("product_id").cast("bigint").alias("product_id"),
                                   (F.col("predicted_rating") * (1 - content_weight)).alias("s"))

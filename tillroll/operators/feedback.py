@@ -77,8 +77,8 @@ def priority(label: Column, clv: Column, high_value: float = 5000000) -> Column:
             .when(label == "neutral", "medium").otherwise("low"))
 
 
-def explode_phrases(df: DataFrame, text: str, keep: Sequence[str], sizes: Sequence[int] = (2, 3), longest: int = 50) -> DataFrame:
-    """D-41: distinct word pairs and triples of each text, at most ``longest`` characters, one row each.
+def explode_phrases(df: DataFrame, text: str, keep: Sequence[str], sizes: Sequence[int] = (2, 3), longest: int | None = None) -> DataFrame:
+    """D-41: distinct word pairs and triples of each text, one row each; with ``longest`` only those of at most so many characters.
 
     The tokens are a column of their own: inside the lambda they would be split again for every position.
     ``explode_outer`` keeps Spark from repeating the whole expression in an inferred filter.
@@ -86,7 +86,7 @@ def explode_phrases(df: DataFrame, text: str, keep: Sequence[str], sizes: Sequen
     rows = df.select(*keep, X.words(text).alias("_tokens"))
     grams = F.concat(*[X.ngrams(F.col("_tokens"), n) for n in sizes])
     phrases = rows.select(*keep, F.explode_outer(F.array_distinct(grams)).alias("phrase"))
-    return phrases.where(F.length("phrase") <= longest)
+    return phrases.where("phrase IS NOT NULL" if longest is None else F.length("phrase") <= longest)
 
 
 def analyse(feedback: DataFrame, clv: DataFrame, lexicon: Mapping[str, float] = LEXICON) -> DataFrame:

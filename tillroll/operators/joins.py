@@ -112,15 +112,18 @@ def orphan_counts(checks: Mapping[str, tuple[DataFrame, DataFrame, str]]) -> Dat
 
 
 def validity_join(left: DataFrame, ts: str, right: DataFrame, start: str, end: str, how: str = "inner") -> DataFrame:
-    """J-11: pairs with ``start <= ts <= end``, as an equi-join on the month.
+    """J-11: pairs with ``start <= ts <= end``, as an equi-join on the month; a null start or end is open.
 
-    Each validity interval is repeated once per month it touches, so no nested loop is needed however
-    many intervals there are.
+    Each validity interval is repeated once per month it shares with the left side's times, so no nested loop is needed however
+    many intervals there are and however long they last.
     """
-    months = F.sequence(F.trunc(start, "month"), F.trunc(end, "month"), F.expr("INTERVAL 1 MONTH"))
-    spans = right.where(F.col(start) <= F.col(end)).withColumn("_month", F.explode(months))
+    seen = left.agg(F.struct(F.min(ts).alias("lo"), F.max(ts).alias("hi")).alias("s")).scalar()
+    spans = right.withColumn("_seen", seen)
+    first, last = F.greatest(F.col(start), F.col("_seen.lo")), F.least(F.col(end), F.col("_seen.hi"))  # nulls do not count
+    months = F.sequence(F.trunc(first, "month"), F.trunc(last, "month"), F.expr("INTERVAL 1 MONTH"))
+    spans = spans.where(first <= last).withColumn("_month", F.explode(months)).drop("_seen")
     rows = left.withColumn("_month", F.trunc(ts, "month"))
-    cond = (rows["_month"] == spans["_month"]) & (rows[ts] >= spans[start]) & (rows[ts] <= spans[end])
+    cond = (rows["_month"] == spans["_month"]) & (spans[start].isNull() | (rows[ts] >= spans[start])) & (spans[end].isNull() | (rows[ts] <= spans[end]))
     return rows.join(spans, cond, how).drop(rows["_month"]).drop(spans["_month"])
 
 

@@ -29,19 +29,27 @@ def insert_absent(target: DataFrame, rows: DataFrame, keys: Sequence[str]) -> Da
 
 def upsert(target: DataFrame, rows: DataFrame, keys: Sequence[str], order: Sequence[str] = (),
            counter: str | None = None) -> DataFrame:
-    """SNK-10: new snapshot after ON CONFLICT DO UPDATE; ``counter`` grows by one on each update."""
+    """SNK-10: new snapshot after ON CONFLICT DO UPDATE; ``counter`` grows by one on each update.
+
+    With ``order`` a row older than the stored one does not overwrite it (nor count), so late batches do no harm.
+    """
     if order:
         rows = newest_per_key(rows, keys, order)
     values = [c for c in target.columns if c not in keys and c != counter]
     new = rows.select(*keys, F.lit(True).alias("_new"), *[F.col(c).alias(f"_n_{c}") for c in values if c in rows.columns])
     old = target.withColumn("_old", F.lit(True))
     both = old.join(new, list(keys), "full_outer")
+    known = [c for c in order if c in values and c in rows.columns]
+    late = F.lit(False)
+    if known:
+        late = F.coalesce(F.col("_old") & F.col("_new") & (F.struct(*[F.col(f"_n_{c}") for c in known]) < F.struct(*known)), F.lit(False))
+    takes = F.col("_new") & ~late
     out = [F.col(k) for k in keys]
     for c in values:
-        out.append((F.when(F.col("_new"), F.col(f"_n_{c}")).otherwise(F.col(c)) if c in rows.columns
+        out.append((F.when(takes, F.col(f"_n_{c}")).otherwise(F.col(c)) if c in rows.columns
                     else F.col(c)).alias(c))
     if counter:
-        bump = F.when(F.col("_new") & F.col("_old"), 1).otherwise(0)
+        bump = F.when(takes & F.col("_old"), 1).otherwise(0)
         out.append((F.coalesce(counter, F.lit(0)) + bump).cast("bigint").alias(counter))
     return both.select(*out)
 
@@ -57,6 +65,8 @@ def apply_changes(target: DataFrame, changes: DataFrame, keys: Sequence[str], op
 def scd2_merge(dim: DataFrame, snapshot: DataFrame, key: str, tracked: Sequence[str], day: str) -> DataFrame:
     """J-12: close the current row of a changed key the day before, insert its new version and unseen keys.
 
+    A key that changes again on the day its current row began has that row replaced: a version of no day cannot be found by any date.
+
     ``dim`` has key, tracked columns, effective_date, expiry_date, is_current. Keys missing from the
     snapshot stay current. One full outer join on the key; closed rows are passed through.
     """
@@ -71,12 +81,13 @@ def scd2_merge(dim: DataFrame, snapshot: DataFrame, key: str, tracked: Sequence[
     changed = F.col("_old") & F.col("_new") & ~same
     changed = F.coalesce(changed, F.lit(False))
     open_new = changed | F.col("_old").isNull()
+    replaced = changed & (F.col("effective_date") >= today)
     old_row = F.struct(*[F.col(c) for c in tracked], F.col("effective_date"),
                        F.when(changed, F.date_sub(today, 1)).otherwise(F.col("expiry_date")).alias("expiry_date"),
                        (~changed).alias("is_current"))
     new_row = F.struct(*[F.col(f"_n_{c}").alias(c) for c in tracked], today.alias("effective_date"),
                        F.lit(None).cast("date").alias("expiry_date"), F.lit(True).alias("is_current"))
-    versions = F.filter(F.array(F.when(F.col("_old"), old_row), F.when(open_new, new_row)), lambda r: r.isNotNull())
+    versions = F.filter(F.array(F.when(F.col("_old") & ~F.coalesce(replaced, F.lit(False)), old_row), F.when(open_new, new_row)), lambda r: r.isNotNull())
     rows = both.select(key, F.explode(versions).alias("_v")).select(key, "_v.*")
     return history.select(*rows.columns).unionByName(rows)
 

@@ -157,10 +157,17 @@ def velocity_scores(tracking: DataFrame, as_of_day: str, hours: int = 24) -> Dat
     return g.withColumn("velocity_score", velocity(F.col("total_sales"), F.col("total_views"), hours))
 
 
-def rankings(products: DataFrame, sales: DataFrame, first: str, last: str, limit: int | None = 100) -> DataFrame:
-    """D-22: daily ranking table for the days ``first``..``last``; the limit is the length of the ranking."""
+def rankings(products: DataFrame, sales: DataFrame, first: str | None = None, last: str | None = None, limit: int | None = None) -> DataFrame:
+    """D-22: daily ranking table of all days or of ``first``..``last``.
+
+    ``limit`` cuts the shown list. Trends and rank changes need the whole ranking: a product that enters the list has a place of the day before.
+    """
     day = F.to_date("order_date")
-    rows = sales.where(day.between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+    rows = sales
+    if first is not None:
+        rows = rows.where(day >= F.lit(first).cast("date"))
+    if last is not None:
+        rows = rows.where(day <= F.lit(last).cast("date"))
     g = rows.groupBy(day.alias("date"), "product_id").agg(dsum("quantity").alias("sales_volume"), dsum("item_total").alias("revenue"))
     ranked = number_rows(g, [F.desc("sales_volume"), F.col("product_id")], ["date"], "rank_position", "_n").drop("_n")
     ranked = ranked.where(F.col("rank_position") <= limit) if limit else ranked
@@ -179,10 +186,11 @@ def detect_trends(ranking: DataFrame, scores: DataFrame, day: str) -> DataFrame:
         "product_id", "velocity_score", F.round(conf, 6).alias("confidence_score"), strength.alias("trend_strength"))
 
 
-def dashboard(products: DataFrame, ranking: DataFrame) -> DataFrame:
-    """D-23: rank change, growth, stock status and days to stockout for every ranking day."""
+def dashboard(products: DataFrame, ranking: DataFrame, limit: int | None = 100) -> DataFrame:
+    """D-23: rank change, growth, stock status and days to stockout for the first ``limit`` places of every day of a whole ranking."""
     cols = ["rank_position", "sales_volume"]
     rows = previous_day(ranking.select("product_id", "date", "revenue", *cols), ["product_id"], "date", cols)
+    rows = rows.where(F.col("rank_position") <= limit) if limit else rows
     grown = F.when(F.col("prev_sales_volume") > 0, F.round((F.col("sales_volume") - F.col("prev_sales_volume")) / F.col("prev_sales_volume") * 100, 2)).otherwise(100.0)
     stock = F.col("stock_quantity")
     status = F.when(stock <= 10, "critical").when(stock <= 50, "low").when(stock <= 100, "medium").otherwise("good")

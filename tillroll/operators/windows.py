@@ -17,7 +17,6 @@ from tillroll.operators.ordering import (
     mode_value, ntile, number_rows, quantiles, rank_by_value, rank_quantile_bin, shift,
 )
 
-GROUP_LIMIT = 1000  # default of spark.sql.optimizer.windowGroupLimitThreshold
 QUINTILE_LABELS = ["Very Low", "Low", "Medium", "High", "Very High"]
 
 
@@ -179,11 +178,8 @@ def top_k(df: DataFrame, by: str, value: str, k: int) -> DataFrame:
 def top_k_per_group(df: DataFrame, group: str, key: str, score: Column, k: int) -> DataFrame:
     """T-02, T-03: best k per group; the ``<= k`` filter limits each task before the shuffle.
 
-    Spark does so up to a threshold of k; beyond it the sliced numbering is used.
+    Sessions of this library lift Spark's threshold on k for that (1000).
     """
-    if k > GROUP_LIMIT:
-        ranked = number_rows(df.withColumn("score", score), [F.desc("score"), F.col(key)], [group], "position", "_n").drop("_n")
-        return ranked.where(F.col("position") <= k)
     w = Window.partitionBy(group).orderBy(F.desc("score"), key)
     ranked = df.withColumn("score", score).withColumn("position", F.row_number().over(w))
     return ranked.where(F.col("position") <= k)
@@ -207,9 +203,6 @@ def value_counts(df: DataFrame, by: str, k: int) -> DataFrame:
 
 def recent_per_topic(df: DataFrame, topic: str, ts: str, tie: str, n: int) -> DataFrame:
     """T-06: newest n events per topic."""
-    if n > GROUP_LIMIT:
-        rows = number_rows(df, [F.desc(ts), F.desc(tie)], [topic], "_rn", "_n")
-        return rows.where(F.col("_rn") <= n).drop("_rn", "_n")
     w = Window.partitionBy(topic).orderBy(F.desc(ts), F.desc(tie))
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 

@@ -88,7 +88,7 @@ def _(t):
 
 _GRAM2 = "list_transform(range(1, greatest(len(w), 1)::BIGINT), lambda i: w[i] || ' ' || w[i + 1])"
 _GRAM3 = "list_transform(range(1, greatest(len(w) - 1, 1)::BIGINT), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])"
-_PHR = f"""ph AS (SELECT feedback_id, created_at, source, unnest(list_distinct(list_filter(list_concat({_GRAM2}, {_GRAM3}), lambda g: length(g) <= 50))) AS phrase
+_PHR = f"""ph AS (SELECT feedback_id, created_at, source, unnest(list_distinct(list_concat({_GRAM2}, {_GRAM3}))) AS phrase
   FROM (SELECT feedback_id, created_at, source, {_WORDS} AS w FROM (SELECT *, {_CLEAN} AS clean FROM fbk)))"""
 
 
@@ -122,7 +122,7 @@ def _(t):
 
 
 @plan("d38_daily_metrics", f"""WITH {_ANA}, x AS (SELECT *, unnest(categories) AS category FROM ana WHERE created_at::DATE BETWEEN DATE '2024-01-01' AND DATE '2024-01-30'),
-  p AS (SELECT date, source, category, count(DISTINCT g) AS distinct_phrases FROM (SELECT created_at::DATE AS date, source, category, unnest(list_filter({_GRAM2}, lambda g: length(g) <= 50)) AS g
+  p AS (SELECT date, source, category, count(DISTINCT g) AS distinct_phrases FROM (SELECT created_at::DATE AS date, source, category, unnest({_GRAM2}) AS g
     FROM (SELECT *, {_WORDS} AS w FROM x)) GROUP BY 1, 2, 3),
   g AS (SELECT created_at::DATE AS date, source, category, {_CNT} FROM x GROUP BY 1, 2, 3) SELECT g.*, coalesce(distinct_phrases, 0) AS distinct_phrases FROM g LEFT JOIN p USING (date, source, category)""")
 def _(t):

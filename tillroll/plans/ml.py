@@ -74,7 +74,13 @@ def _(t):
     train, test = M.split(rows, "customer_id")
     model = M.fit_classifier(train, "label", M.preparation(["frequency", "monetary"], scale=False), weight="weight", trees=10)
     out = M.score(model, test, "customer_id", ["frequency", "monetary"])
-    return out.withColumn("risk_level", M.risk_level(F.col("confidence")))
+    return out.withColumn("risk_level", M.risk_level(F.col("probability")))
+
+
+@plan("m20_risk_levels", """SELECT customer_id, customer_id % 101 / 100.0::DOUBLE AS probability,
+  CASE WHEN customer_id % 101 >= 70 THEN 'high' WHEN customer_id % 101 >= 40 THEN 'medium' ELSE 'low' END AS risk_level FROM cst""")
+def _(t):
+    return t.cst.select("customer_id", (F.col("customer_id") % 101 / 100.0).alias("probability")).withColumn("risk_level", M.risk_level(F.col("probability")))
 
 
 @plan("m07_clv_regression")

@@ -117,17 +117,17 @@ def _(t):
     return P.velocity_scores(tracking(t), DAY, 48)
 
 
-_RANK = """rk AS (SELECT order_date::DATE AS date, product_id, sum(quantity)::DOUBLE AS sales_volume, sum(item_total)::DOUBLE AS revenue FROM sal WHERE order_date::DATE BETWEEN DATE '2001-07-01' AND DATE '2001-07-31' GROUP BY 1, 2),
-  rkn AS (SELECT rk.*, category, row_number() OVER (PARTITION BY date ORDER BY sales_volume DESC, product_id) AS rank_position FROM rk JOIN prd USING (product_id) QUALIFY rank_position <= 100)"""
+_RANK = """rk AS (SELECT order_date::DATE AS date, product_id, sum(quantity)::DOUBLE AS sales_volume, sum(item_total)::DOUBLE AS revenue FROM sal GROUP BY 1, 2),
+  rkn AS (SELECT rk.*, category, row_number() OVER (PARTITION BY date ORDER BY sales_volume DESC, product_id) AS rank_position FROM rk JOIN prd USING (product_id))"""
 
 
 def ranking(t):
-    return P.rankings(t.prd, t.sales, "2001-07-01", "2001-07-31", 100)
+    return P.rankings(t.prd, t.sales)
 
 
-@plan("d22_rankings", f"WITH {_SAL}, {_RANK} SELECT * FROM rkn")
+@plan("d22_rankings", f"WITH {_SAL}, {_RANK} SELECT * FROM rkn WHERE rank_position <= 100")
 def _(t):
-    return ranking(t)
+    return P.rankings(t.prd, t.sales, limit=100)
 
 
 @plan("d21_detect_trends", f"""WITH {_SAL}, {_RANK}, {_velocity(1, 24)}, j AS (SELECT c.product_id, c.sales_volume AS s, CASE WHEN p.sales_volume > 0 THEN (c.sales_volume - p.sales_volume) / p.sales_volume ELSE 1.0::DOUBLE END AS g, velocity_score
@@ -141,7 +141,7 @@ def _(t):
 _BOARD = """brd AS (SELECT c.product_id, product_name, stock_quantity, c.date, c.rank_position, c.sales_volume, c.revenue, p.rank_position AS previous_rank, coalesce(c.rank_position - p.rank_position, 0) AS rank_change,
     CASE WHEN p.sales_volume > 0 THEN round((c.sales_volume - p.sales_volume) / p.sales_volume * 100, 2) ELSE 100 END AS growth_percentage,
     CASE WHEN stock_quantity <= 10 THEN 'critical' WHEN stock_quantity <= 50 THEN 'low' WHEN stock_quantity <= 100 THEN 'medium' ELSE 'good' END AS stock_status,
-    round(stock_quantity / c.sales_volume, 1) AS days_to_stockout FROM rkn c LEFT JOIN rkn p ON p.product_id = c.product_id AND p.date = c.date - 1 JOIN prd ON prd.product_id = c.product_id)"""
+    round(stock_quantity / c.sales_volume, 1) AS days_to_stockout FROM rkn c LEFT JOIN rkn p ON p.product_id = c.product_id AND p.date = c.date - 1 JOIN prd ON prd.product_id = c.product_id WHERE c.rank_position <= 100)"""
 
 
 @plan("d23_dashboard", f"WITH {_SAL}, {_RANK}, {_BOARD} SELECT * FROM brd")

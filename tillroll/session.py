@@ -13,6 +13,10 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # Limits of any size on row numbers are taken in each task before the shuffle.
+    "spark.sql.optimizer.windowGroupLimitThreshold": str(2**31 - 1),
+    # Pinned tables are removed once nothing refers to them.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -57,13 +61,3 @@ def pin(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
-
-
-def spread_small(df: DataFrame, key: str, limit: int = 1 << 30) -> DataFrame:
-    """Spread a small input over all cores before heavy work per row.
-
-    A file with one row group is one task however many cores there are. The size comes from the plan's
-    statistics; larger inputs have many splits and are left as they are.
-    """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key) if size < limit else df

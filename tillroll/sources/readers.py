@@ -8,15 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-# Options of the topic reader.
-KAFKA_OPTIONS = {"startingOffsets": "latest", "maxOffsetsPerTrigger": "1000", "failOnDataLoss": "false"}
+# Options of the topic reader: the whole backlog, no cap on a batch, lost records stop the job. Callers pass others.
+KAFKA_OPTIONS = {"startingOffsets": "earliest", "failOnDataLoss": "true"}
 
 
 def kafka_raw(spark: SparkSession, servers: str, topic: str, streaming: bool = True, **options: str) -> DataFrame:
     """SRC-01: the topic's records. Needs the Kafka connector on the class path."""
     reader = (spark.readStream if streaming else spark.read).format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
-    chosen = KAFKA_OPTIONS if streaming else {"failOnDataLoss": "false"}
-    return reader.options(**{**chosen, **options}).load()
+    return reader.options(**{**KAFKA_OPTIONS, **options}).load()
 
 
 def parse_topic(records: DataFrame, schema: str, keep_bad: bool = False) -> DataFrame:
