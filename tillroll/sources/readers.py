@@ -48,10 +48,20 @@ def rows_per_file(df: DataFrame) -> DataFrame:
 
 
 def latest_file(df: DataFrame) -> DataFrame:
-    """SRC-04: rows of the newest file (by modification time, then by path) among those read."""
-    meta = df.select(F.col("_metadata.file_modification_time").alias("m"), F.col("_metadata.file_path").alias("p")).distinct()
-    newest = meta.agg(F.max_by("p", F.struct("m", "p")).alias("p")).scalar()
-    return df.where(F.col("_metadata.file_path") == newest)
+    """SRC-04: rows of the newest file (by modification time, then by path) among those read.
+
+    The times come from the file listing, not from the rows; the filter on a constant path leaves one file to read.
+    """
+    spark = df.sparkSession
+    newest = None
+    for name in df.inputFiles():
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        at = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
+        newest = max(newest or (at, name), (at, name))
+    if newest is None:
+        return df
+    spellings = {newest[1], newest[1].replace("file:///", "file:/", 1), newest[1].replace("file:/", "file:///", 1) if not newest[1].startswith("file:///") else newest[1]}
+    return df.where(F.col("_metadata.file_path").isin(*spellings))
 
 
 def read_json_array(spark: SparkSession, paths: str | Sequence[str], schema: StructType | str | None = None) -> DataFrame:

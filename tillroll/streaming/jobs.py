@@ -121,6 +121,18 @@ def route(records: DataFrame, schemas: Mapping[str, str]) -> dict[str, DataFrame
     return {topic: parse_topic(records.where(F.col("topic") == topic), schema) for topic, schema in schemas.items()}
 
 
+def route_sink(folder: str, schemas: Mapping[str, str]) -> Callable[[DataFrame, int], None]:
+    """ST-15: one read of the batch for all topics; each topic's rows, parsed with its schema, go to its own directory."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            for topic, rows in route(batch, schemas).items():
+                rows.write.mode("overwrite").parquet(f"{folder}/{topic}/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
+    return write
+
+
 # ---- sinks and lifecycle ----------------------------------------------------------------------------
 
 def start_batches(df: DataFrame, name: str, write: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False, mode: str = "append",
