@@ -6,7 +6,7 @@ the order in which partitions arrive.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -51,3 +51,11 @@ def ladder(value: Column, steps: list[tuple[object, str]], default: str | None)
         cond = test if isinstance(test, Column) else value > F.lit(test)
         out = F.when(cond, label) if out is None else out.when(cond, label)
     return out.otherwise(F.lit(default))
+
+
+def grand_total(grouped: DataFrame, *columns: str) -> Column:
+    """Sums of ``columns`` over all rows of a grouped frame, as a struct.
+
+    Ask for all its aggregates: then both uses of ``grouped`` have the same plan and Spark runs its shuffle once, so the rows below are read once.
+    """
+    return grouped.agg(F.struct(*[F.sum(c).alias(c) for c in columns]).alias("t")).scalar()

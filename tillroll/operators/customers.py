@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.dates import whole_days
 from tillroll.functions.numbers import davg, dsum, ratio
+from tillroll.session import pin
 from tillroll.operators.ordering import ntile, number_rows, quantiles
 from tillroll.operators.windows import rank_quintile, value_bins
 
@@ -20,10 +21,13 @@ def since(ts: str, as_of: str, days: int) -> Column:
 def customer_metrics(orders: DataFrame, customers: DataFrame, as_of: str, days: int = 365) -> DataFrame:
     """D-01: figures per customer over the last ``days`` and the new-customer flag (registered <= 90 days)."""
     now = F.lit(as_of).cast("timestamp_ntz")
-    g = orders.where(since("order_date", as_of, days)).groupBy("customer_id").agg(
-        F.max("order_date").alias("last_order_date"), F.min("order_date").alias("first_order_date"),
-        F.countDistinct("order_id").alias("order_frequency"), F.sum("total_amount").alias("_m"),
-        F.countDistinct(F.trunc("order_date", "month")).alias("active_months"))
+    # Folded per order, then per month: an order lies in one month, so both distinct counts are row counts.
+    per_order = orders.where(since("order_date", as_of, days)).groupBy("customer_id", "order_id").agg(
+        F.max("order_date").alias("_b"), F.min("order_date").alias("_a"), F.sum("total_amount").alias("_m"))
+    per_month = per_order.groupBy("customer_id", F.trunc("_b", "month").alias("_month")).agg(F.max("_b").alias("_b"), F.min("_a").alias("_a"), F.count("*").alias("_n"), F.sum("_m").alias("_m"))
+    g = per_month.groupBy("customer_id").agg(
+        F.max("_b").alias("last_order_date"), F.min("_a").alias("first_order_date"), F.sum("_n").alias("order_frequency"), F.sum("_m").alias("_m"),
+        F.count("*").alias("active_months"))
     out = g.join(customers.select("customer_id", "customer_segment", "registration_date"), "customer_id", "left")
     age = whole_days(F.col("registration_date"), now)
     return out.select(
@@ -35,11 +39,11 @@ def customer_metrics(orders: DataFrame, customers: DataFrame, as_of: str, days:
 def rfm_scores(metrics: DataFrame, best_is_high: bool = True) -> DataFrame:
     """D-01: NTILE(5) scores. ``best_is_high=False`` keeps the source order in which 1 is best (G-01)."""
     up, down = (F.desc, F.asc) if best_is_high else (F.asc, F.desc)
-    out = metrics
+    out = metrics = pin(metrics)  # read four times below; only (key, value) is sorted and written for a rank
     for name, value, way in (("recency_score", "recency_days", up), ("frequency_score", "order_frequency", down),
                              ("monetary_score", "total_monetary", down)):
-        out = number_rows(out, [way(value), F.col("customer_id")], (), "_rn", "_n")
-        out = out.withColumn(name, ntile(F.col("_rn"), F.col("_n"), 5)).drop("_rn", "_n")
+        places = number_rows(metrics.select("customer_id", value), [way(value), F.col("customer_id")], (), "_rn", "_n")
+        out = out.join(places.select("customer_id", ntile(F.col("_rn"), F.col("_n"), 5).alias(name)), "customer_id")
     return out.withColumn("total_rfm_score", F.col("recency_score") + F.col("frequency_score") + F.col("monetary_score"))
 
 

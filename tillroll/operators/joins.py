@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.functions.numbers import davg, dsum, pct, ratio
+from tillroll.functions.numbers import davg, dsum, grand_total, pct, ratio
 from tillroll.operators.ordering import quantiles
 
 
@@ -85,10 +85,9 @@ def previous_day(daily: DataFrame, keys: Sequence[str], day: str, columns: Seque
 
 
 def share_of_total(df: DataFrame, by: str, value: str) -> DataFrame:
-    """J-08, J-14: sum per group and its share of the grand total (scalar subquery)."""
+    """J-08, J-14: sum per group and its share of the grand total (scalar subquery over the groups)."""
     g = df.groupBy(by).agg(F.sum(value).alias("_v"))
-    total = df.agg(F.sum(value).alias("t")).scalar()
-    return g.select(by, F.col("_v").cast("double").alias("value"), pct(F.col("_v"), total).alias("share_pct"))
+    return g.withColumn("_t", grand_total(g, "_v")).select(by, F.col("_v").cast("double").alias("value"), pct(F.col("_v"), F.col("_t._v")).alias("share_pct"))
 
 
 def with_partner(df: DataFrame, other: DataFrame, on: str) -> DataFrame:

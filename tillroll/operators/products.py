@@ -39,9 +39,14 @@ def period_sales(sales: DataFrame, start: Column, end: Column | None = None) ->
     rows = sales.where(F.col("order_date") >= start)
     if end is not None:
         rows = rows.where(F.col("order_date") < end)
-    return rows.groupBy("product_id").agg(
-        F.sum("quantity").alias("_q"), F.sum("item_total").alias("_v"), F.countDistinct("order_id").alias("order_count"),
-        F.countDistinct("customer_id").alias("unique_customers"))
+    return fold_buyers(rows, "product_id", _q="quantity", _v="item_total")
+
+
+def fold_buyers(rows: DataFrame, by: str, **sums: str) -> DataFrame:
+    """Sums, orders and customers per ``by``: folded per order, then per customer, so the distinct counts are row counts and no line is copied per count."""
+    per_order = rows.groupBy(by, "customer_id", "order_id").agg(F.count("*").alias("_lines"), *[F.sum(c).alias(n) for n, c in sums.items()])
+    per_customer = per_order.groupBy(by, "customer_id").agg(F.count("*").alias("order_count"), *[F.sum(n).alias(n) for n in sums])
+    return per_customer.groupBy(by).agg(F.sum("order_count").alias("order_count"), F.count("*").alias("unique_customers"), *[F.sum(n).alias(n) for n in sums])
 
 
 def best_sellers(products: DataFrame, sales: DataFrame, views: DataFrame, as_of: str, timeframe: str = "day", limit: int | None = 50,
@@ -102,7 +107,7 @@ def category_performance(products: DataFrame, sales: DataFrame, views: DataFrame
     g = p.groupBy("category").agg(
         F.count("*").alias("total_products"), F.sum("_q").alias("_q"), F.sum("_v").alias("_v"), F.sum(conv).alias("_c"), F.sum("_lines").alias("_l"),
         F.min_by("product_id", F.struct(-F.col("_q"), F.col("product_id"))).alias("top_product_id"), F.max("_q").cast("double").alias("top_product_sales"))
-    orders = now.groupBy("category").agg(F.countDistinct("order_id").alias("total_orders"), F.countDistinct("customer_id").alias("unique_customers"))
+    orders = fold_buyers(now, "category").withColumnRenamed("order_count", "total_orders")
     past = rows.where((F.col("order_date") >= _at(as_of, f"{2 * days} DAY")) & (F.col("order_date") < _at(as_of, f"{days} DAY"))).groupBy(
         "category").agg(F.sum("quantity").alias("_pq"))
     market = now.agg(F.sum("item_total").alias("m")).scalar()

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.functions.numbers import davg, dsum, money_avg, pct, ratio
+from tillroll.functions.numbers import davg, dsum, grand_total, money_avg, pct, ratio
 from tillroll.operators.ordering import quantiles
 
 def order_day() -> Column:
@@ -21,9 +21,9 @@ def order_day() -> Column:
 
 def sales_kpis(orders: DataFrame) -> DataFrame:
     """A-01: one row of headline figures."""
-    base = orders.agg(F.countDistinct("customer_id").alias("total_customers"),
-                      F.countDistinct("order_id").alias("total_orders"),
-                      dsum("total_amount").alias("total_revenue"), davg("total_amount").alias("avg_order_value"))
+    per_order = orders.groupBy("customer_id", "order_id").agg(F.sum("total_amount").alias("_v"), F.count("total_amount").alias("_c"))
+    per_customer = per_order.groupBy("customer_id").agg(F.count("order_id").alias("_o"), F.sum("_v").alias("_v"), F.sum("_c").alias("_c"))
+    base = per_customer.agg(F.count("customer_id").alias("total_customers"), F.coalesce(F.sum("_o"), F.lit(0)).alias("total_orders"), dsum("_v").alias("total_revenue"), ratio(F.sum("_v"), F.sum("_c")).alias("avg_order_value"))
     return base.select("*", ratio(F.col("total_orders"), F.col("total_customers"), 0).alias("orders_per_customer"),
                        ratio(F.col("total_revenue"), F.col("total_customers"), 0).alias("revenue_per_customer"))
 
@@ -68,9 +68,10 @@ def dsum_max(c: str) -> Column:
 
 def distribution(df: DataFrame, by: str, value: str | None = None) -> DataFrame:
     """A-06: rows and optional value per ``by``, with the share of all rows."""
-    aggs = [F.count("*").alias("n")] + ([dsum(value).alias("value")] if value else [])
-    out = df.groupBy(by).agg(*aggs)
-    return out.withColumn("share_pct", pct(F.col("n"), df.agg(F.count("*").alias("n")).scalar()))
+    g = df.groupBy(by).agg(F.count("*").alias("n"), *([F.sum(value).alias("value")] if value else []))
+    out = g.withColumn("_t", grand_total(g, "n", *(["value"] if value else [])))
+    out = out.withColumn("share_pct", pct(F.col("n"), F.col("_t.n"))).drop("_t")
+    return out.withColumn("value", F.col("value").cast("double")) if value else out
 
 
 def group_performance(items: DataFrame, orders: DataFrame, side: DataFrame, on: str, by: str) -> DataFrame:
@@ -124,10 +125,12 @@ def place_period_kpis(orders: DataFrame, customers: DataFrame, place: str, perio
     """A-10: KPI per place and quarter (or per platform and month), with one method's adoption rate."""
     label = F.date_trunc(period, "order_date").cast("date").alias("period_start")
     rows = orders.join(customers.select("customer_id", place), "customer_id")
-    return rows.groupBy(place, label).agg(
-        F.countDistinct("order_id").alias("orders"), F.countDistinct("customer_id").alias("customers"),
-        dsum("total_amount").alias("revenue"), davg("total_amount").alias("avg_order_value"),
-        pct(F.count_if(F.col("payment_method") == "1-URGENT"), F.count("*")).alias("adoption_pct"))
+    # Folded per order, then per customer, so the distinct counts are row counts and no row is copied per count.
+    per_order = rows.groupBy(place, label, "customer_id", "order_id").agg(F.count("*").alias("_l"), F.sum("total_amount").alias("_v"), F.count("total_amount").alias("_c"), F.count_if(F.col("payment_method") == "1-URGENT").alias("_u"))
+    per_customer = per_order.groupBy(place, "period_start", "customer_id").agg(F.count("*").alias("_o"), *[F.sum(c).alias(c) for c in ("_l", "_v", "_c", "_u")])
+    return per_customer.groupBy(place, "period_start").agg(
+        F.sum("_o").alias("orders"), F.count("*").alias("customers"), dsum("_v").alias("revenue"), ratio(F.sum("_v"), F.sum("_c")).alias("avg_order_value"),
+        pct(F.sum("_u"), F.sum("_l")).alias("adoption_pct"))
 
 
 def hourly_rollup(activity: DataFrame, by: str) -> DataFrame:

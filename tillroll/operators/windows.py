@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.functions.numbers import dsum, pct, ratio
+from tillroll.functions.numbers import dsum, grand_total, pct, ratio
 from tillroll.operators.ordering import (
     mode_value, ntile, number_rows, quantiles, rank_by_value, rank_quantile_bin, shift,
 )
@@ -104,8 +104,8 @@ def nested_shares(df: DataFrame, outer: str, inner: str) -> DataFrame:
     """W-10: rows per (outer, inner), share of the outer group and of all rows."""
     g = df.groupBy(outer, inner).agg(F.count("*").alias("n"))
     o = g.groupBy(outer).agg(F.sum("n").alias("_o"))
-    return g.join(o, outer).withColumn("share_of_group_pct", pct(F.col("n"), F.col("_o"))).withColumn(
-        "share_of_all_pct", pct(F.col("n"), df.agg(F.count("*").alias("n")).scalar())).drop("_o")
+    return g.join(o, outer).withColumn("_t", grand_total(g, "n")).withColumn("share_of_group_pct", pct(F.col("n"), F.col("_o"))).withColumn(
+        "share_of_all_pct", pct(F.col("n"), F.col("_t.n"))).drop("_o", "_t")
 
 
 def daily_series(rows: DataFrame, by: str, ts: str, value: str) -> DataFrame:
