@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions import text as X
@@ -174,7 +174,7 @@ def rankings(products: DataFrame, sales: DataFrame, first: str | None = None, la
     if last is not None:
         rows = rows.where(day <= F.lit(last).cast("date"))
     g = rows.groupBy(day.alias("date"), "product_id").agg(dsum("quantity").alias("sales_volume"), dsum("item_total").alias("revenue"))
-    ranked = number_rows(g, [F.desc("sales_volume"), F.col("product_id")], ["date"], "rank_position", "_n").drop("_n")
+    ranked = g.withColumn("rank_position", F.row_number().over(Window.partitionBy("date").orderBy(F.desc("sales_volume"), "product_id")).cast("bigint"))
     ranked = ranked.where(F.col("rank_position") <= limit) if limit else ranked
     return ranked.join(products.select("product_id", "category"), "product_id")
 

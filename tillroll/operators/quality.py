@@ -221,11 +221,13 @@ def check_contract(df: DataFrame, json_text: str, contract: Contract) -> DataFra
     contract demands. strict: everything is an error; moderate: only malformed, required, type and range;
     lenient: only malformed and range (required and type become warnings, the rest is ignored).
     """
-    rows = df.withColumns({"_doc": F.try_parse_json(json_text), "_keys": F.json_object_keys(json_text)})
+    # Each step is exploded from an array of one, so Spark keeps its values instead of computing them anew for every test that uses them.
+    once = lambda rows, **values: rows.select("*", F.explode(F.array(F.struct(*[v.alias(k) for k, v in values.items()]))).alias("_v")).select(*rows.columns, "_v.*")
+    rows = once(df, _doc=F.try_parse_json(json_text), _keys=F.json_object_keys(json_text))
     wanted = [*contract.fields, *[n for n in contract.ranges if n not in contract.fields]]
     value = lambda n, kind: F.try_variant_get("_doc", f"$.{n}", kind)
-    rows = rows.withColumns({f"_f{i}": F.struct(F.array_contains("_keys", n).alias("there"), F.schema_of_variant(value(n, "variant")).alias("kind"), value(n, "string").alias("text"))
-                             for i, n in enumerate(wanted)})
+    rows = once(rows, **{f"_f{i}": F.struct(F.array_contains("_keys", n).alias("there"), F.schema_of_variant(value(n, "variant")).alias("kind"), value(n, "string").alias("text"))
+                         for i, n in enumerate(wanted)})
     tests = [F.when(F.col("_doc").isNull() | F.col("_keys").isNull(), "malformed")]
     tests += [F.when(~F.array_contains("_keys", n), f"required:{n}") for n in contract.required]
     for i, (name, f) in enumerate(contract.fields.items()):

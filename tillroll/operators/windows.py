@@ -82,9 +82,9 @@ def rank_measures(df: DataFrame, key: str, measures: Sequence[str]) -> DataFrame
 
 
 def mean_gap(orders: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
-    """W-06: mean whole days to the next order. The lead is an equi-join on the row number."""
-    rows = shift(orders.select(key, ts, tie), [ts], [F.col(ts), F.col(tie)], [key])
-    gap = F.floor((F.unix_timestamp(F.col(f"next_{ts}").cast("timestamp")) - F.unix_timestamp(F.col(ts).cast("timestamp"))) / 86400)
+    """W-06: mean whole days to the next order; a window over the orders of one customer, which spills if there are many."""
+    rows = orders.select(key, ts, tie).withColumn("_next", F.lead(ts).over(Window.partitionBy(key).orderBy(ts, tie)))
+    gap = F.floor((F.unix_timestamp(F.col("_next").cast("timestamp")) - F.unix_timestamp(F.col(ts).cast("timestamp"))) / 86400)
     return rows.withColumn("_gap", gap).groupBy(key).agg(
         F.count("*").alias("orders"), ratio(F.sum("_gap"), F.count("_gap")).alias("avg_days_to_next"))
 
@@ -142,9 +142,9 @@ def month_over_month(df: DataFrame, ts: str, value: str) -> DataFrame:
 def rank_change(daily: DataFrame, key: str, day: str, value: str) -> DataFrame:
     """W-14: rank per day, rank change and growth against the day before.
 
-    Ranks go through the sliced numbering, so a day with a third of the rows is not one task.
+    The input has one row per product and day, so a day is at most the catalogue: a window per day, which spills if it must.
     """
-    ranked = number_rows(daily, [F.desc(value), F.col(key)], [day], "rank_position", "_n").drop("_n")
+    ranked = daily.withColumn("rank_position", F.row_number().over(Window.partitionBy(day).orderBy(F.desc(value), key)).cast("bigint"))
     before = ranked.select(key, F.date_add(day, 1).alias(day), F.col("rank_position").alias("previous_rank"),
                            F.col(value).alias("_pv"))
     grown = F.when(F.col("_pv") > 0, (F.col(value) - F.col("_pv")) / F.col("_pv") * 100).otherwise(100.0)
