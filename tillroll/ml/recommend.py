@@ -24,31 +24,37 @@ def unit_vectors(weights: DataFrame, key: str, token: str, value: str) -> DataFr
     return rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("t", "w"))).alias("vector"))
 
 
+def _postings(vectors) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Places and weights of every token: as large as the vectors, whatever the vocabulary."""
+    lists: dict[str, tuple[list[int], list[float]]] = {}
+    for j, vec in enumerate(vectors):
+        for e in vec:
+            at, w = lists.setdefault(e["t"], ([], []))
+            at.append(j)
+            w.append(e["w"])
+    return {t: (np.array(at), np.array(w)) for t, (at, w) in lists.items()}
+
+
 def _best_of_block(key: str, k: int):
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        left = pdf[pdf["side"] == 0]
+        right = pdf[pdf["side"] == 1]
+        alone = pdf["lb"].iloc[0] == pdf["rb"].iloc[0]  # a block with itself
+        right = left if alone else right
         if left.empty or right.empty:
             return pd.DataFrame({key: [], "other": [], "similarity": []})
-        vocab: dict[str, int] = {}
-        for vec in right["vector"]:
+        index = _postings(right["vector"])
+        sims = np.zeros((len(left), len(right)))  # at most BLOCK x BLOCK
+        for i, vec in enumerate(left["vector"]):
             for e in vec:
-                vocab.setdefault(e["t"], len(vocab))
-        matrix = np.zeros((len(vocab), len(right)))
-        for j, vec in enumerate(right["vector"]):
-            for e in vec:
-                matrix[vocab[e["t"]], j] = e["w"]
-        ids = right[key].to_numpy()
+                if (p := index.get(e["t"])) is not None:
+                    sims[i, p[0]] += e["w"] * p[1]
+        sims = np.round(sims, 6)
         out = []
-        for own, vec in zip(left[key].to_numpy(), left["vector"]):
-            sims = np.zeros(len(right))
-            for e in vec:
-                at = vocab.get(e["t"])
-                if at is not None:
-                    sims += e["w"] * matrix[at]
-            sims = np.round(sims, 6)
-            order = np.lexsort((ids, -sims))
-            found = [(own, ids[j], sims[j]) for j in order[:k + 1] if ids[j] != own and sims[j] > 0][:k]
-            out.extend(found)
+        for table, own, others in ((sims, left[key].to_numpy(), right[key].to_numpy()), *(() if alone else ((sims.T, right[key].to_numpy(), left[key].to_numpy()),))):
+            for i, row in enumerate(table):
+                order = np.lexsort((others, -row))[:k + 1]
+                out.extend([(own[i], others[j], row[j]) for j in order if others[j] != own[i] and row[j] > 0][:k])
         return pd.DataFrame(out, columns=[key, "other", "similarity"])
     return best
 
@@ -56,16 +62,15 @@ def _best_of_block(key: str, k: int):
 def top_similar(vectors: DataFrame, key: str, k: int) -> DataFrame:
     """M-10, M-14: the exact k nearest vectors by cosine, ties by key; pairs that share nothing are left out.
 
-    The vectors are laid out on a grid of blocks. One task multiplies two blocks and keeps k rows per left
-    vector, so no pair list exists, no token or group is hot and no partner is capped. The work is the
-    square of the number of vectors, spread over (n / block)^2 tasks: fold equal vectors first.
+    The vectors are laid out on one half of a grid of blocks. A task multiplies two blocks through the postings of one and keeps k rows per vector
+    of either, so no pair list exists, no token or group is hot, no partner is capped, and memory depends on the block, not on the vocabulary. The
+    work is the square of the number of vectors, spread over (n / block)^2 / 2 tasks: fold equal vectors first.
     """
     vectors = pin(vectors)
     blocks = max(1, math.ceil(vectors.count() / BLOCK))
     placed = vectors.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(blocks)))
-    every = F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))
-    left = placed.select(F.col("_b").alias("lb"), F.explode(every).alias("rb"), F.lit(0).alias("side"), key, "vector")
-    right = placed.select(F.explode(every).alias("lb"), F.col("_b").alias("rb"), F.lit(1).alias("side"), key, "vector")
+    left = placed.select(F.col("_b").alias("lb"), F.explode(F.sequence(F.col("_b"), F.lit(blocks - 1).cast("bigint"))).alias("rb"), F.lit(0).alias("side"), key, "vector")
+    right = placed.where(F.col("_b") > 0).select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_b") - 1)).alias("lb"), F.col("_b").alias("rb"), F.lit(1).alias("side"), key, "vector")
     kind = dict(vectors.dtypes)[key]
     found = left.unionByName(right).groupBy("lb", "rb").applyInPandas(_best_of_block(key, k), f"{key} {kind}, other {kind}, similarity double")
     w = Window.partitionBy(key).orderBy(F.desc("similarity"), "other")
