@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from collections.abc import Callable, Iterator
@@ -75,6 +76,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(small_enough(known, 4 * rows), "doc_id")
 
 
+def release(df: DataFrame) -> None:
+    """Spark removes shuffle files of finished plans when the driver's garbage is collected; asked for between phases so that they don't pile up."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over ``edges`` (a, b), for every id in them.
 
@@ -91,6 +98,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         e = pin(small)
+        del both, least, large, small
+        release(e)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break

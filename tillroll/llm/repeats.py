@@ -7,9 +7,10 @@ Two rounds are made: such a symbol has at most four words and follows from its w
 making lies wholly inside it (the one over its middle word), and equal windows hold the same ones. The least of their names, taken over the words that
 determine them (7 to 10 words), is the window's key; runs of windows share one.
 
-1. Documents with the same words are one: all but the smallest id repeat it wholly.
+1. Documents with the same text are one: all but the smallest id repeat it wholly.
 2. Keys of all windows are dealt by name; those in two documents mark the stretches that may repeat.
 3. Windows in marked stretches only are named by all their words and dealt by name: a window whose name starts in a document with a smaller id is a repeat.
+   What one batch of documents can tell by itself about a key or name is settled there, and such rows are spread over all tasks, so a frequent passage makes no hot key.
 4. The words of repeats are taken out of their documents.
 
 Windows are compared as they are in the input. Names have 64 bits. Rows of a name stream past in order, so a passage shared by a third of all documents needs no memory. A row without doc_id
@@ -18,7 +19,6 @@ keeps its words and repeats nothing; null text has no words; rows with one id ne
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import re
 from collections.abc import Iterator
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import SPACE, arrow_rows, small_enough, words_of
+from tillroll.llm.common import SPACE, arrow_rows, release, small_enough, words_of
 from tillroll.session import pin
 
 WINDOW = 13
@@ -103,13 +103,12 @@ def window_keys(names: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nd
     first = over[a] + (start[over[a]] < a)
     z = windows + WINDOW - AROUND - 1
     last = over[z] - (end[over[z]] > z + 1)
-    best, at = key[first], first.copy()
+    best = key[first]
     for k in range(1, WINDOW - 2 * AROUND):
         j = np.minimum(first + k, len(key) - 1)
-        less = (first + k <= last) & (key[j] < best)
-        best, at = np.where(less, key[j], best), np.where(less, j, at)
+        best = np.where((first + k <= last) & (key[j] < best), key[j], best)
     new = np.ones(len(windows), bool)
-    new[1:] = (at[1:] != at[:-1]) | (doc[windows[1:]] != doc[windows[:-1]])
+    new[1:] = (best[1:] != best[:-1]) | (doc[windows[1:]] != doc[windows[:-1]])
     runs = np.flatnonzero(new)
     return best[runs], doc[windows[runs]], windows[runs] - begin[doc[windows[runs]]], np.diff(np.append(runs, len(windows)))
 
@@ -123,10 +122,32 @@ def _texts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return word_names(words), np.array(sizes, np.int64)
 
 
+def _spread(n: int, seed: int) -> np.ndarray:
+    """Names without meaning for rows that need not meet others."""
+    return _mix(np.arange(n, dtype=np.uint64) + np.uint64(seed & (1 << 62)))
+
+
+def _groups(*sorted_: np.ndarray) -> np.ndarray:
+    """Where the groups of equal values begin."""
+    new = np.ones(len(sorted_[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in sorted_])
+    return np.flatnonzero(new)
+
+
 def _keys(batch: pa.RecordBatch) -> dict:
+    """Rows of window keys. Of a key that two documents of the batch have, two rows go to meet others; the rest is settled, and spread over all tasks."""
     key, doc, lo, n = window_keys(*_texts(batch))
+    order = np.lexsort((doc, key))
+    edge = _groups(key[order])
+    last = np.append(edge[1:], len(key))[: len(edge)] - 1
+    shared = doc[order[edge]] != doc[order[last]]
+    settled = np.zeros(len(key), bool)
+    settled[order] = np.repeat(shared, last - edge + 1)
+    settled[order[edge]] = settled[order[last]] = False
+    key[settled] = _spread(int(settled.sum()), int(key[0]) if len(key) else 0)
     at = pa.array(doc)
-    return {"key": pa.array(key.view(np.int64)), "doc_id": batch.column("doc_id").take(at), "variant": batch.column("variant").take(at), "lo": pa.array(lo.astype(np.int32)), "n": pa.array(n.astype(np.int32))}
+    return {"key": pa.array(key.view(np.int64)), "doc_id": batch.column("doc_id").take(at), "variant": batch.column("variant").take(at), "lo": pa.array(lo.astype(np.int32)), "n": pa.array(n.astype(np.int32)), "settled": pa.array(settled)}
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,16 +157,21 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
         key, doc = t.column("key").to_numpy(), t.column("doc_id").to_numpy()
-        edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        edge = _groups(key)
         last = np.append(edge[1:], len(key)) - 1
         shared = doc[edge] != doc[last]
         if hot is not None and key[0] == hot:
             shared[0] = True
         hot = key[-1] if shared[-1] else None
-        keep = np.repeat(shared, last - edge + 1)
-        held = None if shared[-1] else t.slice(int(edge[-1]))
+        keep = np.repeat(shared, last - edge + 1) | t.column("settled").to_numpy()
+        held = None
+        if not shared[-1]:
+            held = t.slice(int(edge[-1]))
+            keep[edge[-1]:] = False
         if keep.any():
             yield from t.filter(pa.array(keep)).select(["doc_id", "variant", "lo", "n"]).combine_chunks().to_batches()
+    if held is not None:
+        yield from held.filter(held.column("settled")).select(["doc_id", "variant", "lo", "n"]).combine_chunks().to_batches()
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,18 +179,19 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     name = owner = None
     for batch in batches:
         key, doc = batch.column("key").to_numpy(), batch.column("doc_id").to_numpy()
-        edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        edge = _groups(key)
         first = doc[edge]
         if name is not None and key[0] == name:
             first = first.copy()
             first[0] = owner
         name, owner = key[-1], first[-1]
-        later = doc > np.repeat(first, np.diff(np.append(edge, len(key))))
+        later = (doc > np.repeat(first, np.diff(np.append(edge, len(key))))) | batch.column("settled").to_numpy(zero_copy_only=False)
         if later.any():
-            yield from pa.Table.from_batches([batch]).filter(pa.array(later)).select(["doc_id", "variant", "at"]).combine_chunks().to_batches()
+            yield from pa.Table.from_batches([batch]).filter(pa.array(later)).select(["doc_id", "variant", "at", "more"]).combine_chunks().to_batches()
 
 
 def _windows(batch: pa.RecordBatch) -> dict:
+    """Rows of window names, one for a name in a document (further places in ``more``). Those behind a smaller document of the batch are settled."""
     names, sizes = _texts(batch)
     begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     at, doc = [], []
@@ -178,17 +205,24 @@ def _windows(batch: pa.RecordBatch) -> dict:
         at.append(found)
         doc.append(np.full(len(found), i))
     at, doc = np.concatenate(at), np.concatenate(doc)
-    return {"key": pa.array(named(names, at + begin[doc], WINDOW).view(np.int64) if len(at) else np.empty(0, np.int64)), "doc_id": batch.column("doc_id").take(pa.array(doc)), "variant": batch.column("variant").take(pa.array(doc)), "at": pa.array(at.astype(np.int32))}
-
-
-def _release(df: DataFrame) -> None:
-    """Spark removes shuffle files of finished plans when the driver's garbage is collected; asked for between phases so that they don't pile up."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    name = named(names, at + begin[doc], WINDOW) if len(at) else np.empty(0, np.uint64)
+    ids = batch.column("doc_id").to_numpy(zero_copy_only=False)[doc].astype(np.int64)
+    order = np.lexsort((at, doc, ids, name))
+    name, ids, doc, at = name[order], ids[order], doc[order], at[order]
+    one = _groups(name, doc)
+    stop = np.append(one[1:], len(name))[: len(one)]
+    more: list[list[int] | None] = [None] * len(one)
+    for g in np.flatnonzero(stop - one > 1).tolist():
+        more[g] = at[one[g] + 1:stop[g]].tolist()
+    name, ids, doc, at = name[one].copy(), ids[one], pa.array(doc[one]), at[one]
+    edge = _groups(name)
+    settled = ids > np.repeat(ids[edge], np.diff(np.append(edge, len(name))))
+    name[settled] = _spread(int(settled.sum()), int(name[0]) if len(name) else 0)
+    return {"key": pa.array(name.view(np.int64)), "doc_id": pa.array(ids), "variant": batch.column("variant").take(doc), "at": pa.array(at.astype(np.int32)), "more": pa.array(more, pa.list_(pa.int32())), "settled": pa.array(settled)}
 
 
 def _digest() -> Column:
-    return F.md5(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), SPACE, " ")))
+    return F.md5(F.coalesce("text", F.lit("")))
 
 
 def _variant(rows: DataFrame, mixed: DataFrame | None) -> DataFrame:
@@ -199,7 +233,7 @@ def _variant(rows: DataFrame, mixed: DataFrame | None) -> DataFrame:
 
 
 def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """(digest, first): words held by several rows and their smallest id; (doc_id, variant, places): starts of repeated windows, whole copies left out; (doc_id, several): ids with several texts, None without such. All written."""
+    """(digest, first): texts held by several rows and their smallest id; (doc_id, variant, places): starts of repeated windows, whole copies left out; (doc_id, several): ids with several texts, None without such. All written."""
     rows = docs.select("doc_id", "text", _digest().alias("digest")).where(F.col("doc_id").isNotNull())
     facts = pin(rows.select("doc_id", "digest"))
     copies = pin(facts.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("_last")).where("first < _last").select("digest", "first"))
@@ -207,14 +241,16 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     mixed = None if mixed.isEmpty() else mixed
     own = rows.join(small_enough(copies), "digest", "left").where("first IS NULL OR doc_id = first")
     own = _variant(own, mixed).select("doc_id", "variant", "text")
-    keys = arrow_rows(own, _keys, "key bigint, doc_id bigint, variant bigint, lo int, n int")
+    keys = arrow_rows(own, _keys, "key bigint, doc_id bigint, variant bigint, lo int, n int, settled boolean")
     marked = keys.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_shared, "doc_id bigint, variant bigint, lo int, n int")
     marked = pin(marked.groupBy("doc_id", "variant").agg(F.collect_list(F.struct("lo", "n")).alias("spans")))  # as many as a document has windows
-    _release(docs)
-    windows = arrow_rows(own.join(small_enough(marked.select("doc_id").distinct()), "doc_id", "left_semi").join(marked, ["doc_id", "variant"]), _windows, "key bigint, doc_id bigint, variant bigint, at int")
-    later = windows.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_later, "doc_id bigint, variant bigint, at int")
-    later = pin(later.groupBy("doc_id", "variant").agg(F.collect_list("at").alias("places")))
-    _release(docs)
+    del keys
+    release(docs)
+    windows = arrow_rows(own.join(small_enough(marked.select("doc_id").distinct()), "doc_id", "left_semi").join(marked, ["doc_id", "variant"]), _windows, "key bigint, doc_id bigint, variant bigint, at int, more array<int>, settled boolean")
+    later = windows.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_later, "doc_id bigint, variant bigint, at int, more array<int>")
+    del windows
+    later = pin(later.groupBy("doc_id", "variant").agg(F.concat(F.collect_list("at"), F.flatten(F.collect_list("more"))).alias("places")))
+    release(docs)
     return copies, later, mixed
 
 
