@@ -1,9 +1,8 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
 
 Fitting, on a sample of at most about ``sample`` labelled documents (all of them if there are fewer; the bound is what is broadcast): Spark
-counts, for every word, the labelled documents that hold it by label; words whose association with the label passes a
-chi-square test at ``chi`` stay (the others only add noise to a cosine over whole documents). Examples become TF-IDF vectors of
-unit length over these words. Their inverted index is cut into blocks of ``BLOCK`` examples; for each word and block it knows the largest weight.
+counts, for every term (word, and first four and five letters of a longer word), the labelled documents that hold it by label. Terms stay whose documents bear the label at least ``lift`` times as often as all do, and so often that chance does
+it with a probability under exp(-``surprise``) (Chernoff bound of the binomial); the others only add noise to a cosine over whole documents. Near copies count as one example. Examples become TF-IDF vectors of unit length over these terms. Their inverted index is cut into blocks of ``BLOCK`` examples; for each word and block it knows the largest weight.
 
 Scoring a text: the bound of a block is the product of the text's weights with the block's largest weights; blocks are opened from the
 largest bound down until no bound reaches the k-th cosine, so the k nearest are exact (ties by the smaller example id). They
@@ -20,6 +19,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,11 +31,22 @@ BLOCK = 64
 find_words = re.compile(r"\w+").findall
 
 
+def terms_in(text: str) -> Counter:
+    """Counts of the terms of a text: lower-cased words, and ``abcd~`` and ``abcde~`` for how longer ones begin."""
+    out: Counter = Counter()
+    for w, n in Counter(find_words(text.lower())).items():
+        for t in (w, w[:4] + "~", w[:5] + "~") if len(w) > 5 else (w, w[:4] + "~") if len(w) == 5 else (w,):
+            out[t] += n
+    return out
+
+
 class ToxicIndex:
     """The fitted examples; small (bounded by the sample), sent to the tasks with the function that uses it."""
 
     def __init__(self, words: list[str], idf: np.ndarray, ids: list[int], rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, k: int, base: float) -> None:
         self.word, self.idf, self.ids, self.labels, self.k, self.base = {w: i for i, w in enumerate(words)}, idf, np.array(ids, np.int64), labels, k, base
+        self.four = {t[:4]: i for t, i in self.word.items() if len(t) == 5 and t[-1] == "~"}
+        self.five = {t[:5]: i for t, i in self.word.items() if len(t) == 6 and t[-1] == "~"}
         n_blocks = -(-len(ids) // BLOCK)
         self.block_max = np.zeros((len(words), n_blocks))
         self.postings: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
@@ -50,8 +61,16 @@ class ToxicIndex:
         self.curve: tuple[list[float], list[float]] = ([0.0, 1.0], [0.0, 1.0])
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        known = self.word
-        counts = Counter([known[w] for w in find_words(text.lower()) if w in known])
+        counts: Counter = Counter()
+        whole, four, five = self.word, self.four, self.five
+        for w, n in Counter(find_words(text.lower())).items():
+            if w in whole:
+                counts[whole[w]] += n
+            if len(w) > 4:
+                if w[:4] in four:
+                    counts[four[w[:4]]] += n
+                if len(w) > 5 and w[:5] in five:
+                    counts[five[w[:5]]] += n
         terms = np.array(sorted(counts), np.int64)
         return unit(terms, np.array([counts[t] for t in terms.tolist()], float), self.idf)
 
@@ -113,21 +132,22 @@ def unit(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.nda
     return terms, w / np.sqrt((w * w).sum())
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", sample: int = 20_000, k: int = 15, chi: float = 24.0, words: int = 20_000) -> ToxicIndex:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", sample: int = 20_000, k: int = 15, surprise: float = 14.0, lift: float = 3.0, words: int = 20_000) -> ToxicIndex:
     """Index of the examples in a sample of at most about ``sample`` labelled documents, over at most ``words`` words."""
     rows = labelled_sample(docs, labels, label, learn, sample)
-    counted = arrow_rows(rows.select("doc_id", "text", "label"), _counts, "doc_id bigint, label int, counts string")
-    counted = pin(counted.dropDuplicates())
+    counted = arrow_rows(rows.select("doc_id", "text", "label"), _counts, "doc_id bigint, label int, kin bigint, counts string")
+    # Copies of one text are one example, else its words would pass for signs of the label.
+    counted = pin(counted.groupBy("label", "kin").agg(F.min_by(F.struct("doc_id", "counts"), "doc_id").alias("e")).select("e.doc_id", "label", "e.counts"))
     totals = {r["label"]: r["n"] for r in counted.groupBy("label").agg(F.count("*").alias("n")).collect()}
     one, zero = sum(n for y, n in totals.items() if y), totals.get(0, 0)
     if not one or not zero:
         return ToxicIndex([], np.empty(0), [], [], np.empty(0), k, 1.0 if one else 0.0)
     of_word = counted.select("label", F.explode(F.map_keys(F.from_json("counts", "map<string,int>"))).alias("word")).groupBy("word").agg(F.sum(F.when(F.col("label") != 0, 1).otherwise(0)).alias("a"), F.sum(F.when(F.col("label") == 0, 1).otherwise(0)).alias("b"))
     n = one + zero
-    diff = F.col("a") * (zero - F.col("b")) - F.col("b") * (one - F.col("a"))
     df = F.col("a") + F.col("b")
-    square = F.lit(float(n)) * diff.cast("double") * diff.cast("double") / (F.lit(float(one)) * F.lit(float(zero)) * df.cast("double") * (F.lit(n) - df).cast("double"))
-    chosen = of_word.where((df < n) & (df > 1)).select("word", df.alias("df"), square.alias("chi")).where(F.col("chi") >= chi).orderBy(F.desc("chi"), "word").limit(words).collect()
+    share, base = F.col("a") / df, one / n
+    surprise_ = df * (F.when(share > 0, share * F.log(share / base)).otherwise(0.0) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0))
+    chosen = of_word.where(share >= min(1.0, lift * base)).select("word", df.alias("df"), surprise_.alias("surprise")).where(F.col("surprise") >= surprise).orderBy(F.desc("surprise"), "word").limit(words).collect()
     known = sorted((r["word"], r["df"]) for r in chosen)
     names, idf = [w for w, _ in known], np.array([np.log((1 + n) / (1 + d)) + 1 for _, d in known])
     place = {w: i for i, w in enumerate(names)}
@@ -149,9 +169,15 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
     return index
 
 
+def kin_of(counts: Counter) -> int:
+    """The same for most pairs of near copies, different for other texts: two min-hashes over the long words."""
+    h = pd.util.hash_array(np.array([t for t in counts if len(t) > 5 and t[-1] != "~"] or list(counts) or [""], dtype=object), categorize=False)
+    return int((h.min(keepdims=True) ^ (h * np.uint64(0x9E3779B97F4A7C15)).min(keepdims=True) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)[0])
+
+
 def _counts(batch: pa.RecordBatch) -> dict:
-    counts = [json.dumps(Counter(find_words(t.lower())), ensure_ascii=False) for t in batch.column("text").to_pylist()]
-    return {"doc_id": batch.column("doc_id"), "label": batch.column("label"), "counts": pa.array(counts, pa.string())}
+    counts = [terms_in(t) for t in batch.column("text").to_pylist()]
+    return {"doc_id": batch.column("doc_id"), "label": batch.column("label"), "kin": pa.array([kin_of(c) for c in counts], pa.int64()), "counts": pa.array([json.dumps(c, ensure_ascii=False) for c in counts], pa.string())}
 
 
 def scored(docs: DataFrame, index: ToxicIndex) -> DataFrame:
@@ -168,9 +194,9 @@ def scored(docs: DataFrame, index: ToxicIndex) -> DataFrame:
 def without_toxic(docs: DataFrame, index: ToxicIndex, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score below ``least``; all columns stay."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
+    at = docs.columns.index("text")
 
     def run(batches):
-        at = docs.columns.index("text")
         for b in batches:
             keep = pa.array([shared.value.score(t or "")[0] < least for t in b.column(at).to_pylist()], pa.bool_())
             yield b.filter(keep)
