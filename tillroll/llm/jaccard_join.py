@@ -7,9 +7,9 @@ fewer, nothing without words). Two documents link if 100 * intersection >= perce
 2. Dealing without loss: sets are put into size classes such that linked sets lie in one class or in neighbouring ones. In a class at most d shingles
    tell linked sets apart (d follows from sizes and percent), so if the space of shingles is cut into d + 1 + SPARE parts, some SPARE + 1 parts are equal in both. Sets
    meet under the names of their parts; empty parts count only for sets with more than SPARE of them (others surely share one that is not empty).
-3. Round one joins under a few parts only, in blocks, and finds most components. Round two takes all parts, but only names under which different components meet, and there every
-   pair of sets of different components is held against each other; large groups are cut into blocks, the members of the commonest component against the rest.
-   Groups that are settled already - thousands of near copies - cost nothing more. So no link between two components is lost.
+3. Sets that share a name, directly or through others, are a family (connected components of ids). Round one takes a few parts only and joins its families in blocks, which finds most
+   components. Round two takes all parts, but only names under which different components meet; in its families every pair of sets of different components is held against
+   each other, in large families the members of the commonest component against the rest. Families that are settled already - thousands of near copies - cost nothing more. So no link between two components is lost.
 4. A block is joined by a signature tree: leaves are sets with a bitmap of their shingles, a node has the OR of its children's bitmaps and their range of sizes. Two nodes are
    traversed together only if their largest possible overlap (common bits, and shingles that share a bit) reaches what their smallest sizes ask for, and only while
    they hold different components. Pairs of leaves are verified on the shingles themselves (64-bit names).
@@ -21,7 +21,6 @@ are equal sets.
 from __future__ import annotations
 
 import hashlib
-import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import SPACE, arrow_rows, components, small_enough, words_of
-from tillroll.llm.repeats import _mix, _release, named, word_names
+from tillroll.llm.common import SPACE, arrow_rows, components, release, small_enough, words_of
+from tillroll.llm.repeats import _mix, named, word_names
 from tillroll.session import pin
 
 SPARE = 4
@@ -38,7 +37,6 @@ FIRST_PARTS = 4
 BLOCK = 192
 LEAF = 8
 BITS = 4096
-_lower = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
 
 class Classes:
@@ -63,7 +61,7 @@ def _sets(texts: list[str | None], n: int) -> list[np.ndarray]:
     """The sets of a batch of texts; words are named once for all."""
     words, sizes = [], []
     for t in texts:
-        w = words_of((t or "").translate(_lower))
+        w = words_of((t or "").encode().lower().decode())  # of bytes, so A-Z only
         words.extend(w)
         sizes.append(len(w))
     h, out, at = word_names(words), [], 0
@@ -208,39 +206,43 @@ def _blocks_of(percent: int):
 
 
 def _meetings(sets: DataFrame, first: bool) -> DataFrame | None:
-    """block, row, comp, side of the sets to hold against each other; None if there are none."""
-    column = "first_names" if first else "all_names"
-    names = sets.select("row", "comp", F.explode(column).alias("name"))
-    open_ = pin(names.groupBy("name").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a < _b").select("name"))
-    members = pin(names.join(small_enough(open_), "name"))
-    # Names with the same members need one visit.
-    alike = members.groupBy("name").agg(F.count("*").alias("size"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("row", F.lit(5))).alias("x"))
-    alike = pin(alike.groupBy("size", "s", "x").agg(F.min("name").alias("name")).select("name", "size"))
-    members = pin(members.join(small_enough(alike), "name"))
+    """block, row, comp, side of the sets to hold against each other; None if there are none.
+
+    Sets that meet under open names, directly or through others, are a family. A family of up to ``BLOCK`` is one block, so each of its sets is sent once.
+    """
+    names = sets.select("row", "comp", F.explode("first_names" if first else "all_names").alias("name"))
+    open_ = pin(names.groupBy("name").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.min("row").alias("head")).where("_a < _b").select("name", "head"))
+    members = pin(names.join(small_enough(open_), "name").select("row", "comp", "head").distinct())
+    release(sets)
     if members.isEmpty():
         return None
-    whole = members.where(F.col("size") <= BLOCK).select(F.xxhash64("name", F.lit(0), F.lit(0)).alias("block"), "row", "comp", F.lit(2).alias("side"))
+    families = components(members.select(F.col("row").alias("a"), F.col("head").alias("b"))).select(F.col("id").alias("row"), F.col("component").alias("family"))
+    members = members.select("row", "comp").distinct().join(families, "row")
+    sizes = members.groupBy("family").agg(F.count("*").alias("size"))
+    members = pin(members.join(small_enough(pin(sizes)), "family"))
+    del families, sizes
+    release(sets)
+    whole = members.where(F.col("size") <= BLOCK).select(F.xxhash64("family", F.lit(0), F.lit(0)).alias("block"), "row", "comp", F.lit(2).alias("side"))
     large = members.where(F.col("size") > BLOCK)
     if large.isEmpty():
         return whole
-    chunk = F.pmod(F.xxhash64("row", F.lit(9)), F.col("chunks")).cast("int")
     if first:
-        # Blocks of a large group, each with the group's first members, through which they come together.
-        heads = large.groupBy("name").agg(F.slice(F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("row", F.lit(3)), F.ceil(F.col("size") / 16).cast("bigint")) == 0, F.col("row")))), 1, 8).alias("heads"))
-        large = large.withColumn("chunks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("chunk", chunk)
-        anchors = large.join(heads, "name").where(F.array_contains("heads", F.col("row"))).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        return whole.unionByName(large.unionByName(anchors.drop("heads")).select(F.xxhash64("name", "chunk", F.lit(1)).alias("block"), "row", "comp", F.lit(2).alias("side")).distinct())
-    # The commonest component of a group against the rest, and the rest among itself.
-    by_comp = large.groupBy("name", "comp").agg(F.count("*").alias("n"))
-    most = by_comp.groupBy("name").agg(F.max_by("comp", F.struct("n", "comp")).alias("common"), F.max("n").alias("n_common"), F.sum("n").alias("n_all"))
-    half = BLOCK // 2
-    most = pin(most.select("name", "common", F.ceil(F.col("n_common") / half).cast("int").alias("m"), F.greatest(F.lit(1), F.ceil((F.col("n_all") - F.col("n_common")) / half)).cast("int").alias("s")))
-    large = large.join(small_enough(most), "name")
+        # Blocks of a large family, each with the same few of its sets, through which they come together.
+        large = large.withColumn("chunks", F.ceil(F.col("size") / BLOCK).cast("int"))
+        chunk = F.pmod(F.xxhash64("row", F.lit(9)), F.col("chunks")).cast("int")
+        heads = large.where(F.pmod(F.xxhash64("row", F.lit(3)), F.ceil(F.col("size") / 8).cast("bigint")) == 0).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        return whole.unionByName(large.withColumn("chunk", chunk).unionByName(heads).select(F.xxhash64("family", "chunk", F.lit(1)).alias("block"), "row", "comp", F.lit(2).alias("side")).distinct())
+    # The commonest component of a family against the rest, and the rest among itself.
+    by_comp = large.groupBy("family", "comp").agg(F.count("*").alias("n"))
+    most = by_comp.groupBy("family").agg(F.max_by("comp", F.struct("n", "comp")).alias("common"), F.max("n").alias("n_common"), F.sum("n").alias("n_all"))
+    half = max(1, BLOCK // 2)
+    most = pin(most.select("family", "common", F.ceil(F.col("n_common") / half).cast("int").alias("m"), F.greatest(F.lit(1), F.ceil((F.col("n_all") - F.col("n_common")) / half)).cast("int").alias("s")))
+    large = large.join(small_enough(most), "family")
     common = large.where("comp = common").withColumn("chunk", F.pmod(F.xxhash64("row", F.lit(9)), F.col("m")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-    common = common.select(F.xxhash64("name", "chunk", "other", F.lit(2)).alias("block"), "row", "comp", F.lit(0).alias("side"))
+    common = common.select(F.xxhash64("family", "chunk", "other", F.lit(2)).alias("block"), "row", "comp", F.lit(0).alias("side"))
     rest = large.where("comp <> common").withColumn("other", F.pmod(F.xxhash64("row", F.lit(9)), F.col("s")).cast("int"))
-    against = rest.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).select(F.xxhash64("name", "chunk", "other", F.lit(2)).alias("block"), "row", "comp", F.lit(1).alias("side"))
-    among = rest.withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).select(F.xxhash64("name", F.least("other", "peer"), F.greatest("other", "peer"), F.lit(3)).alias("block"), "row", "comp", F.lit(2).alias("side"))
+    against = rest.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).select(F.xxhash64("family", "chunk", "other", F.lit(2)).alias("block"), "row", "comp", F.lit(1).alias("side"))
+    among = rest.withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).select(F.xxhash64("family", F.least("other", "peer"), F.greatest("other", "peer"), F.lit(3)).alias("block"), "row", "comp", F.lit(2).alias("side"))
     return whole.unionByName(common).unionByName(against).unionByName(among)
 
 
@@ -287,10 +289,12 @@ def joined(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
         if meetings is None:
             continue
         links = _links(meetings, docs, sets, n, percent, repeated)
+        del meetings
+        release(docs)
         if comps is not None:
             links = links.unionByName(comps.select(F.col("id").alias("a"), F.col("component").alias("b")))
         comps = pin(components(links))
-        _release(docs)
+        release(docs)
     named_ = distinct if comps is None else distinct.join(comps.select(F.col("id").alias("row"), "component"), "row", "left")
     named_ = named_.withColumn("component", F.col("row") if comps is None else F.coalesce("component", "row"))
     labels = named_.groupBy("component").agg(F.min("label").alias("component_id"))
