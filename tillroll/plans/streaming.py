@@ -85,11 +85,19 @@ def _(t):
     return J.enrich_sales(t.sev).select("event_id", "total_amount_vnd", "payment_method_local", "region", "is_tet_season")
 
 
-@plan("st08_closed_windows", f"""WITH {_EV}, g AS (SELECT w AS window_start, w + INTERVAL 5 MINUTE AS window_end, activity_type, count(*) AS n FROM ev GROUP BY ALL) SELECT * FROM g {_CLOSED}""")
+@plan("st08_late_data", f"""WITH {_EV}, b AS (SELECT max(ts) - INTERVAL 10 MINUTE AS first_mark FROM ev WHERE event_id % 10 <> 0), e AS (SELECT max(ts) - INTERVAL 10 MINUTE AS last_mark FROM ev)
+  SELECT w AS window_start, w + INTERVAL 5 MINUTE AS window_end, activity_type, count(*) AS n FROM ev, b, e
+  WHERE (event_id % 10 <> 0 OR w + INTERVAL 5 MINUTE > first_mark) AND w + INTERVAL 5 MINUTE <= last_mark GROUP BY ALL""")
 def _(t):
-    rows = J.event_time(t.act, "ts")
-    windows = J.sliding(rows, "ts", ["activity_type"], [F.count("*").alias("n")], slide=None)
-    return J.closed_windows(windows, t.act.agg(F.max("ts").alias("m")).scalar())
+    """A tenth of the events arrives after the others: what lies behind the watermark by then is dropped."""
+    folder = f"{shared_folder(t.spark)}/streams/st08-{uuid.uuid4().hex[:12]}"
+    late = F.col("event_id") % 10 == 0
+    for part, rows in (("first", t.raw("events").where(~late)), ("late", t.raw("events").where(late))):
+        rows.write.parquet(f"{folder}/in/part={part}")
+        arrived = J.event_time(t.spark.readStream.schema(EVENTS).parquet(f"{folder}/in/part=*"), "ts").select("event_id", "ts", F.col("event_type").alias("activity_type"))
+        windows = J.sliding(arrived, "ts", ["activity_type"], [F.count("*").alias("n")], slide=None)
+        J.start_batches(windows, "st08", J.table_sink(f"{folder}/out"), f"{folder}/checkpoint", once=True).awaitTermination()
+    return t.spark.read.parquet(f"{folder}/out").drop("batch_id")
 
 
 @plan("st09_unique_events", "SELECT event_id, ts, customer_id FROM act")

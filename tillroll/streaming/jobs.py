@@ -85,11 +85,6 @@ def enrich_sales(df: DataFrame) -> DataFrame:
                            "region": clean.city_region(clean.city_name(F.col("shipping_province"))), "is_tet_season": in_season(F.col("order_timestamp"), TET_JAN21_FEB20)})
 
 
-def closed_windows(windows: DataFrame, newest, delay_minutes: int = 10) -> DataFrame:
-    """ST-08: the windows that append mode emits: ended at or before the watermark."""
-    return windows.where(F.col("window_end") <= newest - F.expr(f"INTERVAL {delay_minutes} MINUTE"))
-
-
 def unique_events(df: DataFrame, key: str, ts: str, delay: str = WATERMARK) -> DataFrame:
     """ST-09: one row per event id; on a stream the state is dropped behind the watermark."""
     if df.isStreaming:
