@@ -125,3 +125,27 @@ def test_static_side_joins_a_stream(spark, tmp_path):
     dim = spark.createDataFrame([("c1", "VIP", True), ("c1", "old", False)], "customer_id string, segment string, is_current boolean")
     run(enrich_stream(source(spark, src), {"customer_id": dim}), tmp_path, "enriched")
     assert {r["event_id"]: r["segment"] for r in spark.read.parquet(f"{tmp_path}/enriched").collect()} == {"e1": "VIP", "e2": None}
+
+
+def test_a_batch_rewrites_only_its_buckets_and_old_versions_go(spark, tmp_path):
+    folder = f"{tmp_path}/state"
+    sink = J.upsert_sink(folder, ["k"], ["t"], buckets=8)
+    frame = lambda rows: spark.createDataFrame(rows, "k int, v string, t int")
+    sink(frame([(k, "a", 1) for k in range(100)]), 0)
+    for n in (1, 2):
+        sink(frame([(7, f"v{n}", 1 + n)]), n)
+    dirs = {v.name: sorted(b.name for b in v.iterdir() if b.name.startswith("_bucket=")) for v in (tmp_path / "state").iterdir()}
+    assert len(dirs["version=000000"]) == 7 and len(dirs["version=000001"]) == len(dirs["version=000002"]) == 1
+    got = {r["k"]: r["v"] for r in J.read_latest(spark, folder).collect()}
+    assert len(got) == 100 and got[7] == "v2" and set(got.values()) == {"a", "v2"}
+
+
+def test_an_emptied_bucket_stays_empty(spark, tmp_path):
+    folder = f"{tmp_path}/cdc"
+    sink = J.changes_sink(folder, ["k"], ["k", "v"], buckets=2)
+    frame = lambda rows: spark.createDataFrame(rows, "k int, v string, op string, lsn int")
+    sink(frame([(k, "a", "I", 1) for k in range(6)]), 0)
+    sink(frame([(k, None, "D", 2) for k in range(6)]), 1)
+    assert J.read_latest(spark, folder) is None
+    sink(frame([(1, "b", "I", 3)]), 2)
+    assert [tuple(r) for r in J.read_latest(spark, folder).collect()] == [(1, "b")]

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.numbers import pct, ratio
-from tillroll.operators.ordering import quantiles
+from tillroll.operators.ordering import quantiles, rank_by_value
 from tillroll.operators.windows import lag_features, rolling_means
 
 SEED = 42
@@ -124,9 +124,9 @@ def grid_search(train: DataFrame, label: str, prep: Sequence, trees: Sequence[in
 
 
 def grid_report(spark, model) -> DataFrame:
-    """M-16: mean error per parameter combination."""
-    rows = [(json.dumps({p.name: v for p, v in params.items()}, sort_keys=True), float(m)) for params, m in zip(model.getEstimatorParamMaps(), model.avgMetrics)]
-    return spark.createDataFrame(rows, "parameters string, mean_mae double")
+    """M-16, M-18: mean and standard deviation over the folds of the error per parameter combination."""
+    rows = [(json.dumps({p.name: v for p, v in params.items()}, sort_keys=True), float(m), float(s)) for params, m, s in zip(model.getEstimatorParamMaps(), model.avgMetrics, model.stdMetrics)]
+    return spark.createDataFrame(rows, "parameters string, mean_mae double, std_mae double")
 
 
 def f_scores(df: DataFrame, names: Sequence[str], label: str, classify: bool = False) -> DataFrame:
@@ -274,6 +274,13 @@ def area_under_curve(df: DataFrame, label: str = "label") -> float:
     return BinaryClassificationEvaluator(labelCol=label).evaluate(df)
 
 
+def area_rows(df: DataFrame, label: str, score: str) -> DataFrame:
+    """M-18: area under the ROC curve as one row: the share of (positive, negative) pairs in the right order, ties half."""
+    ranked = rank_by_value(df.select((F.col(label) > 0).cast("int").alias("_y"), F.col(score).cast("double").alias("_s")).where(F.col("_y").isNotNull()), "_s")
+    g = ranked.agg(F.count("*").alias("n"), F.sum("_y").alias("p"), F.sum(F.when(F.col("_y") == 1, F.col("percent_rank_avg"))).alias("r"))
+    return g.select((F.try_divide(F.col("r") * F.col("n") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * (F.col("n") - F.col("p")))).alias("area_under_curve"))
+
+
 def accuracy(df: DataFrame, label: str = "label") -> float:
     return MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy").evaluate(df)
 

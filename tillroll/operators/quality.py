@@ -115,17 +115,21 @@ def consistency(df: DataFrame, dates: Sequence[str] = (), texts: Sequence[str] =
 def profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     """Q-06, D-50: nulls, distinct values, min, max, mean, std, quartiles and text lengths per column.
 
-    ``approximate`` replaces the exact distinct counts by sketches.
+    Distinct values are counted from (column, value) pairs, folded in each task; ``approximate`` replaces them by sketches in the one pass.
     """
     numbers = set(numeric_columns(df))
     texts = {f.name for f in df.schema if isinstance(f.dataType, T.StringType)}
     num = lambda c: F.col(c).cast("double") if c in numbers else F.lit(None).cast("double")
     size = lambda c: F.length(c) if c in texts else F.lit(None).cast("int")
-    distinct = F.approx_count_distinct if approximate else F.countDistinct
+    sketch = {"unique_count": lambda c: F.approx_count_distinct(F.col(c))} if approximate else {}
     out = _long(df, df.columns, {
-        "row_count": lambda c: F.count("*"), "null_count": lambda c: F.count_if(F.col(c).isNull()), "unique_count": lambda c: distinct(F.col(c)),
+        "row_count": lambda c: F.count("*"), "null_count": lambda c: F.count_if(F.col(c).isNull()), **sketch,
         "min": lambda c: F.min(num(c)), "max": lambda c: F.max(num(c)), "mean": lambda c: F.round(F.avg(num(c)), 4), "std": lambda c: F.round(F.stddev_samp(num(c)), 4),
         "min_length": lambda c: F.min(size(c)), "max_length": lambda c: F.max(size(c)), "avg_length": lambda c: F.round(F.avg(size(c)), 4)})
+    if not approximate:
+        pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in df.columns]))
+        values = df.select(pairs.alias("_p")).select("_p.*").where("value IS NOT NULL").groupBy("column_name", "value").agg(F.count("*").alias("n"))
+        out = out.join(values.groupBy("column_name").agg(F.count("*").alias("unique_count")), "column_name", "left").withColumn("unique_count", F.coalesce("unique_count", F.lit(0)))
     if numbers:
         q = quantiles(df, sorted(numbers), [0.25, 0.5, 0.75]).select("column_name", *[F.round(f"q{i}", 4).alias(n) for i, n in enumerate(("q1", "median", "q3"))])
         out = out.join(q, "column_name", "left")

@@ -163,12 +163,11 @@ def _(t):
     return t.ord.select("order_id", X.stable_id("ORD_", "order_id", "customer_id").alias("id"))
 
 
-@plan("f15_human_bytes", """SELECT doc_id, CASE WHEN n_chars < 1024 THEN format('{:.2f} B', n_chars::DOUBLE) WHEN n_chars / 1024 < 1024
-  THEN format('{:.2f} KB', n_chars / 1024) ELSE format('{:.2f} MB', n_chars / 1048576) END AS size,
-  format('{:.2f} GB', n_chars * 1048576.0::DOUBLE * 4 / 1073741824) AS gb FROM documents WHERE n_chars * 4 >= 1024 AND n_chars * 4 < 1048576""")
+@plan("f15_human_bytes", """WITH d AS (SELECT doc_id, n_chars::DOUBLE * pow(1024, doc_id % 6) AS b FROM documents)
+  SELECT doc_id, CASE WHEN b < 1024 THEN format('{:.2f} B', b) WHEN b / 1024 < 1024 THEN format('{:.2f} KB', b / 1024) WHEN b / 1048576 < 1024 THEN format('{:.2f} MB', b / 1048576)
+  WHEN b / 1073741824 < 1024 THEN format('{:.2f} GB', b / 1073741824) WHEN b / 1099511627776 < 1024 THEN format('{:.2f} TB', b / 1099511627776) ELSE format('{:.2f} PB', b / 1125899906842624) END AS size FROM d""")
 def _(t):
-    d = t.raw("documents").where("n_chars * 4 >= 1024 AND n_chars * 4 < 1048576")
-    return d.select("doc_id", X.human_bytes("n_chars").alias("size"), X.human_bytes(F.col("n_chars") * 1048576 * 4).alias("gb"))
+    return t.raw("documents").select("doc_id", X.human_bytes(F.col("n_chars").cast("double") * F.pow(F.lit(1024.0), F.col("doc_id") % 6)).alias("size"))
 
 
 @plan("f16_casts", """SELECT doc_id, TRY_CAST(substr(text, 1, 4) AS INTEGER) AS as_int, TRY_CAST(CASE doc_id % 4 WHEN 0 THEN '2024-02-30' WHEN 1

@@ -192,14 +192,15 @@ def _(t):
         "voucher_id", "usage_limit", "uses")
 
 
-@plan("j16_customer_totals", """WITH n AS (SELECT customer_id, count(*) AS total_orders, sum(total_amount)::DOUBLE AS total_spent FROM ord
-    WHERE order_date >= '2000-01-01' GROUP BY 1)
-  SELECT cst.customer_id, coalesce(n.total_orders, 0) AS total_orders, coalesce(n.total_spent, balance::DOUBLE) AS total_spent
-  FROM cst LEFT JOIN n USING (customer_id)""")
+@plan("j16_customer_totals", """WITH n AS (SELECT customer_id, count(*) AS total_orders, sum(total_amount)::DOUBLE AS total_spent FROM ord GROUP BY 1),
+  c AS (SELECT customer_id, balance FROM cst UNION ALL SELECT -customer_id, balance FROM cst)
+  SELECT c.customer_id, coalesce(n.total_orders, 0) AS total_orders, coalesce(n.total_spent, balance::DOUBLE) AS total_spent FROM c LEFT JOIN n USING (customer_id)""")
 def _(t):
-    old = t.cst.select("customer_id", F.lit(0).cast("bigint").alias("total_orders"), F.col("balance").cast("double").alias("total_spent"))
-    new = t.ord.where("order_date >= '2000-01-01'").groupBy("customer_id").agg(
-        F.count("*").alias("total_orders"), F.sum("total_amount").cast("double").alias("total_spent"))
+    """Every customer has a twin without orders, which keeps its old figures."""
+    people = t.cst.select("customer_id", "balance")
+    people = people.unionByName(people.withColumn("customer_id", -F.col("customer_id")))
+    old = people.select("customer_id", F.lit(0).cast("bigint").alias("total_orders"), F.col("balance").cast("double").alias("total_spent"))
+    new = t.ord.groupBy("customer_id").agg(F.count("*").alias("total_orders"), F.sum("total_amount").cast("double").alias("total_spent"))
     return S.sum_back(old, new, "customer_id", ["total_orders", "total_spent"])
 
 

@@ -180,6 +180,18 @@ def _(t):
     return M.confusion(model.transform(test), "label", "prediction")
 
 
+@plan("m15_quantity_model")
+def _(t):
+    """Units of a category and day from the calendar, the mean price and the day before."""
+    sold = t.sales.join(t.prd.select("product_id", "category", "price"), "product_id")
+    daily = sold.groupBy("category", F.to_date("order_date").alias("day")).agg(F.sum("quantity").cast("double").alias("units"), F.avg(F.col("price").cast("double")).alias("price"))
+    before = daily.select("category", F.date_add("day", 1).alias("day"), F.col("units").alias("units_before"))
+    rows = daily.join(before, ["category", "day"], "left").fillna(0.0, ["units_before"]).withColumns({"weekday": F.weekday("day").cast("double"), "month": F.month("day").cast("double")})
+    train, test = rows.where(F.year("day") < 2001), rows.where(F.year("day") >= 2001)
+    name, model, _ = M.fit_best(train, test, "units", M.regressors("units", 5, 4), M.preparation(["price", "units_before", "weekday", "month"], ["category"], scale=False))
+    return M.regression_metrics(model.transform(test), "units", "prediction").withColumn("model", F.lit(name))
+
+
 @plan("m16_grid_search")
 def _(t):
     rows = buyers(t).drop("customer_id")
@@ -219,6 +231,15 @@ def guessed(t):
     return t.ord.select((k % 3).cast("double").alias("y"), F.when(k % 7 == 0, (k + 1) % 3).otherwise(k % 3).cast("double").alias("p"))
 
 
+@plan("m18_area_under_curve", """WITH s AS (SELECT order_id % 3 = 0 AS y, (order_id * 7 % 50 + CASE WHEN order_id % 3 = 0 THEN 9 ELSE 0 END)::DOUBLE AS s FROM ord),
+  r AS (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0::DOUBLE AS k FROM s)
+  SELECT round((sum(k) FILTER (y) - count(*) FILTER (y) * (count(*) FILTER (y) + 1) / 2) / (count(*) FILTER (y) * count(*) FILTER (NOT y)), 9) AS area_under_curve FROM r""")
+def _(t):
+    k = F.col("order_id")
+    rows = t.ord.select((k % 3 == 0).cast("int").alias("y"), (k * 7 % 50 + F.when(k % 3 == 0, 9).otherwise(0)).alias("s"))
+    return M.area_rows(rows, "y", "s").select(F.round("area_under_curve", 9).alias("area_under_curve"))
+
+
 @plan("m18_confusion", f"WITH {_CLASS} SELECT y AS label, p AS prediction, count(*) AS n FROM cl GROUP BY 1, 2")
 def _(t):
     return M.confusion(guessed(t), "y", "p")

@@ -57,7 +57,7 @@ SQL_VIEWS = {
     "vus": """SELECT o_orderkey AS usage_id, 'V' || (o_orderkey * 7 + o_custkey) % 25 AS voucher_id,
         o_custkey AS customer_id, o_orderkey AS order_id, o_totalprice::DECIMAL(18,2) AS order_amount,
         (o_totalprice::DECIMAL(18,2) * 0.05::DECIMAL(4,2))::DECIMAL(18,4) AS discount_applied,
-        o_orderdate AS used_at FROM orders WHERE o_orderstatus = 'F'""",
+        o_orderdate AS used_at FROM orders""",
 }
 
 
@@ -175,7 +175,7 @@ class Tables:
 
     @cached_property
     def vus(self) -> DataFrame:
-        return self.raw("orders").where("o_orderstatus = 'F'").select(
+        return self.raw("orders").select(
             F.col("o_orderkey").alias("usage_id"),
             F.concat(F.lit("V"), (F.col("o_orderkey") * 7 + F.col("o_custkey")) % 25).alias("voucher_id"),
             F.col("o_custkey").alias("customer_id"), F.col("o_orderkey").alias("order_id"),

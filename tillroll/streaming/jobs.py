@@ -163,50 +163,90 @@ def dual_sink(raw_path: str, aggregate_path: str, aggregate: Callable[[DataFrame
     return write
 
 
-def _versions(spark: SparkSession, folder: str) -> list[int]:
-    """Complete versions below ``folder`` (a directory listing, no data)."""
+# ---- keyed state ------------------------------------------------------------------------------------
+
+BUCKETS = 64
+
+
+def _files(spark: SparkSession, folder: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    done = [s.getPath().getName() for s in fs.listStatus(path) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return sorted(int(n.split("=")[1]) for n in done if n.startswith("version="))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), spark._jvm.org.apache.hadoop.fs.Path
+
+
+def _history(spark: SparkSession, folder: str) -> dict[int, list[int]]:
+    """Complete versions of every bucket, the oldest first: from the names and the small notes of the versions, no data."""
+    fs, path = _files(spark, folder)
+    if not fs.exists(path(folder)):
+        return {}
+    out: dict[int, list[int]] = {}
+    for version in sorted(s.getPath().getName() for s in fs.listStatus(path(folder)) if s.getPath().getName().startswith("version=")):
+        note = path(f"{folder}/{version}/_BUCKETS")
+        if fs.exists(note):
+            stream = fs.open(note)
+            text = stream.readUTF()
+            stream.close()
+            for b in filter(None, text.split(",")):
+                out.setdefault(int(b), []).append(int(version.split("=")[1]))
+    return out
+
 
+def _bucket_path(folder: str, version: int, bucket: int) -> str:
+    return f"{folder}/version={version:06d}/_bucket={bucket}"
 
-def read_latest(spark: SparkSession, folder: str) -> DataFrame:
-    """Newest version of a table kept by :func:`upsert_sink` or :func:`changes_sink`."""
-    return spark.read.parquet(f"{folder}/version={_versions(spark, folder)[-1]:06d}")
 
+def _read_buckets(spark: SparkSession, folder: str, newest: Mapping[int, int]) -> DataFrame | None:
+    fs, path = _files(spark, folder)
+    there = [p for p in (_bucket_path(folder, v, b) for b, v in sorted(newest.items())) if fs.exists(path(p))]  # an emptied bucket has no directory
+    return spark.read.parquet(*there) if there else None
 
-def upsert_sink(folder: str, keys: Sequence[str], order: Sequence[str], counter: str | None = None) -> Callable[[DataFrame, int], None]:
-    """ST-10: keep the latest state per key. Batch n writes version n from the newest version below n.
 
-    A replayed batch reads the same earlier version and overwrites its own, so counters do not grow twice.
+def read_latest(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The table kept by :func:`upsert_sink` or :func:`changes_sink`: the newest version of every bucket; None before the first row."""
+    return _read_buckets(spark, folder, {b: v[-1] for b, v in _history(spark, folder).items()})
+
+
+def _bucketed_sink(folder: str, keys: Sequence[str], change: Callable[[DataFrame | None, DataFrame], DataFrame], buckets: int) -> Callable[[DataFrame, int], None]:
+    """Batch n rewrites the buckets that its keys fall into, from their newest version below n; the others are not touched.
+
+    A replayed batch reads the same earlier versions and replaces its own. Of a rewritten bucket the version it was made from stays for that, older ones go.
     """
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        old = _previous(spark, folder, batch_id)
-        rows = batch.withColumn(counter, F.lit(0).cast("bigint")) if counter else batch
-        if old is None:
-            new = newest_per_key(rows, keys, order)
-        else:
-            new = upsert(old, rows, keys, order, counter)
-        new.write.mode("overwrite").parquet(f"{folder}/version={batch_id:06d}")
+        batch.persist()
+        try:
+            touched = sorted(r["b"] for r in batch.select(bucket.alias("b")).distinct().collect())  # at most ``buckets`` numbers
+            history = _history(spark, folder)
+            before = {b: [v for v in history.get(b, []) if v < batch_id] for b in touched}
+            old = _read_buckets(spark, folder, {b: v[-1] for b, v in before.items() if v})
+            target = f"{folder}/version={batch_id:06d}"
+            change(old, batch).withColumn("_bucket", bucket).write.mode("overwrite").partitionBy("_bucket").parquet(target)
+            fs, path = _files(spark, folder)
+            stream = fs.create(path(f"{target}/_BUCKETS"), True)
+            stream.writeUTF(",".join(map(str, touched)))
+            stream.close()
+            for b, versions in before.items():
+                for v in versions[:-1]:
+                    fs.delete(path(_bucket_path(folder, v, b)), True)
+        finally:
+            batch.unpersist()
     return write
 
 
-def changes_sink(folder: str, keys: Sequence[str], columns: Sequence[str], op: str = "op", order: str = "lsn") -> Callable[[DataFrame, int], None]:
-    """ST-16: apply insert / update / delete envelopes to a versioned table."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        old = _previous(batch.sparkSession, folder, batch_id)
-        base = old if old is not None else batch.select(*columns).limit(0)
-        apply_changes(base, batch, keys, op, order).write.mode("overwrite").parquet(f"{folder}/version={batch_id:06d}")
-    return write
+def upsert_sink(folder: str, keys: Sequence[str], order: Sequence[str], counter: str | None = None, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """ST-10: keep the latest state per key; counters do not grow twice when a batch is replayed."""
+    def change(old: DataFrame | None, batch: DataFrame) -> DataFrame:
+        rows = batch.withColumn(counter, F.lit(0).cast("bigint")) if counter else batch
+        return newest_per_key(rows, keys, order) if old is None else upsert(old, rows, keys, order, counter)
+    return _bucketed_sink(folder, keys, change, buckets)
 
 
-def _previous(spark: SparkSession, folder: str, batch_id: int) -> DataFrame | None:
-    older = [v for v in _versions(spark, folder) if v < batch_id]
-    return spark.read.parquet(f"{folder}/version={older[-1]:06d}") if older else None
+def changes_sink(folder: str, keys: Sequence[str], columns: Sequence[str], op: str = "op", order: str = "lsn", buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """ST-16: apply insert / update / delete envelopes."""
+    def change(old: DataFrame | None, batch: DataFrame) -> DataFrame:
+        return apply_changes(old if old is not None else batch.select(*columns).limit(0), batch, keys, op, order)
+    return _bucketed_sink(folder, keys, change, buckets)
 
 
 def kafka_sink(df: DataFrame, servers: str, topic: str, checkpoint: str) -> StreamingQuery:
