@@ -13,7 +13,7 @@ from tillroll.functions import dates as D
 from tillroll.functions import text as X
 from tillroll.functions.numbers import pct
 from tillroll.operators.load import newest_per_key
-from tillroll.operators.ordering import mode_value, quantiles
+from tillroll.operators.ordering import quantiles
 from tillroll.operators.windows import fixed_bins
 from tillroll.session import pin
 
@@ -311,9 +311,13 @@ def fill_missing(df: DataFrame) -> DataFrame:
         for c in times:
             when = F.timestamp_micros(F.try_element_at("_median", F.lit(c)).cast("bigint"))
             fills[c] = F.coalesce(F.col(c), when.cast(df.schema[c].dataType))
-    for c in strings:
-        mode = mode_value(df.select(c), c).select("mode").scalar()
-        fills[c] = F.coalesce(F.col(c), mode, F.lit("Unknown"))
+    if strings:  # the modes of all columns from one count of (column, value)
+        pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value")) for c in strings]))
+        counts = df.select(pairs.alias("_p")).select("_p.*").where("value IS NOT NULL").groupBy("column_name", "value").agg(F.count("*").alias("n"))
+        modes = counts.groupBy("column_name").agg(F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("mode"))
+        out = out.withColumn("_mode", modes.agg(F.map_from_entries(F.collect_list(F.struct("column_name", "mode"))).alias("m")).scalar())
+        for c in strings:
+            fills[c] = F.coalesce(F.col(c), F.try_element_at("_mode", F.lit(c)), F.lit("Unknown"))
     return out.withColumns(fills).select(*df.columns)
 
 
