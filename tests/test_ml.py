@@ -81,7 +81,8 @@ def test_neighbours_are_exact_with_a_hot_token(spark, monkeypatch):
 
 def test_factors_skip_seen_items_for_light_and_heavy_users(spark):
     rng = np.random.default_rng(0)
-    pairs = {(u, int(p)) for u in range(20) for p in rng.integers(0, 40, 6)} | {(99, p) for p in range(30)}
+    big = 2**40
+    pairs = {(u + big, int(p) + big) for u in range(20) for p in rng.integers(0, 40, 6)} | {(99 + big, p + big) for p in range(30)}
     ratings = spark.createDataFrame([(u, p, float(1 + (u + p) % 5)) for u, p in pairs], "customer_id bigint, product_id bigint, rating float")
     out = R.unseen_recommendations(R.fit_factors(ratings, 4, 3), ratings, 5).collect()
     assert not {(r["customer_id"], r["product_id"]) for r in out} & pairs

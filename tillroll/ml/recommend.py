@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.numbers import ratio
+from tillroll.operators.ordering import number_rows
 from tillroll.session import pin
 
 BLOCK = 2000  # vectors per block of the similarity grid
@@ -104,30 +106,48 @@ def interactions(sales: DataFrame) -> DataFrame:
     return sales.groupBy("customer_id", "product_id").agg(F.least(F.count("*"), F.lit(5)).cast("float").alias("rating"))
 
 
-def fit_factors(ratings: DataFrame, rank: int = 10, rounds: int = 5) -> ALSModel:
-    """M-11: non-negative factorisation; ids must fit an integer."""
-    als = ALS(userCol="customer_id", itemCol="product_id", ratingCol="rating", rank=rank, maxIter=rounds, nonnegative=True, seed=42, coldStartStrategy="drop")
-    return als.fit(ratings.select(F.col("customer_id").cast("int"), F.col("product_id").cast("int"), "rating"))
+class Factors(NamedTuple):
+    """A factorisation and the dense numbers it knows users and items by, so ids may have any size."""
 
+    model: ALSModel
+    users: DataFrame
+    items: DataFrame
 
-def unseen_recommendations(model: ALSModel, ratings: DataFrame, k: int = 10) -> DataFrame:
+
+def dense_ids(df: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, name): the distinct keys numbered from 1."""
+    return pin(number_rows(df.select(key).where(F.col(key).isNotNull()).distinct(), [F.col(key)], (), name, "_n").select(key, F.col(name).cast("int").alias(name)))
+
+
+def fit_factors(ratings: DataFrame, rank: int = 10, rounds: int = 5) -> Factors:
+    """M-11: non-negative factorisation."""
+    users, items = dense_ids(ratings, "customer_id", "_u"), dense_ids(ratings, "product_id", "_i")
+    als = ALS(userCol="_u", itemCol="_i", ratingCol="rating", rank=rank, maxIter=rounds, nonnegative=True, seed=42, coldStartStrategy="drop")
+    return Factors(als.fit(ratings.join(users, "customer_id").join(items, "product_id").select("_u", "_i", "rating")), users, items)
+
+
+def unseen_recommendations(factors: Factors, ratings: DataFrame, k: int = 10) -> DataFrame:
     """M-11: the k best items a user has not rated.
 
     Users are taken by the power of two above the number of items they rated, and asked for k more than that, so the anti-join always
     leaves k, if that many exist, and a user who rated a million items costs the others nothing.
     """
-    seen = ratings.select(F.col("customer_id").cast("int").alias("customer_id"), F.col("product_id").cast("int").alias("product_id"))
-    n = seen.groupBy("customer_id").agg(F.count("*").alias("n"))
+    model, users, items = factors
+    seen = ratings.join(users, "customer_id").join(items, "product_id").select("_u", "_i")
+    n = seen.groupBy("_u").agg(F.count("*").alias("n"))
     n = n.withColumn("power", F.ceil(F.log2("n")).cast("int"))
     powers = sorted(r["power"] for r in n.select("power").distinct().collect())  # at most 32
-    parts = [model.recommendForUserSubset(n.where(F.col("power") == p).select("customer_id"), k + (1 << p)) for p in powers]
     out = None
-    for p in parts:
-        rows = p.select("customer_id", F.explode("recommendations").alias("r")).select("customer_id", "r.product_id", F.col("r.rating").cast("double").alias("predicted_rating"))
+    for p in powers:
+        rows = model.recommendForUserSubset(n.where(F.col("power") == p).select("_u"), k + (1 << p))
+        rows = rows.select("_u", F.explode("recommendations").alias("r")).select("_u", "r._i", F.col("r.rating").cast("double").alias("predicted_rating"))
         out = rows if out is None else out.unionByName(rows)
-    fresh = out.join(seen, ["customer_id", "product_id"], "left_anti")
-    w = Window.partitionBy("customer_id").orderBy(F.desc("predicted_rating"), "product_id")
-    return fresh.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
+    if out is None:
+        return ratings.limit(0).select("customer_id", "product_id", F.lit(0.0).alias("predicted_rating"), F.lit(0).alias("position"))
+    fresh = out.join(seen, ["_u", "_i"], "left_anti").join(items, "_i")
+    w = Window.partitionBy("_u").orderBy(F.desc("predicted_rating"), "product_id")
+    best = fresh.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
+    return best.join(users, "_u").select("customer_id", "product_id", "predicted_rating", "position")
 
 
 def hybrid(recent: DataFrame, similar: DataFrame, collaborative: DataFrame, popular: DataFrame, users: DataFrame, k: int = 10, content_weight: float = 0.3, neighbours: int = 5) -> DataFrame:
