@@ -339,3 +339,15 @@ def test_empty_documents(spark):
     none = docs_of(spark, ODD).limit(0)
     assert jaccard_join.joined(none).count() == repeats.digests(none).count() == jaccard_join.one_per_component(none).count() == repeats.without_repeats(none).count() == 0
     assert decontaminate.without_items(none, spark.createDataFrame([(1, "a b c d e f")], "item_id bigint, text string")).count() == line_rules.line_quality(none).count() == 0
+
+
+def test_sets_with_many_empty_parts_still_share_a_name(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SPARE", 0)  # nearly every set has empty parts, so all cuts are needed
+    rng = np.random.default_rng(2)
+    classes = jaccard_join.Classes(80)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 2**63, int(rng.integers(5, 40))).astype(np.uint64))
+        b = np.unique(np.concatenate([a[1:], rng.integers(0, 2**63, int(rng.integers(0, 2))).astype(np.uint64)]))
+        same = len(np.intersect1d(a, b))
+        if 100 * same >= 80 * (len(a) + len(b) - same):
+            assert set(jaccard_join.part_names(a, classes)[0].tolist()) & set(jaccard_join.part_names(b, classes)[0].tolist())

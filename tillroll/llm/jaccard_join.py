@@ -6,7 +6,8 @@ fewer, nothing without words). Two documents link if 100 * intersection >= perce
 1. Sets that are equal link all their documents; one of them stands for all from here on.
 2. Dealing without loss: sets are put into size classes such that linked sets lie in one class or in neighbouring ones. In a class at most d shingles
    tell linked sets apart (d follows from sizes and percent), so if the space of shingles is cut into d + 1 + SPARE parts, some SPARE + 1 parts are equal in both. Sets
-   meet under the names of their parts; empty parts count only for sets with more than SPARE of them (others surely share one that is not empty).
+   meet under the names of their parts that are not empty. If all parts that two sets have in common are empty, both have more than SPARE empty ones; such sets are cut again, another way, up to CUTS
+   times, and then meet under empty parts too.
 3. Sets that share a name, directly or through others, are a family (connected components of ids). Round one takes a few parts only and joins its families in blocks, which finds most
    components. Round two takes all parts, but only names under which different components meet; in its families every pair of sets of different components is held against
    each other, in large families the members of the commonest component against the rest. Families that are settled already - thousands of near copies - cost nothing more. So no link between two components is lost.
@@ -32,8 +33,9 @@ from tillroll.llm.common import SPACE, arrow_rows, components, release, small_en
 from tillroll.llm.repeats import _mix, named, word_names
 from tillroll.session import pin
 
-SPARE = 4
-FIRST_PARTS = 4
+SPARE = 8
+CUTS = 4
+FIRST_PARTS = 8
 BLOCK = 192
 LEAF = 8
 BITS = 4096
@@ -80,13 +82,18 @@ def part_names(shingles: np.ndarray, classes: Classes) -> tuple[np.ndarray, np.n
         if k < 0 or not (d := classes.differing(k)):
             continue  # only equal sets could link
         parts = d + 1 + SPARE
-        part = (_mix(shingles ^ np.uint64(k + 1)) % np.uint64(parts)).astype(np.int64)
-        total = np.zeros(parts, np.uint64)
-        np.add.at(total, part, _mix(shingles + np.uint64(parts)))
-        count = np.bincount(part, minlength=parts)
-        use = np.flatnonzero((count > 0) | ((count == 0).sum() > SPARE))
-        names.append(_mix(total[use] + _mix(use.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k + 1))))
-        first.append(use < FIRST_PARTS + SPARE)
+        for cut in range(CUTS):
+            salt = np.uint64((k + 1) * CUTS + cut)
+            part = (_mix(shingles ^ salt) % np.uint64(parts)).astype(np.int64)
+            total = np.zeros(parts, np.uint64)
+            np.add.at(total, part, _mix(shingles + np.uint64(parts)))
+            empty = np.bincount(part, minlength=parts) == 0
+            sparse = empty.sum() > SPARE
+            use = np.arange(parts) if sparse and cut == CUTS - 1 else np.flatnonzero(~empty)
+            names.append(_mix(total[use] + _mix(use.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + salt)))
+            first.append((use < FIRST_PARTS) & (cut == 0))
+            if not sparse:
+                break
     return np.concatenate(names), np.concatenate(first)
 
 
