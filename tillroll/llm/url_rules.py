@@ -81,5 +81,8 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url: str =
     else:
         found = inside(open_, mine(decided, min_support, min_confidence))
         learned = found.groupBy("key").agg(F.max_by("verdict", F.struct("confidence", "support", "verdict")).alias("_learned")).withColumnRenamed("key", "_url")
-    out = known.join(learned, F.when(F.col("_given").isNull(), F.col(url)) == F.col("_url"), "left")
+    # Rows with a given rule do not take part in the join: they have no key and would meet in one task.
+    by_rule = known.where(F.col("_given").isNotNull()).withColumn("_learned", F.lit(None).cast("string"))
+    by_url = known.where(F.col("_given").isNull()).join(learned, F.col(url) == F.col("_url"), "left").drop("_url")
+    out = by_rule.unionByName(by_url)
     return out.select(*keep, "host", "path", F.col("_given.rule").alias("rule"), F.coalesce("_given.verdict", "_learned", F.lit("allow")).alias("verdict"))
