@@ -342,7 +342,7 @@ def test_empty_documents(spark):
 
 
 def test_sets_with_many_empty_parts_still_share_a_name(monkeypatch):
-    monkeypatch.setattr(jaccard_join, "SPARE", 0)  # nearly every set has empty parts, so all cuts are needed
+    monkeypatch.setattr(jaccard_join.Classes, "spare", lambda self, c: 0)  # nearly every set has empty parts, so all cuts are needed
     rng = np.random.default_rng(2)
     classes = jaccard_join.Classes(80)
     for _ in range(300):

@@ -5,8 +5,8 @@ fewer, nothing without words). Two documents link if 100 * intersection >= perce
 
 1. Sets that are equal link all their documents; one of them stands for all from here on.
 2. Dealing without loss: sets are put into size classes such that linked sets lie in one class or in neighbouring ones. In a class at most d shingles
-   tell linked sets apart (d follows from sizes and percent), so if the space of shingles is cut into d + 1 + SPARE parts, some SPARE + 1 parts are equal in both. Sets
-   meet under the names of their parts that are not empty. If all parts that two sets have in common are empty, both have more than SPARE empty ones; such sets are cut again, another way, up to CUTS
+   tell linked sets apart (d follows from sizes and percent), so if the space of shingles is cut into d + 1 + e parts, some e + 1 parts are equal in both. Sets
+   meet under the names of their parts that are not empty. If all parts that two sets have in common are empty, both have more than e empty ones; such sets are cut again, another way, up to CUTS
    times, and then meet under empty parts too.
 3. Sets that share a name, directly or through others, are a family (connected components of ids). Round one takes a few parts only and joins its families in blocks, which finds most
    components. Round two takes all parts, but only names under which different components meet; in its families every pair of sets of different components is held against
@@ -22,6 +22,7 @@ are equal sets.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,11 +34,12 @@ from tillroll.llm.common import SPACE, arrow_rows, components, release, small_en
 from tillroll.llm.repeats import _mix, named, word_names
 from tillroll.session import pin
 
-SPARE = 8
 CUTS = 4
 FIRST_PARTS = 8
-BLOCK = 192
-LEAF = 8
+SLICES = 2
+BLOCK = 2048
+LEAF = 24
+FAN = 8
 BITS = 4096
 
 
@@ -45,7 +47,7 @@ class Classes:
     """Size classes for a threshold, and the number of parts in each."""
 
     def __init__(self, percent: int, most: int = 1 << 40) -> None:
-        self.percent, self.edges = percent, [1]
+        self.percent, self.edges, self._spare = percent, [1], {}
         while self.edges[-1] < most:
             a = self.edges[-1]
             self.edges.append(max(a + 1, a * 100 // percent + 1))  # the next class starts above all partners of this one's smallest set
@@ -58,6 +60,18 @@ class Classes:
         a = self.edges[c + 1] - 1
         return (a + a * 100 // self.percent) * (100 - self.percent) // (100 + self.percent)
 
+    def spare(self, c: int) -> int:
+        """Parts beyond those that may differ: a little more than the smallest sets of the class leave empty by chance."""
+        if c not in self._spare:
+            d, n = self.differing(c), 1
+            while n < 2 * d + 8:
+                empty = (d + 1 + n) * math.exp(-self.edges[c] / (d + 1 + n))
+                if n >= empty + 2 * math.sqrt(empty) + 1:
+                    break
+                n += 1
+            self._spare[c] = n
+        return self._spare[c]
+
 
 def _sets(texts: list[str | None], n: int) -> list[np.ndarray]:
     """The sets of a batch of texts; words are named once for all."""
@@ -81,14 +95,15 @@ def part_names(shingles: np.ndarray, classes: Classes) -> tuple[np.ndarray, np.n
     for k in (c, c - 1):
         if k < 0 or not (d := classes.differing(k)):
             continue  # only equal sets could link
-        parts = d + 1 + SPARE
+        spare = classes.spare(k)
+        parts = d + 1 + spare
         for cut in range(CUTS):
             salt = np.uint64((k + 1) * CUTS + cut)
             part = (_mix(shingles ^ salt) % np.uint64(parts)).astype(np.int64)
             total = np.zeros(parts, np.uint64)
             np.add.at(total, part, _mix(shingles + np.uint64(parts)))
             empty = np.bincount(part, minlength=parts) == 0
-            sparse = empty.sum() > SPARE
+            sparse = empty.sum() > spare
             use = np.arange(parts) if sparse and cut == CUTS - 1 else np.flatnonzero(~empty)
             names.append(_mix(total[use] + _mix(use.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + salt)))
             first.append((use < FIRST_PARTS) & (cut == 0))
@@ -117,7 +132,7 @@ class Node:
         self.hidden = int(leaves.hidden[members].max())
         self.children: list[Node] = []
         if len(members) > LEAF:
-            step = -(-len(members) // LEAF)
+            step = -(-len(members) // FAN)
             self.children = [Node(leaves, members[i:i + step], comps) for i in range(0, len(members), step)]
 
 
@@ -139,11 +154,7 @@ def block_links(sets: list[np.ndarray], comps: list[int], sides: list[int], perc
 
     def compare(i: int, j: int) -> None:
         a, b = sets[i], sets[j]
-        small, large = min(len(a), len(b)), max(len(a), len(b))
-        if i == j or sides[i] + sides[j] < 2 and sides[i] == sides[j] or not small or 100 * small < percent * large or root(i) == root(j):
-            return
-        common = int(np.bitwise_count(leaves.bits[i] & leaves.bits[j]).sum()) + int(min(leaves.hidden[i], leaves.hidden[j]))
-        if (100 + percent) * common < percent * (len(a) + len(b)):
+        if sides[i] + sides[j] < 2 and sides[i] == sides[j] or not len(a) or not len(b) or root(i) == root(j):
             return
         same = len(np.intersect1d(a, b, assume_unique=True))
         if 100 * same >= percent * (len(a) + len(b) - same):
@@ -167,10 +178,13 @@ def block_links(sets: list[np.ndarray], comps: list[int], sides: list[int], perc
             for y in v.children:
                 visit(u, y)
         else:
-            for i in u.members:
-                for j in v.members:
-                    if u is not v or i < j:
-                        compare(i, j)
+            others = np.array(v.members)
+            for k, i in enumerate(u.members):
+                js = others[k + 1:] if u is v else others
+                size, own = leaves.size[js], leaves.size[i]
+                common = np.bitwise_count(leaves.bits[js] & leaves.bits[i]).sum(1).astype(np.int64) + np.minimum(leaves.hidden[js], leaves.hidden[i])
+                for j in js[((100 + percent) * common >= percent * (size + own)) & (100 * np.minimum(size, own) >= percent * np.maximum(size, own))].tolist():
+                    compare(i, j)
 
     order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), comps[i]))
     if order:
@@ -179,30 +193,27 @@ def block_links(sets: list[np.ndarray], comps: list[int], sides: list[int], perc
     return links
 
 
-def _blocks_of(percent: int):
-    """Streams rows in order of block; one block is in memory at a time."""
+def _blocks_of(n: int, percent: int):
+    """Streams rows in order of block, takes the shingles of their texts and joins the block; one block is in memory at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
+        now: int | None = None
+        rows: dict[int, tuple[int, int, np.ndarray]] = {}
 
         def links() -> tuple[list[int], list[int]]:
-            known: dict[int, tuple] = {}
-            for r in rows:
-                known[r[0]] = r
-            some = sorted(known.values())
-            if len(some) < 2:
-                return [], []
-            found = block_links([np.frombuffer(r[3], np.uint64) for r in some], [r[1] for r in some], [r[2] for r in some], percent)
-            return [some[i][0] for i, _ in found], [some[j][0] for _, j in found]
+            ids = sorted(rows)
+            found = block_links([rows[i][2] for i in ids], [rows[i][0] for i in ids], [rows[i][1] for i in ids], percent) if len(ids) > 1 else []
+            return [ids[i] for i, _ in found], [ids[j] for _, j in found]
 
         for batch in batches:
             a, b = [], []
-            for block, *r in zip(*(batch.column(c).to_pylist() for c in ("block", "row", "comp", "side", "shingles"))):
+            for block, row, comp, side, digest, own in zip(*(batch.column(c).to_pylist() for c in ("block", "row", "comp", "side", "digest")), _sets(batch.column("text").to_pylist(), n)):
                 if block != now:
                     x, y = links()
                     a += x
                     b += y
-                    now, rows = block, []
-                rows.append(tuple(r))
+                    now, rows = block, {}
+                if row not in rows and hashlib.blake2b(own.tobytes(), digest_size=16).digest() == digest:  # rows of one id may hold other texts
+                    rows[row] = (comp, side, own)
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
         a, b = links()
@@ -218,7 +229,12 @@ def _meetings(sets: DataFrame, first: bool) -> DataFrame | None:
     Sets that meet under open names, directly or through others, are a family. A family of up to ``BLOCK`` is one block, so each of its sets is sent once.
     """
     names = sets.select("row", "comp", F.explode("first_names" if first else "all_names").alias("name"))
-    open_ = pin(names.groupBy("name").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.min("row").alias("head")).where("_a < _b").select("name", "head"))
+    open_ = None
+    for slice_ in range(SLICES):  # one after the other, so that only a part of the names lies in shuffle files at a time
+        some = names.where(F.pmod("name", F.lit(SLICES)) == slice_)
+        some = pin(some.groupBy("name").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.min("row").alias("head")).where("_a < _b").select("name", "head"))
+        release(sets)
+        open_ = some if open_ is None else open_.unionByName(some)
     members = pin(names.join(small_enough(open_), "name").select("row", "comp", "head").distinct())
     release(sets)
     if members.isEmpty():
@@ -253,26 +269,17 @@ def _meetings(sets: DataFrame, first: bool) -> DataFrame | None:
     return whole.unionByName(common).unionByName(against).unionByName(among)
 
 
-def _links(meetings: DataFrame, docs: DataFrame, sets: DataFrame, n: int, percent: int, repeated: bool) -> DataFrame:
-    """Verified links (a, b) between rows. Shingles are taken from the texts of the rows that meet."""
-    rows = pin(meetings.select("row").distinct().join(sets.select("row", "key", "digest"), "row"))
-    texts = docs.join(small_enough(rows.select("key").distinct()), "key", "left_semi").join(rows, "key")
-
-    def shingled(batch: pa.RecordBatch) -> dict:
-        found = _sets(batch.column("text").to_pylist(), n)
-        right = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == d for s, d in zip(found, batch.column("digest").to_pylist())]  # rows of one id may hold other texts
-        keep = [i for i, x in enumerate(right) if x]
-        return {"row": batch.column("row").take(pa.array(keep, pa.int64())), "shingles": pa.array([found[i].tobytes() for i in keep], pa.binary())}
-
-    shingles = arrow_rows(texts.select("row", "text", "digest"), shingled, "row bigint, shingles binary")
-    if repeated:
-        shingles = shingles.dropDuplicates(["row"])
-    blocks = meetings.join(shingles, "row").repartition("block").sortWithinPartitions("block")
-    return pin(blocks.select("block", "row", "comp", "side", "shingles").mapInArrow(_blocks_of(percent), "a bigint, b bigint"))
+def _links(meetings: DataFrame, docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
+    """Verified links (a, b) between rows. The texts travel to the blocks, which take the shingles: these would be larger and do not compress."""
+    meetings = pin(meetings.join(sets.select("row", "key", "digest"), "row"))
+    texts = docs.join(small_enough(meetings.select("key").distinct()), "key", "left_semi").join(meetings, "key")
+    blocks = texts.select("block", "row", "comp", "side", "digest", "text").repartition("block").sortWithinPartitions("block")
+    return pin(blocks.mapInArrow(_blocks_of(n, percent), "a bigint, b bigint"))
 
 
 def joined(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, text_hash, row_digest, n_shingles, component_id for every row of ``docs`` (doc_id, text); row_digest is null for empty sets, else the same for equal sets."""
+    release(docs)
     docs = docs.select("doc_id", "text", F.coalesce("doc_id", F.xxhash64("text")).alias("key"))
     classes = Classes(percent)
 
@@ -287,7 +294,6 @@ def joined(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     rows = pin(arrow_rows(docs.withColumn("text_hash", F.xxhash64("text")), facts, "doc_id bigint, key bigint, text_hash bigint, digest binary, size bigint, first_names array<bigint>, all_names array<bigint>").withColumn("row", F.monotonically_increasing_id()))
     distinct = pin(rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("row").alias("row"), F.min("doc_id").alias("label")))
     sets = rows.join(small_enough(distinct.select("row")), "row", "left_semi").withColumn("comp", F.col("row"))
-    repeated = not rows.groupBy("key", "digest").count().where("count > 1").isEmpty()
     comps = None
     for first in (True, False):
         if comps is not None:
@@ -295,7 +301,7 @@ def joined(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
         meetings = _meetings(sets, first)
         if meetings is None:
             continue
-        links = _links(meetings, docs, sets, n, percent, repeated)
+        links = _links(meetings, docs, sets, n, percent)
         del meetings
         release(docs)
         if comps is not None:
