@@ -324,6 +324,24 @@ def test_toxic_words_are_found_and_empty_labels_do_no_harm(spark):
     assert {r["score"] for r in nearest_toxic.scored(docs, none).collect()} == {0.0}
 
 
+def _rejects_planted(spark, labelled):
+    """Documents with one toxic word each are rejected, others stay, with examples made by ``labelled``."""
+    rng = random.Random(8)
+    bad = [f"{c}slur" for c in "abcdefgh"]
+    text = lambda extra: " ".join([f"w{rng.randrange(300)}" for _ in range(40)] + extra)
+    rows = labelled(bad, text)
+    new = [(1000 + i, text([w, w])) for i, w in enumerate(bad)] + [(2000 + i, text([])) for i in range(40)]
+    docs = docs_of(spark, [(i, t) for i, t, _ in rows] + new)
+    index = nearest_toxic.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int"), F.lit(True))
+    left = {r["doc_id"] for r in nearest_toxic.without_toxic(docs, index).collect()}
+    assert not left & set(range(1000, 1008)) and len(left & set(range(2000, 2040))) >= 36
+    assert np.isin(nearest_toxic.names_of(["w1", *bad]), index.names).all()
+
+
+def test_toxic_words_of_three_examples_count(spark):
+    _rejects_planted(spark, lambda bad, text: [(i, text([bad[i % 8]]), 1) for i in range(24)] + [(i, text([]), 0) for i in range(24, 200)])
+
+
 def test_gam_learns_a_step_and_an_interaction(spark):
     rng = np.random.default_rng(5)
     x = rng.random((4000, 4))

@@ -1,33 +1,41 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
 
 Fitting, on a sample of at most about ``sample`` labelled documents (all of them if there are fewer; the bound is what is broadcast): Spark
-counts, for every term (word, and first four and five letters of a longer word), the labelled documents that hold it by label. Terms stay whose documents bear the label at least ``lift`` times as often as all do, and so often that chance does
-it with a probability under exp(-``surprise``) (Chernoff bound of the binomial); the others only add noise to a cosine over whole documents. Near copies count as one example. Examples become TF-IDF vectors of unit length over these terms. Their inverted index is cut into blocks of ``BLOCK`` examples; for each word and block it knows the largest weight.
-
-Scoring a text: the bound of a block is the product of the text's weights with the block's largest weights; blocks are opened from the
-largest bound down until no bound reaches the k-th cosine, so the k nearest are exact (ties by the smaller example id). They
+counts, for every term (word, and first four and five letters of a longer word), the labelled documents that hold it by label. All terms of the sample stay, however few documents
+hold them. A term's weight is its idf times ``floor`` plus its evidence: the exponent of Chernoff's bound for the chance that its documents bear the label so often, 0 if they bear it
+no more often than all do, as a share of the largest. So there is no edge that a term falls over, at any share of the label and any size of the table. Near copies count as one example.
+Examples become vectors of unit length, in blocks of ``BLOCK``. For the ``HEADS`` terms of the largest weight each block knows the largest weight in it, for the other terms the largest norm.
+
+Scoring a text: the bound of a block is the product of the text's weights with the block's largest weights, and of the norms of the rest (Cauchy-Schwarz). Blocks are opened from the
+largest bound down until no bound reaches the k-th cosine. If many are left, inverted lists (of the ``HEADS`` commonest terms a dense table) give cosines within ``SLACK`` of all examples and those that
+may be among the nearest are computed exactly; so the k nearest are exact (ties by the smaller example id). They
 vote with weight cos / (1.05 - cos). Votes are calibrated by an isotonic curve fitted on the examples, each scored without itself. A text without any of the
-words (an empty or null text too) gets the share of toxic ones among such examples.
+words (an empty or null text too) gets the share of toxic ones among such examples, or among all if there is none.
 
 Without a labelled example of either kind every text gets the share of the label (0 without labels). Repeated rows are scored one by one.
 """
 
 from __future__ import annotations
 
-import json
+import pickle
 import re
+import zlib
 from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import arrow_rows, labelled_sample
+from tillroll.llm.common import arrow_rows, labelled_sample, release
 from tillroll.session import pin
 
 BLOCK = 64
+HEADS = 512
+#: Blocks that are opened one by one before all lists are read; error of a cosine in single precision; texts whose common terms are multiplied at once.
+FEW, SLACK, AT_ONCE = 12, 1e-5, 64
 find_words = re.compile(r"\w+").findall
 
 
@@ -43,56 +51,123 @@ def terms_in(text: str) -> Counter:
 class ToxicIndex:
     """The fitted examples; small (bounded by the sample), sent to the tasks with the function that uses it."""
 
-    def __init__(self, words: list[str], idf: np.ndarray, ids: list[int], rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, k: int, base: float) -> None:
-        self.word, self.idf, self.ids, self.labels, self.k, self.base = {w: i for i, w in enumerate(words)}, idf, np.array(ids, np.int64), labels, k, base
-        self.four = {t[:4]: i for t, i in self.word.items() if len(t) == 5 and t[-1] == "~"}
-        self.five = {t[:5]: i for t, i in self.word.items() if len(t) == 6 and t[-1] == "~"}
-        n_blocks = -(-len(ids) // BLOCK)
-        self.block_max = np.zeros((len(words), n_blocks))
-        self.postings: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        lists: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for e, (terms, weights) in enumerate(rows):
-            for t, w in zip(terms.tolist(), weights.tolist()):
-                lists.setdefault((t, e // BLOCK), []).append((e % BLOCK, w))
-        for (t, b), found in lists.items():
-            at, weight = np.array([x[0] for x in found]), np.array([x[1] for x in found])
-            self.postings[t, b] = (at, weight)
-            self.block_max[t, b] = weight.max()
+    def __init__(self, words: list[str] | np.ndarray, idf: np.ndarray, ids: list[int], rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, k: int, base: float) -> None:
+        """``words`` or their 64-bit names; ``rows`` hold places of words and 1 + log(count), which become vectors of unit length."""
+        self.names = names_of(words) if isinstance(words, list) else words
+        self.idf, self.ids, self.labels, self.k, self.base = idf, np.array(ids, np.int64), labels, k, base
+        self.start = np.concatenate([[0], np.cumsum([len(t) for t, _ in rows])]).astype(np.int64)
+        self.terms = np.concatenate([t.astype(np.int32) for t, _ in rows]) if rows else np.empty(0, np.int32)
+        self.values = np.concatenate([v for _, v in rows]) if rows else np.empty(0, np.float32)
+        self.scale = np.array([1 / np.sqrt(((v * idf[t]) ** 2).sum()) for t, v in rows])
         self.curve: tuple[list[float], list[float]] = ([0.0, 1.0], [0.0, 1.0])
+        self.built, self.sent = False, None
+
+    def build(self) -> None:
+        """What is derived from the examples: made where it is used, so that it isn't sent."""
+        if self.built:
+            return
+        n, n_words, n_blocks = len(self.ids), len(self.names), -(-len(self.ids) // BLOCK)
+        self.place = np.argsort(self.names, kind="stable").astype(np.int32)
+        self.sorted = self.names[self.place]
+        of = np.repeat(np.arange(n, dtype=np.uint16 if n < 1 << 16 else np.int32), np.diff(self.start))
+        weights = (self.values * self.idf[self.terms] * self.scale[of]).astype(np.float32)
+        self.head = self._places(np.argsort(-self.idf, kind="stable"), n_words)
+        self.block_max, rest = np.zeros((min(HEADS, n_words), n_blocks)), np.zeros(n)
+        at = np.flatnonzero(self.head[self.terms] >= 0)
+        np.maximum.at(self.block_max, (self.head[self.terms[at]], of[at] // BLOCK), weights[at])
+        rest = np.sqrt(np.bincount(of, np.where(self.head[self.terms] < 0, weights, 0) ** 2, n))
+        self.rest_max = np.array([rest[b * BLOCK:(b + 1) * BLOCK].max() for b in range(n_blocks)])
+        self.common = self._places(np.argsort(-np.bincount(self.terms, minlength=n_words), kind="stable"), n_words)
+        self.table = np.zeros((min(HEADS, n_words), n), np.float32)
+        at = np.flatnonzero(self.common[self.terms] >= 0)
+        self.table[self.common[self.terms[at]], of[at]] = weights[at]
+        rare = np.flatnonzero(self.common[self.terms] < 0).astype(np.int32)
+        self.list_start = np.concatenate([[0], np.cumsum(np.bincount(self.terms[rare], minlength=n_words))]).astype(np.int64)
+        rare = rare[np.argsort(self.terms[rare], kind="stable")]
+        self.list_of, self.list_weight = of[rare], weights[rare]
+        self.buffer, self.built = np.zeros(n_words), True
+
+    @staticmethod
+    def _places(order: np.ndarray, n: int) -> np.ndarray:
+        out = np.full(n, -1, np.int16)
+        out[order[:HEADS]] = np.arange(min(HEADS, n))
+        return out
+
+    def __getstate__(self) -> bytes:
+        sent = {x: getattr(self, x) for x in ("names", "idf", "ids", "labels", "k", "base", "start", "values", "scale", "curve")}
+        return zlib.compress(pickle.dumps(sent | {"steps": np.diff(self.terms, prepend=np.int32(0))}, protocol=5), 1)
+
+    def __setstate__(self, state: bytes) -> None:
+        self.__dict__ = pickle.loads(zlib.decompress(state)) | {"built": False, "sent": None}
+        self.terms = np.cumsum(self.__dict__.pop("steps"), dtype=np.int32)
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        counts: Counter = Counter()
-        whole, four, five = self.word, self.four, self.five
-        for w, n in Counter(find_words(text.lower())).items():
-            if w in whole:
-                counts[whole[w]] += n
-            if len(w) > 4:
-                if w[:4] in four:
-                    counts[four[w[:4]]] += n
-                if len(w) > 5 and w[:5] in five:
-                    counts[five[w[:5]]] += n
-        terms = np.array(sorted(counts), np.int64)
-        return unit(terms, np.array([counts[t] for t in terms.tolist()], float), self.idf)
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and cosines of the k nearest examples with a positive cosine, the nearest first."""
-        bounds = weights @ self.block_max[terms]
+        found = terms_in(text)
+        if not found or not len(self.names):
+            return np.empty(0, np.int64), np.empty(0)
+        self.build()
+        names = names_of(list(found))
+        at = np.minimum(np.searchsorted(self.sorted, names), len(self.sorted) - 1)
+        known = self.sorted[at] == names
+        terms, counts = self.place[at[known]].astype(np.int64), np.fromiter(found.values(), float, len(found))[known]
+        order = np.argsort(terms)
+        return unit(terms[order], counts[order], self.idf)
+
+    def exact(self, at: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Cosines of the examples at these positions."""
+        size = self.start[at + 1] - self.start[at]
+        ends = np.cumsum(size)
+        pick = np.arange(ends[-1]) + np.repeat(self.start[at] - (ends - size), size)
+        terms = self.terms[pick]
+        return np.bincount(np.repeat(np.arange(len(at)), size), query[terms] * self.values[pick] * self.idf[terms], len(at)) * self.scale[at]
+
+    def common_part(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        self.build()
+        q = np.zeros((len(vectors), len(self.table)), np.float32)
+        for row, (terms, weights) in zip(q, vectors):
+            place = self.common[terms]
+            row[place[place >= 0]] = weights[place >= 0]
+        return q @ self.table
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, leave: int = -1, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and cosines of the k nearest examples with a positive cosine, the nearest first; ``common`` is the row of ``common_part`` if that is known."""
+        self.build()
+        place = self.head[terms]
+        known = place >= 0
+        bounds = weights[known] @ self.block_max[place[known]] + np.sqrt((weights[~known] ** 2).sum()) * self.rest_max
         order = np.argsort(-bounds, kind="stable")
-        at, cos = np.empty(0, np.int64), np.empty(0)
-        for b in order.tolist():
-            if bounds[b] <= 0 or len(at) >= self.k and bounds[b] < cos[self.k - 1] - 1e-12:
+        query = self.buffer
+        query[terms] = weights
+        at, cos, n = np.empty(0, np.int64), np.empty(0), len(self.ids)
+
+        def add(new: np.ndarray) -> None:
+            nonlocal at, cos
+            new = new[new != leave]
+            if len(new):
+                got = self.exact(new, query)
+                at, cos = np.concatenate([at, new[got > 0]]), np.concatenate([cos, got[got > 0]])
+                best = np.lexsort((self.ids[at], -np.round(cos, 12)))[: self.k]
+                at, cos = at[best], cos[best]
+
+        for i, b in enumerate(order.tolist()):
+            least = cos[self.k - 1] - 1e-6 if len(at) >= self.k else 0.0
+            if bounds[b] <= 0 or bounds[b] < least:
+                break
+            if i % FEW == 1 and (bounds[order[i:]] >= max(least, 1e-300)).sum() > FEW:
+                near = self.common_part([(terms, weights)])[0] if common is None else common
+                lo, hi = self.list_start[terms], self.list_start[terms + 1]
+                size = hi - lo
+                ends = np.cumsum(size)
+                pick = np.arange(ends[-1]) + np.repeat(lo - (ends - size), size)
+                near = near + np.bincount(self.list_of[pick], self.list_weight[pick] * np.repeat(weights, size), n)
+                if leave >= 0:
+                    near[leave] = 0
+                edge = np.partition(near, n - self.k)[n - self.k] - SLACK if n > self.k else 0.0
+                at, cos = np.empty(0, np.int64), np.empty(0)
+                add(np.flatnonzero((near >= edge) & (near > 0)))
                 break
-            scores = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weights.tolist()):
-                if (p := self.postings.get((t, b))) is not None:
-                    scores[p[0]] += w * p[1]
-            hit = np.flatnonzero(scores > 0)
-            new, at_new = scores[hit], hit + b * BLOCK
-            if leave >= 0:
-                new, at_new = new[at_new != leave], at_new[at_new != leave]
-            at, cos = np.concatenate([at, at_new]), np.concatenate([cos, new])
-            best = np.lexsort((self.ids[at], -np.round(cos, 12)))[: self.k]
-            at, cos = at[best], cos[best]
+            add(np.arange(b * BLOCK, min(n, (b + 1) * BLOCK)))
+        query[terms] = 0
         return at, np.minimum(cos, 1.0)
 
     def vote(self, at: np.ndarray, cos: np.ndarray) -> float:
@@ -100,21 +175,42 @@ class ToxicIndex:
         return float((w * self.labels[at]).sum() / w.sum())
 
     def score(self, text: str) -> tuple[float, list[int], list[float]]:
-        terms, weights = self.vector(text)
-        if not len(terms):
-            return self.base, [], []
-        at, cos = self.nearest(terms, weights)
-        if not len(at):
-            return self.base, [], []
-        return float(np.interp(self.vote(at, cos), *self.curve)), self.ids[at].tolist(), cos.round(6).tolist()
-
-    def calibrate(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        return next(self.scores([text]))
+
+    def scores(self, texts: Iterable[str], curve: tuple[list[float], list[float]] | None = None) -> Iterator[tuple[float, list[int], list[float]]]:
+        texts, curve = list(texts), curve or self.curve
+        for i in range(0, len(texts), AT_ONCE):
+            vectors = [self.vector(t) for t in texts[i:i + AT_ONCE]]
+            for (terms, weights), common in zip(vectors, self.common_part(vectors)):
+                at, cos = self.nearest(terms, weights, common=common) if len(terms) else ([], [])
+                yield (float(np.interp(self.vote(at, cos), *curve)), self.ids[at].tolist(), cos.round(6).tolist()) if len(at) else (self.base, [], [])
+
+    def row(self, e: int) -> tuple[np.ndarray, np.ndarray]:
+        here = slice(self.start[e], self.start[e + 1])
+        terms = self.terms[here].astype(np.int64)
+        return terms, self.values[here] * self.idf[terms] * self.scale[e]
+
+    def broadcast(self, spark: SparkSession):
+        """Sent once; the curve travels with the functions."""
+        if self.sent is None:
+            self.sent = spark.sparkContext.broadcast(self)
+        return self.sent
+
+    def calibrate(self, spark: SparkSession) -> None:
         """Isotonic regression of the label on the vote without the example itself (adjacent violators pooled)."""
-        votes = []
-        for e, (terms, weights) in enumerate(rows):
-            at, cos = self.nearest(terms, weights, leave=e)
-            if len(at):
-                votes.append((self.vote(at, cos), float(self.labels[e])))
+        shared = self.broadcast(spark)
+
+        def votes_of(batch: pa.RecordBatch) -> dict:
+            index, votes, rows = shared.value, [], batch.column("id").to_pylist()
+            for i in range(0, len(rows), AT_ONCE):
+                vectors = [index.row(e) for e in rows[i:i + AT_ONCE]]
+                for e, (terms, weights), common in zip(rows[i:i + AT_ONCE], vectors, index.common_part(vectors)):
+                    at, cos = index.nearest(terms, weights, e, common)
+                    votes.append(index.vote(at, cos) if len(at) else None)
+            return {"id": batch.column("id"), "vote": pa.array(votes, pa.float64())}
+
+        n = len(self.ids)
+        votes = [(r["vote"], float(self.labels[r["id"]])) for r in arrow_rows(spark.range(0, n, 1, max(1, n // 500)), votes_of, "id bigint, vote double").collect() if r["vote"] is not None]
         pools: list[list[float]] = []
         for v, y in sorted(votes):
             pools.append([v, y, 1.0])
@@ -132,60 +228,75 @@ def unit(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.nda
     return terms, w / np.sqrt((w * w).sum())
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", sample: int = 20_000, k: int = 15, surprise: float = 14.0, lift: float = 3.0, words: int = 20_000) -> ToxicIndex:
-    """Index of the examples in a sample of at most about ``sample`` labelled documents, over at most ``words`` words."""
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", sample: int = 20_000, k: int = 15, floor: float = 0.01) -> ToxicIndex:
+    """Index of the examples in a sample of at most about ``sample`` labelled documents, over all their terms."""
     rows = labelled_sample(docs, labels, label, learn, sample)
-    counted = arrow_rows(rows.select("doc_id", "text", "label"), _counts, "doc_id bigint, label int, kin bigint, counts string")
+    counted = arrow_rows(rows.select("doc_id", "text", "label"), _counts, "doc_id bigint, label int, kin bigint, terms array<bigint>, counts array<int>")
     # Copies of one text are one example, else its words would pass for signs of the label.
-    counted = pin(counted.groupBy("label", "kin").agg(F.min_by(F.struct("doc_id", "counts"), "doc_id").alias("e")).select("e.doc_id", "label", "e.counts"))
+    counted = pin(counted.groupBy("label", "kin").agg(F.min_by(F.struct("doc_id", "terms", "counts"), "doc_id").alias("e")).select("e.doc_id", "label", "e.terms", "e.counts"))
+    release(counted)
     totals = {r["label"]: r["n"] for r in counted.groupBy("label").agg(F.count("*").alias("n")).collect()}
     one, zero = sum(n for y, n in totals.items() if y), totals.get(0, 0)
     if not one or not zero:
         return ToxicIndex([], np.empty(0), [], [], np.empty(0), k, 1.0 if one else 0.0)
-    of_word = counted.select("label", F.explode(F.map_keys(F.from_json("counts", "map<string,int>"))).alias("word")).groupBy("word").agg(F.sum(F.when(F.col("label") != 0, 1).otherwise(0)).alias("a"), F.sum(F.when(F.col("label") == 0, 1).otherwise(0)).alias("b"))
-    n = one + zero
-    df = F.col("a") + F.col("b")
-    share, base = F.col("a") / df, one / n
-    surprise_ = df * (F.when(share > 0, share * F.log(share / base)).otherwise(0.0) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0))
-    chosen = of_word.where(share >= min(1.0, lift * base)).select("word", df.alias("df"), surprise_.alias("surprise")).where(F.col("surprise") >= surprise).orderBy(F.desc("surprise"), "word").limit(words).collect()
-    known = sorted((r["word"], r["df"]) for r in chosen)
-    names, idf = [w for w, _ in known], np.array([np.log((1 + n) / (1 + d)) + 1 for _, d in known])
-    place = {w: i for i, w in enumerate(names)}
-    # Of the examples only what the chosen words leave of them comes here: at most ``sample`` rows.
-    few = lambda batch: {"doc_id": batch.column("doc_id"), "label": batch.column("label"), "counts": pa.array([json.dumps({w: c for w, c in json.loads(x).items() if w in place}) for x in batch.column("counts").to_pylist()], pa.string())}
-    examples = sorted(arrow_rows(counted, few, "doc_id bigint, label int, counts string").collect())
+    of_word = counted.select("label", F.explode("terms").alias("word")).groupBy("word").agg(F.count("*").cast("int").alias("df"), F.sum(F.when(F.col("label") != 0, 1).otherwise(0)).cast("int").alias("a"))
+    found = of_word.toArrow()
+    names, df, share = found.column("word").to_numpy(), found.column("df").to_numpy(), found.column("a").to_numpy() / found.column("df").to_numpy()
+    del found
+    order = np.argsort(names)
+    names, df, share = names[order], df[order], share[order]
+    weight = (np.log((1 + one + zero) / (1 + df)) + 1) * (floor + evidence(df, share, one / (one + zero)))
+    examples = counted.toArrow()
+    y, ids_ = examples.column("label").to_pylist(), examples.column("doc_id").to_pylist()
+    terms, counts = examples.column("terms"), examples.column("counts")
     vectors, ids, labels_, bare = [], [], [], [0, 0]
-    for r in examples:
-        counts = {place[w]: c for w, c in json.loads(r["counts"]).items()}
-        if not counts:
-            bare[r["label"] != 0] += 1
+    # Examples of one label lie in the same blocks, so that bounds part them.
+    for i in sorted(range(examples.num_rows), key=lambda i: (y[i] == 0, ids_[i])):
+        at = np.searchsorted(names, terms[i].values.to_numpy()).astype(np.int32)
+        if not len(at):
+            bare[y[i] != 0] += 1
             continue
-        terms = np.array(sorted(counts), np.int64)
-        vectors.append(unit(terms, np.array([counts[t] for t in terms.tolist()], float), idf))
-        ids.append(r["doc_id"])
-        labels_.append(float(r["label"] != 0))
-    index = ToxicIndex(names, idf, ids, vectors, np.array(labels_), k, bare[1] / sum(bare) if sum(bare) else one / n)
-    index.calibrate(vectors)
+        order = np.argsort(at)
+        vectors.append((at[order], (1 + np.log(counts[i].values.to_numpy()[order])).astype(np.float32)))
+        ids.append(ids_[i])
+        labels_.append(float(y[i] != 0))
+    del terms, counts, examples
+    index = ToxicIndex(names, weight, ids, vectors, np.array(labels_), k, bare[1] / sum(bare) if sum(bare) else one / (one + zero))
+    del vectors
+    index.calibrate(docs.sparkSession)
     return index
 
 
+def evidence(df: np.ndarray, share: np.ndarray, base: float) -> np.ndarray:
+    """For each term, as a share of the largest: how improbable it is that its documents bear the label so often by chance; 0 up to the share ``base`` of all."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        exponent = np.where(share > 0, share * np.log(share / base), 0.0) + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - base)), 0.0)
+    out = np.where(share > base, df * exponent, 0.0)
+    return out / max(out.max(), 1e-300)
+
+
 def kin_of(counts: Counter) -> int:
     """The same for most pairs of near copies, different for other texts: two min-hashes over the long words."""
     h = pd.util.hash_array(np.array([t for t in counts if len(t) > 5 and t[-1] != "~"] or list(counts) or [""], dtype=object), categorize=False)
     return int((h.min(keepdims=True) ^ (h * np.uint64(0x9E3779B97F4A7C15)).min(keepdims=True) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)[0])
 
 
+def names_of(words: list[str]) -> np.ndarray:
+    return pd.util.hash_array(np.array(words, dtype=object), categorize=False).view(np.int64)
+
+
 def _counts(batch: pa.RecordBatch) -> dict:
     counts = [terms_in(t) for t in batch.column("text").to_pylist()]
-    return {"doc_id": batch.column("doc_id"), "label": batch.column("label"), "kin": pa.array([kin_of(c) for c in counts], pa.int64()), "counts": pa.array([json.dumps(c, ensure_ascii=False) for c in counts], pa.string())}
+    return {"doc_id": batch.column("doc_id"), "label": batch.column("label"), "kin": pa.array([kin_of(c) for c in counts], pa.int64()),
+            "terms": pa.array([names_of(list(c)) for c in counts], pa.list_(pa.int64())), "counts": pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))}
 
 
 def scored(docs: DataFrame, index: ToxicIndex) -> DataFrame:
     """doc_id, score, neighbours (ids of the voting examples, nearest first), cosines for every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared, curve = index.broadcast(docs.sparkSession), index.curve
 
     def one(batch: pa.RecordBatch) -> dict:
-        found = [shared.value.score(t or "") for t in batch.column("text").to_pylist()]
+        found = list(shared.value.scores((t or "" for t in batch.column("text").to_pylist()), curve))
         return {"doc_id": batch.column("doc_id"), "score": pa.array([f[0] for f in found], pa.float64()), "neighbours": pa.array([f[1] for f in found], pa.list_(pa.int64())), "cosines": pa.array([f[2] for f in found], pa.list_(pa.float64()))}
 
     return arrow_rows(docs.select("doc_id", "text"), one, "doc_id bigint, score double, neighbours array<bigint>, cosines array<double>")
@@ -193,12 +304,12 @@ def scored(docs: DataFrame, index: ToxicIndex) -> DataFrame:
 
 def without_toxic(docs: DataFrame, index: ToxicIndex, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score below ``least``; all columns stay."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared, curve = index.broadcast(docs.sparkSession), index.curve
     at = docs.columns.index("text")
 
     def run(batches):
         for b in batches:
-            keep = pa.array([shared.value.score(t or "")[0] < least for t in b.column(at).to_pylist()], pa.bool_())
+            keep = pa.array([f[0] < least for f in shared.value.scores((t or "" for t in b.column(at).to_pylist()), curve)], pa.bool_())
             yield b.filter(keep)
 
     return docs.mapInArrow(run, docs.schema)
