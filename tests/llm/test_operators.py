@@ -342,6 +342,10 @@ def test_toxic_words_of_three_examples_count(spark):
     _rejects_planted(spark, lambda bad, text: [(i, text([bad[i % 8]]), 1) for i in range(24)] + [(i, text([]), 0) for i in range(24, 200)])
 
 
+def test_toxic_words_quoted_in_clean_texts_count_where_most_are_toxic(spark):
+    _rejects_planted(spark, lambda bad, text: [(i, text([bad[i % 8], bad[(i + 1) % 8]]), 1) for i in range(160)] + [(i, text([bad[i % 8]] if i < 168 else []), 0) for i in range(160, 300)])
+
+
 def test_gam_learns_a_step_and_an_interaction(spark):
     rng = np.random.default_rng(5)
     x = rng.random((4000, 4))
