@@ -12,7 +12,7 @@ from tillroll.llm import chat_events, page_text, piece_codec, url_rules
 from tillroll.llm.queries import QUERIES, SQL, URL_RULES, piece_model
 
 DATA = "/root/testdata/sf0.001"
-TABLES = ["documents", "pages", "benchmark", "labels", "conversations"]
+TABLES = ["documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
 @pytest.fixture(scope="module")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tillroll.llm import chat_events, decontaminate, gam_quality, jaccard_join, line_rules, nearest_toxic, page_text, piece_codec, repeats, sql, url_rules
+from tillroll.llm import chat_events, curriculum, decontaminate, gam_quality, hard_negatives, jaccard_join, line_rules, nearest_toxic, page_text, piece_codec, ranked_search, repeats, sql, url_rules
 from tillroll.llm.common import crc_remainder, read, ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,6 +102,25 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("row").distinct()
 
 
+@query("op11_hard_negatives", sql.HARD_NEGATIVES)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    whole = F.expr("forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity'))")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vec = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256))
+    return hard_negatives.mined(rows.where(whole).select("vec_id", label.alias("label"), vec.alias("vec")), F.col("vec_id") % 50 == 0)
+
+
+@query("op12_curriculum_mix", sql.MIX)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curriculum.digests(read(spark, sf_dir, "documents"))
+
+
+@query("op13_ranked_search", sql.SEARCH)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=50)
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)

@@ -67,3 +67,39 @@ links AS (SELECT p, q FROM half UNION ALL SELECT q, p FROM half),
 reached AS (SELECT r AS p, r AS q FROM d UNION SELECT reached.p, links.q FROM reached JOIN links ON links.p = reached.q),
 least_ AS (SELECT p, min(doc_id) AS component_id FROM reached JOIN d ON d.r = q GROUP BY p)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM d JOIN least_ ON least_.p = d.r LEFT JOIN sizes USING (r)"""
+
+HARD_NEGATIVES = r"""
+WITH e AS (SELECT DISTINCT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS l, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT a.id AS a, e.id AS b, a.l = e.l AS same, CAST(list_inner_product(a.v, e.v) AS BIGINT) AS s FROM e a JOIN e ON a.id <> e.id WHERE a.id % 50 = 0),
+pos AS (SELECT a, b, s FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT pos.a AS anchor_id, pos.b AS positive_id, CAST(row_number() OVER (PARTITION BY pos.a, pos.b ORDER BY n.s DESC, n.b) AS INTEGER) AS rank, n.b AS negative_id, pos.s AS positive_score, n.s AS negative_score
+FROM pos JOIN pairs n ON n.a = pos.a AND NOT n.same AND 50 * pos.s <= 100 * n.s AND 100 * n.s <= 95 * pos.s
+QUALIFY row_number() OVER (PARTITION BY pos.a, pos.b ORDER BY n.s DESC, n.b) <= 3"""
+
+MIX = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+run AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id NULLS FIRST, size, r) AS upto FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS z, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS turn FROM d GROUP BY source),
+w AS (SELECT *, CASE turn % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM s),
+f AS (SELECT *, sum(z) OVER () AS every, coalesce(sum(z) OVER (ORDER BY z / w, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent,
+  sum(w) OVER (ORDER BY z / w, turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM w),
+g AS (SELECT *, z * 2.0::DOUBLE * rest <= w * (every * 1.5::DOUBLE - spent * 2.0::DOUBLE) AS stopped FROM f),
+t AS (SELECT source, z, turn % 3 AS turn, CASE WHEN stopped THEN z * 2.0::DOUBLE ELSE w * (every * 1.5::DOUBLE - 2.0::DOUBLE * sum(CASE WHEN stopped THEN z ELSE 0 END) OVER ()) / sum(CASE WHEN stopped THEN 0 ELSE w END) OVER () END AS target FROM g),
+t2 AS (SELECT source, z, turn, CASE WHEN isnan(target) THEN 0 ELSE target END AS target FROM t),
+p AS (SELECT doc_id, size, z, turn, target, list_filter([upto - size / 2.0::DOUBLE, z + (upto - size / 2.0::DOUBLE)], lambda c: c < target) AS c FROM run JOIN t2 ON run.source IS NOT DISTINCT FROM t2.source),
+q AS (SELECT *, list_transform(c, lambda x: CASE turn WHEN 0 THEN 2 * (x / target) / (1.5 + sqrt(2.25 - 2 * (x / target))) WHEN 1 THEN x / target
+  ELSE CASE WHEN x / target * 1.0625 <= 0.3125 THEN 2 * (x / target * 1.0625) / (0.5 + sqrt(0.25 + x / target * 1.0625)) ELSE 0.5 + 2 * (x / target * 1.0625 - 0.3125) / (0.75 + sqrt(0.5625 + 6 * (x / target * 1.0625 - 0.3125))) END END) AS times FROM p)
+SELECT doc_id, size, z AS source_size, target, size * len(c) AS taken, round(times[1], 6) AS first_position, round(times[-1], 6) AS last_position FROM q"""
+
+SEARCH = r"""
+WITH texts AS (SELECT row_number() OVER () AS r, 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT row_number() OVER (), 'i', item_id, text FROM benchmark),
+words AS (SELECT kind, r, id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{0}-\x{2F}\x{3A}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+')) AS t FROM texts WHERE text IS NOT NULL),
+lengths AS (SELECT r, count(*) AS n FROM words WHERE kind = 'd' GROUP BY r),
+totals AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM lengths),
+tf AS (SELECT r, id, t, count(*) AS tf FROM words WHERE kind = 'd' GROUP BY r, id, t),
+weights AS (SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM tf, totals GROUP BY t, n_docs),
+asked AS (SELECT DISTINCT r AS item, id AS item_id, t FROM words WHERE kind = 'i'),
+scores AS (SELECT item, item_id, tf.r, tf.id AS doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM asked JOIN tf USING (t) JOIN weights USING (t) JOIN lengths ON lengths.r = tf.r, totals GROUP BY item, item_id, tf.r, tf.id)
+SELECT item_id, CAST(row_number() OVER o AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0 WINDOW o AS (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST, r) QUALIFY row_number() OVER o <= 50"""
