@@ -66,7 +66,7 @@ def test_neighbours_are_exact_with_a_hot_token(spark, monkeypatch):
     rng = np.random.default_rng(5)
     rows = [(i, f"t{t}", float(1 + rng.integers(0, 4))) for i in range(90) for t in {0, *rng.integers(1, 15, 3)} if t or i % 3 == 0]
     weights = spark.createDataFrame(rows, "id bigint, token string, w double")
-    monkeypatch.setattr(R, "BLOCK", 20)  # five blocks, 25 tasks
+    monkeypatch.setattr(R, "HEAD_ROWS", 2)
     got = {(r["id"], r["position"]): (r["other"], r["similarity"]) for r in R.top_similar(R.unit_vectors(weights, "id", "token", "w"), "id", 4).collect()}
     m = pd.DataFrame(rows, columns=["id", "t", "w"]).pivot_table(index="id", columns="t", values="w", aggfunc="sum", fill_value=0)
     v = m.to_numpy() / np.linalg.norm(m.to_numpy(), axis=1, keepdims=True)
@@ -79,6 +79,23 @@ def test_neighbours_are_exact_with_a_hot_token(spark, monkeypatch):
     assert got == want
 
 
+def test_neighbours_of_clusters_meet_few_pairs(spark):
+    """Clusters that share a hot token: exact, and far fewer pairs than all; a vector held by a third of the keys stays one group."""
+    rng = np.random.default_rng(9)
+    rows = [(i, "hot", 1.0) for i in range(600)] + [(i, f"c{i % 40}-{t}", float(1 + rng.integers(0, 3))) for i in range(600) for t in {0, 1, *rng.integers(2, 9, 3)}]
+    rows += [(1000 + i, t, 2.0) for i in range(300) for t in ("hot", "same")]
+    vectors = R.unit_vectors(spark.createDataFrame(rows, "id bigint, token string, w double"), "id", "token", "w")
+    groups = R.pin(R.fold_equal(vectors, "id", 4))
+    n = groups.count()
+    assert n <= 601 and R.similar_candidates(groups, 4).count() < 0.1 * n * n / 2
+    m = pd.DataFrame(rows, columns=["id", "t", "w"]).pivot_table(index="id", columns="t", values="w", aggfunc="sum", fill_value=0)
+    v = m.to_numpy() / np.linalg.norm(m.to_numpy(), axis=1, keepdims=True)
+    sims, ids, want = np.round(v @ v.T, 6), m.index.to_numpy(), set()
+    for i, own in enumerate(ids):
+        want |= {(own, ids[j], n + 1) for n, j in enumerate([j for j in np.lexsort((ids, -sims[i])) if j != i and sims[i, j] > 0][:4])}
+    assert {(r["id"], r["other"], r["position"]) for r in R.top_similar(vectors, "id", 4).collect()} == want
+
+
 def test_factors_skip_seen_items_for_light_and_heavy_users(spark):
     rng = np.random.default_rng(0)
     big = 2**40

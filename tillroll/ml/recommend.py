@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import math
 from typing import NamedTuple
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,68 +12,103 @@ from tillroll.functions.numbers import ratio
 from tillroll.operators.ordering import number_rows
 from tillroll.session import pin
 
-BLOCK = 2000  # vectors per block of the similarity grid
+#: Entries per token that a vector first looks at, tokens it looks under, steps of weight and remaining norm that split a token's list.
+HEAD_ROWS, HEAD_TOKENS, STEPS = 16, 8, 8
+#: Similarities are compared rounded to six decimals, so thresholds give way by more than a rounding.
+SLACK = 1e-6
+#: Below this threshold nearly all lists must be met anyway; then hits are followed down to a part of it, so that their sums sieve the pairs.
+LOW, LOW_PART = 0.3, 0.25
 
 
 def unit_vectors(weights: DataFrame, key: str, token: str, value: str) -> DataFrame:
-    """Weights scaled to length one per key, as one sparse vector (arrays of tokens and weights) per key."""
-    v = F.col(value).cast("double")
-    norm = weights.groupBy(key).agg(F.sqrt(F.sum(v * v)).alias("_norm"))
-    rows = weights.join(norm, key).where("_norm > 0").select(key, F.col(token).cast("string").alias("t"), (v / F.col("_norm")).alias("w"))
-    return rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("t", "w"))).alias("vector"))
-
-
-def _postings(vectors) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Places and weights of every token: as large as the vectors, whatever the vocabulary."""
-    lists: dict[str, tuple[list[int], list[float]]] = {}
-    for j, vec in enumerate(vectors):
-        for e in vec:
-            at, w = lists.setdefault(e["t"], ([], []))
-            at.append(j)
-            w.append(e["w"])
-    return {t: (np.array(at), np.array(w)) for t, (at, w) in lists.items()}
-
-
-def _best_of_block(key: str, k: int):
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = pdf[pdf["side"] == 0]
-        right = pdf[pdf["side"] == 1]
-        alone = pdf["lb"].iloc[0] == pdf["rb"].iloc[0]  # a block with itself
-        right = left if alone else right
-        if left.empty or right.empty:
-            return pd.DataFrame({key: [], "other": [], "similarity": []})
-        index = _postings(right["vector"])
-        sims = np.zeros((len(left), len(right)))  # at most BLOCK x BLOCK
-        for i, vec in enumerate(left["vector"]):
-            for e in vec:
-                if (p := index.get(e["t"])) is not None:
-                    sims[i, p[0]] += e["w"] * p[1]
-        sims = np.round(sims, 6)
-        out = []
-        for table, own, others in ((sims, left[key].to_numpy(), right[key].to_numpy()), *(() if alone else ((sims.T, right[key].to_numpy(), left[key].to_numpy()),))):
-            for i, row in enumerate(table):
-                order = np.lexsort((others, -row))[:k + 1]
-                out.extend([(own[i], others[j], row[j]) for j in order if others[j] != own[i] and row[j] > 0][:k])
-        return pd.DataFrame(out, columns=[key, "other", "similarity"])
-    return best
+    """Weights scaled to length one per key, as one sparse vector (tokens and weights in order of the token) per key; keys without a weight other than 0 are left out."""
+    rows = weights.select(key, F.col(token).cast("string").alias("t"), F.col(value).cast("double").alias("w")).where("t IS NOT NULL AND w <> 0")
+    rows = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("t", "w"))).alias("vector"))
+    # Summed in the order of the tokens: equal vectors stay equal to the last bit.
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, e: s + e["w"] * e["w"]))
+    return rows.withColumn("_norm", norm).select(key, F.transform("vector", lambda e: F.struct(e["t"].alias("t"), (e["w"] / F.col("_norm")).alias("w"))).alias("vector"))
+
+
+def _entries(groups: DataFrame) -> DataFrame:
+    """One row per group and token: df, weight, norm of what comes after the token and of it and what comes after, rarest tokens first."""
+    rows = groups.select("g", "size", F.explode("vector").alias("e")).select("g", "size", "e.t", "e.w")
+    rows = rows.join(rows.groupBy("t").agg(F.count("*").alias("df")), "t")
+    after = Window.partitionBy("g").orderBy("df", "t").rowsBetween(1, Window.unboundedFollowing)  # one vector
+    rest = F.sqrt(F.coalesce(F.sum(F.col("w") * F.col("w")).over(after), F.lit(0.0)))
+    return rows.withColumn("rest", rest).withColumn("from_here", F.sqrt(F.col("rest") * F.col("rest") + F.col("w") * F.col("w")))
+
+
+def _dot(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """g, other, size (of other), similarity of the pairs (g, other), from the whole vectors."""
+    a = groups.select("g", F.col("vector").alias("_a"))
+    b = groups.select(F.col("g").alias("other"), "size", F.col("lookup").alias("_b"))
+    dot = F.aggregate("_a", F.lit(0.0), lambda s, e: s + e["w"] * F.coalesce(F.try_element_at("_b", e["t"]), F.lit(0.0)))
+    return pairs.join(a, "g").join(b, "other").select("g", "other", "size", dot.alias("similarity"))
+
+
+def _thresholds(groups: DataFrame, entries: DataFrame, k: int) -> DataFrame:
+    """(g, least): a lower bound of the k-th best similarity of every group's rows, 0 if k rows weren't met.
+
+    A vector meets the ``HEAD_ROWS`` heaviest entries (k + 1 at least) of its heaviest tokens and of its commonest one; the 2 k that have most in common there are compared as a whole.
+    They are real neighbours, so any k of them bound the k-th best from below.
+    """
+    heads = entries.withColumn("_r", F.row_number().over(Window.partitionBy("t").orderBy(F.desc("w"), "g"))).where(F.col("_r") <= max(HEAD_ROWS, k + 1)).select("t", F.col("g").alias("other"), F.col("w").alias("w2"))
+    own = Window.partitionBy("g")
+    asks = entries.withColumns({"_h": F.row_number().over(own.orderBy(F.desc("w"), "t")), "_c": F.row_number().over(own.orderBy(F.desc("df"), "t"))})
+    shared = asks.where(f"_h <= {HEAD_TOKENS} OR _c = 1").select("g", "t", "w").join(heads, "t").where("g <> other").groupBy("g", "other").agg(F.sum(F.col("w") * F.col("w2")).alias("_s"))
+    most = F.row_number().over(own.orderBy(F.desc("_s"), "other"))
+    pairs = shared.withColumn("_n", most).where(F.col("_n") <= 2 * k).select("g", "other")
+    seen = _dot(pairs, groups).where("similarity > 0").select("g", F.col("size").alias("n"), "similarity").unionByName(groups.select("g", (F.col("size") - 1).alias("n"), F.lit(1.0).alias("similarity")))
+    upto = F.sum("n").over(Window.partitionBy("g").orderBy(F.desc("similarity")).rowsBetween(Window.unboundedPreceding, 0))
+    return seen.withColumn("_upto", upto).groupBy("g").agg(F.coalesce(F.max(F.when(F.col("_upto") >= k, F.col("similarity"))), F.lit(0.0)).alias("least"))
+
+
+def similar_candidates(groups: DataFrame, k: int) -> DataFrame:
+    """(g, other): every pair whose similarity may be among the k best of g; see ``top_similar``."""
+    entries = pin(_entries(groups))
+    part = F.when(F.col("least") >= LOW, 1.0).otherwise(LOW_PART) * F.col("least") - SLACK
+    least = pin(_thresholds(groups, entries, k).withColumn("part", part))
+    step = [F.floor(F.col(c) * STEPS).alias(f"_{c}") for c in ("w", "rest")]
+    lists = entries.select("t", F.col("g").alias("other"), F.col("w").alias("w2"), F.col("rest").alias("rest2"), *step)
+    parts = lists.groupBy("t", "_w", "_rest").agg(F.max("w2").alias("top_w"), F.max("rest2").alias("top_rest"))
+    probes = entries.join(least, "g").where("from_here >= part").select("g", "t", "w", "rest", "part")
+    probes = probes.join(parts, "t").where("w * top_w + rest * top_rest >= part").drop("top_w", "top_rest")
+    hits = probes.join(lists, ["t", "_w", "_rest"]).where("g <> other AND w * w2 + rest * rest2 >= part")
+    met = hits.groupBy("g", "other").agg(F.sum(F.col("w") * F.col("w2")).alias("found"), F.min(F.col("rest") * F.col("rest2")).alias("open"))
+    # What is not in the sum comes after the last hit and, at the first token where it is shared, was worth less than ``part``.
+    open_ = F.least(F.col("open"), F.greatest(F.col("part"), F.lit(0.0)))
+    return met.join(least, "g").where(F.col("found") + open_ >= F.col("least") - 2 * SLACK).select("g", "other")
+
+
+def fold_equal(vectors: DataFrame, key: str, k: int) -> DataFrame:
+    """One row per distinct vector: g, vector, lookup (the same as a map), keys (its k + 1 smallest: no row ever names more), size (of keys)."""
+    order = Window.partitionBy("vector").orderBy(key)
+    first = vectors.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k + 1)
+    groups = first.groupBy("vector").agg(F.sort_array(F.collect_list(key)).alias("keys"))
+    return groups.withColumns({"size": F.size("keys"), "g": F.monotonically_increasing_id(), "lookup": F.map_from_entries("vector")})
 
 
 def top_similar(vectors: DataFrame, key: str, k: int) -> DataFrame:
-    """M-10, M-14: the exact k nearest vectors by cosine, ties by key; pairs that share nothing are left out.
+    """M-10, M-14: the exact k nearest vectors by cosine (rounded to six decimals), ties by key; pairs that share nothing are left out. Weights must not be negative, keys are unique.
 
-    The vectors are laid out on one half of a grid of blocks. A task multiplies two blocks through the postings of one and keeps k rows per vector
-    of either, so no pair list exists, no token or group is hot, no partner is capped, and memory depends on the block, not on the vocabulary. The
-    work is the square of the number of vectors, spread over (n / block)^2 / 2 tasks: fold equal vectors first.
+    Equal vectors are one group. Every vector first gets a lower bound of its k-th best similarity from some real neighbours. Then it looks into the lists of its tokens, rarest first: at a token, a pair
+    that has met under no rarer one is worth at most the product of the two weights plus the product of the norms of what comes after (Cauchy-Schwarz), so only lists and entries
+    that still reach the bound are met, and tokens after which too little norm is left are never looked up. Lists are split by steps of weight and remaining norm, so a hot token is
+    many keys, of which most are ruled out by their largest values. What the shared tokens sum up to, plus what the rest may add, leaves few pairs for the exact product.
     """
-    vectors = pin(vectors)
-    blocks = max(1, math.ceil(vectors.count() / BLOCK))
-    placed = vectors.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(blocks)))
-    left = placed.select(F.col("_b").alias("lb"), F.explode(F.sequence(F.col("_b"), F.lit(blocks - 1).cast("bigint"))).alias("rb"), F.lit(0).alias("side"), key, "vector")
-    right = placed.where(F.col("_b") > 0).select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_b") - 1)).alias("lb"), F.col("_b").alias("rb"), F.lit(1).alias("side"), key, "vector")
-    kind = dict(vectors.dtypes)[key]
-    found = left.unionByName(right).groupBy("lb", "rb").applyInPandas(_best_of_block(key, k), f"{key} {kind}, other {kind}, similarity double")
-    w = Window.partitionBy(key).orderBy(F.desc("similarity"), "other")
-    return found.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
+    vectors = pin(vectors.select(key, "vector"))
+    groups = pin(fold_equal(vectors, key, k))
+    near = _dot(pin(similar_candidates(groups, k)), groups).where(F.round("similarity", 6) > 0)
+    near = near.select("g", "other", F.round("similarity", 6).alias("similarity")).unionByName(groups.select("g", F.col("g").alias("other"), F.lit(1.0).alias("similarity")))
+    named = near.join(groups.select(F.col("g").alias("other"), "keys"), "other").select("g", "similarity", F.element_at("keys", 1).alias("_first"), "keys")
+    best = named.withColumn("_n", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("similarity"), "_first"))).where(F.col("_n") <= k + 1)
+    rows = best.select("g", "similarity", F.explode("keys").alias("other"))
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("similarity"), "other"))).where(F.col("_n") <= k + 1)
+    lists = groups.select("g", "vector").join(rows.groupBy("g").agg(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "other"))).alias("best")), "g")
+    # Each key leaves itself out of its group's k + 1 best.
+    own = vectors.join(lists.select("vector", "best"), "vector").select(key, F.slice(F.filter("best", lambda e: e["other"] != F.col(key)), 1, k).alias("best"))
+    out = own.select(key, F.posexplode("best").alias("p", "e"))
+    return out.select(key, F.col("e.other").alias("other"), (-F.col("e.s")).alias("similarity"), (F.col("p") + 1).alias("position"))
 
 
 def tfidf_weights(products: DataFrame, key: str = "product_id", columns: tuple[str, ...] = ("product_name", "category", "brand")) -> DataFrame:
