@@ -311,6 +311,33 @@ def test_block_max_search_is_exact():
         assert at.tolist() == want and np.allclose(cos, np.minimum(1, every[want]))
 
 
+def test_block_max_search_is_exact_with_more_terms_than_tables(monkeypatch):
+    """Uneven terms, several parts, terms in tables and in lists, texts that go either way, and remembered words that overflow."""
+    for name, value in (("HEADS", 50), ("COMMON", 40), ("MANY", 5), ("REMEMBERED", 300)):
+        monkeypatch.setattr(nearest_toxic, name, value)
+    rng = np.random.default_rng(4)
+    n_terms, n = 3000, 900
+    idf = np.where(rng.random(n_terms) < 0.02, 40.0, 0.05 + rng.random(n_terms))
+    words, rows = [f"w{i}" for i in range(n_terms)], []
+    for i in range(n):
+        own = (rng.pareto(0.7, 40) * 8).astype(int) % 1000 + 1000 * (i % 3)
+        rows.append(np.unique(np.concatenate([own, rng.integers(0, n_terms, 3)])))
+    counts = [rng.integers(1, 5, len(t)).astype(float) for t in rows]
+    index = nearest_toxic.ToxicIndex(words, idf, list(range(n)), [(t, (1 + np.log(c)).astype(np.float32)) for t, c in zip(rows, counts)], rng.integers(0, 2, n).astype(float), 15, 0.1)
+    dense = np.zeros((n, n_terms))
+    for i, (t, c) in enumerate(zip(rows, counts)):
+        dense[i, t] = nearest_toxic.unit(t, c, idf)[1]
+    texts = [" ".join(words[x] for x, k in zip(rows[i], counts[i]) for _ in range(int(k))) for i in range(0, n, 5)]
+    vectors = index.vectors(texts) + [index.vector(t) for t in texts[::9]]
+    for j, (terms, weights) in enumerate(vectors):
+        i = 5 * j if j < len(texts) else 45 * (j - len(texts))
+        assert np.array_equal(terms, rows[i]) and np.allclose(weights, dense[i, terms])
+        at, cos = index.nearest(terms, weights, leave=i if j % 2 else -1)
+        every = dense @ dense[i]
+        want = np.sort([every[e] for e in range(n) if every[e] > 0 and (e != i or j % 2 == 0)])[::-1][:15]
+        assert len(set(at.tolist())) == len(want) and np.allclose(cos, np.minimum(1, want), atol=1e-6) and (j % 2 == 0 or i not in at)
+
+
 def test_toxic_words_are_found_and_empty_labels_do_no_harm(spark):
     rng = random.Random(3)
     rows = [(i, " ".join(f"w{rng.randrange(400)}" for _ in range(60)) + (" vile scum" if i % 5 == 0 else "")) for i in range(400)] + [(1000, None), (1001, ""), (1002, "you scum"), (None, "scum vile")]

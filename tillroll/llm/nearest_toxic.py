@@ -4,11 +4,12 @@ Fitting, on a sample of at most about ``sample`` labelled documents (all of them
 counts, for every term (word, and first four and five letters of a longer word), the labelled documents that hold it by label. All terms of the sample stay, however few documents
 hold them. A term's weight is its idf times ``floor`` plus its evidence: the exponent of Chernoff's bound for the chance that its documents bear the label so often, 0 if they bear it
 no more often than all do, as a share of the largest. So there is no edge that a term falls over, at any share of the label and any size of the table. Near copies count as one example.
-Examples become vectors of unit length, in blocks of ``BLOCK``. For the ``HEADS`` terms of the largest weight each block knows the largest weight in it, for the other terms the largest norm.
+Examples become vectors of unit length. They are dealt into ``PARTS`` parts of alike ones and, in that order, into blocks of ``BLOCK``. For the ``HEADS`` terms of the largest weight each block knows
+the largest weight in it, for the other terms the largest norm.
 
-Scoring a text: the bound of a block is the product of the text's weights with the block's largest weights, and of the norms of the rest (Cauchy-Schwarz). Blocks are opened from the
-largest bound down until no bound reaches the k-th cosine. If many are left, inverted lists (of the ``HEADS`` commonest terms a dense table) give cosines within ``SLACK`` of all examples and those that
-may be among the nearest are computed exactly; so the k nearest are exact (ties by the smaller example id). They
+Scoring a text: the bound of a block is the product of the text's weights with the block's largest weights, and of the norms of the rest (Cauchy-Schwarz). If a few blocks stand out they are opened from
+the largest bound down, and if no other bound reaches the k-th cosine that is all. Else the cosines of all examples are summed up within ``SLACK``: the ``COMMON`` commonest terms of a part stand in a
+dense table, all other postings in inverted lists; those that may be among the nearest are computed exactly. So the k nearest are exact (ties by the smaller example id). They
 vote with weight cos / (1.05 - cos). Votes are calibrated by an isotonic curve fitted on the examples, each scored without itself. A text without any of the
 words (an empty or null text too) gets the share of toxic ones among such examples, or among all if there is none.
 
@@ -34,8 +35,10 @@ from tillroll.session import pin
 
 BLOCK = 64
 HEADS = 512
-#: Blocks that are opened one by one before all lists are read; error of a cosine in single precision; texts whose common terms are multiplied at once.
-FEW, SLACK, AT_ONCE = 12, 1e-5, 64
+#: Parts of alike examples, and commonest terms of a part that stand in a table; a text with fewer than ``MANY`` of these adds them one by one.
+PARTS, COMMON, MANY = 5, 1024, 20
+#: Blocks that are opened one by one before all lists are read; error of a cosine in single precision; texts whose common terms are multiplied at once; words a worker remembers.
+FEW, SLACK, AT_ONCE, REMEMBERED = 12, 1e-5, 256, 200_000
 find_words = re.compile(r"\w+").findall
 
 
@@ -43,11 +46,15 @@ def terms_in(text: str) -> Counter:
     """Counts of the terms of a text: lower-cased words, and ``abcd~`` and ``abcde~`` for how longer ones begin."""
     out: Counter = Counter()
     for w, n in Counter(find_words(text.lower())).items():
-        for t in (w, w[:4] + "~", w[:5] + "~") if len(w) > 5 else (w, w[:4] + "~") if len(w) == 5 else (w,):
+        for t in terms_of_word(w):
             out[t] += n
     return out
 
 
+def terms_of_word(w: str) -> tuple[str, ...]:
+    return (w, w[:4] + "~", w[:5] + "~") if len(w) > 5 else (w, w[:4] + "~") if len(w) == 5 else (w,)
+
+
 class ToxicIndex:
     """The fitted examples; small (bounded by the sample), sent to the tasks with the function that uses it."""
 
@@ -66,31 +73,69 @@ class ToxicIndex:
         """What is derived from the examples: made where it is used, so that it isn't sent."""
         if self.built:
             return
-        n, n_words, n_blocks = len(self.ids), len(self.names), -(-len(self.ids) // BLOCK)
+        n, n_words = len(self.ids), len(self.names)
         self.place = np.argsort(self.names, kind="stable").astype(np.int32)
         self.sorted = self.names[self.place]
-        of = np.repeat(np.arange(n, dtype=np.uint16 if n < 1 << 16 else np.int32), np.diff(self.start))
+        of = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.start))
         weights = (self.values * self.idf[self.terms] * self.scale[of]).astype(np.float32)
-        self.head = self._places(np.argsort(-self.idf, kind="stable"), n_words)
-        self.block_max, rest = np.zeros((min(HEADS, n_words), n_blocks)), np.zeros(n)
+        part = self._alike(of, weights)
+        self.order = np.argsort(part, kind="stable")  # examples that are alike lie in the same blocks
+        spot = np.empty(n, np.int32)
+        spot[self.order] = np.arange(n)
+        of = spot[of]
+        self.head = self._places(np.argsort(-self.idf, kind="stable"), n_words, HEADS)
+        n_blocks = -(-n // BLOCK)
+        self.block_max = np.zeros((min(HEADS, n_words), n_blocks))
         at = np.flatnonzero(self.head[self.terms] >= 0)
         np.maximum.at(self.block_max, (self.head[self.terms[at]], of[at] // BLOCK), weights[at])
         rest = np.sqrt(np.bincount(of, np.where(self.head[self.terms] < 0, weights, 0) ** 2, n))
         self.rest_max = np.array([rest[b * BLOCK:(b + 1) * BLOCK].max() for b in range(n_blocks)])
-        self.common = self._places(np.argsort(-np.bincount(self.terms, minlength=n_words), kind="stable"), n_words)
-        self.table = np.zeros((min(HEADS, n_words), n), np.float32)
-        at = np.flatnonzero(self.common[self.terms] >= 0)
-        self.table[self.common[self.terms[at]], of[at]] = weights[at]
-        rare = np.flatnonzero(self.common[self.terms] < 0).astype(np.int32)
-        self.list_start = np.concatenate([[0], np.cumsum(np.bincount(self.terms[rare], minlength=n_words))]).astype(np.int64)
+        ends = np.searchsorted(part[self.order], np.arange(PARTS + 1))
+        self.parts, rare = [], np.ones(len(of), bool)
+        for lo, hi in zip(ends.tolist(), ends[1:].tolist()):
+            if hi > lo:
+                at = np.flatnonzero((of >= lo) & (of < hi))
+                terms = self.terms[at]
+                common = self._places(np.argsort(-np.bincount(terms, minlength=n_words), kind="stable"), n_words, COMMON)
+                at, terms = at[common[terms] >= 0], terms[common[terms] >= 0]
+                table = np.zeros((min(COMMON, n_words), hi - lo), np.float32)
+                table[common[terms], of[at] - lo] = weights[at]
+                rare[at] = False
+                self.parts.append((lo, hi, common, table))
+        rare = np.flatnonzero(rare)
         rare = rare[np.argsort(self.terms[rare], kind="stable")]
+        self.list_start = np.concatenate([[0], np.cumsum(np.bincount(self.terms[rare], minlength=n_words))])
         self.list_of, self.list_weight = of[rare], weights[rare]
         self.buffer, self.built = np.zeros(n_words), True
+        # Words a worker remembers: the place of each in ``n_of_word``, which bounds the places of its terms in ``of_word``.
+        self.known, self.of_word, self.n_of_word = {}, np.empty(0, np.int32), np.zeros(1, np.int64)
+
+    def _alike(self, of: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The part of every example: rounds of nearest centres over the commonest terms, from centres far apart. It decides on speed only."""
+        n = len(self.ids)
+        if not n:
+            return np.empty(0, np.int64)
+        common = self._places(np.argsort(-np.bincount(self.terms, minlength=len(self.names)), kind="stable"), len(self.names), HEADS)
+        table = np.zeros((n, HEADS), np.float32)
+        at = np.flatnonzero(common[self.terms] >= 0)
+        table[of[at], common[self.terms[at]]] = weights[at]
+        table /= np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)
+        seeds = table[:: max(1, n // 500)]
+        centres = seeds[:1]
+        while len(centres) < PARTS:
+            centres = np.concatenate([centres, seeds[[np.argmin((seeds @ centres.T).max(axis=1))]]])
+        for _ in range(5):
+            part = np.argmax(table @ centres.T, axis=1)
+            for c in range(PARTS):
+                if (part == c).any():
+                    mean = table[part == c].mean(axis=0)
+                    centres[c] = mean / max(np.linalg.norm(mean), 1e-9)
+        return part
 
     @staticmethod
-    def _places(order: np.ndarray, n: int) -> np.ndarray:
+    def _places(order: np.ndarray, n: int, most: int) -> np.ndarray:
         out = np.full(n, -1, np.int16)
-        out[order[:HEADS]] = np.arange(min(HEADS, n))
+        out[order[:most]] = np.arange(min(most, n))
         return out
 
     def __getstate__(self) -> bytes:
@@ -101,33 +146,78 @@ class ToxicIndex:
         self.__dict__ = pickle.loads(zlib.decompress(state)) | {"built": False, "sent": None}
         self.terms = np.cumsum(self.__dict__.pop("steps"), dtype=np.int32)
 
-    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        found = terms_in(text)
-        if not found or not len(self.names):
-            return np.empty(0, np.int64), np.empty(0)
-        self.build()
-        names = names_of(list(found))
+    def learn_words(self, words: list[str]) -> None:
+        """Remembers the places of the terms of words not met before; all at once, since names are made by the batch."""
+        if len(self.known) + len(words) > REMEMBERED:
+            self.known.clear()
+            self.of_word, self.n_of_word = np.empty(0, np.int32), np.zeros(1, np.int64)
+        terms = [terms_of_word(w) for w in words]
+        names = names_of([t for ts in terms for t in ts])
         at = np.minimum(np.searchsorted(self.sorted, names), len(self.sorted) - 1)
-        known = self.sorted[at] == names
-        terms, counts = self.place[at[known]].astype(np.int64), np.fromiter(found.values(), float, len(found))[known]
-        order = np.argsort(terms)
-        return unit(terms[order], counts[order], self.idf)
+        found = self.sorted[at] == names
+        sizes = np.add.reduceat(found, np.concatenate([[0], np.cumsum([len(t) for t in terms])[:-1]]), dtype=np.int64)
+        for w in words:
+            self.known[w] = len(self.known)
+        self.of_word = np.concatenate([self.of_word, self.place[at[found]]])
+        self.n_of_word = np.concatenate([self.n_of_word, self.n_of_word[-1] + np.cumsum(sizes)])
+
+    def vectors(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        if not len(self.names):
+            return [(np.empty(0, np.int64), np.empty(0))] * len(texts)
+        self.build()
+        counted = [Counter(find_words(t.lower())) for t in texts]
+        fresh = set().union(*counted) - self.known.keys()
+        if fresh:
+            if len(self.known) + len(fresh) > REMEMBERED:
+                fresh = set().union(*counted)
+            self.learn_words(list(fresh))
+        out, place = [], self.known.__getitem__
+        for found in counted:
+            words = np.fromiter(map(place, found), np.int64, len(found))
+            counts = np.fromiter(found.values(), np.float64, len(found))
+            first, size = self.n_of_word[words], self.n_of_word[words + 1] - self.n_of_word[words]
+            ends = np.cumsum(size)
+            total = int(ends[-1]) if len(ends) else 0
+            terms = self.of_word[np.arange(total) + np.repeat(first - (ends - size), size)].astype(np.int64)
+            terms, back = np.unique(terms, return_inverse=True)
+            out.append(unit(terms, np.bincount(back, np.repeat(counts, size), len(terms)), self.idf))
+        return out
+
+    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        return self.vectors([text])[0]
 
     def exact(self, at: np.ndarray, query: np.ndarray) -> np.ndarray:
-        """Cosines of the examples at these positions."""
-        size = self.start[at + 1] - self.start[at]
-        ends = np.cumsum(size)
-        pick = np.arange(ends[-1]) + np.repeat(self.start[at] - (ends - size), size)
-        terms = self.terms[pick]
-        return np.bincount(np.repeat(np.arange(len(at)), size), query[terms] * self.values[pick] * self.idf[terms], len(at)) * self.scale[at]
+        """Cosines of the examples at these positions, in double precision; ``query`` holds weights times idf."""
+        rows = [(self.start[e], self.start[e + 1]) for e in at.tolist()]
+        terms, values = np.concatenate([self.terms[a:b] for a, b in rows]), np.concatenate([self.values[a:b] for a, b in rows])
+        first = np.concatenate([[0], np.cumsum([b - a for a, b in rows])[:-1]])
+        return np.add.reduceat(query[terms] * values, first) * self.scale[at]
 
     def common_part(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """For every vector the products with all examples over the common terms of their part; a vector that has few of them adds them one by one."""
         self.build()
-        q = np.zeros((len(vectors), len(self.table)), np.float32)
-        for row, (terms, weights) in zip(q, vectors):
-            place = self.common[terms]
-            row[place[place >= 0]] = weights[place >= 0]
-        return q @ self.table
+        out = np.empty((len(vectors), len(self.ids)), np.float32)
+        for lo, hi, common, table in self.parts:
+            rows, q = [], np.zeros((len(vectors), len(table)), np.float32)
+            for i, (terms, weights) in enumerate(vectors):
+                place = common[terms]
+                known = np.flatnonzero(place >= 0)
+                if len(known) > MANY:
+                    q[len(rows), place[known]] = weights[known]
+                    rows.append(i)
+                else:
+                    out[i, lo:hi] = weights[known].astype(np.float32) @ table[place[known]]
+            if rows:
+                out[rows, lo:hi] = q[:len(rows)] @ table
+        return out
+
+    def listed(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """What the inverted lists add: the terms that are not common in an example's part."""
+        first = self.list_start[terms]
+        size = self.list_start[terms + 1] - first
+        ends = np.cumsum(size)
+        pick = np.arange(ends[-1]) + np.repeat(first - (ends - size), size)
+        return np.bincount(self.list_of[pick], self.list_weight[pick] * np.repeat(weights, size), len(self.ids))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, leave: int = -1, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Positions and cosines of the k nearest examples with a positive cosine, the nearest first; ``common`` is the row of ``common_part`` if that is known."""
@@ -135,9 +225,8 @@ class ToxicIndex:
         place = self.head[terms]
         known = place >= 0
         bounds = weights[known] @ self.block_max[place[known]] + np.sqrt((weights[~known] ** 2).sum()) * self.rest_max
-        order = np.argsort(-bounds, kind="stable")
         query = self.buffer
-        query[terms] = weights
+        query[terms] = weights * self.idf[terms]
         at, cos, n = np.empty(0, np.int64), np.empty(0), len(self.ids)
 
         def add(new: np.ndarray) -> None:
@@ -149,24 +238,22 @@ class ToxicIndex:
                 best = np.lexsort((self.ids[at], -np.round(cos, 12)))[: self.k]
                 at, cos = at[best], cos[best]
 
-        for i, b in enumerate(order.tolist()):
-            least = cos[self.k - 1] - 1e-6 if len(at) >= self.k else 0.0
-            if bounds[b] <= 0 or bounds[b] < least:
-                break
-            if i % FEW == 1 and (bounds[order[i:]] >= max(least, 1e-300)).sum() > FEW:
-                near = self.common_part([(terms, weights)])[0] if common is None else common
-                lo, hi = self.list_start[terms], self.list_start[terms + 1]
-                size = hi - lo
-                ends = np.cumsum(size)
-                pick = np.arange(ends[-1]) + np.repeat(lo - (ends - size), size)
-                near = near + np.bincount(self.list_of[pick], self.list_weight[pick] * np.repeat(weights, size), n)
-                if leave >= 0:
-                    near[leave] = 0
-                edge = np.partition(near, n - self.k)[n - self.k] - SLACK if n > self.k else 0.0
-                at, cos = np.empty(0, np.int64), np.empty(0)
-                add(np.flatnonzero((near >= edge) & (near > 0)))
-                break
-            add(np.arange(b * BLOCK, min(n, (b + 1) * BLOCK)))
+        least, opened = 0.0, np.zeros(len(bounds), bool)
+        if (bounds >= 0.7 * bounds.max()).sum() <= FEW:  # a few blocks stand out
+            for b in np.argsort(-bounds, kind="stable")[:FEW].tolist():
+                if bounds[b] <= 0 or bounds[b] < least:
+                    break
+                add(self.order[b * BLOCK:(b + 1) * BLOCK])
+                opened[b] = True
+                least = cos[self.k - 1] - 1e-6 if len(at) >= self.k else 0.0
+        if (bounds[~opened] >= max(least, 1e-300)).any():
+            near = self.listed(terms, weights) + (self.common_part([(terms, weights)])[0] if common is None else common)
+            if leave >= 0:
+                near[self.order == leave] = 0
+            if n > self.k:
+                least = max(least, np.partition(near, n - self.k)[n - self.k] - SLACK)
+            at, cos = np.empty(0, np.int64), np.empty(0)
+            add(self.order[np.flatnonzero((near >= least - SLACK) & (near > 0))])
         query[terms] = 0
         return at, np.minimum(cos, 1.0)
 
@@ -180,7 +267,7 @@ class ToxicIndex:
     def scores(self, texts: Iterable[str], curve: tuple[list[float], list[float]] | None = None) -> Iterator[tuple[float, list[int], list[float]]]:
         texts, curve = list(texts), curve or self.curve
         for i in range(0, len(texts), AT_ONCE):
-            vectors = [self.vector(t) for t in texts[i:i + AT_ONCE]]
+            vectors = self.vectors(texts[i:i + AT_ONCE])
             for (terms, weights), common in zip(vectors, self.common_part(vectors)):
                 at, cos = self.nearest(terms, weights, common=common) if len(terms) else ([], [])
                 yield (float(np.interp(self.vote(at, cos), *curve)), self.ids[at].tolist(), cos.round(6).tolist()) if len(at) else (self.base, [], [])
@@ -228,7 +315,7 @@ def unit(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.nda
     return terms, w / np.sqrt((w * w).sum())
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", sample: int = 20_000, k: int = 15, floor: float = 0.01) -> ToxicIndex:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", sample: int = 4_000, k: int = 15, floor: float = 0.01) -> ToxicIndex:
     """Index of the examples in a sample of at most about ``sample`` labelled documents, over all their terms."""
     rows = labelled_sample(docs, labels, label, learn, sample)
     counted = arrow_rows(rows.select("doc_id", "text", "label"), _counts, "doc_id bigint, label int, kin bigint, terms array<bigint>, counts array<int>")
@@ -246,13 +333,17 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
     order = np.argsort(names)
     names, df, share = names[order], df[order], share[order]
     weight = (np.log((1 + one + zero) / (1 + df)) + 1) * (floor + evidence(df, share, one / (one + zero)))
+    # Common terms get small numbers: what a text looks up lies close together.
+    by_df = np.argsort(-df, kind="stable")
+    number = np.empty(len(df), np.int32)
+    number[by_df] = np.arange(len(df))
     examples = counted.toArrow()
     y, ids_ = examples.column("label").to_pylist(), examples.column("doc_id").to_pylist()
     terms, counts = examples.column("terms"), examples.column("counts")
     vectors, ids, labels_, bare = [], [], [], [0, 0]
     # Examples of one label lie in the same blocks, so that bounds part them.
     for i in sorted(range(examples.num_rows), key=lambda i: (y[i] == 0, ids_[i])):
-        at = np.searchsorted(names, terms[i].values.to_numpy()).astype(np.int32)
+        at = number[np.searchsorted(names, terms[i].values.to_numpy())]
         if not len(at):
             bare[y[i] != 0] += 1
             continue
@@ -261,7 +352,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
         ids.append(ids_[i])
         labels_.append(float(y[i] != 0))
     del terms, counts, examples
-    index = ToxicIndex(names, weight, ids, vectors, np.array(labels_), k, bare[1] / sum(bare) if sum(bare) else one / (one + zero))
+    index = ToxicIndex(names[by_df], weight[by_df], ids, vectors, np.array(labels_), k, bare[1] / sum(bare) if sum(bare) else one / (one + zero))
     del vectors
     index.calibrate(docs.sparkSession)
     return index
@@ -276,7 +367,7 @@ def evidence(df: np.ndarray, share: np.ndarray, base: float) -> np.ndarray:
 
 
 def kin_of(counts: Counter) -> int:
-    """The same for most pairs of near copies, different for other texts: two min-hashes over the long words."""
+    """The same for most pairs of near copies: two min-hashes over the long words. Other texts that share two least words get the same kin too and are then one example."""
     h = pd.util.hash_array(np.array([t for t in counts if len(t) > 5 and t[-1] != "~"] or list(counts) or [""], dtype=object), categorize=False)
     return int((h.min(keepdims=True) ^ (h * np.uint64(0x9E3779B97F4A7C15)).min(keepdims=True) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)[0])
 
