@@ -14,6 +14,7 @@ from tillroll.operators import load as L
 from tillroll.operators import quality as Q
 from tillroll.operators import sales as S
 from tillroll.operators import vouchers as V
+from tillroll.operators import windows as W
 
 
 def one(df):
@@ -228,3 +229,33 @@ def test_risk_follows_the_probability_of_the_class(spark):
     df = spark.createDataFrame([(i, float(i % 10), float(i % 10 > 7)) for i in range(200)], "customer_id int, x double, label double")
     out = M.score(M.fit_classifier(df, "label", M.preparation(["x"], scale=False), trees=5), df, "customer_id", ["x"]).withColumn("risk", M.risk_level(F.col("probability")))
     assert {(r["prediction"], r["risk"]) for r in out.collect()} == {(0.0, "low"), (1.0, "high")}
+
+
+def test_validity_join_on_one_hot_day_and_intervals_of_centuries(spark):
+    """All rows at one time fall into many slices; long, short, empty and reversed intervals, null times, and a left join."""
+    stamp = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    left = spark.createDataFrame([(i, "2024-03-01 12:00:00") for i in range(300)] + [(300 + i, f"20{i:02d}-01-01") for i in range(40)] + [(999, None)], "i int, t string").select("i", stamp("t"))
+    spans = [(0, "1500-01-01", "2500-01-01"), (1, "2024-03-01 12:00:00", "2024-03-01 12:00:00"), (2, "2024-03-01 12:00:01", None), (3, None, "2005-01-01"), (4, "2030-01-01", "2001-01-01"), (5, "2003-01-01", "2003-12-31")]
+    right = spark.createDataFrame(spans, "j int, a string, b string").select("j", stamp("a"), stamp("b"))
+    ls, rs = left.collect(), right.collect()
+    want = sorted((x["i"], y["j"]) for x in ls for y in rs if x["t"] is not None and (y["a"] is None or y["a"] <= x["t"]) and (y["b"] is None or x["t"] <= y["b"]))
+    for slices in (64, 7):
+        assert sorted((r["i"], r["j"]) for r in J.validity_join(left, "t", right, "a", "b", slices=slices).collect()) == want
+    met = {i for i, _ in want}
+    outer = J.validity_join(left, "t", right, "a", "b", "left").collect()
+    assert sorted(r["i"] for r in outer if r["j"] is None) == sorted(x["i"] for x in ls if x["i"] not in met)
+
+
+@pytest.mark.parametrize("ahead", [1, 3])
+def test_next_in_slices_with_a_key_in_all_slices(spark, ahead):
+    rows = [("hot", i, f"v{i}") for i in range(400)] + [(f"k{i % 30}", i, f"w{i}") for i in range(90)] + [(None, i, f"n{i}") for i in range(120)]
+    df = spark.createDataFrame(rows, "k string, at int, v string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r["k"], r["at"]): r["next_v"] for r in W.next_in_slices(df, ["k"], ["at"], ["v"], ahead).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    series = {}
+    for k, at, v in sorted(rows, key=lambda r: r[1]):
+        series.setdefault(k, []).append((at, v))
+    assert got == {(k, at): s[n + ahead][1] if n + ahead < len(s) else None for k, s in series.items() for n, (at, _) in enumerate(s)}

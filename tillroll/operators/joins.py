@@ -110,20 +110,38 @@ def orphan_counts(checks: Mapping[str, tuple[DataFrame, DataFrame, str]]) -> Dat
     return out
 
 
-def validity_join(left: DataFrame, ts: str, right: DataFrame, start: str, end: str, how: str = "inner") -> DataFrame:
-    """J-11: pairs with ``start <= ts <= end``, as an equi-join on the month; a null start or end is open.
-
-    Each validity interval is repeated once per month it shares with the left side's times, so no nested loop is needed however
-    many intervals there are and however long they last.
+def _edges_below(value: Column, edges: Sequence[int], or_equal: bool) -> Column:
+    """How many of the sorted ``edges`` lie below ``value`` (or equal it): a balanced tree of conditions."""
+    def tree(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        edge = F.lit(edges[mid])
+        return F.when(value < edge if or_equal else value <= edge, tree(lo, mid)).otherwise(tree(mid + 1, hi))
+    return tree(0, len(edges))
+
+
+def validity_join(left: DataFrame, ts: str, right: DataFrame, start: str, end: str, how: str = "inner", slices: int = 64) -> DataFrame:
+    """J-11: pairs with ``start <= ts <= end``, by slices of time; a null start or end is open.
+
+    The bounds of the slices are quantiles of the left side's times, so slices hold about equally many rows. An interval is carried into every slice that it touches, and rows meet intervals
+    of their slice only: nearly all that meet are pairs of the result, whatever the lengths of the intervals. A time that is several bounds at once (a hot day) has several slices,
+    among which its rows are dealt by their content and into all of which its intervals go. The quantiles decide on balance only, never on the result.
     """
-    seen = left.agg(F.struct(F.min(ts).alias("lo"), F.max(ts).alias("hi")).alias("s")).scalar()
-    spans = right.withColumn("_seen", seen)
-    first, last = F.greatest(F.col(start), F.col("_seen.lo")), F.least(F.col(end), F.col("_seen.hi"))  # nulls do not count
-    months = F.sequence(F.trunc(first, "month"), F.trunc(last, "month"), F.expr("INTERVAL 1 MONTH"))
-    spans = spans.where(first <= last).withColumn("_month", F.explode(months)).drop("_seen")
-    rows = left.withColumn("_month", F.trunc(ts, "month"))
-    cond = (rows["_month"] == spans["_month"]) & (spans[start].isNull() | (rows[ts] >= spans[start])) & (spans[end].isNull() | (rows[ts] <= spans[end]))
-    return rows.join(spans, cond, how).drop(rows["_month"]).drop(spans["_month"])
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    edges = left.agg(F.percentile_approx(micros(ts), [i / slices for i in range(1, slices)], 2000)).first()[0] or []
+    first, last = (_edges_below(F.col("_at"), edges, e) for e in (False, True))
+    dealt = first if len(set(edges)) == len(edges) else first + F.pmod(F.xxhash64(*left.columns), last - first + 1)
+    rows = left.withColumn("_at", micros(ts)).withColumn("_slice", dealt.cast("int")).drop("_at")
+    ends = right.withColumns({"_since": micros(start), "_until": micros(end)})
+    since = F.when(F.col("_since").isNull(), 0).otherwise(_edges_below(F.col("_since"), edges, False))
+    until = F.when(F.col("_until").isNull(), len(edges)).otherwise(_edges_below(F.col("_until"), edges, True))
+    spans = ends.where(F.col(start).isNull() | F.col(end).isNull() | (F.col(start) <= F.col(end)))
+    spans = spans.withColumn("_slice", F.explode(F.sequence(since, until))).drop("_since", "_until")
+    cond = (rows["_slice"] == spans["_slice"]) & (spans[start].isNull() | (rows[ts] >= spans[start])) & (spans[end].isNull() | (rows[ts] <= spans[end]))
+    if how == "inner":
+        rows = rows.where(F.col(ts).isNotNull())
+    return rows.join(spans, cond, how).drop(rows["_slice"]).drop(spans["_slice"])
 
 
 def as_of_version(facts: DataFrame, dim: DataFrame, key: str, ts: str) -> DataFrame:

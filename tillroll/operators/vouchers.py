@@ -54,7 +54,7 @@ def validate(requests: DataFrame, vouchers: DataFrame, usage: DataFrame, custome
 def recommend(orders: DataFrame, vouchers: DataFrame, usage: DataFrame, customers: DataFrame, ts: str) -> DataFrame:
     """D-28: vouchers usable for each order, with the estimated discount and savings.
 
-    Orders meet vouchers through an equi-join on the month, refined by dates, limits and target.
+    Orders meet vouchers in slices of time (``validity_join``), refined by dates, limits and target.
     """
     open_ = vouchers.join(usage_counts(usage), "voucher_id", "left").where(
         (F.col("status") == "active") & (F.col("usage_limit").isNull() | (F.coalesce("uses", F.lit(0)) < F.col("usage_limit")))).drop("uses", "total_discount")

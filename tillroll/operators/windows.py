@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.numbers import dsum, grand_total, pct, ratio
 from tillroll.operators.ordering import (
-    mode_value, ntile, number_rows, quantiles, rank_by_value, rank_quantile_bin, shift,
+    join_null_safe, mode_value, ntile, number_rows, quantiles, rank_by_value, rank_quantile_bin, shift,
 )
+from tillroll.session import pin
 
 QUINTILE_LABELS = ["Very Low", "Low", "Medium", "High", "Very High"]
 
@@ -82,13 +83,35 @@ def rank_measures(df: DataFrame, key: str, measures: Sequence[str]) -> DataFrame
 
 
 def mean_gap(orders: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
-    """W-06: mean whole days to the next order; a window over the orders of one customer, which spills if there are many."""
-    rows = orders.select(key, ts, tie).withColumn("_next", F.lead(ts).over(Window.partitionBy(key).orderBy(ts, tie)))
-    gap = F.floor((F.unix_timestamp(F.col("_next").cast("timestamp")) - F.unix_timestamp(F.col(ts).cast("timestamp"))) / 86400)
+    """W-06: mean whole days to the next order, slice by slice (``next_in_slices``): no task holds more than one slice of a customer's orders."""
+    rows = next_in_slices(orders.select(key, ts, tie), [key], [ts, tie], [ts])
+    gap = F.floor((F.unix_timestamp(F.col(f"next_{ts}").cast("timestamp")) - F.unix_timestamp(F.col(ts).cast("timestamp"))) / 86400)
     return rows.withColumn("_gap", gap).groupBy(key).agg(
         F.count("*").alias("orders"), ratio(F.sum("_gap"), F.count("_gap")).alias("avg_days_to_next"))
 
 
+def next_in_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], rows: int = 1, prefix: str = "next_") -> DataFrame:
+    """LEAD by ``rows`` within ``keys``, in the order of ``order`` (unique within the keys), by halo rows.
+
+    The table is range-partitioned by keys and order; the first ``rows`` rows of every slice are copied to the slice before, where a window over (slice, key) runs, and the copies leave again.
+    Where slices hold fewer rows of a key than that, those of up to ``rows`` later slices are looked at, so each slice receives the next ``rows`` rows of its last key wherever they are.
+    """
+    by = [F.col(c) for c in (*keys, *order)]
+    placed = pin(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_slice", F.spark_partition_id()))
+    in_slice = Window.partitionBy("_slice", *keys).orderBy(*order)
+    heads = placed.select(*keys, *order, *[c for c in columns if c not in order], "_slice").withColumn("_r", F.row_number().over(in_slice)).where(F.col("_r") <= rows).drop("_r")
+    # At most ``rows`` rows per slice and key are left; a key of one slice needs none.
+    spread = heads.groupBy(*keys).agg(F.sort_array(F.collect_set("_slice")).alias("_slices")).where(F.size("_slices") > 1)
+    # Every one of the ``rows`` slices before may need them, none further away does.
+    before = F.slice(F.reverse(F.filter("_slices", lambda s: s < F.col("_slice"))), 1, rows)
+    halo = join_null_safe(heads, spread, keys).withColumn("_to", F.explode(before)).drop("_slices")
+    near = Window.partitionBy("_to", *keys).orderBy(*order)
+    halo = halo.withColumn("_r", F.row_number().over(near)).where(F.col("_r") <= rows).drop("_r", "_slice").withColumnRenamed("_to", "_slice").withColumn("_halo", F.lit(True))
+    both = placed.withColumn("_halo", F.lit(False)).unionByName(halo, allowMissingColumns=True)
+    out = both.withColumns({prefix + c: F.lead(c, rows).over(in_slice) for c in columns})
+    return out.where(~F.col("_halo")).drop("_halo", "_slice")
+
+
 def percent_rank(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "pct_rank", source: DataFrame | None = None) -> DataFrame:
     """W-07: rank as a share of the rows, ties averaged."""
     return rank_by_value(df, value, by, source=source).withColumnRenamed("percent_rank_avg", name).drop("rank")

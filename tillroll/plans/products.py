@@ -138,10 +138,11 @@ def _(t):
     return P.detect_trends(ranking(t), P.velocity_scores(tracking(t), DAY, 24), DAY)
 
 
-_BOARD = """brd AS (SELECT c.product_id, product_name, stock_quantity, c.date, c.rank_position, c.sales_volume, c.revenue, p.rank_position AS previous_rank, coalesce(c.rank_position - p.rank_position, 0) AS rank_change,
-    CASE WHEN p.sales_volume > 0 THEN round((c.sales_volume - p.sales_volume) / p.sales_volume * 100, 2) ELSE 100 END AS growth_percentage,
+_BOARD = """lagged AS (SELECT *, lag(date) OVER o = date - 1 AS has, lag(rank_position) OVER o AS pr, lag(sales_volume) OVER o AS pv FROM rkn WINDOW o AS (PARTITION BY product_id ORDER BY date)),
+  brd AS (SELECT c.product_id, product_name, stock_quantity, c.date, rank_position, sales_volume, revenue, CASE WHEN has THEN pr END AS previous_rank, CASE WHEN has THEN rank_position - pr ELSE 0 END AS rank_change,
+    CASE WHEN has AND pv > 0 THEN round((sales_volume - pv) / pv * 100, 2) ELSE 100 END AS growth_percentage,
     CASE WHEN stock_quantity <= 10 THEN 'critical' WHEN stock_quantity <= 50 THEN 'low' WHEN stock_quantity <= 100 THEN 'medium' ELSE 'good' END AS stock_status,
-    round(stock_quantity / c.sales_volume, 1) AS days_to_stockout FROM rkn c LEFT JOIN rkn p ON p.product_id = c.product_id AND p.date = c.date - 1 JOIN prd ON prd.product_id = c.product_id WHERE c.rank_position <= 100)"""
+    round(stock_quantity / sales_volume, 1) AS days_to_stockout FROM lagged c JOIN prd ON prd.product_id = c.product_id WHERE rank_position <= 100)"""
 
 
 @plan("d23_dashboard", f"WITH {_SAL}, {_RANK}, {_BOARD} SELECT * FROM brd")

@@ -124,10 +124,10 @@ def _(t):
 
 
 @plan("w14_rank_change", """WITH d AS (SELECT product_id, order_date::DATE AS day, sum(quantity)::DOUBLE AS units FROM itm JOIN ord USING (order_id) GROUP BY 1, 2),
-  r AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY units DESC, product_id) AS rank_position FROM d)
-  SELECT r.*, p.rank_position AS previous_rank, coalesce(p.rank_position - r.rank_position, 0) AS rank_change,
-  round(CASE WHEN p.units > 0 THEN (r.units - p.units) / p.units * 100 ELSE 100 END, 6) AS growth_pct
-  FROM r LEFT JOIN r p ON p.product_id = r.product_id AND p.day = r.day - 1""")
+  r AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY units DESC, product_id) AS rank_position FROM d),
+  l AS (SELECT *, lag(day) OVER o = day - 1 AS has, lag(rank_position) OVER o AS pr, lag(units) OVER o AS pu FROM r WINDOW o AS (PARTITION BY product_id ORDER BY day))
+  SELECT product_id, day, units, rank_position, CASE WHEN has THEN pr END AS previous_rank, CASE WHEN has THEN pr - rank_position ELSE 0 END AS rank_change,
+  round(CASE WHEN has AND pu > 0 THEN (units - pu) / pu * 100 ELSE 100 END, 6) AS growth_pct FROM l""")
 def _(t):
     d = t.sales.groupBy("product_id", F.to_date("order_date").alias("day")).agg(F.sum("quantity").cast("double").alias("units"))
     return W.rank_change(d, "product_id", "day", "units")
