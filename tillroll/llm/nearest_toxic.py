@@ -9,7 +9,7 @@ the largest weight in it, for the other terms the largest norm.
 
 Scoring a text: the bound of a block is the product of the text's weights with the block's largest weights, and of the norms of the rest (Cauchy-Schwarz). If a few blocks stand out they are opened from
 the largest bound down, and if no other bound reaches the k-th cosine that is all. Else the cosines of all examples are summed up within ``SLACK``: the ``COMMON`` commonest terms of a part stand in a
-dense table, all other postings in inverted lists; those that may be among the nearest are computed exactly. So the k nearest are exact (ties by the smaller example id). They
+dense table, all other postings in inverted lists; for those that may be among the nearest the table's part is summed again in double precision. Examples are kept in single precision; the k nearest of them are exact (ties by the smaller example id). They
 vote with weight cos / (1.05 - cos). Votes are calibrated by an isotonic curve fitted on the examples, each scored without itself. A text without any of the
 words (an empty or null text too) gets the share of toxic ones among such examples, or among all if there is none.
 
@@ -38,7 +38,7 @@ HEADS = 512
 #: Parts of alike examples, and commonest terms of a part that stand in a table; a text with fewer than ``MANY`` of these adds them one by one.
 PARTS, COMMON, MANY = 5, 1024, 20
 #: Blocks that are opened one by one before all lists are read; error of a cosine in single precision; texts whose common terms are multiplied at once; words a worker remembers.
-FEW, SLACK, AT_ONCE, REMEMBERED = 12, 1e-5, 256, 200_000
+FEW, SLACK, AT_ONCE, REMEMBERED = 12, 1e-5, 256, 500_000
 find_words = re.compile(r"\w+").findall
 
 
@@ -78,6 +78,7 @@ class ToxicIndex:
         self.sorted = self.names[self.place]
         of = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.start))
         weights = (self.values * self.idf[self.terms] * self.scale[of]).astype(np.float32)
+        self.weights = weights
         part = self._alike(of, weights)
         self.order = np.argsort(part, kind="stable")  # examples that are alike lie in the same blocks
         spot = np.empty(n, np.int32)
@@ -187,11 +188,22 @@ class ToxicIndex:
         return self.vectors([text])[0]
 
     def exact(self, at: np.ndarray, query: np.ndarray) -> np.ndarray:
-        """Cosines of the examples at these positions, in double precision; ``query`` holds weights times idf."""
+        """Cosines of the examples at these positions; ``query`` holds the text's weights."""
         rows = [(self.start[e], self.start[e + 1]) for e in at.tolist()]
-        terms, values = np.concatenate([self.terms[a:b] for a, b in rows]), np.concatenate([self.values[a:b] for a, b in rows])
+        terms, weights = np.concatenate([self.terms[a:b] for a, b in rows]), np.concatenate([self.weights[a:b] for a, b in rows])
         first = np.concatenate([[0], np.cumsum([b - a for a, b in rows])[:-1]])
-        return np.add.reduceat(query[terms] * values, first) * self.scale[at]
+        return np.add.reduceat(query[terms] * weights, first)
+
+    def exact_rest(self, spots: np.ndarray, terms: np.ndarray, weights: np.ndarray, listed: np.ndarray) -> np.ndarray:
+        """The same for places in the order of the parts, where the sums over the lists are known: the tables' columns in double precision."""
+        out = listed[spots]
+        for lo, hi, common, table in self.parts:
+            here = np.flatnonzero((spots >= lo) & (spots < hi))
+            if len(here):
+                place = common[terms]
+                known = np.flatnonzero(place >= 0)
+                out[here] += weights[known] @ table[place[known][:, None], spots[here] - lo].astype(np.float64)
+        return out
 
     def common_part(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """For every vector the products with all examples over the common terms of their part; a vector that has few of them adds them one by one."""
@@ -226,14 +238,13 @@ class ToxicIndex:
         known = place >= 0
         bounds = weights[known] @ self.block_max[place[known]] + np.sqrt((weights[~known] ** 2).sum()) * self.rest_max
         query = self.buffer
-        query[terms] = weights * self.idf[terms]
+        query[terms] = weights
         at, cos, n = np.empty(0, np.int64), np.empty(0), len(self.ids)
 
-        def add(new: np.ndarray) -> None:
+        def add(new: np.ndarray, got: np.ndarray) -> None:
             nonlocal at, cos
-            new = new[new != leave]
+            new, got = new[new != leave], got[new != leave]
             if len(new):
-                got = self.exact(new, query)
                 at, cos = np.concatenate([at, new[got > 0]]), np.concatenate([cos, got[got > 0]])
                 best = np.lexsort((self.ids[at], -np.round(cos, 12)))[: self.k]
                 at, cos = at[best], cos[best]
@@ -243,17 +254,20 @@ class ToxicIndex:
             for b in np.argsort(-bounds, kind="stable")[:FEW].tolist():
                 if bounds[b] <= 0 or bounds[b] < least:
                     break
-                add(self.order[b * BLOCK:(b + 1) * BLOCK])
+                block = self.order[b * BLOCK:(b + 1) * BLOCK]
+                add(block, self.exact(block, query))
                 opened[b] = True
                 least = cos[self.k - 1] - 1e-6 if len(at) >= self.k else 0.0
         if (bounds[~opened] >= max(least, 1e-300)).any():
-            near = self.listed(terms, weights) + (self.common_part([(terms, weights)])[0] if common is None else common)
+            listed = self.listed(terms, weights)
+            near = listed + (self.common_part([(terms, weights)])[0] if common is None else common)
             if leave >= 0:
                 near[self.order == leave] = 0
             if n > self.k:
                 least = max(least, np.partition(near, n - self.k)[n - self.k] - SLACK)
             at, cos = np.empty(0, np.int64), np.empty(0)
-            add(self.order[np.flatnonzero((near >= least - SLACK) & (near > 0))])
+            spots = np.flatnonzero((near >= least - SLACK) & (near > 0))
+            add(self.order[spots], self.exact_rest(spots, terms, weights, listed))
         query[terms] = 0
         return at, np.minimum(cos, 1.0)
 
