@@ -328,6 +328,8 @@ def test_block_max_search_is_exact_with_more_terms_than_tables(monkeypatch):
     for i, (t, c) in enumerate(zip(rows, counts)):
         dense[i, t] = nearest_toxic.unit(t, c, idf)[1]
     texts = [" ".join(words[x] for x, k in zip(rows[i], counts[i]) for _ in range(int(k))) for i in range(0, n, 5)]
+    alone = nearest_toxic.ToxicIndex(["a", "b"], np.ones(2), [7], [(np.array([0]), np.ones(1, np.float32))], np.ones(1), 15, 0.1)
+    assert [a.tolist() for a in alone.nearest(*alone.vector("a a b"))] == [[0], [pytest.approx((1 + np.log(2)) / np.hypot(1 + np.log(2), 1))]]  # nothing is listed
     vectors = index.vectors(texts) + [index.vector(t) for t in texts[::9]]
     for j, (terms, weights) in enumerate(vectors):
         i = 5 * j if j < len(texts) else 45 * (j - len(texts))

@@ -229,7 +229,7 @@ class ToxicIndex:
         size = self.list_start[terms + 1] - first
         ends = np.cumsum(size)
         pick = np.arange(ends[-1]) + np.repeat(first - (ends - size), size)
-        return np.bincount(self.list_of[pick], self.list_weight[pick] * np.repeat(weights, size), len(self.ids))
+        return np.bincount(self.list_of[pick], self.list_weight[pick] * np.repeat(weights, size), len(self.ids)).astype(np.float64, copy=False)  # whole numbers if nothing is listed
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, leave: int = -1, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Positions and cosines of the k nearest examples with a positive cosine, the nearest first; ``common`` is the row of ``common_part`` if that is known."""
