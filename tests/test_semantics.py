@@ -11,6 +11,7 @@ from tillroll.functions import text as X
 from tillroll.operators import clean as C
 from tillroll.operators import joins as J
 from tillroll.operators import load as L
+from tillroll.operators import presence as PR
 from tillroll.operators import quality as Q
 from tillroll.operators import sales as S
 from tillroll.operators import vouchers as V
@@ -259,3 +260,19 @@ def test_next_in_slices_with_a_key_in_all_slices(spark, ahead):
     for k, at, v in sorted(rows, key=lambda r: r[1]):
         series.setdefault(k, []).append((at, v))
     assert got == {(k, at): s[n + ahead][1] if n + ahead < len(s) else None for k, s in series.items() for n, (at, _) in enumerate(s)}
+
+
+def test_a_new_day_is_appended_without_the_old_rows(spark, tmp_path):
+    """Stored bitmaps of the old days and the new day's rows give the same counts as all rows; negative, far apart and null members too."""
+    rows = [(f"2024-01-{1 + i % 20:02d}", m) for i, m in enumerate([*range(0, 90_000, 700), -5, -70_000, 2**40, 7, 7, 7, None] * 2)]
+    df = spark.createDataFrame(rows, "day string, m bigint").withColumn("day", F.to_date("day"))
+    new = spark.createDataFrame([("2024-02-01", 7), ("2024-02-01", 123_456), ("2024-02-01", None)], "day string, m bigint").withColumn("day", F.to_date("day"))
+    PR.presence(df, ["day"], "m").write.parquet(f"{tmp_path}/old")
+    stored = PR.merged(spark.read.parquet(f"{tmp_path}/old"), PR.presence(new, ["day"], "m"))
+    every = df.unionByName(new)
+    assert PR.members(PR.coarser(stored)).first()[0] == every.select("m").where("m IS NOT NULL").distinct().count()
+    want = {(r["day"], r["n"]) for r in every.groupBy("day").agg(F.countDistinct("m").alias("n")).collect()}
+    assert {(r["day"], r["members"]) for r in PR.members(stored, ["day"]).collect()} == want
+    kept = {str(r["month"]): (r["active"], r["retained"]) for r in PR.retention(stored, "day").collect()}
+    assert kept["2024-02-01"] == (2, 1) and kept["2024-01-01"][1] == 0
+    assert PR.members(PR.presence(df.limit(0), ["day"], "m")).first()[0] == 0

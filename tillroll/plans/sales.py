@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tillroll.operators import presence as PR
 from tillroll.operators import sales as S
 from tillroll.plans.registry import plan
 from tillroll.plans.tables import AS_OF, EVENTS_AS_OF
@@ -391,3 +392,27 @@ def _(t):
   WHERE order_date >= TIMESTAMP '{AS_OF}' - INTERVAL 72 HOUR""")
 def _(t):
     return S.day_summary(t.ord, AS_OF, 72, 24)
+
+
+def _day_bitmaps(t, member="customer_id"):
+    return PR.presence(t.ord.select(F.to_date("order_date").alias("day"), member), ["day"], member)
+
+
+@plan("a01_bitmap_totals", "SELECT (SELECT count(DISTINCT customer_id) FROM ord) AS customers, (SELECT count(DISTINCT order_id) FROM ord) AS orders")
+def _(t):
+    one = lambda member, name: PR.members(PR.coarser(_day_bitmaps(t, member)), (), name)
+    return one("customer_id", "customers").withColumn("orders", one("order_id", "orders").scalar())
+
+
+@plan("a30_bitmap_cube", """WITH d AS (SELECT order_date::DATE AS day, customer_id FROM ord)
+  SELECT 'day' AS grain, day AS bucket, count(DISTINCT customer_id) AS members FROM d GROUP BY 2 UNION ALL SELECT 'month', date_trunc('month', day)::DATE, count(DISTINCT customer_id) FROM d GROUP BY 2
+  UNION ALL SELECT 'year', date_trunc('year', day)::DATE, count(DISTINCT customer_id) FROM d GROUP BY 2 UNION ALL SELECT 'all', NULL::DATE, count(DISTINCT customer_id) FROM d""")
+def _(t):
+    return PR.cube(_day_bitmaps(t), "day")
+
+
+@plan("a34_bitmap_retention", """WITH m AS (SELECT DISTINCT date_trunc('month', order_date)::DATE AS month, customer_id FROM ord), n AS (SELECT month, count(*) AS active FROM m GROUP BY 1),
+  k AS (SELECT m.month, count(*) AS retained FROM m JOIN m p ON p.customer_id = m.customer_id AND p.month = (m.month - INTERVAL 1 MONTH)::DATE GROUP BY 1)
+  SELECT n.month, n.active, coalesce(retained, 0) AS retained, round(coalesce(retained, 0)::DOUBLE / b.active, 6) AS retention_rate FROM n LEFT JOIN k USING (month) LEFT JOIN n b ON b.month = (n.month - INTERVAL 1 MONTH)::DATE""")
+def _(t):
+    return PR.retention(_day_bitmaps(t), "day")
