@@ -8,7 +8,10 @@ sequence in which all neighbours agree is the one that merging the whole text gi
 Words are encoded one at a time with the blank in front (no piece has a blank after another character, checked when the model is
 loaded), so codes of words are remembered, in two generations of ``REMEMBER`` words: the older goes when the younger is full, which changes speed only.
 
-Null text counts as empty: no ids, empty decoded text. Repeated rows are coded one by one.
+Decoding starts from the ids alone: the bytes of their pieces, laid one after the other, are read as UTF-8.
+
+Null text counts as empty: no ids, empty decoded text. Repeated rows are coded one by one. A very long text is coded whole, in memory that grows with that text only.
+An empty table gives an empty result; other columns stay, but for those named like the result.
 """
 
 from __future__ import annotations
@@ -95,8 +98,8 @@ class PieceModel:
         #: ids of words, joined by commas. A plain word stands for itself with a blank in front; see _key for the others.
         self.words: dict[str, str] = {}
         self.older: dict[str, str] = {}
-        #: Set when a word does not come back from its ids; from then on texts are decoded from theirs.
-        self.odd = False
+        #: Bytes of every id; control and unknown pieces have none.
+        self.bytes = pa.array([self.id_bytes.get(i) or (p.encode() if k == NORMAL else b"") for i, (p, k) in enumerate(zip(self.pieces, self.kinds))], pa.large_binary())
 
     def merged(self, text: str) -> list[str]:
         """Merging from single characters: the neighbours whose joint piece has the best score first, the leftmost of equals."""
@@ -181,13 +184,17 @@ class PieceModel:
                     out.append(i)
         return out
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: list[int] | np.ndarray) -> str:
         """Text of ``ids``: pieces joined, runs of byte pieces read as UTF-8, blanks as spaces, the one in front removed."""
-        text = self._text(ids)
+        taken = self.bytes.take(pa.array(ids, pa.int32()))
+        _, ends, data = taken.buffers()
+        size = np.frombuffer(ends, np.int64)[len(taken)] if len(taken) else 0
+        text = data.to_pybytes()[:size].decode("utf-8", "replace").replace(BLANK, " ") if size else ""
         return text[1:] if text.startswith(" ") else text
 
-    def _text(self, ids: list[int]) -> str:
-        return b"".join(self.id_bytes.get(i) or self.pieces[i].encode() for i in ids if self.kinds[i] in (NORMAL, BYTE)).decode("utf-8", "replace").replace(BLANK, " ")
+    def decode_joined(self, ids: str) -> str:
+        """Text of ids that are joined by commas."""
+        return self.decode(np.fromstring(ids, np.int32, sep=",")) if ids else ""
 
     cut = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+").findall
 
@@ -198,19 +205,15 @@ class PieceModel:
             if "\n" in full[1:-1] and self.line_breaks_alone:
                 ids = ",".join([self.words.get(k) or self.learn(k, x) for x in _lines.findall(full) for k in (_key(x),)])
             else:
-                codes = self.encode_word(full)
-                ids = ",".join([self.names[i] for i in codes])
-                back = self._text(codes)
-                if back != full.replace(BLANK, " "):
-                    self.odd = True
+                ids = ",".join([self.names[i] for i in self.encode_word(full)])
         if len(word) <= 64:
             self.words[word] = ids
         return ids
 
-    def coded(self, text: str) -> tuple[str, str]:
-        """The ids of ``text`` joined by commas, and the text that they decode to."""
+    def coded(self, text: str) -> str:
+        """The ids of ``text`` joined by commas."""
         if not text:
-            return "", ""
+            return ""
         if BLANK in text or "  " in text or text[0] == " " or text[-1] == " ":
             full = self.cut(BLANK + text.replace(" ", BLANK))
             words = list(map(_key, full))
@@ -223,11 +226,10 @@ class PieceModel:
                     out[k] = self.words.get(words[k]) or self.learn(words[k], full[k] if full else BLANK + words[k])
             if len(self.words) > REMEMBER:
                 self.words, self.older = {}, self.words
-        ids = ",".join(out)
-        return ids, self.decode([int(i) for i in ids.split(",")]) if self.odd else text.replace(BLANK, " ")
+        return ",".join(out)
 
     def encode(self, text: str) -> list[int]:
-        ids = self.coded(text)[0]
+        ids = self.coded(text)
         return [int(i) for i in ids.split(",")] if ids else []
 
 
@@ -252,7 +254,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """``docs`` with ``ids`` (array<int>) for ``text``; a column of that name is replaced."""
     def one(texts: pa.Array) -> pa.Array:
         model = model_at(path)
-        return _lists([model.coded(t or "")[0] for t in texts.to_pylist()])
+        return _lists([model.coded(t or "") for t in texts.to_pylist()])
     return _with(docs, text, "ids", ArrayType(IntegerType()), one)
 
 
@@ -291,8 +293,8 @@ def token_rows(docs: DataFrame, path: str, keep: list[str], text: str = "text")
         for b in batches:
             texts = [t or "" for t in b.column(len(keep)).to_pylist()]
             coded = [model.coded(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([c[0].count(",") + 1 if c[0] else 0 for c in coded], pa.int64()), _lists([c[0] for c in coded]),
-                                              pa.array([c[1] == t for c, t in zip(coded, texts)], pa.bool_())], names=[*keep, "n_tokens", "ids", "round_trip"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([c.count(",") + 1 if c else 0 for c in coded], pa.int64()), _lists(coded),
+                                              pa.array([model.decode_joined(c) == t for c, t in zip(coded, texts)], pa.bool_())], names=[*keep, "n_tokens", "ids", "round_trip"])
 
     return docs.select(*keep, text).mapInArrow(run, schema)
 
@@ -302,9 +304,9 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     def one(batch: pa.RecordBatch) -> dict:
         model, n, a, b = model_at(path), [], [], []
         for t in batch.column("text").to_pylist():
-            ids, text = model.coded(t or "")
+            ids = model.coded(t or "")
             n.append(ids.count(",") + 1 if ids else 0)
             a.append(hashlib.sha256(ids.encode()).hexdigest())
-            b.append(hashlib.sha256(text.encode()).hexdigest())
+            b.append(hashlib.sha256(model.decode_joined(ids).encode()).hexdigest())
         return {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())}
     return arrow_rows(docs.select("doc_id", "text"), one, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
