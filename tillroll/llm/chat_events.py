@@ -11,6 +11,9 @@ A final message is rendered as one piece; a conversation is ``<s>`` and its piec
     assistant   text </s>            (with a blank in front; the text is under the loss mask)
     any other   <<SYS>>role, newline, text<</SYS>>
 Control strings inside a text get a backslash after their first character and a backslash is doubled, so no text can end its turn and reading back restores it.
+Reading back finds the ends of turns in the stream itself; what is no turn of this template is an error.
+
+Very long texts stay whole; memory grows with one turn, not with a conversation. Empty tables give empty results. Extra columns of the log are not carried on.
 """
 
 from __future__ import annotations
@@ -26,7 +29,6 @@ from pyspark.sql import functions as F
 START = "<s>"
 _control = re.compile(r"\\|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>")
 _escaped = re.compile(r"\\(.)", re.S)
-_piece = re.compile(r"\[INST\] (?P<user>.*) \[/INST\]| (?P<assistant>.*) </s>|<<SYS>>(?P<role>(?:[^\\\n]|\\.)*)\n(?P<other>.*)<</SYS>>", re.S)
 _rank = {"message": 0, "edit": 1, "regenerate": 2, "delta": 3, "delete": 4}
 
 
@@ -48,26 +50,64 @@ def render(role: str, text: str) -> tuple[str, int, int]:
     return f"<<SYS>>{escape(role).replace(chr(10), chr(92) + chr(10))}\n{body}<</SYS>>", 0, 0
 
 
-def read_back(piece: str) -> tuple[str, str]:
-    """Role and text of a piece."""
-    m = _piece.fullmatch(piece)
-    if m is None:
-        raise ValueError("not a piece of this template")
-    if m["user"] is not None:
-        return "user", unescape(m["user"])
-    if m["assistant"] is not None:
-        return "assistant", unescape(m["assistant"])
-    return unescape(m["role"]), unescape(m["other"])
-
-
-_pieces = re.compile(r"\[INST\] .*? \[/INST\]| .*? </s>|<<SYS>>(?:[^\\\n]|\\.)*\n.*?<</SYS>>", re.S)
+_role = re.compile(r"((?:[^\\\n]|\\.)*)\n", re.S)
+
+
+class Reader:
+    """Reads formatted conversations from parts of any size and finds the ends of turns itself."""
+
+    def __init__(self) -> None:
+        self.rest, self.begun = "", False
+
+    def feed(self, part: str) -> list[tuple[str, str]]:
+        """Roles and texts of the turns that end in ``part``; the beginning of a turn is kept for the next part."""
+        text, at, out = self.rest + part, 0, []
+        if not self.begun and len(text) >= len(START):
+            if not text.startswith(START):
+                raise ValueError("not a conversation of this template")
+            self.begun, at = True, len(START)
+        while self.begun and at < len(text):
+            turn = self._turn(text, at)
+            if turn is None:
+                break
+            out.append(turn[:2])
+            at = turn[2]
+        self.rest = text[at:]
+        return out
+
+    @staticmethod
+    def _turn(text: str, at: int) -> tuple[str, str, int] | None:
+        """Role, text and end of the turn at ``at``, None if it does not end in ``text``."""
+        for mark, role, stop in _TURNS:
+            if text.startswith(mark, at):
+                begin = at + len(mark)
+                if role is None:
+                    head = _role.match(text, begin)
+                    if head is None:
+                        return None
+                    role, begin = unescape(head[1]), head.end()
+                end = text.find(stop, begin)
+                return (role, unescape(text[begin:end]), end + len(stop)) if end >= 0 else None
+            if mark.startswith(text[at:at + len(mark)]):
+                return None
+        raise ValueError("not a turn of this template")
+
+    def close(self) -> None:
+        """The end of the conversation; an error if a turn is still open."""
+        if self.rest or not self.begun:
+            raise ValueError("a turn or conversation that does not end")
+
+
+#: Beginning, role (None: it follows, up to the end of the line) and end of the kinds of turns.
+_TURNS = (("[INST] ", "user", " [/INST]"), (" ", "assistant", " </s>"), ("<<SYS>>", None, "<</SYS>>"))
 
 
 def read_conversation(text: str) -> list[tuple[str, str]]:
     """Roles and texts of a whole formatted conversation."""
-    if not text.startswith(START):
-        raise ValueError("not a conversation of this template")
-    return [read_back(m[0]) for m in _pieces.finditer(text, len(START))]
+    reader = Reader()
+    out = reader.feed(text)
+    reader.close()
+    return out
 
 
 def fold(events: DataFrame) -> DataFrame:
@@ -144,12 +184,14 @@ def digests(pieces: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, id_type, begun = None, None, False
         state: list = []
+        reader = Reader()
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
             c = list(zip(*rows))
             return pa.RecordBatch.from_arrays([pa.array(c[0], id_type), pa.array(c[1], pa.int64()), pa.array(c[2]), pa.array(c[3], pa.int64()), pa.array(c[4]), pa.array(c[5], pa.int64())], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
         def close() -> tuple:
+            reader.close()
             n, turns, chars, loss, size = state
             return now, n, turns.hexdigest(), chars, loss.hexdigest(), size
 
@@ -159,10 +201,11 @@ def digests(pieces: DataFrame) -> DataFrame:
                 if not begun or conv != now:
                     if begun:
                         rows.append(close())
-                    now, begun, state = conv, True, [0, hashlib.sha256(), 0, hashlib.sha256(), len(START)]
-                role, text = read_back(piece)
-                state[0] += 1
-                state[1].update(f"{role}\n{text}\n".encode())
+                    now, begun, state, reader = conv, True, [0, hashlib.sha256(), 0, hashlib.sha256(), len(START)], Reader()
+                    reader.feed(START)
+                for role, text in reader.feed(piece):
+                    state[0] += 1
+                    state[1].update(f"{role}\n{text}\n".encode())
                 masked = unescape(piece[a:z])
                 state[2] += len(masked)
                 state[3].update(masked.encode())
