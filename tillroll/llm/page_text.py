@@ -11,7 +11,10 @@ other tags and names, and typical side blocks are put before, after and into the
 The weights are fitted by stochastic gradients of the log-likelihood (forward and backward sums).
 
 Null and empty html, and pages without main blocks, give an empty text. Repeated rows are extracted one by one. Broken markup is read as far as it goes: unclosed and
-stray tags, cut character references and cut tags.
+stray tags, cut character references and cut tags. Elements without text of their own (``select``, ``object``, ``svg`` and the like) are quiet up to their end, or that of the
+element around them; one that is never closed on the page is passed over and what follows is read. Only raw text (``script``, ``style``, ``title``, ``textarea``, ``iframe``) runs to the
+end of the page when it is not closed. Formulas keep their text. Pages of any length are read whole, other columns stay. Cue words are looked for in
+blocks of up to 40 words; longer ones are judged by their other features.
 """
 
 from __future__ import annotations
@@ -32,7 +35,9 @@ _name = re.compile(r"[a-z]+")
 # Fixed values of HTML.
 BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul button textarea".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = set("script style template noscript svg title textarea iframe object select math canvas audio video".split())
+RAW = set("script style title textarea iframe".split())
+QUIET = set("template noscript svg object select canvas audio video annotation annotation-xml".split())
+LEAVES = {"svg", "select"}  # block-level tags cannot stand in them and end them
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, set())}
 #: Names that side parts of pages bear, by the part; used to disguise training pages and to tell what inside an article is not the article.
 SIDE = {
@@ -56,6 +61,8 @@ def blocks(page: str) -> list[Block]:
     text: list[str] = []
     linked = total = 0
     in_link = 0
+    quiet = -1  # level of the outermost open element that is quiet
+    last_end: dict[str, int] = {}  # where the last end of a tag stands
 
     def flush() -> None:
         nonlocal linked, total
@@ -67,6 +74,8 @@ def blocks(page: str) -> list[Block]:
 
     def add(raw: str) -> None:
         nonlocal linked, total
+        if quiet >= 0:
+            return
         s = html.unescape(raw) if "&" in raw else raw
         text.append(s)
         n = len(s.strip())
@@ -75,10 +84,17 @@ def blocks(page: str) -> list[Block]:
             linked += n
 
     def pop(to: int) -> None:
-        nonlocal in_link
+        nonlocal in_link, quiet
         while len(stack) > to:
             if stack.pop()[0] == "a":
                 in_link -= 1
+        if quiet >= to:
+            quiet = -1
+
+    def ends_after(tag: str, at: int) -> bool:
+        if tag not in last_end:
+            last_end[tag] = max((m.start() for m in re.finditer(rf"</{re.escape(tag)}(?![^\s/>])", page, re.I)), default=-1)
+        return last_end[tag] >= at
 
     at, end = 0, len(page)
     while at < end:
@@ -100,18 +116,36 @@ def blocks(page: str) -> list[Block]:
         closing, rest = (m[1], m[3]) if m[2] else (m[4], m[6])
         if closing:
             level = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
+            if 0 <= quiet and (level < 0 or level >= quiet or tag not in BLOCKS):
+                if level >= quiet:
+                    pop(level)
+                continue
             if tag in BLOCKS:
                 flush()
             if level >= 0 and (tag in BLOCKS or not any(t in BLOCKS for t, _ in stack[level + 1:])):
                 pop(level)
             continue
-        if tag in SILENT:
-            if tag in BLOCKS:
+        if tag in RAW:
+            if tag in BLOCKS and quiet < 0:
                 flush()
             if not rest.rstrip().endswith("/"):
-                stop = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+                stop = re.compile(rf"</{re.escape(tag)}(?![^\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = stop.end() if stop else end
             continue
+        if quiet >= 0:
+            if not (stack[quiet][0] in LEAVES and tag in BLOCKS and tag not in ("hr", "option")):
+                if tag not in VOID and not rest.rstrip().endswith("/"):
+                    stack.append((tag, ()))
+                    in_link += tag == "a"
+                continue
+            pop(quiet)
+        if tag in QUIET:
+            if tag in BLOCKS:
+                flush()
+            if not rest.rstrip().endswith("/") and ends_after(tag, at):
+                quiet = len(stack)
+                stack.append((tag, ()))
+            continue
         if tag in BLOCKS:
             flush()
             if tag in CLOSES:
