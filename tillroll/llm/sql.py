@@ -29,7 +29,8 @@ WITH texts AS (SELECT DISTINCT 'd' AS kind, doc_id AS id, coalesce(text, '') AS
 w AS (SELECT row_number() OVER () AS r, kind, id, regexp_extract_all(lower(t), '[\p{L}\p{N}]+') AS w FROM texts),
 words AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w WHERE len(w) >= 5),
 windows AS (SELECT r, x || ' ' || lead(x, 1) OVER o || ' ' || lead(x, 2) OVER o || ' ' || lead(x, 3) OVER o || ' ' || lead(x, 4) OVER o AS s FROM words WINDOW o AS (PARTITION BY r ORDER BY i)),
-shingles AS (SELECT DISTINCT r, s FROM windows WHERE s IS NOT NULL UNION ALL SELECT r, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 4),
+shingles AS (SELECT DISTINCT r, s FROM windows WHERE s IS NOT NULL UNION SELECT r, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 4
+  UNION SELECT r, array_to_string(w[i:i + k - 1], ' ') FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT DISTINCT len(w) AS k FROM w WHERE kind = 'i' AND len(w) BETWEEN 1 AND 4) WHERE kind = 'd')),
 items AS (SELECT r, id AS item_id, count(*) AS n FROM shingles JOIN w USING (r) WHERE kind = 'i' GROUP BY r, id),
 found AS (SELECT d.r, i.r AS ir, count(*) AS n_found FROM shingles i JOIN items ON items.r = i.r JOIN shingles d ON d.s = i.s JOIN w ON w.r = d.r AND w.kind = 'd' GROUP BY d.r, i.r)
 SELECT w.id AS doc_id, item_id, CAST(n AS BIGINT) AS n_item_shingles, CAST(n_found AS BIGINT) AS n_found
