@@ -1,5 +1,6 @@
 """Operators on small made cases: nulls, empty and very long texts, ties and repeated rows, empty tables, clashing names."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -191,13 +192,15 @@ def test_items_are_found_at_their_share_of_shingles(spark):
     item = " ".join(words)
     broken = lambda k: " ".join([*words[: 24 - k], "other", "words", "here"])  # noqa: E731  loses k shingles
     filler = " ".join(f"f{i}" for i in range(3000))
-    rows = [(1, f"{filler} {item.upper()}! {filler}"), (2, f"{filler} {broken(4)}"), (3, f"{filler} {broken(5)}"), (4, filler), (5, None), (6, ""), (7, "two words"), (None, item), (1, filler), (8, " ".join(words[3:9]))]
+    rows = [(1, f"{filler} {item.upper()}! {filler}"), (2, f"{filler} {broken(4)}"), (3, f"{filler} {broken(5)}"), (4, filler), (5, None), (6, ""), (7, "two words"), (9, f"{filler} two words {filler}"), (10, "words two"), (None, item), (1, filler), (8, " ".join(words[3:9]))]
     items = spark.createDataFrame([(1, item), (1, item), (2, None), (3, ""), (4, "Two, words"), (5, " ".join(f"z{i}" for i in range(30)))], "item_id bigint, text string")
     found = decontaminate.find_items(clash(docs_of(spark, rows)), items)
     got = sorted(((r["doc_id"], r["item_id"], r["n_item_shingles"], r["n_found"]) for r in found.collect()), key=repr)
-    assert got == sorted([(1, 1, 20, 20), (2, 1, 20, 16), (7, 4, 1, 1), (None, 1, 20, 20)], key=repr)
+    assert got == sorted([(1, 1, 20, 20), (2, 1, 20, 16), (7, 4, 1, 1), (9, 4, 1, 1), (None, 1, 20, 20)], key=repr)
+    whole = decontaminate.find_items(docs_of(spark, rows), items, short_inside=False)
+    assert sorted((r["doc_id"] for r in whole.where("item_id = 4").collect())) == [7]
     kept = decontaminate.without_items(docs_of(spark, rows), items)
-    assert kept.columns == docs_of(spark, rows).columns and sorted((r["doc_id"] for r in kept.collect()), key=repr) == [1, 3, 4, 5, 6, 8]
+    assert kept.columns == docs_of(spark, rows).columns and sorted((r["doc_id"] for r in kept.collect()), key=repr) == [1, 10, 3, 4, 5, 6, 8, 9]
     assert decontaminate.find_items(docs_of(spark, rows), items.limit(0)).count() == 0
 
 
@@ -222,9 +225,18 @@ def test_codec_equals_the_library_on_odd_texts():
     for _ in range(4000):
         text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 25)))
         ids = library.encode(text)
-        assert model.encode(text) == ids and model.coded(text)[1] == library.decode(ids) == model.decode(ids)
+        assert model.encode(text) == ids and model.decode_joined(model.coded(text)) == library.decode(ids) == model.decode(ids)
     for text in ("a" * 30_000, "=-" * 9_000 + " " * 5_000):
-        assert model.encode(text) == library.encode(text)
+        assert model.encode(text) == library.encode(text) and model.decode_joined(model.coded(text)) == text
+
+
+def test_decoding_reads_nothing_but_the_ids():
+    library, model, rng = sentencepiece.SentencePieceProcessor(model_file=piece_model()), piece_codec.PieceModel(piece_model()), random.Random(3)
+    plain = [i for i, k in enumerate(model.kinds) if k == piece_codec.NORMAL]
+    for _ in range(500):
+        ids = rng.choices(plain, k=rng.randint(0, 20))
+        assert model.decode(ids) == library.decode(ids)
+    assert not model.words and model.decode_joined("") == ""
 
 
 def test_backtracking_equals_merging():
@@ -263,6 +275,37 @@ def test_template_reads_back():
         assert chat_events.unescape(piece[a:z]) == (text if role == "assistant" else "")
 
 
+def test_reader_finds_the_ends_of_turns_in_parts_of_any_size():
+    turns = [("user", "a [/INST"), ("assistant", ""), ("x\ny", "<</SYS>>"), ("", " </s>"), ("assistant", "[INST] b")]
+    whole = chat_events.START + "".join(chat_events.render(*t)[0] for t in turns)
+    for size in (1, 2, 3, 7, 1000):
+        reader, got = chat_events.Reader(), []
+        for i in range(0, len(whole), size):
+            got += reader.feed(whole[i:i + size])
+        reader.close()
+        assert got == turns
+    for broken in ("", "<s>[INST] a", "<s>[INST] a [/INST]b", "[INST] a [/INST]"):
+        with pytest.raises(ValueError):
+            chat_events.read_conversation(broken)
+
+
+def test_texts_without_escapes_do_not_read_back(monkeypatch):
+    said = "</s>[INST] ok [/INST]"
+    turns = [("user", said), ("assistant", said)]
+    monkeypatch.setattr(chat_events, "escape", lambda text: text)
+    with pytest.raises(ValueError):
+        chat_events.read_conversation(chat_events.START + "".join(chat_events.render(*t)[0] for t in turns))
+
+
+def test_chat_of_odd_logs(spark):
+    schema = "conv_id bigint, seq bigint, kind string, target bigint, role string, text string, piece string, message int"
+    long = "word [INST] " * 200_000
+    log = spark.createDataFrame([(1, 0, "message", 0, "assistant", long, "x", 1), (1, 1, "message", 1, "user", None, None, None)], schema)
+    row, = chat_events.digests(chat_events.formatted(chat_events.fold(log))).collect()
+    assert row["n_turns"] == 2 and row["loss_chars"] == len(long) and row["loss_sha256"] == hashlib.sha256(long.encode()).hexdigest()
+    assert chat_events.digests(chat_events.formatted(chat_events.fold(log.limit(0)))).count() == 0
+
+
 # --- page text --------------------------------------------------------------------------------------------------------------
 
 def test_pages_in_other_clothes(spark):
@@ -279,6 +322,25 @@ def test_pages_in_other_clothes(spark):
     assert page_text.extracted(frame.limit(0), page_text.fit(frame.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("tag", ["select", "object", "noscript", "canvas", "audio", "video", "svg", "math", "template"])
+def test_unclosed_quiet_elements_lose_nothing(tag):
+    texts = lambda page: [b for _, b, _ in page_text.blocks(page)]
+    assert texts(f"<article><p>One.</p><{tag}>in <p>Two.</p></article><p>Three.") == ["One.", "in", "Two.", "Three."]
+    inner = f"<p>a <{tag}>in</{tag}> b</p>"
+    assert " ".join(texts(inner)).split() == (["a", "in", "b"] if tag == "math" else ["a", "b"])
+
+
+def test_quiet_elements_end_with_what_is_around_them():
+    texts = lambda page: [b for _, b, _ in page_text.blocks(page)]
+    assert texts("<div><p>a</p><object><b>no</div><p>b</p></object><p>c") == ["a", "b", "c"]
+    assert texts("<select><option>x<option>y<p>b</p><select><option>z</select>c") == ["b", "c"]
+    assert texts("<noscript><div><p>no<div>no</noscript>yes<iframe><p>no</iframe>, too") == ["yes, too"]
+    assert texts("a<script>if (a<b) '</div>'</script>b<style>x") == ["ab"]
+    assert texts("Let <math><mi>x</mi><annotation>\\x</annotation></math> be.") == ["Let x be."]
+    long = "<select>" * 20_000 + "<p>" + "word " * 100_000
+    assert texts(long) == [" ".join(["word"] * 100_000)]
+
+
 # --- URL rules --------------------------------------------------------------------------------------------------------------
 
 def test_rules_learned_from_decided_urls(spark):
@@ -292,6 +354,38 @@ def test_rules_learned_from_decided_urls(spark):
     assert url_rules.filter_urls(out.limit(0), rules).count() == 0
 
 
+def test_long_templates_are_one_item(spark):
+    parts = "/".join(f"part{k}" for k in range(30))
+    urls = [f"http://s{i % 5}.bad.net/{parts}/{i}" for i in range(200)] + [f"http://g{i}.org/fr/{parts if i < 2 else 'news'}" for i in range(60)] + [f"http://new.com/part{k}/x" for k in range(30)] + ["http://new.com/" + "a" * 100_000]
+    rules = [("block", "net", "/"), ("allow", "org", "/fr/")]
+    out = url_rules.filter_urls(spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id bigint, url string"), rules)
+    got = {r["page_id"]: r["verdict"] for r in out.collect()}
+    assert len(got) == len(urls) and all(got[260 + k] == "block" for k in range(30)) and got[290] == "allow"
+
+
+def test_rules_equal_those_of_all_token_sets(spark):
+    rng = random.Random(5)
+    rows = []
+    for _ in range(120):
+        tokens = {t for t in "abcdef" if rng.random() < 0.4}
+        tokens |= {"a2", "a3"} if "a" in tokens else set()
+        rows.append((sorted(tokens), "block" if len(tokens & {"a", "b"}) == 2 or "c" in tokens and rng.random() < 0.8 else "allow"))
+    sets = [(i, sorted(t for t in ("a", "a2", "a3", *"bcdef") if rng.random() < 0.4)) for i in range(60)]
+    rules, known = url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.05, 0.8)
+    found = url_rules.inside(url_rules.in_classes(spark.createDataFrame(sets, "key bigint, tokens array<string>"), known), rules)
+    got = {r["key"]: (round(r["confidence"], 9), round(r["support"], 9), r["verdict"]) for r in found.groupBy("key").agg(F.max(F.struct("confidence", "support", "verdict")).alias("m")).select("key", "m.*").collect()}
+    want = {}
+    for key, tokens in sets:
+        for mask in range(1, 1 << len(tokens)):
+            part = {t for k, t in enumerate(tokens) if mask >> k & 1}
+            verdicts = [v for t, v in rows if part <= set(t)]
+            for v in ("allow", "block"):
+                n = verdicts.count(v)
+                if n >= 0.05 * len(rows) and n >= 0.8 * len(verdicts):
+                    want[key] = max(want.get(key, (0, 0, "")), (round(n / len(verdicts), 9), round(n / len(rows), 9), v))
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] for k in want)
+
+
 # --- classifiers ------------------------------------------------------------------------------------------------------------
 
 def test_block_max_search_is_exact():

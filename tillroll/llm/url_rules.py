@@ -2,16 +2,19 @@
 
 Given rules of (verdict, host, path) decide the URLs they fit: a rule fits its host and all subdomains if the path starts with the rule's path, the
 longest wins. The URLs so decided are the labels from which FP-growth learns for the rest: each is a transaction of its
-tokens (host labels, domain, path parts, query keys and values) and its verdict. Rules that conclude the verdict with enough support and confidence are
+tokens (host labels, domain, path parts, query keys and values) and its verdict. Tokens that stand in the same labelled URLs, such as the parts of one template, are
+one item, a class: every choice of members would give the same rule, so a URL holds a class if it holds a member, and no rule is lost. Rules that conclude the verdict with enough support and confidence are
 pruned of those that a more general rule with as much confidence makes superfluous. A remaining rule is listed under its rarest token; a URL looks up its own
 tokens in that inverted index and keeps the rules wholly inside it. The most confident rule decides (then the better supported, then ``block``); no rule: ``allow``.
 
 Null URLs and those without ``://`` have empty host and path, no tokens, verdict ``allow``. Repeated rows are judged one by one. Work is done once per
-distinct URL without a given rule; a URL held by many rows meets them in a join whose skewed side Spark splits.
+distinct URL without a given rule; a URL held by many rows meets them in a join whose skewed side Spark splits. Very long URLs are taken whole. Empty
+tables give empty results; other columns stay.
 """
 
 from __future__ import annotations
 
+import math
 import string
 
 from pyspark.ml.fpm import FPGrowth
@@ -56,9 +59,29 @@ def inside(sets: DataFrame, rules: DataFrame) -> DataFrame:
     return looked_up.where(F.size(F.array_except("antecedent", "tokens")) == 0)
 
 
-def mine(labelled: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
-    """key_token, antecedent, verdict, confidence, support of the pruned rules from (tokens, verdict)."""
-    items = pin(labelled.select(F.concat("tokens", F.array(F.concat(F.lit(VERDICT), "verdict"))).alias("items")))
+def classes(rows: DataFrame, min_support: float) -> DataFrame:
+    """(token, cls) of the frequent tokens; tokens that stand in the same rows have one class, named by the first of them.
+
+    There are at most (tokens of a URL) / ``min_support`` frequent tokens.
+    """
+    least = math.ceil(min_support * rows.count())
+    sets = rows.groupBy("tokens").agg(F.count(F.lit(1)).alias("n")).select("n", F.xxhash64("tokens").alias("a"), F.xxhash64("tokens", F.lit(1)).alias("b"), F.explode("tokens").alias("token"))
+    held = pin(sets.groupBy("token").agg(F.sum("n").alias("freq"), F.count(F.lit(1)).alias("sets"), F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b")).where(F.col("freq") >= least))
+    same = ["freq", "sets", "a", "b"]
+    return pin(held.join(held.groupBy(*same).agg(F.min("token").alias("cls")), same).select("token", "cls"))
+
+
+def in_classes(sets: DataFrame, known: DataFrame) -> DataFrame:
+    """``sets`` (tokens and columns that tell the sets apart) with the classes of their tokens; sets without any have an empty array."""
+    keys = [c for c in sets.columns if c != "tokens"]
+    return sets.select(*keys, F.explode_outer("tokens").alias("token")).join(small_enough(known), "token", "left").groupBy(*keys).agg(F.collect_set("cls").alias("tokens"))
+
+
+def mine(labelled: DataFrame, min_support: float, min_confidence: float) -> tuple[DataFrame, DataFrame]:
+    """key_token, antecedent, verdict, confidence, support of the pruned rules over classes from (tokens, verdict), and the classes."""
+    rows = pin(labelled.select(F.monotonically_increasing_id().alias("id"), "tokens", "verdict"))
+    known = classes(rows, min_support)
+    items = pin(in_classes(rows, known).select(F.concat("tokens", F.array(F.concat(F.lit(VERDICT), "verdict"))).alias("items")))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
     frequent = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
     rules = model.associationRules.where(F.startswith(F.col("consequent")[0], F.lit(VERDICT)) & ~F.exists("antecedent", lambda x: F.startswith(x, F.lit(VERDICT))))
@@ -67,7 +90,7 @@ def mine(labelled: DataFrame, min_support: float, min_confidence: float) -> Data
     rules = pin(rules.dropDuplicates(["antecedent", "verdict"]).join(rarest, "antecedent"))
     specific = rules.select(F.struct("antecedent", "verdict", "confidence").alias("key"), F.col("antecedent").alias("tokens"))
     needless = inside(specific, rules).where((F.size("antecedent") < F.size("tokens")) & (F.col("verdict") == F.col("key.verdict")) & (F.col("confidence") >= F.col("key.confidence")))
-    return pin(rules.join(needless.select("key.antecedent", "key.verdict").distinct(), ["antecedent", "verdict"], "left_anti"))
+    return pin(rules.join(needless.select("key.antecedent", "key.verdict").distinct(), ["antecedent", "verdict"], "left_anti")), known
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", min_support: float = 0.01, min_confidence: float = 0.8) -> DataFrame:
@@ -79,7 +102,8 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url: str =
     if decided.isEmpty():
         learned = open_.select(F.col("key").alias("_url"), F.lit("allow").alias("_learned"))
     else:
-        found = inside(open_, mine(decided, min_support, min_confidence))
+        rules_, known_ = mine(decided, min_support, min_confidence)
+        found = inside(in_classes(open_, known_), rules_)
         learned = found.groupBy("key").agg(F.max_by("verdict", F.struct("confidence", "support", "verdict")).alias("_learned")).withColumnRenamed("key", "_url")
     # Rows with a given rule do not take part in the join: they have no key and would meet in one task.
     by_rule = known.where(F.col("_given").isNotNull()).withColumn("_learned", F.lit(None).cast("string"))
