@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
 
 from tillroll.ml import models as M
 from tillroll.ml import recommend as R
@@ -22,7 +23,7 @@ def rows(spark):
 def test_regression_floor_and_round_trip(spark, rows, tmp_path):
     train, test = M.split(rows, "id")
     assert train.count() + test.count() == 600 and 60 < test.count() < 180
-    name, model, scores = M.fit_best(train, test, "y", M.regressors("y", 10, 6), M.preparation(["a", "b"], ["c"], scale=False))
+    name, model, scores = M.fit_best(train, "y", M.regressors("y", 10, 6), M.preparation(["a", "b"], ["c"], scale=False))
     metrics = M.regression_metrics(model.transform(test), "y", "prediction").first()
     assert metrics["r2"] >= 0.6 and name == min(scores, key=scores.get)
     M.save(model, f"{tmp_path}/m", {"name": name, "rows": 600}, spark)
@@ -31,6 +32,27 @@ def test_regression_floor_and_round_trip(spark, rows, tmp_path):
     assert [r["prediction"] for r in loaded.transform(test).orderBy("id").collect()] == [r["prediction"] for r in model.transform(test).orderBy("id").collect()]
 
 
+def test_folds_expand_in_time_and_choose_without_the_test_rows(spark):
+    days = [d for d in range(1, 21) for _ in range(1 + 9 * (d == 10))]  # one hot day
+    rows = spark.createDataFrame([(i, n, float(n), 2.0 * n) for i, n in enumerate(days)], "id int, n int, x double, y double").withColumn("day", F.date_add(F.lit("2020-01-01"), F.col("n") - 1))
+    folds = M.time_folds(rows, "day", 3)
+    held = []
+    for learn, judged in folds:
+        a, b = [r["day"] for r in learn.collect()], [r["day"] for r in judged.collect()]
+        assert a and b and max(a) < min(b)
+        held += b
+    assert len(held) == rows.where(F.col("day") >= F.lit(min(held))).count()  # every later row is judged once
+    errors = M.fold_errors(folds, "y", {"linear": M.regressors("y")["linear"]}, M.preparation(["x"], scale=False))
+    assert [k for _, k, _ in errors] == list(range(len(folds)))
+    report = M.fold_report(spark, errors).first()
+    assert report["folds"] == len(folds) and report["mean_error"] == pytest.approx(np.mean([e for _, _, e in errors])) and report["std_error"] == pytest.approx(np.std([e for _, _, e in errors], ddof=1))
+    one_day = rows.withColumn("day", F.lit("2020-01-01").cast("date"))
+    assert M.fold_errors(M.time_folds(one_day, "day"), "y", M.regressors("y"), M.preparation(["x"], scale=False)) == []
+    name, model, scores = M.fit_best(one_day, "y", M.regressors("y", 2, 2), M.preparation(["x"], scale=False), by="day")
+    assert name == "boosted" and scores == {} and model.transform(rows).count() == rows.count()
+    assert sum(b.count() for _, b in M.row_folds(rows)) == rows.count()
+
+
 def test_classifier_floor_importance_and_scores(rows):
     train, test = M.split(M.balanced_weights(rows, "label"), "id")
     model = M.fit_classifier(train, "label", M.preparation(["a", "b"], scale=False), weight="weight")

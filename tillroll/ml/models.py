@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import datetime
 import json
+import math
+import statistics
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -60,21 +63,60 @@ def regressors(label: str, trees: int = 20, depth: int = 6) -> dict[str, object]
             "boosted": GBTRegressor(labelCol=label, maxIter=trees, maxDepth=min(depth, 5), seed=SEED)}
 
 
-def fit_best(train: DataFrame, test: DataFrame, label: str, candidates: Mapping[str, object], prep: Sequence, metric: str = "mae") -> tuple[str, PipelineModel, dict[str, float]]:
-    """M-02, M-07, M-09: fit the candidates and keep the one with the lowest error on the test rows."""
-    judge = RegressionEvaluator(labelCol=label, metricName=metric)
-    fitted, scores = {}, {}
-    ready = Pipeline(stages=list(prep)).fit(train)
-    a, b = ready.transform(train).cache(), ready.transform(test).cache()
-    try:
-        for name, estimator in candidates.items():
-            fitted[name] = estimator.fit(a)
-            scores[name] = judge.evaluate(fitted[name].transform(b))
-    finally:
-        a.unpersist()
-        b.unpersist()
-    best = min(scores, key=lambda n: (scores[n], n))
-    return best, PipelineModel(stages=[*ready.stages, fitted[best]]), scores
+Folds = list[tuple[DataFrame, DataFrame]]
+
+
+def time_cuts(rows: DataFrame, by: str, folds: int = 3) -> list[datetime.date]:
+    """M-09: days at which folds begin: ``folds`` + 1 blocks of as many rows each, whole days. Equal cuts are one."""
+    days = rows.select(F.unix_date(F.to_date(by)).cast("double").alias("d")).dropna()
+    found = quantiles(days, ["d"], [k / (folds + 1) for k in range(1, folds + 1)]).first()
+    numbers = sorted({math.ceil(found[f"q{k}"]) for k in range(folds)}) if found else []
+    return [datetime.date(1970, 1, 1) + datetime.timedelta(days=n) for n in numbers]
+
+
+def time_folds(rows: DataFrame, by: str, folds: int = 3) -> Folds:
+    """M-09: expanding windows: a fold learns from all days before its cut and is judged on the days from there to the next cut. Rows without a time take no part."""
+    day, cuts = F.to_date(by), time_cuts(rows, by, folds)
+    return [(rows.where(day < F.lit(c)), rows.where((day >= F.lit(c)) & (day < F.lit(e)) if e else day >= F.lit(c))) for c, e in zip(cuts, [*cuts[1:], None])]
+
+
+def row_folds(rows: DataFrame, folds: int = 3) -> Folds:
+    """M-02: folds by a hash of the row, for rows without a time; the same on every run. Equal rows share a fold."""
+    fold = F.pmod(F.xxhash64(*rows.columns, F.lit(SEED)), F.lit(folds))
+    return [(rows.where(fold != k), rows.where(fold == k)) for k in range(folds)]
+
+
+def fold_errors(folds: Folds, label: str, candidates: Mapping[str, object], prep: Sequence, metric: str = "mae") -> list[tuple[str, int, float]]:
+    """M-02, M-09: (model, fold, error). Preparation is fitted anew on each fold's learning rows. A fold that has no rows to learn from or to judge is left out."""
+    judge, out = RegressionEvaluator(labelCol=label, metricName=metric), []
+    for k, (learn, held) in enumerate(folds):
+        if learn.isEmpty() or held.isEmpty():
+            continue
+        ready = Pipeline(stages=list(prep)).fit(learn)
+        a, b = ready.transform(learn).cache(), ready.transform(held).cache()
+        try:
+            out.extend((name, k, float(judge.evaluate(estimator.fit(a).transform(b)))) for name, estimator in candidates.items())
+        finally:
+            a.unpersist()
+            b.unpersist()
+    return out
+
+
+def fold_report(spark, errors: Sequence[tuple[str, int, float]]) -> DataFrame:
+    """M-09, M-18: folds, mean and spread (sample standard deviation, null for one fold) of the error per model, the best first."""
+    rows = spark.createDataFrame(list(errors), "model string, fold int, error double")  # one row per model and fold
+    return rows.groupBy("model").agg(F.count("*").alias("folds"), F.avg("error").alias("mean_error"), F.stddev_samp("error").alias("std_error")).orderBy("mean_error", "model")
+
+
+def fit_best(train: DataFrame, label: str, candidates: Mapping[str, object], prep: Sequence, metric: str = "mae", by: str | None = None, folds: int = 3) -> tuple[str, PipelineModel, dict[str, float]]:
+    """M-02, M-07, M-09: the candidate with the lowest mean error over folds of the training rows, fitted on all of them.
+
+    Folds expand in time if ``by`` names a time column, else they come from a hash. Test rows stay unseen. Without a usable fold the first candidate by name is fitted.
+    """
+    errors = fold_errors(time_folds(train, by, folds) if by else row_folds(train, folds), label, candidates, prep, metric)
+    scores = {name: statistics.fmean(e) for name in candidates if (e := [x for n, _, x in errors if n == name])}
+    best = min(scores or candidates, key=lambda n: (scores.get(n, 0.0), n))
+    return best, Pipeline(stages=[*prep, candidates[best]]).fit(train), scores
 
 
 def balanced_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
@@ -220,12 +262,17 @@ def forecast_features(series: DataFrame) -> DataFrame:
     return _calendar(means)
 
 
-def fit_forecast(series: DataFrame, share: float = 0.8, trees: int = 20) -> tuple[str, PipelineModel, dict[str, float], DataFrame]:
-    """M-09: chronological split at the share of the days, three models, best by MAE; also the test rows."""
+def forecast_split(series: DataFrame, share: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """M-09: rows with all lags, cut in time at the share of the days."""
     rows = forecast_features(series).dropna(subset=["y_lag_30"]).withColumns({c: F.col(c).cast("double") for c in FORECAST_FEATURES})
     days = rows.agg(F.min("day").alias("a"), F.max("day").alias("b")).select(F.date_add("a", (F.datediff("b", "a") * F.lit(share)).cast("int")).alias("d")).first()["d"]
-    train, test = rows.where(F.col("day") < F.lit(days)), rows.where(F.col("day") >= F.lit(days))
-    name, model, scores = fit_best(train, test, "y", regressors("y", trees), preparation(FORECAST_FEATURES, ["category"], scale=False))
+    return rows.where(F.col("day") < F.lit(days)), rows.where(F.col("day") >= F.lit(days))
+
+
+def fit_forecast(series: DataFrame, share: float = 0.8, trees: int = 20) -> tuple[str, PipelineModel, dict[str, float], DataFrame]:
+    """M-09: chronological split, three models, best by MAE over expanding folds of the days before it; also the test rows, which no choice has seen."""
+    train, test = forecast_split(series, share)
+    name, model, scores = fit_best(train, "y", regressors("y", trees), preparation(FORECAST_FEATURES, ["category"], scale=False), by="day")
     return name, model, scores, test
 
 

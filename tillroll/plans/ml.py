@@ -6,6 +6,8 @@ tables are compared with SQL.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from tillroll.ml import models as M
@@ -13,7 +15,7 @@ from tillroll.ml import recommend as R
 from tillroll.ml import udf as U
 from tillroll.operators.customers import recency_profile
 from tillroll.plans.registry import plan
-from tillroll.plans.windows import series
+from tillroll.plans.windows import _SERIES, series
 
 _NUM = ["recency", "frequency", "monetary"]
 
@@ -46,7 +48,7 @@ def _(t):
 @plan("m02_price_regression")
 def _(t):
     train, test = M.split(goods(t), "product_id")
-    name, model, _ = M.fit_best(train, test, "price", M.regressors("price", 10, 5), M.preparation(["size", "name_length"], ["brand", "category"], scale=False))
+    name, model, _ = M.fit_best(train, "price", M.regressors("price", 10, 5), M.preparation(["size", "name_length"], ["brand", "category"], scale=False))
     return model.transform(test).select("product_id", "price", F.col("prediction"), F.lit(name).alias("model"))
 
 
@@ -86,7 +88,7 @@ def _(t):
 @plan("m07_clv_regression")
 def _(t):
     train, test = M.split(buyers(t), "customer_id")
-    _, model, _ = M.fit_best(train, test, "future", M.regressors("future", 10, 5), M.preparation(["orders", "spent", "aov", "recency"], scale=False))
+    _, model, _ = M.fit_best(train, "future", M.regressors("future", 10, 5), M.preparation(["orders", "spent", "aov", "recency"], scale=False))
     out = M.score(model, test, "customer_id", ["orders", "spent"])
     return out.withColumn("clv_level", M.clv_level(F.col("prediction")))
 
@@ -107,6 +109,26 @@ def _(t):
     return M.project(s, model, 30)
 
 
+@plan("m09_time_folds", f"""WITH {_SERIES}, c AS (SELECT ceil(unnest(quantile_cont(date_diff('day', DATE '1970-01-01', day)::DOUBLE, [0.25, 0.5, 0.75])))::INT AS n FROM s),
+  f AS (SELECT row_number() OVER (ORDER BY n) AS fold, DATE '1970-01-01' + n AS starts, DATE '1970-01-01' + lead(n) OVER (ORDER BY n) AS ends FROM (SELECT DISTINCT n FROM c))
+  SELECT fold::INT AS fold, count(*) FILTER (WHERE day < starts) AS n_learn, max(CASE WHEN day < starts THEN day END)::DATE AS learned_until,
+    count(*) FILTER (WHERE day >= starts AND (ends IS NULL OR day < ends)) AS n_held, min(CASE WHEN day >= starts THEN day END)::DATE AS held_from FROM f CROSS JOIN s GROUP BY fold""")
+def _(t):
+    """Rows to learn from and to judge of each expanding fold of the daily series."""
+    folds = M.time_folds(series(t), "day")
+    size = lambda df, n, end: df.agg(F.count("*").alias(n), end)
+    sizes = [size(a, "n_learn", F.max("day").alias("learned_until")).withColumn("fold", F.lit(k)).join(size(b, "n_held", F.min("day").alias("held_from")).withColumn("fold", F.lit(k)), "fold") for k, (a, b) in enumerate(folds, 1)]
+    return functools.reduce(lambda x, y: x.unionByName(y), sizes)
+
+
+@plan("m09_fold_errors")
+def _(t):
+    """Mean and spread of each forecast model's error over expanding folds of the training days."""
+    train, _ = M.forecast_split(series(t))
+    errors = M.fold_errors(M.time_folds(train, "day"), "y", M.regressors("y", 5), M.preparation(M.FORECAST_FEATURES, ["category"], scale=False))
+    return M.fold_report(t.spark, errors)
+
+
 _TOK = """tk AS (SELECT product_id, unnest(list_filter(regexp_split_to_array(lower(product_name || ' ' || category || ' ' || brand), '[^\\p{L}\\p{N}_]+'), lambda x: length(x) >= 2)) AS token FROM prd),
   tf AS (SELECT product_id, token, count(*) AS tf FROM tk GROUP BY 1, 2), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1),
   wt AS (SELECT product_id, token, tf * (ln((1 + (SELECT count(*) FROM prd)) / (1 + df)) + 1) AS w FROM tf JOIN df USING (token)),
@@ -188,7 +210,7 @@ def _(t):
     before = daily.select("category", F.date_add("day", 1).alias("day"), F.col("units").alias("units_before"))
     rows = daily.join(before, ["category", "day"], "left").fillna(0.0, ["units_before"]).withColumns({"weekday": F.weekday("day").cast("double"), "month": F.month("day").cast("double")})
     train, test = rows.where(F.year("day") < 2001), rows.where(F.year("day") >= 2001)
-    name, model, _ = M.fit_best(train, test, "units", M.regressors("units", 5, 4), M.preparation(["price", "units_before", "weekday", "month"], ["category"], scale=False))
+    name, model, _ = M.fit_best(train, "units", M.regressors("units", 5, 4), M.preparation(["price", "units_before", "weekday", "month"], ["category"], scale=False), by="day")
     return M.regression_metrics(model.transform(test), "units", "prediction").withColumn("model", F.lit(name))
 
 
