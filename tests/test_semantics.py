@@ -276,3 +276,18 @@ def test_a_new_day_is_appended_without_the_old_rows(spark, tmp_path):
     kept = {str(r["month"]): (r["active"], r["retained"]) for r in PR.retention(stored, "day").collect()}
     assert kept["2024-02-01"] == (2, 1) and kept["2024-01-01"][1] == 0
     assert PR.members(PR.presence(df.limit(0), ["day"], "m")).first()[0] == 0
+
+
+def test_most_frequent_when_counters_overflow(spark):
+    from collections import Counter
+
+    from tillroll.operators.frequent import counters, most_frequent
+    # Item i has 1 + i % 40 rows, so every place has ties; 300 items are more than the counters hold.
+    values = [f"v{i}" for i in range(300) for _ in range(1 + i % 40)] + [None] * 500
+    df = spark.createDataFrame([(v,) for v in values], "v string").repartition(7)
+    want = sorted(((v, n) for v, n in Counter(v for v in values if v).items()), key=lambda x: (-x[1], x[0]))
+    for buckets, first in ((1, 1), (4, 1), (64, 1), (64, 3), (1 << 18, 32)):
+        for k in (1, 5, 12, 400):
+            assert [tuple(r) for r in most_frequent(df, "v", k, buckets=buckets, first=first).collect()] == want[:k], (buckets, first, k)
+    assert counters(df, "v", 4).count() == 4
+    assert most_frequent(df.where("v IS NULL"), "v", 3).collect() == []

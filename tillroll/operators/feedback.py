@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions import text as X
 from tillroll.functions.numbers import ratio
+from tillroll.operators.frequent import most_frequent
 
 # Keyword lists.
 CATEGORIES = {
@@ -125,9 +126,8 @@ def category_breakdown(analysed: DataFrame, as_of: str, days: int) -> DataFrame:
 
 
 def top_phrases(feedback: DataFrame, k: int = 10, text: str = "text") -> DataFrame:
-    """D-36, D-41: phrases found in the most texts."""
-    phrases = explode_phrases(feedback.select(X.clean_feedback(text).alias("_clean")), "_clean", [])
-    return phrases.groupBy("phrase").agg(F.count("*").alias("frequency")).orderBy(F.desc("frequency"), "phrase").limit(k)
+    """D-36, D-41: phrases found in the most texts; only those of heavy counters are shuffled."""
+    return most_frequent(explode_phrases(feedback.select(X.clean_feedback(text).alias("_clean")), "_clean", []), "phrase", k, "frequency")
 
 
 def daily_sentiment(analysed: DataFrame, as_of: str, days: int = 30) -> DataFrame:
