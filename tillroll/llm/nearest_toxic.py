@@ -7,9 +7,10 @@ no more often than all do, as a share of the largest. So there is no edge that a
 Examples become vectors of unit length. They are dealt into ``PARTS`` parts of alike ones and, in that order, into blocks of ``BLOCK``. For the ``HEADS`` terms of the largest weight each block knows
 the largest weight in it, for the other terms the largest norm.
 
-Scoring a text: the bound of a block is the product of the text's weights with the block's largest weights, and of the norms of the rest (Cauchy-Schwarz). If a few blocks stand out they are opened from
-the largest bound down, and if no other bound reaches the k-th cosine that is all. Else the cosines of all examples are summed up within ``SLACK``: the ``COMMON`` commonest terms of a part stand in a
-dense table, all other postings in inverted lists; for those that may be among the nearest the table's part is summed again in double precision. Examples are kept in single precision; the k nearest of them are exact (ties by the smaller example id). They
+Scoring a text: the ``COMMON`` commonest terms of a part stand in a dense table, all other postings in inverted lists. What the tables give is a lower bound of each cosine, the k-th largest one of
+the k-th cosine. The bound of a block is the product of the text's weights with the block's largest weights, and of the norms of the rest (Cauchy-Schwarz). If only a few blocks reach the k-th they are
+opened from the largest bound down. Else the lists are summed up for all examples within ``SLACK``, and for those that may be among the nearest the
+table's part is summed again in double precision. Examples are kept in single precision; the k nearest of them are exact (ties by the smaller example id). They
 vote with weight cos / (1.05 - cos). Votes are calibrated by an isotonic curve fitted on the examples, each scored without itself. A text without any of the
 words (an empty or null text too) gets the share of toxic ones among such examples, or among all if there is none.
 
@@ -23,6 +24,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,10 +37,12 @@ from tillroll.session import pin
 
 BLOCK = 64
 HEADS = 512
-#: Parts of alike examples, and commonest terms of a part that stand in a table; a text with fewer than ``MANY`` of these adds them one by one.
-PARTS, COMMON, MANY = 5, 1024, 20
-#: Blocks that are opened one by one before all lists are read; error of a cosine in single precision; texts whose common terms are multiplied at once; words a worker remembers.
+#: Parts of alike examples, and commonest terms of a part that stand in a table.
+PARTS, COMMON = 5, 1024
+#: Blocks that are opened one by one, else all lists are read; error of a cosine in single precision; texts whose common terms are multiplied at once; words a worker remembers.
 FEW, SLACK, AT_ONCE, REMEMBERED = 12, 1e-5, 256, 500_000
+#: Different words of texts whose vectors are made together (a longer text is made alone).
+WORDS_AT_ONCE = 200_000
 find_words = re.compile(r"\w+").findall
 
 
@@ -99,8 +103,8 @@ class ToxicIndex:
                 terms = self.terms[at]
                 common = self._places(np.argsort(-np.bincount(terms, minlength=n_words), kind="stable"), n_words, COMMON)
                 at, terms = at[common[terms] >= 0], terms[common[terms] >= 0]
-                table = np.zeros((min(COMMON, n_words), hi - lo), np.float32)
-                table[common[terms], of[at] - lo] = weights[at]
+                table = np.zeros((hi - lo, min(COMMON, n_words)), np.float32)
+                table[of[at] - lo, common[terms]] = weights[at]
                 rare[at] = False
                 self.parts.append((lo, hi, common, table))
         rare = np.flatnonzero(rare)
@@ -110,6 +114,7 @@ class ToxicIndex:
         self.buffer, self.built = np.zeros(n_words), True
         # Words a worker remembers: the place of each in ``n_of_word``, which bounds the places of its terms in ``of_word``.
         self.known, self.of_word, self.n_of_word = {}, np.empty(0, np.int32), np.zeros(1, np.int64)
+        self.heads = {"": -1}  # places of the beginnings met so far, by the beginning; a word without one has ""
 
     def _alike(self, of: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """The part of every example: rounds of nearest centres over the commonest terms, from centres far apart. It decides on speed only."""
@@ -151,16 +156,30 @@ class ToxicIndex:
         """Remembers the places of the terms of words not met before; all at once, since names are made by the batch."""
         if len(self.known) + len(words) > REMEMBERED:
             self.known.clear()
+            self.heads = {"": -1}
             self.of_word, self.n_of_word = np.empty(0, np.int32), np.zeros(1, np.int64)
-        terms = [terms_of_word(w) for w in words]
-        names = names_of([t for ts in terms for t in ts])
+        four = [w[:4] if len(w) > 4 else "" for w in words]
+        five = [w[:5] if len(w) > 5 else "" for w in words]
+        fresh = list(set(four).union(five) - self.heads.keys())
+        self.heads.update(zip(fresh, self.places_of([h + "~" for h in fresh]).tolist()))
+        n, head = len(words), self.heads.__getitem__
+        places = np.empty((n, 3), np.int32)
+        places[:, 0] = self.places_of(words)
+        places[:, 1] = np.fromiter(map(head, four), np.int32, n)
+        places[:, 2] = np.fromiter(map(head, five), np.int32, n)
+        found = places >= 0
+        first = len(self.known)
+        self.known.update(zip(words, range(first, first + n)))
+        self.of_word = np.concatenate([self.of_word, places[found]])
+        self.n_of_word = np.concatenate([self.n_of_word, self.n_of_word[-1] + np.cumsum(found.sum(axis=1))])
+
+    def places_of(self, terms: list[str]) -> np.ndarray:
+        """The places of terms, -1 for unknown ones."""
+        if not terms:
+            return np.empty(0, np.int32)
+        names = names_of(terms)
         at = np.minimum(np.searchsorted(self.sorted, names), len(self.sorted) - 1)
-        found = self.sorted[at] == names
-        sizes = np.add.reduceat(found, np.concatenate([[0], np.cumsum([len(t) for t in terms])[:-1]]), dtype=np.int64)
-        for w in words:
-            self.known[w] = len(self.known)
-        self.of_word = np.concatenate([self.of_word, self.place[at[found]]])
-        self.n_of_word = np.concatenate([self.n_of_word, self.n_of_word[-1] + np.cumsum(sizes)])
+        return np.where(self.sorted[at] == names, self.place[at], np.int32(-1))
 
     def vectors(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         if not len(self.names):
@@ -172,64 +191,73 @@ class ToxicIndex:
             if len(self.known) + len(fresh) > REMEMBERED:
                 fresh = set().union(*counted)
             self.learn_words(list(fresh))
-        out, place = [], self.known.__getitem__
-        for found in counted:
-            words = np.fromiter(map(place, found), np.int64, len(found))
-            counts = np.fromiter(found.values(), np.float64, len(found))
-            first, size = self.n_of_word[words], self.n_of_word[words + 1] - self.n_of_word[words]
-            ends = np.cumsum(size)
-            total = int(ends[-1]) if len(ends) else 0
-            terms = self.of_word[np.arange(total) + np.repeat(first - (ends - size), size)].astype(np.int64)
-            terms, back = np.unique(terms, return_inverse=True)
-            out.append(unit(terms, np.bincount(back, np.repeat(counts, size), len(terms)), self.idf))
+        out, begin, n = [], 0, 0
+        for end, found in enumerate(counted, 1):
+            n += len(found)
+            if n >= WORDS_AT_ONCE or end == len(counted):
+                out += self._unit_rows(counted[begin:end], n)
+                begin, n = end, 0
         return out
 
+    def _unit_rows(self, counted: list[Counter], n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        words = np.fromiter(map(self.known.__getitem__, chain.from_iterable(counted)), np.int64, n)
+        counts = np.fromiter(chain.from_iterable(map(Counter.values, counted)), np.float64, n)
+        of = np.arange(len(counted)).repeat([len(c) for c in counted])
+        first = self.n_of_word[words]
+        size = self.n_of_word[words + 1] - first
+        ends = size.cumsum()
+        terms = self.of_word[np.arange(int(ends[-1]) if n else 0) + (first - (ends - size)).repeat(size)]
+        keys, back = np.unique(of.repeat(size) * len(self.names) + terms, return_inverse=True)
+        of, terms = np.divmod(keys, len(self.names))
+        w = (1 + np.log(np.bincount(back, counts.repeat(size), len(keys)))) * self.idf[terms]
+        w /= np.sqrt(np.bincount(of, w * w, len(counted)))[of]
+        cuts = np.searchsorted(of, np.arange(1, len(counted)))
+        return list(zip(np.split(terms, cuts), np.split(w, cuts)))
+
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         return self.vectors([text])[0]
 
     def exact(self, at: np.ndarray, query: np.ndarray) -> np.ndarray:
         """Cosines of the examples at these positions; ``query`` holds the text's weights."""
-        rows = [(self.start[e], self.start[e + 1]) for e in at.tolist()]
-        terms, weights = np.concatenate([self.terms[a:b] for a, b in rows]), np.concatenate([self.weights[a:b] for a, b in rows])
-        first = np.concatenate([[0], np.cumsum([b - a for a, b in rows])[:-1]])
-        return np.add.reduceat(query[terms] * weights, first)
+        first = self.start[at]
+        size = self.start[at + 1] - first
+        before = size.cumsum() - size
+        pick = np.arange(size.sum()) + (first - before).repeat(size)
+        return np.add.reduceat(query[self.terms[pick]] * self.weights[pick], before)
 
     def exact_rest(self, spots: np.ndarray, terms: np.ndarray, weights: np.ndarray, listed: np.ndarray) -> np.ndarray:
-        """The same for places in the order of the parts, where the sums over the lists are known: the tables' columns in double precision."""
+        """The same for places in the order of the parts, where the sums over the lists are known: the tables' rows in double precision."""
         out = listed[spots]
         for lo, hi, common, table in self.parts:
-            here = np.flatnonzero((spots >= lo) & (spots < hi))
+            here = ((spots >= lo) & (spots < hi)).nonzero()[0]
             if len(here):
                 place = common[terms]
-                known = np.flatnonzero(place >= 0)
-                out[here] += weights[known] @ table[place[known][:, None], spots[here] - lo].astype(np.float64)
+                known = (place >= 0).nonzero()[0]
+                out[here] += weights[known] @ table[(spots[here] - lo)[:, None], place[known]].astype(np.float64).T
         return out
 
     def common_part(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """For every vector the products with all examples over the common terms of their part; a vector that has few of them adds them one by one."""
+        """For every vector the products with all examples over the common terms of their part."""
         self.build()
         out = np.empty((len(vectors), len(self.ids)), np.float32)
+        sizes = [len(terms) for terms, _ in vectors]
+        terms, weights = np.concatenate([t for t, _ in vectors]), np.concatenate([w for _, w in vectors]).astype(np.float32)
+        of = np.repeat(np.arange(len(vectors)), sizes)
         for lo, hi, common, table in self.parts:
-            rows, q = [], np.zeros((len(vectors), len(table)), np.float32)
-            for i, (terms, weights) in enumerate(vectors):
-                place = common[terms]
-                known = np.flatnonzero(place >= 0)
-                if len(known) > MANY:
-                    q[len(rows), place[known]] = weights[known]
-                    rows.append(i)
-                else:
-                    out[i, lo:hi] = weights[known].astype(np.float32) @ table[place[known]]
-            if rows:
-                out[rows, lo:hi] = q[:len(rows)] @ table
+            place = common[terms]
+            known = (place >= 0).nonzero()[0]
+            q = np.zeros((len(vectors), table.shape[1]), np.float32)
+            q[of[known], place[known]] = weights[known]
+            out[:, lo:hi] = q @ table.T
         return out
 
     def listed(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """What the inverted lists add: the terms that are not common in an example's part."""
         first = self.list_start[terms]
         size = self.list_start[terms + 1] - first
-        ends = np.cumsum(size)
-        pick = np.arange(ends[-1]) + np.repeat(first - (ends - size), size)
-        return np.bincount(self.list_of[pick], self.list_weight[pick] * np.repeat(weights, size), len(self.ids)).astype(np.float64, copy=False)  # whole numbers if nothing is listed
+        ends = size.cumsum()
+        pick = np.arange(ends[-1]) + (first - (ends - size)).repeat(size)
+        return np.bincount(self.list_of[pick], self.list_weight[pick] * weights.repeat(size), len(self.ids)).astype(np.float64, copy=False)  # whole numbers if nothing is listed
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, leave: int = -1, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Positions and cosines of the k nearest examples with a positive cosine, the nearest first; ``common`` is the row of ``common_part`` if that is known."""
@@ -249,24 +277,26 @@ class ToxicIndex:
                 best = np.lexsort((self.ids[at], -np.round(cos, 12)))[: self.k]
                 at, cos = at[best], cos[best]
 
-        least, opened = 0.0, np.zeros(len(bounds), bool)
-        if (bounds >= 0.7 * bounds.max()).sum() <= FEW:  # a few blocks stand out
-            for b in np.argsort(-bounds, kind="stable")[:FEW].tolist():
-                if bounds[b] <= 0 or bounds[b] < least:
+        # What the tables give is a lower bound of every cosine, the k-th of these one of the k-th cosine: blocks that cannot reach it stay closed.
+        near = self.common_part([(terms, weights)])[0] if common is None else common
+        if leave >= 0:
+            near[self.order == leave] = 0
+        least = max(np.partition(near, n - self.k)[n - self.k] - SLACK, 0.0) if n > self.k else 0.0
+        open_ = ((bounds >= least - SLACK) & (bounds > 0)).nonzero()[0]
+        if len(open_) <= FEW:
+            for b in open_[np.argsort(-bounds[open_], kind="stable")].tolist():
+                if len(at) >= self.k and bounds[b] < cos[self.k - 1] - 1e-6:
                     break
                 block = self.order[b * BLOCK:(b + 1) * BLOCK]
                 add(block, self.exact(block, query))
-                opened[b] = True
-                least = cos[self.k - 1] - 1e-6 if len(at) >= self.k else 0.0
-        if (bounds[~opened] >= max(least, 1e-300)).any():
+        else:
             listed = self.listed(terms, weights)
-            near = listed + (self.common_part([(terms, weights)])[0] if common is None else common)
+            near += listed
             if leave >= 0:
                 near[self.order == leave] = 0
             if n > self.k:
                 least = max(least, np.partition(near, n - self.k)[n - self.k] - SLACK)
-            at, cos = np.empty(0, np.int64), np.empty(0)
-            spots = np.flatnonzero((near >= least - SLACK) & (near > 0))
+            spots = (near >= max(least - SLACK, 1e-300)).nonzero()[0]
             add(self.order[spots], self.exact_rest(spots, terms, weights, listed))
         query[terms] = 0
         return at, np.minimum(cos, 1.0)
