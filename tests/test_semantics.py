@@ -291,3 +291,20 @@ def test_most_frequent_when_counters_overflow(spark):
             assert [tuple(r) for r in most_frequent(df, "v", k, buckets=buckets, first=first).collect()] == want[:k], (buckets, first, k)
     assert counters(df, "v", 4).count() == 4
     assert most_frequent(df.where("v IS NULL"), "v", 3).collect() == []
+
+
+def test_table_functions_are_called_from_sql(spark):
+    from datetime import date
+
+    from tillroll.operators.table_functions import register_table_functions
+    day = date(2024, 1, 2)
+    ranking = spark.createDataFrame([(1, day, 40), (1, date(2024, 1, 1), 10), (2, day, 8), (3, day, 4), (4, day, 30)], "product_id bigint, date date, sales_volume bigint")
+    scores = spark.createDataFrame([(1, 60.0), (2, 12.0), (3, 90.0), (4, 5.0)], "product_id bigint, velocity_score double")
+    register_table_functions(spark, bestseller_rankings=ranking, velocity_scores=scores)
+    rows = spark.sql("SELECT * FROM detect_trending_products(DATE '2024-01-02') ORDER BY product_id").collect()
+    assert [tuple(r) for r in rows] == [(1, 60.0, 1.0, "explosive"), (2, 12.0, 0.4, "moderate")]
+    # A later table of the same name is what the function reads from then on.
+    register_table_functions(spark, bestseller_rankings=ranking.limit(0), velocity_scores=scores)
+    assert spark.sql("SELECT * FROM detect_trending_products(DATE '2024-01-02')").collect() == []
+    with pytest.raises(ValueError):
+        register_table_functions(spark, other=ranking)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tillroll.functions import text as X
 from tillroll.operators import feedback as B
 from tillroll.plans.functions import sql_fold
+from tillroll.operators.table_functions import register_table_functions
 from tillroll.plans.registry import plan
 
 NOW = "2024-01-31 00:00:00"
@@ -132,16 +133,25 @@ def _(t):
 _BAD = "sentiment_label IN ('negative', 'very_negative')"
 
 
-@plan("d39_anomalies", f"""WITH {_ANA}, r AS (SELECT count(*) FILTER ({_BAD} AND NOT n)::DOUBLE / count(*) FILTER (NOT n) AS base, count(*) FILTER ({_BAD} AND n)::DOUBLE / count(*) FILTER (n) AS now
+_ANOMALIES = f"""WITH {_ANA}, r AS (SELECT count(*) FILTER ({_BAD} AND NOT n)::DOUBLE / count(*) FILTER (NOT n) AS base, count(*) FILTER ({_BAD} AND n)::DOUBLE / count(*) FILTER (n) AS now
     FROM (SELECT *, {_S} 1 DAY AS n FROM ana WHERE {_S} 30 DAY))
   SELECT 'negative_spike' AS alert_type, CASE WHEN now > base * 2 THEN 'critical' ELSE 'high' END AS severity,
     'Negative feedback rate increased to ' || round(now * 100, 1) || '% (baseline: ' || round(base * 100, 1) || '%)' AS description, NULL::BIGINT AS product_id FROM r WHERE now > base * 0.5
   UNION ALL SELECT 'product_quality_decline', 'high', 'Product ' || product_id || ' has ' || count(*) FILTER ({_BAD}) || ' negative reviews in last 24h', product_id FROM ana WHERE {_S} 1 DAY
-    GROUP BY product_id HAVING count(*) FILTER ({_BAD}) >= 1""")
+    GROUP BY product_id HAVING count(*) FILTER ({_BAD}) >= 1"""
+
+
+@plan("d39_anomalies", _ANOMALIES)
 def _(t):
     return B.anomalies(analysed(t), NOW, 0.5, 1)
 
 
+@plan("u08_sentiment_anomalies", _ANOMALIES)
+def _(t):
+    register_table_functions(t.spark, feedback_analysis=analysed(t))
+    return t.spark.sql(f"SELECT * FROM detect_sentiment_anomalies(TIMESTAMP_NTZ '{NOW}', 0.5D, 1)")
+
+
 @plan("d40_topic_trends", f"""WITH {_PHR}, tp AS (SELECT unnest([{', '.join(repr(x) for x in TOPICS)}]) AS topic)
   SELECT topic, count(*) FILTER ({_S} 7 DAY) AS frequency_last_7d, count(*) FILTER ({_S} 30 DAY) AS frequency_last_30d, max(created_at) AS last_mentioned,
   count(*) FILTER ({_S} 7 DAY) > count(*) FILTER ({_S} 30 DAY) / 4 AS is_trending FROM ph JOIN tp ON contains(phrase, topic) GROUP BY 1""")

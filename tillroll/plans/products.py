@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tillroll.operators import products as P
 from tillroll.plans.functions import sql_words
+from tillroll.operators.table_functions import register_table_functions
 from tillroll.plans.registry import plan
 from tillroll.plans.tables import AS_OF
 from tillroll.plans.windows import series
@@ -130,14 +131,23 @@ def _(t):
     return P.rankings(t.prd, t.sales, limit=100)
 
 
-@plan("d21_detect_trends", f"""WITH {_SAL}, {_RANK}, {_velocity(1, 24)}, j AS (SELECT c.product_id, c.sales_volume AS s, CASE WHEN p.sales_volume > 0 THEN (c.sales_volume - p.sales_volume) / p.sales_volume ELSE 1.0::DOUBLE END AS g, velocity_score
+_TRENDS = f"""WITH {_SAL}, {_RANK}, {_velocity(1, 24)}, j AS (SELECT c.product_id, c.sales_volume AS s, CASE WHEN p.sales_volume > 0 THEN (c.sales_volume - p.sales_volume) / p.sales_volume ELSE 1.0::DOUBLE END AS g, velocity_score
     FROM rkn c LEFT JOIN rkn p ON p.product_id = c.product_id AND p.date = c.date - 1 JOIN vel ON vel.product_id = c.product_id WHERE c.date = DATE '{DAY}' AND c.sales_volume >= 5)
   SELECT product_id, velocity_score, round(least(s / 20.0::DOUBLE, 1) * least(g + 0.5, 1), 6) AS confidence_score, CASE WHEN velocity_score > 50 AND g > 1.5 THEN 'explosive'
-  WHEN velocity_score > 25 AND g > 1 THEN 'strong' WHEN velocity_score > 10 THEN 'moderate' ELSE 'weak' END AS trend_strength FROM j WHERE velocity_score > 5""")
+  WHEN velocity_score > 25 AND g > 1 THEN 'strong' WHEN velocity_score > 10 THEN 'moderate' ELSE 'weak' END AS trend_strength FROM j WHERE velocity_score > 5"""
+
+
+@plan("d21_detect_trends", _TRENDS)
 def _(t):
     return P.detect_trends(ranking(t), P.velocity_scores(tracking(t), DAY, 24), DAY)
 
 
+@plan("u08_trending_products", _TRENDS)
+def _(t):
+    register_table_functions(t.spark, bestseller_rankings=ranking(t), velocity_scores=P.velocity_scores(tracking(t), DAY, 24))
+    return t.spark.sql(f"SELECT * FROM detect_trending_products(DATE '{DAY}')")
+
+
 _BOARD = """lagged AS (SELECT *, lag(date) OVER o = date - 1 AS has, lag(rank_position) OVER o AS pr, lag(sales_volume) OVER o AS pv FROM rkn WINDOW o AS (PARTITION BY product_id ORDER BY date)),
   brd AS (SELECT c.product_id, product_name, stock_quantity, c.date, rank_position, sales_volume, revenue, CASE WHEN has THEN pr END AS previous_rank, CASE WHEN has THEN rank_position - pr ELSE 0 END AS rank_change,
     CASE WHEN has AND pv > 0 THEN round((sales_volume - pv) / pv * 100, 2) ELSE 100 END AS growth_percentage,

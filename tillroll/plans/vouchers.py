@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tillroll.operators import vouchers as V
+from tillroll.operators.table_functions import register_table_functions
 from tillroll.plans.registry import plan
 from tillroll.plans.tables import AS_OF
 
@@ -45,6 +46,14 @@ def _(t):
     return V.recommend(t.ord, t.vch, t.vus, t.cst, "order_date")
 
 
+@plan("u08_voucher_recommendations", f"""SELECT v.voucher_id, code, {_DISC.format(a='250000')} AS estimated_discount, {_DISC.format(a='250000')} * 100 / 250000::DOUBLE AS savings_percentage
+  FROM vch v JOIN (SELECT customer_segment, city_id FROM cst WHERE customer_id = 7) ON {_TARGET} LEFT JOIN (SELECT voucher_id, count(*) AS uses, count(*) FILTER (customer_id = 7) AS mine FROM vus GROUP BY 1) u ON u.voucher_id = v.voucher_id
+  WHERE status = 'active' AND {NOW} BETWEEN start_date AND end_date AND min_order_amount <= 250000 AND (usage_limit IS NULL OR coalesce(uses, 0) < usage_limit) AND coalesce(mine, 0) < usage_limit_per_customer""")
+def _(t):
+    register_table_functions(t.spark, vouchers=t.vch, customers=t.cst, voucher_usage=t.vus)
+    return t.spark.sql(f"SELECT * FROM get_customer_voucher_recommendations(7, 250000D, TIMESTAMP_NTZ '{AS_OF}')")
+
+
 @plan("d29_stats", f"""WITH {_CNT} SELECT voucher_id, code, voucher_type, coalesce(uses, 0) AS current_usage, coalesce(td, 0) AS total_discount_given,
   CASE WHEN usage_limit IS NULL THEN 100 ELSE coalesce(coalesce(uses, 0)::DOUBLE / nullif(usage_limit, 0) * 100, 0) END AS usage_percentage, CASE WHEN {NOW} > end_date THEN 'expired' WHEN coalesce(uses, 0) >= usage_limit THEN 'used_up'
   WHEN {NOW} < start_date THEN 'not_started' ELSE 'active' END AS current_status FROM vch LEFT JOIN vc USING (voucher_id)""")
