@@ -1,4 +1,4 @@
-"""Queries that write tables, files and streams and read them back (SRC-*, SNK-*, ST-10, ST-12, ST-14, ST-15, J-17, P-20, Q-01, U-03, U-04, M-21).
+"""Queries that write tables, files and streams and read them back (SRC-*, SNK-*, ST-10, ST-12, ST-13, ST-14, ST-15, J-17, P-20, Q-01, U-03, U-04, M-21).
 
 Every query writes to a fresh directory of the shared folder; what it returns is what was stored.
 """
@@ -95,6 +95,21 @@ def _(t):
     return t.spark.read.parquet(f"{folder}/out").drop("batch_id", "timestamp")
 
 
+@plan("st13_progress_rows", "SELECT 'st13' AS name, count(*)::BIGINT AS input_rows FROM act")
+def _(t):
+    folder = fresh(t, "st13")
+    table = J.ProgressTable(t.spark, f"{folder}/progress")
+    t.spark.streams.addListener(table)
+    try:
+        query = J.start_batches(events(t), "st13", J.table_sink(f"{folder}/out"), f"{folder}/check", once=True)
+        query.awaitTermination()
+        if not table.wait(query):
+            raise TimeoutError("the last progress event has not arrived")
+    finally:
+        t.spark.streams.removeListener(table)
+    return t.spark.read.schema(J.ProgressTable.SCHEMA).json(f"{folder}/progress").groupBy("name").agg(F.sum("input_rows").alias("input_rows"))
+
+
 @plan("snk02_stream_to_documents", _EVENTS)
 def _(t):
     folder = fresh(t, "snk02")

@@ -6,11 +6,13 @@ SQL. Timestamps must be TIMESTAMP (a watermark rejects TIMESTAMP_NTZ): see :func
 
 from __future__ import annotations
 
+import threading
+from collections import defaultdict
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from tillroll.functions.dates import TET_JAN21_FEB20, in_season
 from tillroll.functions.numbers import dsum, ratio
@@ -267,6 +269,35 @@ def progress(queries: Sequence[StreamingQuery]) -> list[dict[str, object]]:
     return out
 
 
+class ProgressTable(StreamingQueryListener):
+    """ST-13: progress of all queries of a session as rows of a table, one small file per batch; a batch that is reported again replaces its row.
+
+    Add it with ``spark.streams.addListener``. Events arrive after the batch; ``wait`` returns once a stopped query's last one is written.
+    """
+
+    SCHEMA = "name string, timestamp string, input_rows bigint, input_rows_per_second double, processed_rows_per_second double, state_rows bigint"
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path, self._ended = spark, path, defaultdict(threading.Event)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        row = (p.name, p.timestamp, p.numInputRows, p.inputRowsPerSecond, p.processedRowsPerSecond, sum(o.numRowsTotal for o in p.stateOperators))
+        self.spark.createDataFrame([row], self.SCHEMA).write.mode("overwrite").json(f"{self.path}/run_id={p.runId}/batch_id={p.batchId}")
+
+    def onQueryTerminated(self, event) -> None:
+        self._ended[str(event.runId)].set()
+
+    def wait(self, query: StreamingQuery, seconds: float = 60) -> bool:
+        return self._ended[str(query.runId)].wait(seconds)
+
+
 def stop_all(spark: SparkSession) -> int:
     """ST-12: stop every running query."""
     running = spark.streams.active
