@@ -137,3 +137,57 @@ def test_hybrid_falls_back_to_popular(spark):
     users = spark.createDataFrame([(1,), (2,)], "customer_id bigint")
     got = {(r["customer_id"], r["product_id"]): r["hybrid_score"] for r in R.hybrid(recent, similar, collab, popular, users, 5).collect()}
     assert got == {(1, 11): 1.55, (1, 12): 0.12, (2, 7): 9.0, (2, 8): 3.0}
+
+
+def _nearest(rows, k):
+    m = pd.DataFrame(rows, columns=["id", "t", "w"]).pivot_table(index="id", columns="t", values="w", aggfunc="sum", fill_value=0)
+    v = m.to_numpy() / np.linalg.norm(m.to_numpy(), axis=1, keepdims=True)
+    sims, ids, want = np.round(v @ v.T, 6), m.index.to_numpy(), set()
+    for i, own in enumerate(ids):
+        want |= {(own, ids[j], n + 1) for n, j in enumerate([j for j in np.lexsort((ids, -sims[i])) if j != i and sims[i, j] > 0][:k])}
+    return want
+
+
+def test_neighbours_by_short_lists_shuffle_no_pairs(spark, monkeypatch):
+    """Random purchases: every vector meets the short lists of its tokens, no pair goes through the bounds."""
+    rng = np.random.default_rng(3)
+    rows = [(i, f"t{t}", float(1 + rng.integers(0, 9))) for i in range(200) for t in set(rng.integers(0, 120, 8).tolist())] + [(900 + i, t, 1.0) for i in range(12) for t in ("t1", "t2")]
+    monkeypatch.setattr(R, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(R, "similar_candidates", lambda *a: pytest.fail("pairs are shuffled"))
+    vectors = R.unit_vectors(spark.createDataFrame(rows, "id bigint, token string, w double"), "id", "token", "w")
+    assert {(r["id"], r["other"], r["position"]) for r in R.top_similar(vectors, "id", 5).collect()} == _nearest(rows, 5)
+
+
+@pytest.mark.parametrize("entries", [0, 90])
+def test_neighbours_with_long_lists_keep_to_the_bounds(spark, monkeypatch, entries):
+    """With a hot token all vectors or those of long lists look for their neighbours by bounds; both ways together are exact."""
+    rng = np.random.default_rng(4)
+    rows = [(i, f"t{t}", float(1 + rng.integers(0, 4))) for i in range(120) for t in {0, *rng.integers(1, 40, 3).tolist()} if t or i % 3 == 0]
+    monkeypatch.setattr(R, "LIST_ROWS", entries)
+    vectors = R.unit_vectors(spark.createDataFrame(rows, "id bigint, token string, w double"), "id", "token", "w")
+    assert {(r["id"], r["other"], r["position"]) for r in R.top_similar(vectors, "id", 4).collect()} == _nearest(rows, 4)
+
+
+def test_factor_recommendations_meet_only_parts_that_reach_the_bound(spark, monkeypatch):
+    """The best unseen items of the given factors, ties by item, also of users who have seen all long items, without a score of every pair."""
+    rng = np.random.default_rng(8)
+    vu, vi = rng.random((30, 3)).astype("float32"), (rng.random((64, 3)) * rng.choice([0.05, 1.0, 3.0], 64)[:, None]).astype("float32")
+    vi[40:44] = vi[40]
+    vu[7] = 0
+    frame = lambda v: spark.createDataFrame([(n + 1, x.tolist()) for n, x in enumerate(v)], "id int, features array<float>")
+
+    class Model:
+        userFactors, itemFactors = frame(vu), frame(vi)
+
+    longest = np.argsort(-np.linalg.norm(vi, axis=1))
+    pairs = {(u, int(i)) for u in range(30) for i in rng.integers(0, 64, 5)} | {(5, int(i)) for i in longest[:30]} | {(6, i) for i in range(62)}
+    number = lambda n, a, b: spark.createDataFrame([(x + 1000, x + 1) for x in range(n)], f"{a} bigint, {b} int")
+    ratings = spark.createDataFrame([(u + 1000, i + 1000, 1.0) for u, i in pairs], "customer_id bigint, product_id bigint, rating float")
+    for name, value in (("HEAD_ITEMS", 8), ("PART_ITEMS", 8), ("PART_USERS", 12)):
+        monkeypatch.setattr(R, name, value)
+    got = {(r["customer_id"], r["position"]): (r["product_id"], r["predicted_rating"]) for r in R.unseen_recommendations(R.Factors(Model, number(30, "customer_id", "_u"), number(64, "product_id", "_i")), ratings, 4).collect()}
+    scores, want = (vu.astype("float64") @ vi.T.astype("float64")).astype("float32"), {}
+    for u in range(30):
+        order = [i for i in np.lexsort((np.arange(64), -scores[u])) if (u, i) not in pairs][:4]
+        want.update({(u + 1000, n + 1): (i + 1000, pytest.approx(float(scores[u, i]))) for n, i in enumerate(order)})
+    assert got == want
