@@ -1,5 +1,7 @@
 """Models: metric floors, storage round trip, exact neighbours against brute force."""
 
+import datetime
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -191,3 +193,33 @@ def test_factor_recommendations_meet_only_parts_that_reach_the_bound(spark, monk
         order = [i for i in np.lexsort((np.arange(64), -scores[u])) if (u, i) not in pairs][:4]
         want.update({(u + 1000, n + 1): (i + 1000, pytest.approx(float(scores[u, i]))) for n, i in enumerate(order)})
     assert got == want
+
+
+class _Lines:
+    """Stand-in tables of a few products over 270 days; ``read`` counts the sales lines that pass."""
+
+    def __init__(self, spark):
+        self.spark, self.read = spark, spark.sparkContext.accumulator(0)
+        self.rows = [(o, o % 7, o % 4, datetime.datetime(2000, 11, 5) + datetime.timedelta(days=o % 270), 1 + o % 5) for o in range(900)]
+        read = self.read
+
+        def count(batches):
+            for b in batches:
+                read.add(len(b))
+                yield b
+
+        lines = spark.createDataFrame(self.rows, "order_id bigint, customer_id bigint, product_id bigint, order_date timestamp_ntz, quantity int").withColumns(
+            {"quantity": F.col("quantity").cast("decimal(18,2)"), "item_total": (F.col("quantity") * 10).cast("decimal(18,2)")})
+        self.sales = lines.mapInPandas(count, lines.schema)
+        self.prd = spark.createDataFrame([(i, f"p{i}", f"c{i % 2}", "b", 5.0 + i, 3) for i in range(4)], "product_id bigint, product_name string, category string, brand string, price double, stock_quantity int").withColumn("price", F.col("price").cast("decimal(18,2)"))
+        self.act = spark.createDataFrame([("view", '{"k": 1}', datetime.datetime(2001, 7, 1))], "activity_type string, props string, ts timestamp_ntz")
+
+
+@pytest.mark.parametrize("name,reports", [("m09_forecast", 1), ("m09_fold_errors", 1), ("m15_quantity_model", 1), ("d19_compare_periods", 2), ("d23_category_comparison", 1), ("d25_seller_insights", 3)])
+def test_lines_are_read_once_a_report(spark, monkeypatch, name, reports):
+    """Models, folds, rankings and ranks read a small pinned table, not all order lines again."""
+    from tillroll.plans import load_plans
+    monkeypatch.setattr(M, "regressors", lambda label, *a: {"linear": M.LinearRegression(labelCol=label, regParam=0.01)})
+    t = _Lines(spark)
+    load_plans()[name].build(t).collect()
+    assert 0 < t.read.value <= reports * len(t.rows)

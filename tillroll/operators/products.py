@@ -18,6 +18,7 @@ from tillroll.operators.joins import group_stats_back, previous_day
 from tillroll.operators.ordering import number_rows
 from tillroll.operators.sales import sales_kpis
 from tillroll.operators.windows import fixed_bins, percent_rank, rank_by_value, value_bins, width_bins
+from tillroll.session import pin
 
 # Look-back of each timeframe.
 TIMEFRAMES = {"hour": "1 HOUR", "day": "1 DAY", "week": "7 DAY", "month": "1 MONTH", "quarter": "3 MONTH", "year": "1 YEAR"}
@@ -35,11 +36,15 @@ def trend_class(current: Column, previous: Column) -> tuple[Column, Column]:
     return name, change
 
 
-def period_sales(sales: DataFrame, start: Column, end: Column | None = None) -> DataFrame:
-    rows = sales.where(F.col("order_date") >= start)
-    if end is not None:
-        rows = rows.where(F.col("order_date") < end)
-    return fold_buyers(rows, "product_id", _q="quantity", _v="item_total")
+def period_sales(sales: DataFrame, now: Column, before: Column) -> DataFrame:
+    """Units, revenue, orders and customers of products sold in the period ``now``, and their units of the period ``before``; the lines are read once."""
+    per_order = sales.where(now | before).groupBy("product_id", "customer_id", "order_id").agg(
+        F.count_if(now).alias("_lines"), F.sum(F.when(now, F.col("quantity"))).alias("_q"), F.sum(F.when(now, F.col("item_total"))).alias("_v"),
+        F.sum(F.when(before, F.col("quantity"))).alias("_pq"))
+    sums = [F.sum(c).alias(c) for c in ("_q", "_v", "_pq")]
+    per_customer = per_order.groupBy("product_id", "customer_id").agg(F.count_if(F.col("_lines") > 0).alias("order_count"), *sums)
+    out = per_customer.groupBy("product_id").agg(F.sum("order_count").alias("order_count"), F.count_if(F.col("order_count") > 0).alias("unique_customers"), *sums)
+    return out.where("order_count > 0")
 
 
 def fold_buyers(rows: DataFrame, by: str, **sums: str) -> DataFrame:
@@ -58,11 +63,12 @@ def best_sellers(products: DataFrame, sales: DataFrame, views: DataFrame, as_of:
     """
     back = TIMEFRAMES[timeframe]
     p = products.where(F.col("category") == category) if category else products
-    now = period_sales(sales, _at(as_of, back))
-    before = (period_sales(sales, _at(as_of, "1 DAY", back)) if overlap else period_sales(sales, _at(as_of, back, back), _at(as_of, back)))
-    rows = p.join(now, "product_id").join(before.select("product_id", F.col("_q").alias("_pq")), "product_id", "left")
+    day = F.col("order_date")
+    now = day >= _at(as_of, back)
+    before = day >= _at(as_of, "1 DAY", back) if overlap else (day >= _at(as_of, back, back)) & (day < _at(as_of, back))
     v = views.groupBy("product_id").agg(F.count("*").alias("view_count"))
-    rows = rows.join(v, "product_id", "left")
+    # One row per product, read by both rankings.
+    rows = pin(p.join(period_sales(sales, now, before), "product_id").join(v, "product_id", "left"))
     units, prev = F.col("_q").cast("double"), F.coalesce(F.col("_pq").cast("double"), F.lit(0.0))
     cost = F.coalesce(F.col("cost_price"), F.col("price") * F.lit("0.6").cast("decimal(4,2)")) if "cost_price" in p.columns else (
         F.col("price") * F.lit("0.6").cast("decimal(4,2)"))
@@ -97,20 +103,24 @@ def trending(products: DataFrame, sales: DataFrame, as_of: str, days: int = 7, a
 
 def category_performance(products: DataFrame, sales: DataFrame, views: DataFrame, as_of: str, days: int = 1) -> DataFrame:
     """D-17: products, orders, conversion, market share, growth against the period before, top product."""
-    rows = sales.join(products.select("product_id", "category", "product_name"), "product_id")
-    now = rows.where(F.col("order_date") >= _at(as_of, f"{days} DAY"))
+    is_now = F.col("order_date") >= _at(as_of, f"{days} DAY")
+    rows = sales.where(F.col("order_date") >= _at(as_of, f"{2 * days} DAY")).join(products.select("product_id", "category"), "product_id")
+    # One row per product and order, read by all measures below.
+    rows = pin(rows.groupBy("category", "product_id", "customer_id", "order_id").agg(
+        F.count_if(is_now).alias("_lines"), F.sum(F.when(is_now, F.col("quantity"))).alias("_q"), F.sum(F.when(is_now, F.col("item_total"))).alias("_v"),
+        F.sum(F.when(~is_now, F.col("quantity"))).alias("_pq")))
+    now = rows.where("_lines > 0")
     v = views.groupBy("product_id").agg(F.count("*").alias("_views"))
     # One row per product first: the mean over lines becomes a ratio of sums.
-    p = now.groupBy("category", "product_id").agg(F.sum("quantity").alias("_q"), F.sum("item_total").alias("_v"), F.count("*").alias("_lines")).join(
+    p = now.groupBy("category", "product_id").agg(F.sum("_q").alias("_q"), F.sum("_v").alias("_v"), F.sum("_lines").alias("_lines")).join(
         v, "product_id", "left")
     conv = F.coalesce(F.try_divide(F.col("_q").cast("double") * 100, F.col("_views")), F.lit(0.0))
     g = p.groupBy("category").agg(
         F.count("*").alias("total_products"), F.sum("_q").alias("_q"), F.sum("_v").alias("_v"), F.sum(conv).alias("_c"), F.sum("_lines").alias("_l"),
         F.min_by("product_id", F.struct(-F.col("_q"), F.col("product_id"))).alias("top_product_id"), F.max("_q").cast("double").alias("top_product_sales"))
     orders = fold_buyers(now, "category").withColumnRenamed("order_count", "total_orders")
-    past = rows.where((F.col("order_date") >= _at(as_of, f"{2 * days} DAY")) & (F.col("order_date") < _at(as_of, f"{days} DAY"))).groupBy(
-        "category").agg(F.sum("quantity").alias("_pq"))
-    market = now.agg(F.sum("item_total").alias("m")).scalar()
+    past = rows.groupBy("category").agg(F.sum("_pq").alias("_pq"))
+    market = now.agg(F.sum("_v").alias("m")).scalar()
     units, prev = F.col("_q").cast("double"), F.coalesce(F.col("_pq").cast("double"), F.lit(0.0))
     return g.join(orders, "category").join(past, "category", "left").select(
         "category", "total_products", "total_orders", "unique_customers", units.alias("total_sales"), F.col("_v").cast("double").alias("total_revenue"),
@@ -214,7 +224,7 @@ def category_daily(products: DataFrame, sales: DataFrame) -> DataFrame:
 def category_comparison(daily: DataFrame, day: str) -> DataFrame:
     """D-23: previous day, growth rating and revenue / growth ranks of one day."""
     today = F.lit(day).cast("date")
-    rows = previous_day(daily.where(F.col("date").between(F.date_sub(today, 1), today)), ["category"], "date", ["total_sales", "total_revenue"]).where(F.col("date") == today)
+    rows = previous_day(pin(daily.where(F.col("date").between(F.date_sub(today, 1), today))), ["category"], "date", ["total_sales", "total_revenue"]).where(F.col("date") == today)
     rows = rows.withColumn("growth_rate", F.coalesce(pct(F.col("total_sales") - F.col("prev_total_sales"), F.col("prev_total_sales")), F.lit(0.0)))
     g = F.col("growth_rate")
     rating = F.when(g > 20, "excellent").when(g > 10, "good").when(g > 0, "positive").when(g > -10, "declining").otherwise("poor")
