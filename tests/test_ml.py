@@ -223,3 +223,25 @@ def test_lines_are_read_once_a_report(spark, monkeypatch, name, reports):
     t = _Lines(spark)
     load_plans()[name].build(t).collect()
     assert 0 < t.read.value <= reports * len(t.rows)
+
+
+def test_ratings_are_joined_once(spark, monkeypatch, tmp_path):
+    """The factorisation reads its ratings several times: they are pinned, not joined anew each time."""
+    from types import SimpleNamespace
+
+    from tillroll.ml import recommend as R
+    from tillroll.plans import load_plans
+    sales = spark.createDataFrame([(1, 2), (1, 2), (2, 3)], "customer_id int, product_id int")
+    seen = []
+
+    def fit(ratings, *_):
+        seen.append(ratings)
+        raise StopIteration
+
+    monkeypatch.setattr(R, "fit_factors", fit)
+    for name in ("m11_factor_recommendations", "m12_hybrid"):
+        with pytest.raises(StopIteration):
+            load_plans()[name].build(SimpleNamespace(sales=sales))
+    for ratings in seen:
+        assert "Aggregate" not in ratings._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(tuple(r) for r in ratings.collect()) == [(1, 2, 2.0), (2, 3, 1.0)]
