@@ -496,3 +496,17 @@ def test_sets_with_many_empty_parts_still_share_a_name(monkeypatch):
         same = len(np.intersect1d(a, b))
         if 100 * same >= 80 * (len(a) + len(b) - same):
             assert set(jaccard_join.part_names(a, classes)[0].tolist()) & set(jaccard_join.part_names(b, classes)[0].tolist())
+
+
+def test_blocks_are_joined_in_waves(spark, monkeypatch):
+    """Sets that lie in many blocks don't travel all at once; the components stay."""
+    rng = random.Random(8)
+    base = [" ".join(f"w{rng.randrange(3000)}" for _ in range(60)) for _ in range(6)]
+    rows = [(i, base[i % 6] + f" x{i // 24}") for i in range(96)]
+    want = sorted((r["doc_id"], r["component_id"]) for r in jaccard_join.joined(docs_of(spark, rows), 3, 80).collect())
+    waves, pin = [], jaccard_join.pin
+    monkeypatch.setattr(jaccard_join, "pin", lambda df: waves.append(df.columns) or pin(df))
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "WAVE", 0.3)
+    assert sorted((r["doc_id"], r["component_id"]) for r in jaccard_join.joined(docs_of(spark, rows), 3, 80).collect()) == want
+    assert waves.count(["a", "b"]) > 3

@@ -38,6 +38,7 @@ CUTS = 4
 FIRST_PARTS = 8
 SLICES = 2
 BLOCK = 2048
+WAVE = 1.0
 LEAF = 24
 FAN = 8
 BITS = 4096
@@ -270,11 +271,22 @@ def _meetings(sets: DataFrame, first: bool) -> DataFrame | None:
 
 
 def _links(meetings: DataFrame, docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
-    """Verified links (a, b) between rows. The texts travel to the blocks, which take the shingles: these would be larger and do not compress."""
-    meetings = pin(meetings.join(sets.select("row", "key", "digest"), "row"))
-    texts = docs.join(small_enough(meetings.select("key").distinct()), "key", "left_semi").join(meetings, "key")
-    blocks = texts.select("block", "row", "comp", "side", "digest", "text").repartition("block").sortWithinPartitions("block")
-    return pin(blocks.mapInArrow(_blocks_of(n, percent), "a bigint, b bigint"))
+    """Verified links (a, b) between rows. The texts travel to the blocks, which take the shingles: these would be larger and do not compress.
+
+    A set in several blocks travels several times, so blocks go in waves of about ``WAVE`` of all sets' shingles; shuffle files of a wave are gone before the next.
+    """
+    meetings = pin(meetings.join(sets.select("row", "key", "digest", "size"), "row"))
+    sent, all_ = meetings.agg(F.sum("size")).first()[0] or 0, sets.agg(F.sum("size")).first()[0] or 1
+    waves, found = max(1, math.ceil(sent / all_ / WAVE)), None
+    for wave in range(waves):
+        now = meetings.where(F.pmod(F.xxhash64("block", F.lit(5)), F.lit(waves)) == wave).drop("size")
+        texts = docs.join(small_enough(now), "key")
+        blocks = texts.select("block", "row", "comp", "side", "digest", "text").repartition("block").sortWithinPartitions("block")
+        links = pin(blocks.mapInArrow(_blocks_of(n, percent), "a bigint, b bigint"))
+        del texts, blocks
+        release(docs)
+        found = links if found is None else found.unionByName(links)
+    return found
 
 
 def joined(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
