@@ -308,3 +308,36 @@ def test_table_functions_are_called_from_sql(spark):
     assert spark.sql("SELECT * FROM detect_trending_products(DATE '2024-01-02')").collect() == []
     with pytest.raises(ValueError):
         register_table_functions(spark, other=ranking)
+
+
+def test_phrases_are_those_of_array_functions(spark):
+    from tillroll.operators import feedback as B
+    rows = [(1, "a b  a b a"), (2, None), (3, ""), (4, " x "), (5, "\u00e9t\u00e9\u00a0y\tz y z"), (6, " ".join(f"w{i % 700}" for i in range(1500)))]
+    df = spark.createDataFrame(rows, "id int, text string").withColumn("at", F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'"))
+    tokens = df.select("id", "at", X.words("text").alias("w"))
+    want = tokens.select("id", "at", F.explode(F.array_distinct(F.concat(X.ngrams(F.col("w"), 2), X.ngrams(F.col("w"), 3)))).alias("phrase"))
+    found = B.explode_phrases(df, "text", ["id", "at"])
+    assert sorted(found.collect()) == sorted(want.collect()) and found.dtypes == want.dtypes
+    assert "array_distinct" not in found._jdf.queryExecution().optimizedPlan().toString()  # lambdas over arrays took most of the time
+
+
+def test_cleaned_texts_are_those_of_two_passes(spark):
+    odd = ["", " ", None, "A\u00a0\u2003B", "x\u00d7\u00f7y", "\u1ea0\u1ef9 \u0301e", "a_b-c..d\te\n", "\U0001d54f \u0660\u00b2", "\x0b\x1c\x85z"]
+    df = spark.createDataFrame([(x,) for x in odd], "v string")
+    two = F.lower(X.collapse(F.regexp_replace("v", X.KEPT_LETTERS, " ")))
+    assert [r[0] for r in df.select(X.clean_feedback("v")).collect()] == [r[0] for r in df.select(two).collect()]
+
+
+def test_analysed_feedback_does_not_move_texts(spark):
+    from tillroll.operators import feedback as B
+    rows = [(1, "good good", 1), (2, "bad", 1), (2, "great", 2), (None, "good", 1), (3, None, 7)]
+    make = lambda r: spark.createDataFrame([(i, t, c, "s") for i, t, c in r], "feedback_id int, text string, customer_id int, source string").withColumn("created_at", F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'"))
+    clv = spark.createDataFrame([(1, 9e6), (1, 1.0), (5, 2.0)], "customer_id int, clv_prediction double")
+    got = sorted((r["feedback_id"], r["text"] or "", r["sentiment_score"], r["priority"]) for r in B.analyse(make(rows), clv).collect())
+    score = {k: r["sentiment_score"] for k, r in ((r["feedback_id"], r) for r in B.sentiment(make(rows[:1] + rows[4:]), "feedback_id", "text").collect())}
+    two = sorted(r["sentiment_score"] for r in B.sentiment(make(rows[1:3]), "feedback_id", "text").collect())
+    assert [x[:3] for x in got if x[0] != 2] == [(1, "good good", score[1])] * 2 + [(3, "", score[3])]  # null keys meet nothing, two values of a customer are two rows
+    assert [x[:3] for x in got if x[0] == 2] == [(2, "bad", two[0])] * 2 + [(2, "bad", two[1])] * 2 + [(2, "great", two[0]), (2, "great", two[1])]
+    assert "Join Inner" not in B.analyse(make(rows[:2]), clv)._jdf.queryExecution().optimizedPlan().toString()
+    day = B.daily_metrics(B.analyse(make([(1, "a b a b c", 1), (2, "b c d", 9)]), clv.limit(1)), "2024-01-01", "2024-01-01").collect()
+    assert [(r["total_feedback"], r["distinct_phrases"]) for r in day] == [(2, 4)]

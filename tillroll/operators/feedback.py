@@ -6,14 +6,17 @@ or repetitive text adds one row per distinct word.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tillroll.functions import text as X
 from tillroll.functions.numbers import ratio
 from tillroll.operators.frequent import most_frequent
+from tillroll.session import pin
 
 # Keyword lists.
 CATEGORIES = {
@@ -36,6 +39,8 @@ POSITIVE, NEGATIVE = ("positive", "very_positive"), ("negative", "very_negative"
 LEXICON = {"good": 1.0, "great": 1.5, "excellent": 2.0, "amazing": 2.0, "happy": 1.5, "fast": 0.5, "friendly": 1.0, "easy": 0.5, "tốt": 1.0, "đẹp": 1.0,
            "vui": 1.0, "bad": -1.0, "poor": -1.0, "terrible": -2.0, "slow": -0.5, "rude": -1.5, "angry": -1.5, "error": -1.0, "late": -0.5, "xấu": -1.0,
            "tệ": -1.5, "buồn": -1.0}
+# Customers whose values may be broadcast; phrases of one Arrow batch.
+BROADCAST_ROWS, BATCH_PHRASES = 500_000, 1 << 17
 
 
 def categories(clean: Column, table: Mapping[str, Sequence[str]] = CATEGORIES, at_least: int = 2) -> Column:
@@ -63,11 +68,15 @@ def sentiment(df: DataFrame, key: str, text: str, lexicon: Mapping[str, float] =
     The raw sum s of word weights is normalised as s / sqrt(s^2 + 15). The weights are a map literal that is
     looked up inside the projection: no explode, no shuffle, whole texts.
     """
+    return _with_sentiment(df.select(key, X.clean_feedback(text).alias("clean")), "clean", lexicon).drop("clean")
+
+
+def _with_sentiment(df: DataFrame, clean: str, lexicon: Mapping[str, float]) -> DataFrame:
+    """``df`` with score, label and confidence of its cleaned texts."""
     table = F.create_map(*[F.lit(x) for kv in lexicon.items() for x in (kv[0], float(kv[1]))])
-    tokens = X.words(X.clean_feedback(text))
-    raw = F.aggregate(tokens, F.lit(0.0), lambda a, w: a + F.coalesce(F.try_element_at(table, w), F.lit(0.0)))
+    raw = F.aggregate(F.split(clean, " "), F.lit(0.0), lambda a, w: a + F.coalesce(F.try_element_at(table, w), F.lit(0.0)))
     score = F.col("_raw") / F.sqrt(F.col("_raw") * F.col("_raw") + 15)
-    out = df.select(key, raw.alias("_raw")).select(key, F.round(score, 6).alias("sentiment_score"))
+    out = df.withColumn("_raw", raw).withColumn("sentiment_score", F.round(score, 6)).drop("_raw")
     return out.withColumn("sentiment_label", sentiment_label(F.col("sentiment_score"))).withColumn("confidence", F.abs("sentiment_score"))
 
 
@@ -78,23 +87,60 @@ def priority(label: Column, clv: Column, high_value: float = 5000000) -> Column:
             .when(label == "neutral", "medium").otherwise("low"))
 
 
-def explode_phrases(df: DataFrame, text: str, keep: Sequence[str], sizes: Sequence[int] = (2, 3), longest: int | None = None) -> DataFrame:
+def _phrases(sizes: Sequence[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function over batches whose last column is a text with single blanks: one row per distinct phrase of a text."""
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, phrases = [], []
+            for i, text in enumerate(batch.columns[-1].to_pylist()):
+                tokens = [w for w in text.split(" ") if w] if text else []
+                found: dict[str, None] = {}
+                for n in sizes:
+                    grams = tokens
+                    for shift in range(1, n):
+                        grams = [f"{a} {b}" for a, b in zip(grams, tokens[shift:])]
+                    found.update(dict.fromkeys(grams))
+                at += [i] * len(found)
+                phrases += found
+                if len(phrases) >= BATCH_PHRASES:
+                    yield rows(batch, at, phrases)
+                    at, phrases = [], []
+            if phrases:
+                yield rows(batch, at, phrases)
+
+    def rows(batch: pa.RecordBatch, at: list[int], phrases: list[str]) -> pa.RecordBatch:
+        kept = [c.take(pa.array(at, pa.int32())) for c in batch.columns[:-1]]
+        return pa.RecordBatch.from_arrays([*kept, pa.array(phrases, pa.string())], names=[*batch.schema.names[:-1], "phrase"])
+
+    return explode
+
+
+def explode_phrases(df: DataFrame, text: str, keep: Sequence[str], sizes: Sequence[int] = (2, 3), longest: int | None = None, cleaned: bool = False) -> DataFrame:
     """D-41: distinct word pairs and triples of each text, one row each; with ``longest`` only those of at most so many characters.
 
-    The tokens are a column of their own: inside the lambda they would be split again for every position.
-    ``explode_outer`` keeps Spark from repeating the whole expression in an inferred filter.
+    Arrow batches: array functions with lambdas take about twice as long. ``cleaned`` texts have single blanks already.
     """
-    rows = df.select(*keep, X.words(text).alias("_tokens"))
-    grams = F.concat(*[X.ngrams(F.col("_tokens"), n) for n in sizes])
-    phrases = rows.select(*keep, F.explode_outer(F.array_distinct(grams)).alias("phrase"))
-    return phrases.where("phrase IS NOT NULL" if longest is None else F.length("phrase") <= longest)
+    rows = df.select(*keep, (F.col(text) if cleaned else X.collapse(text)).alias("phrase"))
+    phrases = rows.mapInArrow(_phrases(sizes), StructType([*rows.schema.fields[:-1], StructField("phrase", StringType())]))
+    return phrases if longest is None else phrases.where(F.length("phrase") <= longest)
+
+
+def _met_by_key(rows: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """``rows`` as joined with their own ``columns`` on ``key``: without null keys, and rows of one key meet each other's. Only rows of repeated keys are moved."""
+    twice = pin(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key))
+    if twice.isEmpty():
+        return rows.where(F.col(key).isNotNull())
+    again = rows.join(twice, key, "left_semi")
+    met = again.drop(*columns).join(again.select(key, *columns), key)
+    return rows.where(F.col(key).isNotNull()).join(twice, key, "left_anti").unionByName(met)
 
 
 def analyse(feedback: DataFrame, clv: DataFrame, lexicon: Mapping[str, float] = LEXICON) -> DataFrame:
-    """D-31..D-35 together: one analysed row per feedback."""
-    clean = X.clean_feedback("text")
-    rows = feedback.withColumn("clean", clean)
-    scored = rows.join(sentiment(rows, "feedback_id", "text", lexicon), "feedback_id").join(clv, "customer_id", "left")
+    """D-31..D-35 together: one analysed row per feedback. Scores are computed where the text is; the values of the customers that occur come to it, so texts are not moved if these are few."""
+    rows = _with_sentiment(feedback.withColumn("clean", X.clean_feedback("text")), "clean", lexicon)
+    scored = _met_by_key(rows, "feedback_id", ["sentiment_score", "sentiment_label", "confidence"])
+    clv = pin(clv.join(feedback.select("customer_id").distinct(), "customer_id", "left_semi"))
+    scored = scored.join(F.broadcast(clv) if clv.count() <= BROADCAST_ROWS else clv, "customer_id", "left")
     p = priority(F.col("sentiment_label"), F.col("clv_prediction"))
     return scored.withColumns({"categories": categories(F.col("clean")), "emotions": emotions(F.col("clean")), "priority": p,
                                "action_required": p.isin("critical", "high")})
@@ -127,7 +173,7 @@ def category_breakdown(analysed: DataFrame, as_of: str, days: int) -> DataFrame:
 
 def top_phrases(feedback: DataFrame, k: int = 10, text: str = "text") -> DataFrame:
     """D-36, D-41: phrases found in the most texts; only those of heavy counters are shuffled."""
-    return most_frequent(explode_phrases(feedback.select(X.clean_feedback(text).alias("_clean")), "_clean", []), "phrase", k, "frequency")
+    return most_frequent(explode_phrases(feedback.select(X.clean_feedback(text).alias("_clean")), "_clean", [], cleaned=True), "phrase", k, "frequency")
 
 
 def daily_sentiment(analysed: DataFrame, as_of: str, days: int = 30) -> DataFrame:
@@ -164,7 +210,7 @@ def daily_metrics(analysed: DataFrame, first: str, last: str) -> DataFrame:
     day = F.to_date("created_at")
     rows = analysed.where(day.between(F.lit(first).cast("date"), F.lit(last).cast("date"))).withColumn("date", day).withColumn("category", F.explode_outer("categories"))
     keys = ["date", "source", "category"]
-    phrases = explode_phrases(rows, "clean", keys, (2,)).groupBy(*keys).agg(F.countDistinct("phrase").alias("distinct_phrases"))
+    phrases = explode_phrases(rows, "clean", keys, (2,), cleaned=True).groupBy(*keys).agg(F.countDistinct("phrase").alias("distinct_phrases"))
     return rows.groupBy(*keys).agg(*_counts(), _mean()).join(phrases, keys, "left").fillna(0, ["distinct_phrases"])
 
 
@@ -191,7 +237,7 @@ def topic_trends(feedback: DataFrame, topics: Sequence[str], as_of: str, text: s
     The topics are a fixed list, so each phrase filters that list and explodes the matches: no join.
     ``is_trending`` uses the new counts (G-11).
     """
-    phrases = explode_phrases(feedback.select("created_at", X.clean_feedback(text).alias("_clean")), "_clean", ["created_at"])
+    phrases = explode_phrases(feedback.select("created_at", X.clean_feedback(text).alias("_clean")), "_clean", ["created_at"], cleaned=True)
     hit = F.filter(F.array(*[F.lit(x) for x in topics]), lambda x: F.col("phrase").contains(F.lower(x)))
     g = phrases.select("created_at", F.explode_outer(hit).alias("topic")).where("topic IS NOT NULL").groupBy("topic").agg(
         F.count_if(_since(as_of, 7)).alias("frequency_last_7d"), F.count_if(_since(as_of, 30)).alias("frequency_last_30d"), F.max("created_at").alias("last_mentioned"))
