@@ -341,3 +341,19 @@ def test_analysed_feedback_does_not_move_texts(spark):
     assert "Join Inner" not in B.analyse(make(rows[:2]), clv)._jdf.queryExecution().optimizedPlan().toString()
     day = B.daily_metrics(B.analyse(make([(1, "a b a b c", 1), (2, "b c d", 9)]), clv.limit(1)), "2024-01-01", "2024-01-01").collect()
     assert [(r["total_feedback"], r["distinct_phrases"]) for r in day] == [(2, 4)]
+
+
+def test_group_performance_in_slices(spark, monkeypatch):
+    items = spark.createDataFrame([(o, o % 3, p) for o in range(40) for p in range(o % 4 + 1)] + [(None, 1, 1), (1, 1, None)], "order_id int, line int, product_id int").withColumn("item_total", F.lit(2).cast("decimal(18,2)"))
+    orders = spark.createDataFrame([(o, o % 7 if o % 5 else None) for o in range(39)], "order_id int, customer_id int")
+    sides = {"product_id": spark.createDataFrame([(0, "a"), (1, "a"), (2, "b"), (2, "c")], "product_id int, g string"),
+             "customer_id": spark.createDataFrame([(c, "ab"[c % 2]) for c in range(6)] + [(1, "c")], "customer_id int, g string")}
+    monkeypatch.setattr(S, "SLICE_ROWS", 10)
+    for on, side in sides.items():
+        rows = items.join(orders, "order_id").join(side, on)
+        want = rows.groupBy("g").agg(F.countDistinct("order_id"), F.sum("item_total").cast("double"), F.count_distinct("customer_id"))
+        found = S.group_performance(items, orders, side, on, "g")
+        # A null customer is one of the counted rows.
+        nulls = {r[0] for r in rows.where("customer_id IS NULL").select("g").distinct().collect()}
+        assert sorted((r["g"], r["orders"], r["revenue"], r["unique_customers"] - (r["g"] in nulls)) for r in found.collect()) == sorted(tuple(r) for r in want.collect())
+        assert "hashpartitioning(order_id#" in found._jdf.queryExecution().executedPlan().toString() and ", 11)" in found._jdf.queryExecution().executedPlan().toString()
