@@ -225,17 +225,16 @@ def test_lines_are_read_once_a_report(spark, monkeypatch, name, reports):
     assert 0 < t.read.value <= reports * len(t.rows)
 
 
-def test_ratings_are_joined_once(spark, monkeypatch, tmp_path):
-    """The factorisation reads its ratings several times: they are pinned, not joined anew each time."""
+def test_ratings_are_joined_once(spark, monkeypatch):
+    """The numberings and the lists of rated items read pinned ratings: they are not joined anew each time."""
     from types import SimpleNamespace
 
-    from tillroll.ml import recommend as R
     from tillroll.plans import load_plans
     sales = spark.createDataFrame([(1, 2), (1, 2), (2, 3)], "customer_id int, product_id int")
     seen = []
 
-    def fit(ratings, *_):
-        seen.append(ratings)
+    def fit(ratings, pinned):
+        seen.append(pinned)
         raise StopIteration
 
     monkeypatch.setattr(R, "fit_factors", fit)

@@ -201,9 +201,10 @@ def dense_ids(df: DataFrame, key: str, name: str) -> DataFrame:
     return pin(number_rows(df.select(key).where(F.col(key).isNotNull()).distinct(), [F.col(key)], (), name, "_n").select(key, F.col(name).cast("int").alias(name)))
 
 
-def fit_factors(ratings: DataFrame, rank: int = 10, rounds: int = 5) -> Factors:
-    """M-11: non-negative factorisation."""
-    users, items = dense_ids(ratings, "customer_id", "_u"), dense_ids(ratings, "product_id", "_i")
+def fit_factors(ratings: DataFrame, rank: int = 10, rounds: int = 5, pinned: DataFrame | None = None) -> Factors:
+    """M-11: non-negative factorisation. ``pinned``: the same ratings, for the numberings, which read them several times; the factors' last digits depend on the order of ``ratings``."""
+    known = ratings if pinned is None else pinned
+    users, items = dense_ids(known, "customer_id", "_u"), dense_ids(known, "product_id", "_i")
     als = ALS(userCol="_u", itemCol="_i", ratingCol="rating", rank=rank, maxIter=rounds, nonnegative=True, seed=42, coldStartStrategy="drop")
     return Factors(als.fit(ratings.join(users, "customer_id").join(items, "product_id").select("_u", "_i", "rating")), users, items)
 

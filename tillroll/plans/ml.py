@@ -145,14 +145,16 @@ def _(t):
 
 @plan("m11_factor_recommendations")
 def _(t):
-    ratings = pin(R.interactions(t.sales))  # read by both numberings, the factorisation and the lists of rated items
-    return R.unseen_recommendations(R.fit_factors(ratings), ratings, 10)
+    ratings = R.interactions(t.sales)
+    pinned = pin(ratings)
+    return R.unseen_recommendations(R.fit_factors(ratings, pinned=pinned), pinned, 10)
 
 
 @plan("m12_hybrid")
 def _(t):
-    ratings = pin(R.interactions(t.sales))
-    collab = R.unseen_recommendations(R.fit_factors(ratings), ratings, 10)
+    ratings = R.interactions(t.sales)
+    pinned = pin(ratings)
+    collab = R.unseen_recommendations(R.fit_factors(ratings, pinned=pinned), pinned, 10)
     popular = t.itm.groupBy("product_id").agg(F.sum("quantity").cast("double").alias("score"))
     return R.hybrid(R.recent_items(t.sales), R.similar_products(t.prd, 5), collab, popular, t.cst, 10)
 
