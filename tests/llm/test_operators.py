@@ -510,3 +510,37 @@ def test_blocks_are_joined_in_waves(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "WAVE", 0.3)
     assert sorted((r["doc_id"], r["component_id"]) for r in jaccard_join.joined(docs_of(spark, rows), 3, 80).collect()) == want
     assert waves.count(["a", "b"]) > 3
+
+
+def test_words_of_long_texts_are_not_held_together(monkeypatch):
+    """The words of a batch are named a few texts at a time; the sets stay."""
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(20_000)) for _ in range(40)] + [None, "", "a b", " " * 2_000_000, "x y z x"]
+    calls, names = [], jaccard_join.word_names
+    monkeypatch.setattr(jaccard_join, "word_names", lambda words: calls.append(len(words)) or names(words))
+    got = jaccard_join._sets(texts, 3)
+    assert sum(calls) == 40 * 20_000 + 6 and max(calls) <= 200_000
+    assert len(got) == len(texts) and all(np.array_equal(x, jaccard_join._sets([t], 3)[0]) for x, t in zip(got, texts))
+
+
+def test_batches_of_long_texts_are_small(spark):
+    """A batch that goes to a Python worker is bounded in bytes too."""
+    import pyarrow as pa
+    long_ = spark.range(0, 60, 1, 1).select("id", F.repeat(F.concat(F.col("id").cast("string"), F.lit(" word ")), 50_000).alias("text"))
+    sizes = [r["n"] for r in long_.mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"]) for b in bs), "n bigint").collect()]
+    assert sum(sizes) == 60 and max(sizes) <= 20
+
+
+@pytest.mark.parametrize("first", [True, False])
+def test_blocks_are_bounded_by_shingles(spark, monkeypatch, first):
+    """A family of few but long sets is several blocks; in the second round every two sets of different components still share one."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 20_000)
+    rows = [(i, 0 if i < 30 else i, 1000, [7], [7]) for i in range(60)]
+    sets = spark.createDataFrame(rows, "row bigint, comp bigint, size bigint, first_names array<bigint>, all_names array<bigint>")
+    blocks = {}
+    for r in jaccard_join._meetings(sets, first).collect():
+        blocks.setdefault(r["block"], {})[r["row"]] = r["side"]
+    assert max(map(len, blocks.values())) < 60 and {i for b in blocks.values() for i in b} == set(range(60))
+    if not first:
+        met = {(i, j) for b in blocks.values() for i, x in b.items() for j, y in b.items() if i < j and (x + y >= 2 or x != y)}
+        assert {(i, j) for i in range(60) for j in range(max(i + 1, 30), 60)} <= met

@@ -37,8 +37,11 @@ from tillroll.session import pin
 CUTS = 4
 FIRST_PARTS = 8
 SLICES = 2
-BLOCK = 2048
+#: Sets of a block, and shingles of a block (32 MB): whichever is reached first.
+BLOCK, BLOCK_SHINGLES = 2048, 4 << 20
 WAVE = 1.0
+#: Characters of the texts whose words are named at once; a word takes about ten times its length while it is.
+TEXTS = 1 << 20
 LEAF = 24
 FAN = 8
 BITS = 4096
@@ -75,17 +78,30 @@ class Classes:
 
 
 def _sets(texts: list[str | None], n: int) -> list[np.ndarray]:
-    """The sets of a batch of texts; words are named once for all."""
-    words, sizes = [], []
+    """The sets of a batch of texts; words of about ``TEXTS`` characters are named at once."""
+    out: list[np.ndarray] = []
+    words: list[str] = []
+    sizes: list[int] = []
+
+    def name() -> None:
+        h, at = word_names(words), 0
+        for size in sizes:
+            own = h[at:at + size]
+            at += size
+            out.append(own[:0] if not size else np.unique(named(own, np.arange(size - n + 1), n) if size >= n else named(own, np.zeros(1, np.int64), size)))
+        words.clear()
+        sizes.clear()
+
+    chars = 0
     for t in texts:
+        chars += len(t or "")
+        if sizes and chars > TEXTS:
+            name()
+            chars = len(t or "")
         w = words_of((t or "").encode().lower().decode())  # of bytes, so A-Z only
         words.extend(w)
         sizes.append(len(w))
-    h, out, at = word_names(words), [], 0
-    for size in sizes:
-        own = h[at:at + size]
-        at += size
-        out.append(own[:0] if not size else np.unique(named(own, np.arange(size - n + 1), n) if size >= n else named(own, np.zeros(1, np.int64), size)))
+    name()
     return out
 
 
@@ -227,40 +243,43 @@ def _blocks_of(n: int, percent: int):
 def _meetings(sets: DataFrame, first: bool) -> DataFrame | None:
     """block, row, comp, side of the sets to hold against each other; None if there are none.
 
-    Sets that meet under open names, directly or through others, are a family. A family of up to ``BLOCK`` is one block, so each of its sets is sent once.
+    Sets that meet under open names, directly or through others, are a family. A family of up to ``BLOCK`` sets and ``BLOCK_SHINGLES`` shingles is one block, so each of its sets is sent once.
     """
-    names = sets.select("row", "comp", F.explode("first_names" if first else "all_names").alias("name"))
+    def blocks(sets_: str, shingles: str, part: int = 1):
+        """How many blocks of a ``part``-th of the bounds hold so many sets with so many shingles."""
+        return F.greatest(F.lit(1), F.ceil(F.col(sets_) / max(1, BLOCK // part)), F.ceil(F.col(shingles) / max(1, BLOCK_SHINGLES // part))).cast("int")
+
+    names = sets.select("row", "comp", F.col("size").alias("shingles"), F.explode("first_names" if first else "all_names").alias("name"))
     open_ = None
     for slice_ in range(SLICES):  # one after the other, so that only a part of the names lies in shuffle files at a time
         some = names.where(F.pmod("name", F.lit(SLICES)) == slice_)
         some = pin(some.groupBy("name").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.min("row").alias("head")).where("_a < _b").select("name", "head"))
         release(sets)
         open_ = some if open_ is None else open_.unionByName(some)
-    members = pin(names.join(small_enough(open_), "name").select("row", "comp", "head").distinct())
+    members = pin(names.join(small_enough(open_), "name").select("row", "comp", "shingles", "head").distinct())
     release(sets)
     if members.isEmpty():
         return None
     families = components(members.select(F.col("row").alias("a"), F.col("head").alias("b"))).select(F.col("id").alias("row"), F.col("component").alias("family"))
-    members = members.select("row", "comp").distinct().join(families, "row")
-    sizes = members.groupBy("family").agg(F.count("*").alias("size"))
+    members = members.select("row", "comp", "shingles").distinct().join(families, "row")
+    sizes = members.groupBy("family").agg(F.count("*").alias("size"), F.sum("shingles").alias("of_family")).select("family", "size", blocks("size", "of_family").alias("chunks"))
     members = pin(members.join(small_enough(pin(sizes)), "family"))
     del families, sizes
     release(sets)
-    whole = members.where(F.col("size") <= BLOCK).select(F.xxhash64("family", F.lit(0), F.lit(0)).alias("block"), "row", "comp", F.lit(2).alias("side"))
-    large = members.where(F.col("size") > BLOCK)
+    whole = members.where("chunks = 1").select(F.xxhash64("family", F.lit(0), F.lit(0)).alias("block"), "row", "comp", F.lit(2).alias("side"))
+    large = members.where("chunks > 1")
     if large.isEmpty():
         return whole
     if first:
         # Blocks of a large family, each with the same few of its sets, through which they come together.
-        large = large.withColumn("chunks", F.ceil(F.col("size") / BLOCK).cast("int"))
         chunk = F.pmod(F.xxhash64("row", F.lit(9)), F.col("chunks")).cast("int")
         heads = large.where(F.pmod(F.xxhash64("row", F.lit(3)), F.ceil(F.col("size") / 8).cast("bigint")) == 0).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         return whole.unionByName(large.withColumn("chunk", chunk).unionByName(heads).select(F.xxhash64("family", "chunk", F.lit(1)).alias("block"), "row", "comp", F.lit(2).alias("side")).distinct())
     # The commonest component of a family against the rest, and the rest among itself.
-    by_comp = large.groupBy("family", "comp").agg(F.count("*").alias("n"))
-    most = by_comp.groupBy("family").agg(F.max_by("comp", F.struct("n", "comp")).alias("common"), F.max("n").alias("n_common"), F.sum("n").alias("n_all"))
-    half = max(1, BLOCK // 2)
-    most = pin(most.select("family", "common", F.ceil(F.col("n_common") / half).cast("int").alias("m"), F.greatest(F.lit(1), F.ceil((F.col("n_all") - F.col("n_common")) / half)).cast("int").alias("s")))
+    by_comp = large.groupBy("family", "comp").agg(F.count("*").alias("n"), F.sum("shingles").alias("w"))
+    most = by_comp.groupBy("family").agg(F.max_by(F.struct("comp", "n", "w"), F.struct("n", "comp")).alias("c"), F.sum("n").alias("n_all"), F.sum("w").alias("w_all"))
+    most = most.select("family", F.col("c.comp").alias("common"), F.col("c.n").alias("n"), F.col("c.w").alias("w"), (F.col("n_all") - F.col("c.n")).alias("n_rest"), (F.col("w_all") - F.col("c.w")).alias("w_rest"))
+    most = pin(most.select("family", "common", blocks("n", "w", 2).alias("m"), blocks("n_rest", "w_rest", 2).alias("s")))
     large = large.join(small_enough(most), "family")
     common = large.where("comp = common").withColumn("chunk", F.pmod(F.xxhash64("row", F.lit(9)), F.col("m")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
     common = common.select(F.xxhash64("family", "chunk", "other", F.lit(2)).alias("block"), "row", "comp", F.lit(0).alias("side"))
