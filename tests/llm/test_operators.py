@@ -544,3 +544,27 @@ def test_blocks_are_bounded_by_shingles(spark, monkeypatch, first):
     if not first:
         met = {(i, j) for b in blocks.values() for i, x in b.items() for j, y in b.items() if i < j and (x + y >= 2 or x != y)}
         assert {(i, j) for i in range(60) for j in range(max(i + 1, 30), 60)} <= met
+
+
+def test_memory_of_earlier_stages_is_given_back():
+    """A worker that served another stage starts and ends a pass over rows without what that one freed."""
+    import re
+    from pathlib import Path
+
+    import pyarrow as pa
+
+    def held():
+        return int(re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1]) // 1024
+
+    class Local:
+        def mapInArrow(self, run, schema):
+            return run(iter([pa.RecordBatch.from_arrays([pa.array([1, 2])], names=["x"])]))
+
+    before = held()
+    used = [bytearray(3000) for _ in range(80_000)]
+    kept = used[::1000]  # else the end of the heap falls back by itself
+    del used
+    at_start = []
+    out = list(common.arrow_rows(Local(), lambda b: at_start.append(held()) or {"x": b.column("x")}, "x bigint"))
+    assert out[0].column("x").to_pylist() == [1, 2] and len(kept) == 80
+    assert at_start[0] < before + 100

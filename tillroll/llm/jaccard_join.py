@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import SPACE, arrow_rows, components, release, small_enough, words_of
+from tillroll.llm.common import SPACE, arrow_rows, components, give_back, release, small_enough, words_of
 from tillroll.llm.repeats import _mix, named, word_names
 from tillroll.session import pin
 
@@ -221,6 +221,7 @@ def _blocks_of(n: int, percent: int):
             found = block_links([rows[i][2] for i in ids], [rows[i][0] for i in ids], [rows[i][1] for i in ids], percent) if len(ids) > 1 else []
             return [ids[i] for i, _ in found], [ids[j] for _, j in found]
 
+        give_back()
         for batch in batches:
             a, b = [], []
             for block, row, comp, side, digest, own in zip(*(batch.column(c).to_pylist() for c in ("block", "row", "comp", "side", "digest")), _sets(batch.column("text").to_pylist(), n)):
@@ -234,6 +235,8 @@ def _blocks_of(n: int, percent: int):
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
         a, b = links()
+        rows = {}
+        give_back()
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
