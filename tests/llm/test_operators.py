@@ -546,6 +546,57 @@ def test_blocks_are_bounded_by_shingles(spark, monkeypatch, first):
         assert {(i, j) for i in range(60) for j in range(max(i + 1, 30), 60)} <= met
 
 
+def test_texts_that_only_share_passages_are_not_held_against_each_other(spark, monkeypatch):
+    """Sets of passages that many texts hold make no large family; the rows of blocks stay in proportion to the texts."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    rng = random.Random(11)
+    passages = [" ".join(f"p{k}x{i}" for i in range(40)) for k in range(4)]
+    texts = [" ".join([*rng.sample(passages, 2), *(f"o{rng.randrange(10**6)}" for _ in range(45))]) for _ in range(240)]
+    texts += near_copies(rng, 4, 80, 1)
+    rows, sent, meetings = list(enumerate(texts)), [], jaccard_join._meetings
+    monkeypatch.setattr(jaccard_join, "_meetings", lambda sets, first: (m := meetings(sets, first)) is not None and sent.append(m.count()) or m)
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.joined(docs_of(spark, rows), 5, 80).collect()), key=repr)
+    assert got == brute_components(rows, 5, 80)
+    assert sum(sent) <= 3 * len(rows)
+
+
+def test_linked_sets_share_one_of_their_first_shingles(spark):
+    """Whatever the components so far, two sets of different ones that link are both kept and meet under a name."""
+    rng = np.random.default_rng(6)
+    common = rng.integers(0, 2**62, 12)  # in most sets, so they come last
+    sets, percent = [], 80
+    for i in range(40):
+        base = np.unique(np.concatenate([rng.integers(0, 2**62, int(rng.integers(1, 60))), common]))
+        sets += [base, *(np.unique(np.concatenate([base[rng.random(len(base)) > 0.08], rng.integers(0, 2**62, int(rng.integers(0, 4)))])) for _ in range(3))]
+    sets = [s for s in sets if len(s)]
+    comps = [i - i % 2 if i % 3 else i for i in range(len(sets))]
+    lists = [(i, c, len(s), s.tolist(), jaccard_join.thinned(s.astype(np.uint64), percent).astype(np.int64).tolist()) for i, (s, c) in enumerate(zip(sets, comps))]
+    df = spark.createDataFrame(lists, "row bigint, comp bigint, size bigint, shingles array<bigint>, thinned array<bigint>").selectExpr("*", "row AS key", "row AS text_hash", "CAST('' AS binary) AS digest")
+    undone = {r["row"] for r in jaccard_join._undone(df, percent).collect()}
+    first = {r["row"]: set(r["all_names"]) for r in jaccard_join._first_open(df, percent).collect()}
+    linked = 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            same = len(np.intersect1d(a, b))
+            if 100 * same >= percent * (len(a) + len(b) - same):
+                assert {i, j} <= undone
+                if comps[i] != comps[j]:
+                    linked += 1
+                    assert first[i] & first[j]
+    assert linked > 20 and all(len(x) <= len(sets[i]) * (100 - percent) // 100 + 1 for i, x in first.items())
+
+
+def test_large_families_meet_by_names(spark, monkeypatch):
+    """A chain of names that joins many sets makes no blocks of all its sets; sets of one name still meet."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    rows = [(i, i, 10, [i, i + 1]) for i in range(100)]
+    blocks = {}
+    for r in jaccard_join._meetings(spark.createDataFrame(rows, "row bigint, comp bigint, size bigint, all_names array<bigint>"), False).collect():
+        blocks.setdefault(r["block"], set()).add(r["row"])
+    assert sum(map(len, blocks.values())) <= 200
+    assert all(any({i, i + 1} <= b for b in blocks.values()) for i in range(99))
+
+
 def test_memory_of_earlier_stages_is_given_back():
     """A worker that served another stage starts and ends a pass over rows without what that one freed."""
     import re

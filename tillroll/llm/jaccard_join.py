@@ -4,13 +4,14 @@ Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a document's set hold
 fewer, nothing without words). Two documents link if 100 * intersection >= percent * union. The result names for every document its component.
 
 1. Sets that are equal link all their documents; one of them stands for all from here on.
-2. Dealing without loss: sets are put into size classes such that linked sets lie in one class or in neighbouring ones. In a class at most d shingles
-   tell linked sets apart (d follows from sizes and percent), so if the space of shingles is cut into d + 1 + e parts, some e + 1 parts are equal in both. Sets
-   meet under the names of their parts that are not empty. If all parts that two sets have in common are empty, both have more than e empty ones; such sets are cut again, another way, up to CUTS
-   times, and then meet under empty parts too.
-3. Sets that share a name, directly or through others, are a family (connected components of ids). Round one takes a few parts only and joins its families in blocks, which finds most
-   components. Round two takes all parts, but only names under which different components meet; in its families every pair of sets of different components is held against
-   each other, in large families the members of the commonest component against the rest. Families that are settled already - thousands of near copies - cost nothing more. So no link between two components is lost.
+2. Which sets can link at all: take any order of all shingles; two sets that link have one in common among the first size - ceil(percent * size / 100) + 1 of each. Let shingles come first that only
+   one set holds. A set with that many of them links with no other and is done, which shows in a part of the shingles already (a hash chooses it). The texts of the others are read again.
+3. Round one finds most components: sets are put into size classes, the space of shingles is cut into parts, and sets meet under the names of a few parts. Sets that share a name, directly or
+   through others, are a family (connected components of ids); its families are joined in blocks.
+   Round two loses no link between two components. Now shingles come first that only one component holds, then the others from rare to frequent; sets whose first ones are all their component's are
+   done, the rest is asked again among itself, and then meets under those of the first shingles that different components hold. So passages and lines that many documents share bring sets together only if
+   these have little else. Families of up to one block are blocks; in larger ones the sets of each name meet by themselves, in large groups the members of the commonest component against the rest.
+   Thousands of near copies that are one component by then cost nothing more.
 4. A block is joined by a signature tree: leaves are sets with a bitmap of their shingles, a node has the OR of its children's bitmaps and their range of sizes. Two nodes are
    traversed together only if their largest possible overlap (common bits, and shingles that share a bit) reaches what their smallest sizes ask for, and only while
    they hold different components. Pairs of leaves are verified on the shingles themselves (64-bit names).
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.llm.common import SPACE, arrow_rows, components, give_back, release, small_enough, words_of
@@ -105,6 +106,11 @@ def _sets(texts: list[str | None], n: int) -> list[np.ndarray]:
     return out
 
 
+def thinned(shingles: np.ndarray, percent: int) -> np.ndarray:
+    """The part of a set that a hash chooses: one and a half times as many as come first, so that most sets can be told to be done from it."""
+    return shingles[_mix(shingles + np.uint64(percent)) % np.uint64(1000) < np.uint64(min(1000, 16 * (100 - percent)))]
+
+
 def part_names(shingles: np.ndarray, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
     """Names under which a set meets others, of its own class and of the one below, and which of them are of the first parts."""
     names, first = [np.empty(0, np.uint64)], [np.empty(0, bool)]
@@ -247,6 +253,7 @@ def _meetings(sets: DataFrame, first: bool) -> DataFrame | None:
     """block, row, comp, side of the sets to hold against each other; None if there are none.
 
     Sets that meet under open names, directly or through others, are a family. A family of up to ``BLOCK`` sets and ``BLOCK_SHINGLES`` shingles is one block, so each of its sets is sent once.
+    In the second round a larger one falls apart into the sets of each of its names.
     """
     def blocks(sets_: str, shingles: str, part: int = 1):
         """How many blocks of a ``part``-th of the bounds hold so many sets with so many shingles."""
@@ -259,15 +266,18 @@ def _meetings(sets: DataFrame, first: bool) -> DataFrame | None:
         some = pin(some.groupBy("name").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.min("row").alias("head")).where("_a < _b").select("name", "head"))
         release(sets)
         open_ = some if open_ is None else open_.unionByName(some)
-    members = pin(names.join(small_enough(open_), "name").select("row", "comp", "shingles", "head").distinct())
+    met = pin(names.join(small_enough(open_), "name").select("row", "comp", "shingles", "head", *([] if first else ["name"])).distinct())
     release(sets)
-    if members.isEmpty():
+    if met.isEmpty():
         return None
-    families = components(members.select(F.col("row").alias("a"), F.col("head").alias("b"))).select(F.col("id").alias("row"), F.col("component").alias("family"))
-    members = members.select("row", "comp", "shingles").distinct().join(families, "row")
-    sizes = members.groupBy("family").agg(F.count("*").alias("size"), F.sum("shingles").alias("of_family")).select("family", "size", blocks("size", "of_family").alias("chunks"))
-    members = pin(members.join(small_enough(pin(sizes)), "family"))
-    del families, sizes
+    families = components(met.select(F.col("row").alias("a"), F.col("head").alias("b"))).select(F.col("id").alias("row"), F.col("component").alias("family"))
+    families = pin(met.select("row", "comp", "shingles").distinct().join(families, "row"))
+
+    def with_chunks(members: DataFrame) -> DataFrame:
+        sizes = members.groupBy("family").agg(F.count("*").alias("size"), F.sum("shingles").alias("of_family")).select("family", "size", blocks("size", "of_family").alias("chunks"))
+        return pin(members.join(small_enough(pin(sizes)), "family"))
+
+    members = with_chunks(families)
     release(sets)
     whole = members.where("chunks = 1").select(F.xxhash64("family", F.lit(0), F.lit(0)).alias("block"), "row", "comp", F.lit(2).alias("side"))
     large = members.where("chunks > 1")
@@ -278,7 +288,17 @@ def _meetings(sets: DataFrame, first: bool) -> DataFrame | None:
         chunk = F.pmod(F.xxhash64("row", F.lit(9)), F.col("chunks")).cast("int")
         heads = large.where(F.pmod(F.xxhash64("row", F.lit(3)), F.ceil(F.col("size") / 8).cast("bigint")) == 0).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         return whole.unionByName(large.withColumn("chunk", chunk).unionByName(heads).select(F.xxhash64("family", "chunk", F.lit(1)).alias("block"), "row", "comp", F.lit(2).alias("side")).distinct())
-    # The commonest component of a family against the rest, and the rest among itself.
+    # Names with the same sets are one.
+    met = met.join(large.select("row").distinct(), "row", "left_semi")
+    same = met.groupBy("name").agg(F.count("*").alias("n"), F.min("row").alias("a"), F.max("row").alias("b"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y"))
+    one = pin(same.groupBy("n", "a", "b", "x", "y").agg(F.min("name").alias("name")).select("name"))
+    members = with_chunks(met.join(small_enough(one), "name", "left_semi").select(F.col("name").alias("family"), "row", "comp", "shingles"))
+    release(sets)
+    whole = whole.unionByName(members.where("chunks = 1").select(F.xxhash64("family", F.lit(0), F.lit(4)).alias("block"), "row", "comp", F.lit(2).alias("side")))
+    large = members.where("chunks > 1")
+    if large.isEmpty():
+        return whole
+    # The commonest component of a name against the rest, and the rest among itself.
     by_comp = large.groupBy("family", "comp").agg(F.count("*").alias("n"), F.sum("shingles").alias("w"))
     most = by_comp.groupBy("family").agg(F.max_by(F.struct("comp", "n", "w"), F.struct("n", "comp")).alias("c"), F.sum("n").alias("n_all"), F.sum("w").alias("w_all"))
     most = most.select("family", F.col("c.comp").alias("common"), F.col("c.n").alias("n"), F.col("c.w").alias("w"), (F.col("n_all") - F.col("c.n")).alias("n_rest"), (F.col("w_all") - F.col("c.w")).alias("w_rest"))
@@ -292,14 +312,68 @@ def _meetings(sets: DataFrame, first: bool) -> DataFrame | None:
     return whole.unionByName(common).unionByName(against).unionByName(among)
 
 
-def _links(meetings: DataFrame, docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
+def _firsts(percent: int) -> Column:
+    """How many shingles of a set come first: two linked sets have one of these in common, in any order of all shingles."""
+    return F.floor(F.col("size") * (100 - percent) / 100) + 1
+
+
+def _undone(sets: DataFrame, percent: int) -> DataFrame:
+    """row, key, text_hash, digest, size of the sets that may link with another. The rest have more shingles to themselves, among those thinned out, than two linked sets may differ by."""
+    each = sets.select("row", F.explode("thinned").alias("name"))
+    own = None
+    for slice_ in range(SLICES):
+        some = each.where(F.pmod("name", F.lit(SLICES)) == slice_).groupBy("name").agg(F.min("row").alias("row"), F.max("row").alias("_b")).where("row = _b")
+        some = pin(some.groupBy("row").agg(F.count("*").alias("own")))
+        release(sets)
+        own = some if own is None else own.unionByName(some)
+    own = own.groupBy("row").agg(F.sum("own").alias("own"))
+    left = sets.select("row", "key", "text_hash", "digest", "size").join(own, "row", "left").where(F.coalesce("own", F.lit(0)) < _firsts(percent))
+    return pin(left.drop("own"))
+
+
+def _open(sets: DataFrame) -> DataFrame:
+    """row, name and n (sets that hold it) of the shingles that different components hold."""
+    each = sets.select("row", "comp", F.explode("shingles").alias("name"))
+    out = None
+    for slice_ in range(SLICES):
+        some = each.where(F.pmod("name", F.lit(SLICES)) == slice_)
+        held = pin(some.groupBy("name").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.count("*").alias("n")).where("_a < _b").select("name", "n"))
+        some = pin(some.join(small_enough(held), "name").select("row", "name", "n"))
+        del held
+        release(sets)
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
+def _first_open(sets: DataFrame, percent: int) -> DataFrame:
+    """row, comp, size, all_names of the sets that may link with another component; all_names: the shingles held by several components that are among a set's first."""
+    for last in (False, True):
+        open_ = _open(sets)
+        # What comes first beyond the shingles that one component holds.
+        few = sets.select("row", "size").join(open_.groupBy("row").agg(F.count("*").alias("_open")), "row").select("row", (_firsts(percent) - F.col("size") + F.col("_open")).alias("_k")).where("_k > 0")
+        few = pin(few)
+        if not last:  # among fewer sets fewer shingles are held by several components
+            sets = pin(sets.join(small_enough(few.select("row")), "row", "left_semi"))
+        release(sets)
+    ranked = open_.join(small_enough(few), "row").withColumn("_r", F.row_number().over(Window.partitionBy("row").orderBy("n", "name"))).where("_r <= _k")
+    names = ranked.groupBy("row").agg(F.collect_list("name").alias("all_names"))
+    out = pin(sets.select("row", "comp", "size").join(names, "row"))
+    del open_, few, ranked, names
+    release(sets)
+    return out
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)), pa.array(np.concatenate(arrays).view(np.int64)))
+
+
+def _links(meetings: DataFrame, docs: DataFrame, sets: DataFrame, shingles: int, n: int, percent: int) -> DataFrame:
     """Verified links (a, b) between rows. The texts travel to the blocks, which take the shingles: these would be larger and do not compress.
 
-    A set in several blocks travels several times, so blocks go in waves of about ``WAVE`` of all sets' shingles; shuffle files of a wave are gone before the next.
+    A set in several blocks travels several times, so blocks go in waves of about ``WAVE`` of all ``shingles``; shuffle files of a wave are gone before the next.
     """
     meetings = pin(meetings.join(sets.select("row", "key", "digest", "size"), "row"))
-    sent, all_ = meetings.agg(F.sum("size")).first()[0] or 0, sets.agg(F.sum("size")).first()[0] or 1
-    waves, found = max(1, math.ceil(sent / all_ / WAVE)), None
+    waves, found = max(1, math.ceil((meetings.agg(F.sum("size")).first()[0] or 0) / shingles / WAVE)), None
     for wave in range(waves):
         now = meetings.where(F.pmod(F.xxhash64("block", F.lit(5)), F.lit(waves)) == wave).drop("size")
         texts = docs.join(small_enough(now), "key")
@@ -317,25 +391,38 @@ def joined(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     docs = docs.select("doc_id", "text", F.coalesce("doc_id", F.xxhash64("text")).alias("key"))
     classes = Classes(percent)
 
+    def digest(s: np.ndarray) -> bytes | None:
+        return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
     def facts(batch: pa.RecordBatch) -> dict:
         found = _sets(batch.column("text").to_pylist(), n)
-        names = [part_names(s, classes) for s in found]
-        lists = {"first_names": [x[f] for x, f in names], "all_names": [x for x, _ in names]}
         return {"doc_id": batch.column("doc_id"), "key": batch.column("key"), "text_hash": batch.column("text_hash"),
-                "digest": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in found], pa.binary()), "size": pa.array([len(s) for s in found], pa.int64()),
-                **{k: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in v])]).astype(np.int32)), pa.array(np.concatenate(v).view(np.int64))) for k, v in lists.items()}}
+                "digest": pa.array([digest(s) for s in found], pa.binary()), "size": pa.array([len(s) for s in found], pa.int64()), "thinned": _lists([thinned(s, percent) for s in found])}
 
-    rows = pin(arrow_rows(docs.withColumn("text_hash", F.xxhash64("text")), facts, "doc_id bigint, key bigint, text_hash bigint, digest binary, size bigint, first_names array<bigint>, all_names array<bigint>").withColumn("row", F.monotonically_increasing_id()))
-    distinct = pin(rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("row").alias("row"), F.min("doc_id").alias("label")))
-    sets = rows.join(small_enough(distinct.select("row")), "row", "left_semi").withColumn("comp", F.col("row"))
-    comps = None
+    def names(batch: pa.RecordBatch) -> dict:
+        found = _sets(batch.column("text").to_pylist(), n)
+        found = [s if digest(s) == d else s[:0] for s, d in zip(found, batch.column("digest").to_pylist())]
+        parts = [part_names(s, classes) for s in found]
+        return {**{c: batch.column(c) for c in ("row", "key", "digest", "size")}, "first_names": _lists([x[f] for x, f in parts]), "shingles": _lists(found)}
+
+    every = pin(arrow_rows(docs.withColumn("text_hash", F.xxhash64("text")), facts, "doc_id bigint, key bigint, text_hash bigint, digest binary, size bigint, thinned array<bigint>").withColumn("row", F.monotonically_increasing_id()))
+    rows = pin(every.drop("thinned"))
+    distinct = pin(rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("row").alias("row"), F.min("doc_id").alias("label"), F.min("size").alias("size")))
+    left = _undone(every.join(small_enough(distinct.select("row")), "row", "left_semi"), percent)
+    del every
+    release(docs)
+    texts = docs.withColumn("text_hash", F.xxhash64("text")).join(small_enough(left), ["key", "text_hash"]).dropDuplicates(["row"])
+    sets = pin(arrow_rows(texts.select("row", "key", "digest", "size", "text"), names, "row bigint, key bigint, digest binary, size bigint, first_names array<bigint>, shingles array<bigint>").where(F.size("shingles") > 0).withColumn("comp", F.col("row")))
+    del texts, left
+    release(docs)
+    shingles, comps = distinct.agg(F.sum("size")).first()[0] or 1, None
     for first in (True, False):
         if comps is not None:
             sets = sets.drop("comp").join(small_enough(comps.select(F.col("id").alias("row"), F.col("component").alias("comp"))), "row", "left").withColumn("comp", F.coalesce("comp", "row"))
-        meetings = _meetings(sets, first)
+        meetings = _meetings(sets if first else _first_open(sets, percent), first)
         if meetings is None:
             continue
-        links = _links(meetings, docs, sets, n, percent)
+        links = _links(meetings, docs, sets, shingles, n, percent)
         del meetings
         release(docs)
         if comps is not None:
