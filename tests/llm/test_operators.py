@@ -597,6 +597,25 @@ def test_large_families_meet_by_names(spark, monkeypatch):
     assert all(any({i, i + 1} <= b for b in blocks.values()) for i in range(99))
 
 
+def test_memory_of_arrow_is_given_back():
+    """What Arrow's pool keeps of freed batches goes back too."""
+    import subprocess
+    import sys
+    code = """if True:
+        import re, pyarrow as pa
+        from tillroll.llm import common
+        def held():
+            return int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) // 1024
+        x = [pa.array([f"w{i} " * 300 for i in range(j, j + 1000)]) for j in range(0, 100_000, 1000)]
+        full = held()
+        del x
+        common.give_back()
+        print(full, held())
+    """
+    full, after = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
+    assert full > 150 and after < full / 2
+
+
 def test_memory_of_earlier_stages_is_given_back():
     """A worker that served another stage starts and ends a pass over rows without what that one freed."""
     import re

@@ -37,7 +37,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def give_back() -> None:
-    """Hands memory that was freed back to the system. A worker is used again by later stages, and glibc keeps what earlier ones freed."""
+    """Hands memory that was freed back to the system. A worker is used again by later stages, and glibc and Arrow's pool keep what earlier ones freed."""
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)

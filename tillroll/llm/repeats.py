@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import SPACE, arrow_rows, release, small_enough, words_of
+from tillroll.llm.common import SPACE, arrow_rows, give_back, release, small_enough, words_of
 from tillroll.session import pin
 
 WINDOW = 13
@@ -327,5 +327,6 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             columns = [b.column(n) for n in names if n != "text"]
             columns.insert(at, pa.array(texts, pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        give_back()
 
     return _judged(docs, [n for n in names if n != "text"]).mapInArrow(run, docs.schema)
