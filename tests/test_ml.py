@@ -160,6 +160,27 @@ def test_neighbours_by_short_lists_shuffle_no_pairs(spark, monkeypatch):
     assert {(r["id"], r["other"], r["position"]) for r in R.top_similar(vectors, "id", 5).collect()} == _nearest(rows, 5)
 
 
+def test_neighbours_by_short_lists_come_in_waves(spark, monkeypatch):
+    """Blocks get their lists wave after wave, each wave's result is pinned; a vector of many keys is one group, keys of one vector each name the others."""
+    rng = np.random.default_rng(6)
+    rows = [(i, f"t{t}", float(1 + rng.integers(0, 9))) for i in range(200) for t in set(rng.integers(0, 120, 8).tolist())] + [(900 + i, t, 1.0) for i in range(12) for t in ("t1", "t2")]
+    rows += [(800 + i, t, 3.0) for i in range(3) for t in ("t3", "t4")]
+    for name, value in (("BLOCK_ROWS", 20), ("WAVE_ROWS", 500), ("WAVE_PART", 0)):
+        monkeypatch.setattr(R, name, value)
+    waves, pin = [], R.pin
+
+    def kept(df):
+        out = pin(df)
+        if out.columns == ["g", "other", "similarity"]:
+            waves.append({r["g"] for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(R, "pin", kept)
+    vectors = R.unit_vectors(spark.createDataFrame(rows, "id bigint, token string, w double"), "id", "token", "w")
+    assert {(r["id"], r["other"], r["position"]) for r in R.top_similar(vectors, "id", 5).collect()} == _nearest(rows, 5)
+    assert len(waves) > 3 and sum(map(len, waves)) == len(set.union(*waves)) == 202
+
+
 @pytest.mark.parametrize("entries", [0, 90])
 def test_neighbours_with_long_lists_keep_to_the_bounds(spark, monkeypatch, entries):
     """With a hot token all vectors or those of long lists look for their neighbours by bounds; both ways together are exact."""

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import os
 import re
 from collections.abc import Callable, Iterator
@@ -12,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.session import pin
+from tillroll.session import pin, release
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -88,12 +87,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(small_enough(known, 4 * rows), "doc_id")
 
 
-def release(df: DataFrame) -> None:
-    """Spark removes shuffle files of finished plans when the driver's garbage is collected; asked for between phases so that they don't pile up."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over ``edges`` (a, b), for every id in them.
 

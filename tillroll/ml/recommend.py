@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.numbers import ratio
 from tillroll.operators.ordering import number_rows
-from tillroll.session import pin
+from tillroll.session import pin, release
 
 #: Entries per token that a vector first looks at, tokens it looks under, steps of weight and remaining norm that split a token's list.
 HEAD_ROWS, HEAD_TOKENS, STEPS = 16, 8, 8
@@ -23,6 +24,8 @@ SLACK = 1e-6
 LOW, LOW_PART = 0.3, 0.25
 #: A vector whose tokens' lists hold at most so many entries meets them all; so many such vectors are one task's work.
 LIST_ROWS, BLOCK_ROWS = 16384, 1024
+#: Entries that the blocks of one wave are sent: so many, or so many times the entries of all lists if that is more. Waves follow one another, so shuffle files hold the lists of one only.
+WAVE_ROWS, WAVE_PART = 1 << 25, 2
 #: Items whose scores first bound a user's best from below, items of one part, users that meet a part together.
 HEAD_ITEMS, PART_ITEMS, PART_USERS = 4096, 1 << 16, 1 << 16
 
@@ -88,10 +91,10 @@ def similar_candidates(groups: DataFrame, k: int, of: DataFrame | None = None) -
 
 
 def fold_equal(vectors: DataFrame, key: str, k: int) -> DataFrame:
-    """One row per distinct vector: g, vector, keys (its k + 1 smallest: no row ever names more), size (of keys)."""
+    """One row per distinct vector: g, vector, keys (its k + 1 smallest: no row ever names more), size (of keys), whole (no other key holds it)."""
     order = Window.partitionBy("vector").orderBy(key)
     first = vectors.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k + 1)
-    groups = first.groupBy("vector").agg(F.sort_array(F.collect_list(key)).alias("keys"))
+    groups = first.groupBy("vector").agg(F.sort_array(F.collect_list(key)).alias("keys"), (F.count("*") <= k).alias("whole"))
     return groups.withColumns({"size": F.size("keys"), "g": F.monotonically_increasing_id()})
 
 
@@ -116,26 +119,41 @@ def _meet_all(keep: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]
     return meet
 
 
-def _similar_by_lists(rows: DataFrame, df: DataFrame, of: DataFrame, k: int) -> DataFrame:
-    """(g, other, similarity): at least the k + 1 most similar groups of those in ``of``, whose tokens are in few vectors. Each block of groups gets the lists of its tokens, packed; no pair is shuffled."""
-    blocks = F.lit(of.count() // BLOCK_ROWS + 1)
-    own = rows.join(of, "g").withColumn("block", F.pmod(F.xxhash64("g"), blocks))
-    shared = rows.join(df.where(f"df BETWEEN 2 AND {LIST_ROWS}").select("t"), "t")
-    lists = shared.groupBy("t").agg(F.collect_list(F.struct("g", "w")).alias("l")).select("t", F.col("l.g").alias("others"), F.col("l.w").alias("weights"))
-    # The two sides of a cogroup must not share columns.
-    sent = own.select("block", "t").distinct().join(lists, "t").select(F.col("block").alias("_block"), F.col("t").alias("token"), "others", "weights")
-    return own.groupBy("block").cogroup(sent.groupBy("_block")).applyInPandas(_meet_all(k + 1), "g bigint, other bigint, similarity double")
+def _similar_by_lists(groups: DataFrame, lists: DataFrame, met: DataFrame, k: int) -> DataFrame:
+    """(g, other, similarity): at least the k + 1 most similar groups of those in ``groups``, whose tokens are in few vectors. ``lists``: others and weights of the tokens t; ``met``: entries and tokens of all groups.
+
+    Each block of groups gets the lists of its tokens, packed; no pair is shuffled. Blocks are worked off in waves whose results are pinned, so the disk holds what one wave is sent.
+    """
+    n, entries, rows = met.agg(F.count(F.when(F.col("met") <= LIST_ROWS, 1)), F.sum(F.when(F.col("met") <= LIST_ROWS, F.col("met"))), F.sum("tokens")).first()
+    blocks = n // BLOCK_ROWS + 1
+    waves = min(blocks, (entries or 0) // max(WAVE_ROWS, WAVE_PART * (rows or 0)) + 1)
+    found = []
+    for wave in range(waves):
+        block = F.pmod(F.xxhash64("g"), F.lit(blocks))
+        own = groups.withColumn("block", block).where(F.col("block") % waves == wave).select("g", "block", F.explode("vector").alias("e")).select("g", "block", "e.t", "e.w")
+        # The two sides of a cogroup must not share columns.
+        sent = own.groupBy(F.col("t").alias("token")).agg(F.collect_set("block").alias("_blocks")).join(lists, F.col("token") == F.col("t")).select(F.explode("_blocks").alias("_block"), "token", "others", "weights")
+        found.append(pin(own.groupBy("block").cogroup(sent.groupBy("_block")).applyInPandas(_meet_all(k + 1), "g bigint, other bigint, similarity double")))
+        del own, sent
+        release(groups)
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def _near(groups: DataFrame, k: int) -> DataFrame:
     """(g, other, similarity rounded to six decimals, above 0): at least the k + 1 best of every group."""
     rows = groups.select("g", F.explode("vector").alias("e")).select("g", "e.t", "e.w")
-    df = rows.groupBy("t").agg(F.count("*").alias("df"))
-    met = pin(rows.join(df, "t").groupBy("g").agg(F.sum("df").alias("met")))
-    out = _similar_by_lists(rows, df, met.where(F.col("met") <= LIST_ROWS).select("g"), k)
+    df = pin(rows.groupBy("t").agg(F.count("*").alias("df")))
+    met = pin(rows.join(df, "t").groupBy("g").agg(F.sum("df").alias("met"), F.count("*").alias("tokens")))
+    shared = rows.join(df.where(f"df BETWEEN 2 AND {LIST_ROWS}").select("t"), "t")
+    # Dealt by token once: the waves don't move the lists again to look them up.
+    lists = pin(shared.groupBy("t").agg(F.collect_list(F.struct("g", "w")).alias("l")).select("t", F.col("l.g").alias("others"), F.col("l.w").alias("weights")))
+    del df, shared
+    release(groups)
     far = met.where(F.col("met") > LIST_ROWS).select("g")
-    if not far.isEmpty():
-        out = out.unionByName(_dot(pin(similar_candidates(groups, k, far)), groups).drop("size"))
+    if far.isEmpty():
+        out = _similar_by_lists(groups, lists, met, k)
+    else:
+        out = _similar_by_lists(groups.join(far, "g", "left_anti"), lists, met, k).unionByName(_dot(pin(similar_candidates(groups, k, far)), groups).drop("size"))
     return out.withColumn("similarity", F.round("similarity", 6)).where("similarity > 0")
 
 
@@ -148,15 +166,23 @@ def top_similar(vectors: DataFrame, key: str, k: int) -> DataFrame:
     many keys, of which most are ruled out by their largest values. What the shared tokens sum up to, plus what the rest may add, leaves few pairs for the exact product.
     """
     vectors = pin(vectors.select(key, "vector"))
+    release(vectors)
     groups = pin(fold_equal(vectors, key, k))
+    crowds = groups.where("NOT whole").select("g", "vector")
+    # Only keys of large groups are looked up by their vector.
+    crowded = None if crowds.isEmpty() else vectors.join(crowds, "vector").select("g", key)
+    del vectors
+    release(groups)
     near = _near(groups, k).unionByName(groups.select("g", F.col("g").alias("other"), F.lit(1.0).alias("similarity")))
     named = near.join(groups.select(F.col("g").alias("other"), "keys"), "other").select("g", "similarity", F.element_at("keys", 1).alias("_first"), "keys")
     best = named.withColumn("_n", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("similarity"), "_first"))).where(F.col("_n") <= k + 1)
     rows = best.select("g", "similarity", F.explode("keys").alias("other"))
     rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("similarity"), "other"))).where(F.col("_n") <= k + 1)
-    lists = groups.select("g", "vector").join(rows.groupBy("g").agg(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "other"))).alias("best")), "g")
+    lists = rows.groupBy("g").agg(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "other"))).alias("best"))
+    members = groups.where("whole").select("g", F.explode("keys").alias(key))
+    members = members if crowded is None else members.unionByName(crowded)
     # Each key leaves itself out of its group's k + 1 best.
-    own = vectors.join(lists.select("vector", "best"), "vector").select(key, F.slice(F.filter("best", lambda e: e["other"] != F.col(key)), 1, k).alias("best"))
+    own = members.join(lists, "g").select(key, F.slice(F.filter("best", lambda e: e["other"] != F.col(key)), 1, k).alias("best"))
     out = own.select(key, F.posexplode("best").alias("p", "e"))
     return out.select(key, F.col("e.other").alias("other"), (-F.col("e.s")).alias("similarity"), (F.col("p") + 1).alias("position"))
 

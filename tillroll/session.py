@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,3 +62,9 @@ def pin(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
+
+
+def release(df: DataFrame) -> None:
+    """Spark removes shuffle files of finished plans when the driver's garbage is collected; asked for between phases so that they don't pile up."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
