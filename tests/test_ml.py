@@ -265,3 +265,27 @@ def test_ratings_are_joined_once(spark, monkeypatch):
     for ratings in seen:
         assert "Aggregate" not in ratings._jdf.queryExecution().optimizedPlan().toString()
         assert sorted(tuple(r) for r in ratings.collect()) == [(1, 2, 2.0), (2, 3, 1.0)]
+
+
+@pytest.mark.parametrize("name", ["m11_factor_recommendations", "m12_hybrid"])
+def test_factorisation_has_more_blocks_for_more_ratings(spark, monkeypatch, name):
+    """A task holds the ratings of one block, so their number follows the ratings; the fit reads pinned rows, whose joins' shuffle files can go."""
+    from types import SimpleNamespace
+
+    from tillroll.plans import load_plans
+    rng = np.random.default_rng(2)
+    sales = spark.createDataFrame([(int(u), int(p)) for u, p in rng.integers(0, 30, (400, 2))], "customer_id int, product_id int")
+    n, seen = sales.distinct().count(), []
+
+    def recommend(factors, ratings, k):
+        seen.append(factors.model)
+        raise StopIteration
+
+    monkeypatch.setattr(R, "unseen_recommendations", recommend)
+    for most, blocks in ((20, -(-n // 20)), (n, 10)):
+        monkeypatch.setattr(R, "BLOCK_RATINGS", most)
+        with pytest.raises(StopIteration):
+            load_plans()[name].build(SimpleNamespace(sales=sales))
+        for factors in (seen[-1].userFactors, seen[-1].itemFactors):
+            assert factors.rdd.getNumPartitions() == blocks and factors.count() == 30
+            assert "ShuffledRowRDD" not in factors._jdf.queryExecution().toRdd().toDebugString()

@@ -28,6 +28,8 @@ LIST_ROWS, BLOCK_ROWS = 16384, 1024
 WAVE_ROWS, WAVE_PART = 1 << 25, 2
 #: Items whose scores first bound a user's best from below, items of one part, users that meet a part together.
 HEAD_ITEMS, PART_ITEMS, PART_USERS = 4096, 1 << 16, 1 << 16
+#: A task of the factorisation holds the ratings of one block of users or items and the factors they meet: blocks at least, ratings of one on average.
+BLOCKS, BLOCK_RATINGS = 10, 1 << 20
 
 
 def unit_vectors(weights: DataFrame, key: str, token: str, value: str) -> DataFrame:
@@ -228,11 +230,18 @@ def dense_ids(df: DataFrame, key: str, name: str) -> DataFrame:
 
 
 def fit_factors(ratings: DataFrame, rank: int = 10, rounds: int = 5, pinned: DataFrame | None = None) -> Factors:
-    """M-11: non-negative factorisation. ``pinned``: the same ratings, for the numberings, which read them several times; the factors' last digits depend on the order of ``ratings``."""
+    """M-11: non-negative factorisation. ``pinned``: the same ratings, for the numberings, which read them several times; the factors' last digits depend on the order of ``ratings``.
+
+    Users and items are dealt into more blocks the more ratings there are. Every round is checkpointed: shuffle files of earlier ones are removed.
+    """
     known = ratings if pinned is None else pinned
     users, items = dense_ids(known, "customer_id", "_u"), dense_ids(known, "product_id", "_i")
-    als = ALS(userCol="_u", itemCol="_i", ratingCol="rating", rank=rank, maxIter=rounds, nonnegative=True, seed=42, coldStartStrategy="drop")
-    return Factors(als.fit(ratings.join(users, "customer_id").join(items, "product_id").select("_u", "_i", "rating")), users, items)
+    known = pin(ratings.join(users, "customer_id").join(items, "product_id").select("_u", "_i", "rating"))
+    release(known)
+    blocks = max(BLOCKS, -(-known.count() // BLOCK_RATINGS))
+    als = ALS(userCol="_u", itemCol="_i", ratingCol="rating", rank=rank, maxIter=rounds, nonnegative=True, seed=42, coldStartStrategy="drop",
+              numUserBlocks=blocks, numItemBlocks=blocks, checkpointInterval=1)
+    return Factors(als.fit(known), users, items)
 
 
 def _head_bounds(head: pd.DataFrame, k: int):
